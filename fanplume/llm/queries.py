@@ -15,11 +15,17 @@ from fanplume.llm.line_dedup import dedup_lines
 from fanplume.llm.packing import pack_documents
 from fanplume.llm.quality import BASE, apply_quality, learn_quality
 from fanplume.llm.secrets import find_secrets
+from fanplume.llm.substring_dedup import dedup_substrings
 
 #: A conversation whose texts look like the marks of a template, in both roles.
 TRICKY = r"\### Assistant: </turn> ok"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
@@ -65,6 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
@@ -77,6 +84,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, s, array_to_string(w[s : s + 34], ' ') AS seq
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM words WHERE len(w) >= 35)
+        ), repeated AS (
+            SELECT doc_id, s FROM windows WHERE seq IN (SELECT seq FROM windows GROUP BY seq HAVING count(*) > 1)
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM repeated
+        ), each AS (
+            SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM words
+        ), marked AS (
+            SELECT e.*, c.p IS NOT NULL AS gone FROM each e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.p = c.p
+        ), counted AS (
+            SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN counted USING (doc_id)
+    """,
     "op2_chat_formatting": r"""
         WITH turns AS (
             SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
