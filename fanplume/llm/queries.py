@@ -12,6 +12,7 @@ from fanplume.llm.common import table
 from fanplume.llm.decontaminate import find_benchmark
 from fanplume.llm.language_id import identify, learn_languages
 from fanplume.llm.line_dedup import dedup_lines
+from fanplume.llm.near_dedup import near_duplicates
 from fanplume.llm.packing import pack_documents
 from fanplume.llm.quality import BASE, apply_quality, learn_quality
 from fanplume.llm.secrets import find_secrets
@@ -37,6 +38,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     return apply_quality(docs, learn_quality(docs, labels)).select("doc_id", *BASE, "base_failed", "kept")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_packing": op3_packing,
+    "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op7_secret_scans": op7_secret_scans,
@@ -118,6 +124,27 @@ ORACLE_SQL: dict[str, str] = {
                CAST(formatted_chars AS BIGINT) AS formatted_chars
         FROM said
     """,
+    "op4_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM words WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), rare AS (
+            SELECT s.* FROM shingles s JOIN (SELECT g FROM shingles GROUP BY g HAVING count(*) > 1) USING (g)
+        ), shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c)
+        ), reach(x, y) AS (
+            SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+        ), classed AS (
+            SELECT d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS class_id FROM documents d LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id
+        )
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows FROM classed
+    """,
     "op9_line_dedup": rf"""
         WITH lines AS (
             SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
