@@ -3,27 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fanplume.llm.common import stored, table
+from fanplume.llm.decontaminate import decontaminate
+from fanplume.llm.language_id import identify, learn_languages
 from fanplume.llm.line_dedup import dedup_lines
+from fanplume.llm.near_dedup import drop_near_duplicates
 from fanplume.llm.packing import pack_documents
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose best two languages compress them about equally well, go."""
+    told = identify(docs, learn_languages(docs))
+    return told.filter("NOT rejected").select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents share stay in the first of them only; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id stays."""
+    return drop_near_duplicates(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences that hold all tokens of what is left."""
     return pack_documents(docs)
 
 
-STAGES = [("line dedup", line_dedup), ("packing", packing)]
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
 
-#: Not expressible: trained models, approximate candidates and tokenizers are beyond SQL. Tested stage by stage instead.
+#: Not expressible: trained models, approximate matching and tokenizers are beyond SQL. Tested stage by stage instead.
 ORACLE_SQL = None
 
 
