@@ -20,7 +20,7 @@ def bilinear(points: DataFrame, grid: DataFrame, values: list[str], south: float
 
     `grid` has lat_pos and lon_pos. A point unfolds its four cells and weights, which then join by position.
     """
-    fr, fc = (F.col("lat") - south) / step, (F.col("lon") - west) / step
+    fr, fc = F.round((F.col("lat") - south) / step, 9), F.round((F.col("lon") - west) / step, 9)
     r, c = F.least(F.floor(fr), F.lit(rows - 2)), F.least(F.floor(fc), F.lit(cols - 2))
     inside = points.filter((fr >= 0) & (fr <= rows - 1) & (fc >= 0) & (fc <= cols - 1))
     wr, wc = fr - r, fc - c
