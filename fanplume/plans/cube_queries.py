@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanplume.cube import Cube
@@ -184,3 +184,8 @@ each(
 )
 each("de6_sum_parameters", "round(v + vmax, 6) AS a", a=num(v) + num(vmax))
 each("de7_units", "round(v - 273.15, 6) AS a, round(v * 3.6, 6) AS b, round(v * 1000, 6) AS c, round(v / 3600 * 1000, 6) AS d, round(v * 100, 6) AS e", a=convert(v, "K", "°C"), b=convert(v, "m/s", "km/h"), c=convert(v, "m", "mm"), d=convert(v, "J/m²/h", "W/m²") * 1000, e=convert(v, "fraction", "%"))
+
+# all values at once, coverage of models, order of results
+ev("sc1_dataset_scan", lambda c: shown(c), "SELECT model, member, time, round(v, 6) AS v, round(vmax, 6) AS vmax, n FROM ev")
+ev("dg7_coverage", lambda c: shown(c.reduce("member", k=R.count("v")).df.groupBy("model").agg(F.avg((F.col("k") > 0).cast("double")).alias("covered"), F.min(F.when(F.col("k") > 0, F.col("time"))).alias("first"), F.max(F.when(F.col("k") > 0, F.col("time"))).alias("last"))), "SELECT model, round(avg(CAST(k > 0 AS INT)), 6) AS covered, min(time) FILTER (k > 0) AS first, max(time) FILTER (k > 0) AS last FROM (SELECT model, time, count(v) AS k FROM ev GROUP BY 1, 2) GROUP BY model")
+gr("wi8_row_order", lambda c: c.reduce(["member", "model"], m=R.high("v")).df.select("lat", "lon", "m", (F.row_number().over(Window.partitionBy("lat").orderBy("lon")) - 1).alias("pos")), "SELECT lat, lon, m, CAST(row_number() OVER (PARTITION BY lat ORDER BY lon) - 1 AS INT) AS pos FROM (SELECT lat, lon, max(v) AS m FROM gr GROUP BY 1, 2)")

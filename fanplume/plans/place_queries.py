@@ -112,3 +112,20 @@ query("jo9_nearest_values", lambda s, d: shown(spatial.nearest(places(s, d), _ce
       "SELECT point, cell, round(v, 6) AS v FROM (SELECT point, g.lat_pos * 10 + g.lon_pos AS cell, v, round(pow(round(50 + 0.1 * lat_pos, 4) - p.lat, 2) + pow((round(6 + 0.1 * lon_pos, 4) - p.lon) * cos(radians(p.lat)), 2), 12) AS d2 FROM pt p CROSS JOIN grid g) QUALIFY row_number() OVER (PARTITION BY point ORDER BY d2, cell) = 1", PT, GRID)
 query("lo12_crop", lambda s, d: shown(_cells(s, d).filter("lat BETWEEN 50.15 AND 50.75 AND lon BETWEEN 6.05 AND 6.55")), "SELECT lat_pos * 10 + lon_pos AS cell, round(50 + 0.1 * lat_pos, 4) AS lat, round(6 + 0.1 * lon_pos, 4) AS lon FROM grid WHERE round(50 + 0.1 * lat_pos, 4) BETWEEN 50.15 AND 50.75 AND round(6 + 0.1 * lon_pos, 4) BETWEEN 6.05 AND 6.55", GRID)
 query("sc13_resolve_places", lambda s, d: shown(table(s, d, "supplier").select("s_suppkey", F.regexp_replace(F.lower(F.trim(F.concat(F.lit("  Nation_"), F.col("s_nationkey").cast("string"), F.lit(" ")))), r"\s+", " ").alias("name")).join(places(s, d).withColumn("name", F.lower(F.trim("point"))), "name").select("s_suppkey", "point", "lat", "lon")), "SELECT s_suppkey, point, round(lat, 6) AS lat, round(lon, 6) AS lon FROM supplier JOIN pt ON point = 'NATION_' || s_nationkey", PT)
+
+
+def _grid_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_returnflag").alias("model"), (F.col("l_suppkey") % 10).alias("lat_pos"), (F.col("l_partkey") % 10).alias("lon_pos")).agg(F.avg("l_quantity").alias("v"))
+
+
+GRID_BY_MODEL = "gm AS (SELECT l_returnflag AS model, l_suppkey % 10 AS lat_pos, l_partkey % 10 AS lon_pos, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
+
+query("lo1_point", lambda s, d: shown(spatial.bilinear(s.createDataFrame([("p", 50.23, 6.37)], "point string, lat double, lon double"), _grid_by_model(s, d), ["v"], 50.0, 6.0, 0.1, 10, 10, by=["model"])),
+      "SELECT 'p' AS point, model, round(sum(v * CASE lat_pos WHEN 2 THEN 0.7 ELSE 0.3 END * CASE lon_pos WHEN 3 THEN 0.3 ELSE 0.7 END), 6) AS v FROM gm WHERE lat_pos IN (2, 3) AND lon_pos IN (3, 4) GROUP BY model", GRID_BY_MODEL)
+query("lo2_points", lambda s, d: shown(spatial.bilinear(places(s, d), _grid_by_model(s, d), ["v"], 50.0, 6.0, 0.1, 10, 10, by=["model"]).groupBy("model").agg(F.avg("v").alias("m"), F.count("v").alias("points"))),
+      "SELECT model, round(avg(v), 6) AS m, count(v) AS points FROM (SELECT model, point, sum(v * CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lon_pos = c THEN 1 - (fc - c) ELSE fc - c END) AS v FROM (SELECT point, (lat - 50) / 0.1 AS fr, (lon - 6) / 0.1 AS fc, least(floor((lat - 50) / 0.1), 8) AS r, least(floor((lon - 6) / 0.1), 8) AS c FROM pt) p JOIN gm ON lat_pos IN (r, r + 1) AND lon_pos IN (c, c + 1) GROUP BY model, point) GROUP BY model", PT, GRID_BY_MODEL)
+query("lo4_route_cells", lambda s, d: shown(spatial.nearest(routes(s, d).select(F.col("sample").alias("point"), "lat", "lon"), _cells(s, d), max_km=8.0).withColumnRenamed("point", "sample")),
+      "SELECT sample, cell, round(sqrt(d2) * 111.2, 6) AS km FROM (SELECT sample, lat_pos * 10 + lon_pos AS cell, round(pow(round(50 + 0.1 * lat_pos, 4) - r.lat, 2) + pow((round(6 + 0.1 * lon_pos, 4) - r.lon) * cos(radians(r.lat)), 2), 12) AS d2 FROM rt r CROSS JOIN grid) WHERE sqrt(d2) * 111.2 <= 8 QUALIFY row_number() OVER (PARTITION BY sample ORDER BY d2, cell) = 1", RT, GRID)
+query("ag2_route_mean", lambda s, d: shown(spatial.half_gaps(routes(s, d), ["route"], F.col("distance_km") / 50).groupBy("route").agg((F.sum(F.col("v") * F.col("dt")) / F.nullif(F.sum("dt"), F.lit(0.0))).alias("mean"), F.sum(F.col("v") * F.col("dt")).alias("total"))),
+      "SELECT route, round(sum(v * dt) / nullif(sum(dt), 0), 6) AS mean, round(sum(v * dt), 6) AS total FROM (SELECT route, v, (coalesce(lead(h) OVER w, h) - coalesce(lag(h) OVER w, h)) / 2 AS dt FROM (SELECT route, sample, v, distance_km / 50 AS h FROM rt) WINDOW w AS (PARTITION BY route ORDER BY sample)) GROUP BY route", RT)
