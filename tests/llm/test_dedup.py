@@ -133,3 +133,27 @@ def test_clashing_columns(clashing, odd):
     near = near_dedup.drop_near_duplicates(clashing)
     assert near.columns == clashing.columns and near.filter(F.col("key") != "own key").count() == 0
     assert near_dedup.near_duplicates(clashing).count() == odd.count()
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_components_of_a_bucket_are_tested_across_in_blocks(spark, block):
+    from fanplume.llm.common import WordHashes, words_of
+
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(2, 40, 2)] + [" ".join(f"z{i}" for i in range(80))]
+    rows = []
+    for t in texts:
+        shingles, weights = near_dedup.weighted_shingles(words_of(t), WordHashes())
+        key = near_dedup.text_key(words_of(t))
+        low = (near_dedup.prob_min_hash(shingles, weights) & near_dedup.np.uint64(255)).astype("u1").tobytes()
+        rows.append((1, len(texts), bytearray(key), bytearray(key), bytearray(low), bytearray(shingles.tobytes())))
+    members = spark.createDataFrame(rows, "h long, n long, key binary, label binary, signature binary, shingles binary")
+    links = near_dedup._across(members, 0.8, block).collect()
+    keys = {bytes(r[2]): i for i, r in enumerate(rows)}
+    label = list(range(len(texts)))
+    for a, b in ((keys[bytes(x["a"])], keys[bytes(x["b"])]) for x in links):
+        assert jaccard(texts[a], texts[b]) >= 0.8
+        label = [label[b] if x == label[a] else x for x in label]
+    want = brute_classes(list(enumerate(texts)))
+    assert Counter(label.count(x) for x in label) == Counter({n: k for (_, _, n), k in Counter((0, 0, n) for _, _, n in want).items()})
+    assert block == 3 or len(links) < len(texts)
