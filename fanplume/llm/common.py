@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 import string
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from fanplume.sources.shared import new_path
+
 #: What separates words and what is stripped from lines: space, tab, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -33,22 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back, which cuts its lineage.
+    """`df` written as Parquet to the folder that driver and executors share and read back, which cuts its lineage.
 
     Unlike cached or locally checkpointed data, the table outlives any executor.
     """
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "stored")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
