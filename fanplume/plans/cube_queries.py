@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanplume.cube import Cube
@@ -19,7 +19,9 @@ EV = """
 cells AS (SELECT event_type AS model, user_id % 10 AS member, date_trunc('hour', ts) AS time, avg(value) AS v, max(value) AS vmax, count(*) AS n FROM events GROUP BY 1, 2, 3),
 ev AS (SELECT a.model, b.member, c.time, v, vmax, n FROM (SELECT DISTINCT model FROM cells) a CROSS JOIN (SELECT DISTINCT member FROM cells) b CROSS JOIN (SELECT DISTINCT time FROM cells) c
        LEFT JOIN cells d ON d.model = a.model AND d.member = b.member AND d.time = c.time),
-evp AS (SELECT model, member, time, CASE WHEN model <> 'signup' OR member < 5 THEN v END AS v, CASE WHEN model <> 'signup' OR member < 5 THEN vmax END AS vmax FROM ev)
+pcells AS (SELECT * FROM cells WHERE model <> 'signup' OR member < 5),
+evp AS (SELECT a.model, b.member, c.time, v, vmax, n FROM (SELECT DISTINCT model FROM pcells) a CROSS JOIN (SELECT DISTINCT member FROM pcells) b CROSS JOIN (SELECT DISTINCT time FROM pcells) c
+       LEFT JOIN pcells d ON d.model = a.model AND d.member = b.member AND d.time = c.time)
 """
 GR = """
 lines AS (SELECT l_returnflag AS model, l_linenumber - 1 AS member, round(50 + 0.1 * (l_suppkey % 10), 4) AS lat, round(6 + 0.1 * (l_partkey % 10), 4) AS lon, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
@@ -62,20 +64,29 @@ S = "time >= TIMESTAMP '2024-01-08' AND time < TIMESTAMP '2024-01-09'"
 DAY = slice("2024-01-08", "2024-01-09")
 BERLIN = "Europe/Berlin"
 LOCAL = "((time AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin')"
-v, vmax = F.col("v"), F.col("vmax")
+
+
+class _Columns:
+    """col.v is F.col("v"), made when a query is built."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+
+col = _Columns()
 
 # whole questions
 ev("prob_window", lambda c: shown(c.sel(time=DAY).reduce("time", s=R.total("v")).let(p=F.col("s") < 300).reduce("member", p=R.mean("p"))), f"SELECT model, round(avg(CAST(s < 300 AS INT)), 6) AS p FROM (SELECT model, member, sum(v) AS s FROM ev WHERE {S} GROUP BY 1, 2) GROUP BY 1")
 ev("rolling3_max", lambda c: shown(c.rolling(3, "sum", "v").reduce("time", m=R.high("v"))), "SELECT model, member, round(max(r), 6) AS m FROM (SELECT *, CASE WHEN count(v) OVER w = 3 THEN sum(v) OVER w END AS r FROM ev WINDOW w AS (PARTITION BY model, member ORDER BY time ROWS 2 PRECEDING)) GROUP BY 1, 2")
 ev("daily_max_median", lambda c: shown(c.resample(24, "max", "v").reduce("member", m=R.median("v"))), "SELECT model, min(t0) AS time, round(quantile_cont(x, 0.5), 6) AS m FROM (SELECT model, member, date_trunc('day', time) AS d, min(time) AS t0, max(v) AS x FROM ev GROUP BY 1, 2, 3) GROUP BY model, d")
 ev("hourly_quantiles", lambda c: shown(sinks.quantile_columns(c.reduce("member", q=R.quantile("v", [0.1, 0.5, 0.9])).unfold_quantiles("q", [0.1, 0.5, 0.9]), "q", [0.1, 0.5, 0.9], 6)), "SELECT model, time, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90 FROM ev GROUP BY 1, 2")
-ev("best_slots", lambda c: shown(c.rolling(3, "sum", "v").let(ok=v < 100).reduce("member", p=R.mean("ok")).reduce("model", p=R.low("p")).top(5, "p")), "SELECT time, round(min(p), 6) AS p FROM (SELECT model, time, avg(CAST(r < 100 AS INT)) AS p FROM (SELECT *, CASE WHEN count(v) OVER w = 3 THEN sum(v) OVER w END AS r FROM ev WINDOW w AS (PARTITION BY model, member ORDER BY time ROWS 2 PRECEDING)) GROUP BY 1, 2) GROUP BY time ORDER BY p DESC NULLS LAST, time LIMIT 5")
-ev("agreement", lambda c: shown(c.let(wet=v > 50).reduce("member", p=R.mean("wet")).let(most=F.col("p") > 0.4).reduce("model", models=R.total("most"))), "SELECT time, CAST(sum(CAST(p > 0.4 AS INT)) AS DOUBLE) AS models FROM (SELECT model, time, avg(CAST(v > 50 AS INT)) AS p FROM ev GROUP BY 1, 2) GROUP BY 1")
+ev("best_slots", lambda c: shown(c.rolling(3, "sum", "v").let(ok=col.v < 100).reduce("member", p=R.mean("ok")).reduce("model", p=R.low("p")).top(5, "p")), "SELECT time, round(min(p), 6) AS p FROM (SELECT model, time, avg(CAST(r < 100 AS INT)) AS p FROM (SELECT *, CASE WHEN count(v) OVER w = 3 THEN sum(v) OVER w END AS r FROM ev WINDOW w AS (PARTITION BY model, member ORDER BY time ROWS 2 PRECEDING)) GROUP BY 1, 2) GROUP BY time ORDER BY p DESC NULLS LAST, time LIMIT 5")
+ev("agreement", lambda c: shown(c.let(wet=col.v > 50).reduce("member", p=R.mean("wet")).let(most=F.col("p") > 0.4).reduce("model", models=R.total("most"))), "SELECT time, CAST(sum(CAST(p > 0.4 AS INT)) AS DOUBLE) AS models FROM (SELECT model, time, avg(CAST(v > 50 AS INT)) AS p FROM ev GROUP BY 1, 2) GROUP BY 1")
 ev("hour_cycle", lambda c: shown(c.by_hour("mean", "v").reduce("member", m=R.median("v"))), "SELECT model, hour, round(quantile_cont(x, 0.5), 6) AS m FROM (SELECT model, member, CAST(hour(time) AS INT) AS hour, avg(v) AS x FROM ev GROUP BY 1, 2, 3) GROUP BY 1, 2")
 ev("peak_time", lambda c: c.extreme_label("time", "v").df, "SELECT model, member, arg_max(time, (v, -epoch(time))) FILTER (v IS NOT NULL) AS label FROM ev GROUP BY 1, 2")
 ev("anomaly", lambda c: shown(c.anomaly("member", "v").only("anomaly")), "SELECT model, member, time, round(v - avg(v) OVER (PARTITION BY model, time), 6) AS anomaly FROM ev")
 ev("two_windows", lambda c: shown(c.sel(time=DAY).reduce("time", a=R.total("v")).align(c.sel(time=slice("2024-01-15", "2024-01-16")).reduce("time", b=R.total("v"))).combine("d", "a", "-", "b").only("d")), f"SELECT model, member, round(sum(v) FILTER ({S}) - sum(v) FILTER (time >= TIMESTAMP '2024-01-15' AND time < TIMESTAMP '2024-01-16'), 6) AS d FROM ev GROUP BY 1, 2")
-evp("kleene", lambda c: shown(c.let(x=(v > 50) | (clock.hour(F.col("time")) >= 12)).reduce("member", p=R.mean("x"))), "SELECT model, time, round(avg(CAST((v > 50 OR hour(time) >= 12) AS INT)), 6) AS p FROM evp GROUP BY 1, 2")
+evp("kleene", lambda c: shown(c.let(x=(col.v > 50) | (clock.hour(F.col("time")) >= 12)).reduce("member", p=R.mean("x"))), "SELECT model, time, round(avg(CAST((v > 50 OR hour(time) >= 12) AS INT)), 6) AS p FROM evp GROUP BY 1, 2")
 ev("multi_answer", lambda c: shown(c.reduce("time", s=R.total("v"), k=R.count("v")).let(wet=F.col("s") >= 300).reduce("member", wet=R.mean("wet"), p90=R.quantile("s", 0.9), n=R.high("k"))), "SELECT model, round(avg(CAST(s >= 300 AS INT)), 6) AS wet, round(quantile_cont(s, 0.9), 6) AS p90, max(k) AS n FROM (SELECT model, member, sum(v) AS s, count(v) AS k FROM ev GROUP BY 1, 2) GROUP BY 1")
 
 # scans and coordinates
@@ -97,22 +108,22 @@ gr("se6_area_slice", lambda c: shown(c.sel(lat=slice(50.2, 50.5), lon=slice(6.0,
 ev("se7_positions", lambda c: shown(c.isel(time=slice(2, 50, 5), member=[0, -1]).only("v")), "SELECT model, member, time, round(v, 6) AS v FROM (SELECT *, dense_rank() OVER (ORDER BY time) - 1 AS p, dense_rank() OVER (ORDER BY member) - 1 AS k FROM ev) WHERE p >= 2 AND p < 50 AND (p - 2) % 5 = 0 AND k IN (0, 9)")
 ev("se7_last", lambda c: shown(c.isel(time=-1).only("v")), "SELECT model, member, round(v, 6) AS v FROM ev WHERE time = (SELECT max(time) FROM ev)")
 ev("se8_dataset_selection", lambda c: shown(c.sel(model=["view", "error"], time=DAY).reduce("time", a=R.mean("v"), b=R.high("vmax"))), f"SELECT model, member, round(avg(v), 6) AS a, round(max(vmax), 6) AS b FROM ev WHERE model IN ('view', 'error') AND {S} GROUP BY 1, 2")
-ev("se9_mask", lambda c: shown(c.only("v").where(v > 50)), "SELECT model, member, time, round(CASE WHEN v > 50 THEN v END, 6) AS v FROM ev")
-ev("se10_where", lambda c: shown(c.let(x=missing.where(v > 50, v, vmax * 2)).only("x")), "SELECT model, member, time, round(CASE WHEN v > 50 THEN v WHEN v <= 50 THEN vmax * 2 END, 6) AS x FROM ev")
+ev("se9_mask", lambda c: shown(c.only("v").where(col.v > 50)), "SELECT model, member, time, round(CASE WHEN v > 50 THEN v END, 6) AS v FROM ev")
+ev("se10_where", lambda c: shown(c.let(x=missing.where(col.v > 50, col.v, col.vmax * 2)).only("x")), "SELECT model, member, time, round(CASE WHEN v > 50 THEN v WHEN v <= 50 THEN vmax * 2 END, 6) AS x FROM ev")
 ev("se11_fields", lambda c: shown(c.reduce("member", low=R.low("v"), mid=R.median("v"), high=R.high("v"))), "SELECT model, time, round(min(v), 6) AS low, round(quantile_cont(v, 0.5), 6) AS mid, round(max(v), 6) AS high FROM ev GROUP BY 1, 2")
 ev("se12_bindings", lambda c: shown((s := c.reduce("time", s=R.total("v"))).let(above=F.col("s") > 200, half=F.col("s") / 2).reduce("member", above=R.mean("above"), half=R.mean("half"))), "SELECT model, round(avg(CAST(s > 200 AS INT)), 6) AS above, round(avg(s / 2), 6) AS half FROM (SELECT model, member, sum(v) AS s FROM ev GROUP BY 1, 2) GROUP BY 1")
-ev("se13_own_coordinates", lambda c: shown(c.let(x=v * clock.hour(F.col("time"), BERLIN), d=clock.day_of_week(F.col("time"), BERLIN)).only("x", "d")), f"SELECT model, member, time, round(v * hour({LOCAL}), 6) AS x, CAST(isodow({LOCAL}) - 1 AS INT) AS d FROM ev")
+ev("se13_own_coordinates", lambda c: shown(c.let(x=col.v * clock.hour(F.col("time"), BERLIN), d=clock.day_of_week(F.col("time"), BERLIN)).only("x", "d")), f"SELECT model, member, time, round(v * hour({LOCAL}), 6) AS x, CAST(isodow({LOCAL}) - 1 AS INT) AS d FROM ev")
 HAVERSINE = "2 * 6371.0088 * asin(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))"
 gr("se14_distance_from", lambda c: c.df.select("lat", "lon").distinct().select("lat", "lon", F.round(distance_from(F.col("lat"), F.col("lon"), 50.45, 6.45), 6).alias("km")), f"SELECT DISTINCT lat, lon, round({HAVERSINE.format(a='lat', b='50.45', c='lon', d='6.45')}, 6) AS km FROM gr")
 
 # alignment
-ev("jo1_shared_labels", lambda c: shown(c.sel(member=[0, 1, 2, 3]).only("v").align(c.sel(member=[2, 3, 4]).let(w=vmax).only("w")).combine("d", "w", "-", "v").only("d")), "SELECT model, member, time, round(vmax - v, 6) AS d FROM ev WHERE member IN (2, 3)")
+ev("jo1_shared_labels", lambda c: shown(c.sel(member=[0, 1, 2, 3]).only("v").align(c.sel(member=[2, 3, 4]).let(w=col.vmax).only("w")).combine("d", "w", "-", "v").only("d")), "SELECT model, member, time, round(vmax - v, 6) AS d FROM ev WHERE member IN (2, 3)")
 ev("jo2_broadcast", lambda c: shown(c.only("v").align(c.reduce("member", m=R.mean("v"))).combine("d", "v", "-", "m").only("d")), "SELECT model, member, time, round(v - avg(v) OVER (PARTITION BY model, time), 6) AS d FROM ev")
 ev("jo2_repeated", lambda c: shown(c.reduce(["time", "member"], a=R.high("v")).align(c.reduce(["time", "model"], b=R.high("v"))).combine("d", "a", "-", "b").only("d")), "SELECT a.model, b.member, round(a.x - b.x, 6) AS d FROM (SELECT model, max(v) AS x FROM ev GROUP BY 1) a CROSS JOIN (SELECT member, max(v) AS x FROM ev GROUP BY 1) b")
-ev("jo3_constant", lambda c: shown(c.let(x=v * 2 + 1).only("x")), "SELECT model, member, time, round(v * 2 + 1, 6) AS x FROM ev")
+ev("jo3_constant", lambda c: shown(c.let(x=col.v * 2 + 1).only("x")), "SELECT model, member, time, round(v * 2 + 1, 6) AS x FROM ev")
 ev("jo4_fusion", lambda c: shown(c.combine("gap", "vmax", "-", "v").combine("share", "v", "/", "vmax").only("gap", "share")), "SELECT model, member, time, round(vmax - v, 6) AS gap, round(v / vmax, 6) AS share FROM ev")
 ev("jo5_record", lambda c: shown(c.sel(time=DAY).reduce("time", a=R.mean("v")).align(c.sel(member=[0, 1, 2, 3, 4]).reduce("time", b=R.high("vmax")))), f"SELECT model, member, round(avg(v) FILTER ({S}), 6) AS a, round(max(vmax), 6) AS b FROM ev WHERE member < 5 GROUP BY 1, 2")
-ev("jo11_models_present", lambda c: shown(c._with(c.df.join(F.broadcast(c.df.filter(vmax > 400).select("model").distinct()), "model", "left_semi")).reduce("time", m=R.mean("v"))), "SELECT model, member, round(avg(v), 6) AS m FROM ev WHERE model IN (SELECT model FROM ev WHERE vmax > 400) GROUP BY 1, 2")
+ev("jo11_models_present", lambda c: shown(c._with(c.df.join(F.broadcast(c.df.filter(col.vmax > 400).select("model").distinct()), "model", "left_semi")).reduce("time", m=R.mean("v"))), "SELECT model, member, round(avg(v), 6) AS m FROM ev WHERE model IN (SELECT model FROM ev WHERE vmax > 400) GROUP BY 1, 2")
 
 # reductions
 for _key, _how, _sql in (
@@ -122,11 +133,11 @@ for _key, _how, _sql in (
 ev("ag1_sum_members", lambda c: shown(c.reduce("member", x=R.total("v"))), "SELECT model, time, round(sum(v), 6) AS x FROM ev GROUP BY 1, 2")
 ev("ag4_min_max", lambda c: shown(c.reduce("member", low=R.low("v"), high=R.high("v"))), "SELECT model, time, round(min(v), 6) AS low, round(max(v), 6) AS high FROM ev GROUP BY 1, 2")
 evp("ag6_count_padded", lambda c: c.reduce("time", k=R.count("v")).df.select("model", "member", "k"), "SELECT model, member, count(v) AS k FROM evp GROUP BY 1, 2")
-ev("ag7_any_all", lambda c: (x := c.let(w=v > 50).reduce("time", some=R.any_of("w"), every=R.all_of("w"))).df.select("model", "member", "some", "every"), "SELECT model, member, bool_or(v > 50) AS some, bool_and(v > 50) AS every FROM ev GROUP BY 1, 2")
+ev("ag7_any_all", lambda c: (x := c.let(w=col.v > 50).reduce("time", some=R.any_of("w"), every=R.all_of("w"))).df.select("model", "member", "some", "every"), "SELECT model, member, bool_or(v > 50) AS some, bool_and(v > 50) AS every FROM ev GROUP BY 1, 2")
 ev("ag8_quantile", lambda c: shown(c.reduce("member", x=R.quantile("v", 0.9))), "SELECT model, time, round(quantile_cont(v, 0.9), 6) AS x FROM ev GROUP BY 1, 2")
 ev("ag9_quantiles", lambda c: shown(c.reduce(["member", "time"], x=R.quantile("v", [0.05, 0.5, 0.95])).unfold_quantiles("x", [0.05, 0.5, 0.95])), "SELECT model, q AS quantile, round(CASE q WHEN 0.05 THEN a WHEN 0.5 THEN b ELSE c END, 6) AS x FROM (SELECT model, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.95) AS c FROM ev GROUP BY 1) CROSS JOIN (SELECT CAST(unnest([0.05, 0.5, 0.95]) AS DOUBLE) AS q)")
-ev("ag10_probability", lambda c: shown(c.let(w=v > 40).reduce("member", p=R.mean("w"))), "SELECT model, time, round(avg(CAST(v > 40 AS INT)), 6) AS p FROM ev GROUP BY 1, 2")
-ev("ag11_hours", lambda c: shown(c.let(w=v > 40).reduce("time", hours=R.total("w"))), "SELECT model, member, CAST(sum(CAST(v > 40 AS INT)) AS DOUBLE) AS hours FROM ev GROUP BY 1, 2")
+ev("ag10_probability", lambda c: shown(c.let(w=col.v > 40).reduce("member", p=R.mean("w"))), "SELECT model, time, round(avg(CAST(v > 40 AS INT)), 6) AS p FROM ev GROUP BY 1, 2")
+ev("ag11_hours", lambda c: shown(c.let(w=col.v > 40).reduce("time", hours=R.total("w"))), "SELECT model, member, CAST(sum(CAST(v > 40 AS INT)) AS DOUBLE) AS hours FROM ev GROUP BY 1, 2")
 gr("ag12_joint", lambda c: shown(c.reduce(["member", "lat", "lon"], x=R.high("v"), m=R.mean("v"))), "SELECT model, round(max(v), 6) AS x, round(avg(v), 6) AS m FROM gr GROUP BY 1")
 ev("ag13_days", lambda c: shown(c.resample(24, "sum", "v").only("v")), "SELECT model, member, min(time) AS time, round(sum(v), 6) AS v FROM ev GROUP BY 1, 2, date_trunc('day', time)")
 ev("ag13_local_days", lambda c: shown(c.resample(24, "mean", "v", zone=BERLIN).only("v")), f"SELECT model, member, min(time) AS time, round(avg(v), 6) AS v FROM ev GROUP BY 1, 2, date_trunc('day', {LOCAL})")
@@ -149,29 +160,33 @@ ev("wi5_bottom", lambda c: shown(c.reduce(["model", "member"], m=R.low("v")).top
 ev("wi6_top_record", lambda c: shown(c.reduce(["model", "member"], m=R.high("v"), k=R.count("v")).top(7, "k")), "SELECT time, round(max(v), 6) AS m, count(v) AS k FROM ev GROUP BY 1 ORDER BY k DESC NULLS LAST, time LIMIT 7")
 
 # elementwise
-each = lambda key, sql, **columns: ev(key, lambda c: shown(c.let(**columns).only(*columns)), f"SELECT model, member, time, {sql} FROM ev")
-each("el1_arithmetic", "round(v + vmax, 6) AS a, round(v - vmax * 3, 6) AS b, round(-v, 6) AS c", a=num(v) + num(vmax), b=num(v) - num(vmax) * 3, c=-num(v))
-each("el2_divide", "round(v / vmax, 6) AS a, CASE WHEN v IS NULL THEN NULL WHEN v > 50 THEN 'Infinity'::DOUBLE WHEN v < 50 THEN '-Infinity'::DOUBLE END AS b", a=missing.divide(v, vmax), b=missing.divide(v - 50, F.lit(0.0)))
-each("el3_floor", "round(floor((v - 100) / 7), 6) AS a, round((v - 100) - 7 * floor((v - 100) / 7), 6) AS b", a=missing.floor_divide(v - 100, 7), b=missing.modulo(v - 100, 7))
-each("el4_power", "round(pow(v, 1.5), 6) AS a, round(pow(v, 2), 6) AS b", a=missing.power(v, 1.5), b=missing.power(v, 2))
-each("el5_compare", "CAST(v < 50 AS DOUBLE) AS a, CAST(v >= vmax AS DOUBLE) AS b, CAST(v = vmax AS DOUBLE) AS c, CAST(v <> vmax AS DOUBLE) AS d", a=num(v < 50), b=num(v >= vmax), c=num(v == vmax), d=num(v != vmax))
-each("el6_logic", "CAST((v > 50 AND vmax > 60) AS DOUBLE) AS a, CAST((v > 50 OR hour(time) >= 12) AS DOUBLE) AS b, CAST((NOT v > 50) AS DOUBLE) AS c", a=num((v > 50) & (vmax > 60)), b=num((v > 50) | (F.hour("time") >= 12)), c=num(~(v > 50)))
-each("el7_abs", "round(abs(v - 50), 6) AS a", a=F.abs(num(v) - 50))
-each("el8_max_min", "CASE WHEN v IS NULL THEN NULL ELSE greatest(v, 50) END AS a, CASE WHEN v IS NULL THEN NULL ELSE round(least(v, vmax - 1), 6) END AS b", a=F.round(missing.maximum(v, 50), 6), b=missing.minimum(v, vmax - 1))
+def each(key: str, sql: str, columns) -> None:
+    """Values computed cell by cell; `columns` makes them, once a session is there."""
+    ev(key, lambda c: shown(c.let(**columns()).only(*columns())), f"SELECT model, member, time, {sql} FROM ev")
+
+
+each("el1_arithmetic", "round(v + vmax, 6) AS a, round(v - vmax * 3, 6) AS b, round(-v, 6) AS c", lambda: dict(a=num(col.v) + num(col.vmax), b=num(col.v) - num(col.vmax) * 3, c=-num(col.v)))
+each("el2_divide", "round(v / vmax, 6) AS a, CASE WHEN v IS NULL THEN NULL WHEN v > 50 THEN 'Infinity'::DOUBLE WHEN v < 50 THEN '-Infinity'::DOUBLE END AS b", lambda: dict(a=missing.divide(col.v, col.vmax), b=missing.divide(col.v - 50, F.lit(0.0))))
+each("el3_floor", "round(floor((v - 100) / 7), 6) AS a, round((v - 100) - 7 * floor((v - 100) / 7), 6) AS b", lambda: dict(a=missing.floor_divide(col.v - 100, 7), b=missing.modulo(col.v - 100, 7)))
+each("el4_power", "round(pow(v, 1.5), 6) AS a, round(pow(v, 2), 6) AS b", lambda: dict(a=missing.power(col.v, 1.5), b=missing.power(col.v, 2)))
+each("el5_compare", "CAST(v < 50 AS DOUBLE) AS a, CAST(v >= vmax AS DOUBLE) AS b, CAST(v = vmax AS DOUBLE) AS c, CAST(v <> vmax AS DOUBLE) AS d", lambda: dict(a=num(col.v < 50), b=num(col.v >= col.vmax), c=num(col.v == col.vmax), d=num(col.v != col.vmax)))
+each("el6_logic", "CAST((v > 50 AND vmax > 60) AS DOUBLE) AS a, CAST((v > 50 OR hour(time) >= 12) AS DOUBLE) AS b, CAST((NOT v > 50) AS DOUBLE) AS c", lambda: dict(a=num((col.v > 50) & (col.vmax > 60)), b=num((col.v > 50) | (F.hour("time") >= 12)), c=num(~(col.v > 50))))
+each("el7_abs", "round(abs(v - 50), 6) AS a", lambda: dict(a=F.abs(num(col.v) - 50)))
+each("el8_max_min", "CASE WHEN v IS NULL THEN NULL ELSE greatest(v, 50) END AS a, CASE WHEN v IS NULL THEN NULL ELSE round(least(v, vmax - 1), 6) END AS b", lambda: dict(a=F.round(missing.maximum(col.v, 50), 6), b=missing.minimum(col.v, col.vmax - 1)))
 ORACLE_SQL["el8_max_min"] = ORACLE_SQL["el8_max_min"].replace("greatest(v, 50) END", "round(greatest(v, 50), 6) END")
-each("el9_roots", "round(CASE WHEN v >= 50 THEN sqrt(v - 50) END, 6) AS a, round(sqrt(v * v + vmax * vmax), 6) AS b", a=missing.sqrt(v - 50), b=missing.hypot(v, vmax))
-each("el10_angles", "round(sin(radians(v)), 6) AS a, round(cos(radians(v)), 6) AS b, round(degrees(atan2(v, vmax + 1)), 6) AS c", a=F.sin(F.radians(v)), b=F.cos(F.radians(v)), c=F.degrees(F.atan2(v, vmax + 1)))
-each("el11_clip", "CASE WHEN v IS NULL THEN NULL ELSE round(greatest(20, least(v, 80)), 6) END AS a", a=missing.clip(v, 20, 80))
-each("el12_round_even", "round_even(n / 2.0, 0) AS a", a=missing.round_even(num(F.col("n")) / 2))
-ev("el13_vector_mean", lambda c: shown(c.let(s=F.sin(F.radians(vmax)), k=F.cos(F.radians(vmax))).reduce("member", s=R.mean("s"), k=R.mean("k")).let(x=missing.angle_of(F.col("s"), F.col("k"))).only("x")), "SELECT model, time, round(d - 360 * floor(d / 360), 6) AS x FROM (SELECT model, time, degrees(atan2(avg(sin(radians(vmax))), avg(cos(radians(vmax))))) AS d FROM ev GROUP BY 1, 2)")
-each("dt1_local_hour", f"hour({LOCAL}) + minute({LOCAL}) / 60.0 AS a", a=clock.hour(F.col("time"), BERLIN))
-each("dt2_weekday", "CAST(isodow(time) - 1 AS INT) AS a", a=clock.day_of_week(F.col("time")))
+each("el9_roots", "round(CASE WHEN v >= 50 THEN sqrt(v - 50) END, 6) AS a, round(sqrt(v * v + vmax * vmax), 6) AS b", lambda: dict(a=missing.sqrt(col.v - 50), b=missing.hypot(col.v, col.vmax)))
+each("el10_angles", "round(sin(radians(v)), 6) AS a, round(cos(radians(v)), 6) AS b, round(degrees(atan2(v, vmax + 1)), 6) AS c", lambda: dict(a=F.sin(F.radians(col.v)), b=F.cos(F.radians(col.v)), c=F.degrees(F.atan2(col.v, col.vmax + 1))))
+each("el11_clip", "CASE WHEN v IS NULL THEN NULL ELSE round(greatest(20, least(v, 80)), 6) END AS a", lambda: dict(a=missing.clip(col.v, 20, 80)))
+each("el12_round_even", "round_even(n / 2.0, 0) AS a", lambda: dict(a=missing.round_even(num(F.col("n")) / 2)))
+ev("el13_vector_mean", lambda c: shown(c.let(s=F.sin(F.radians(col.vmax)), k=F.cos(F.radians(col.vmax))).reduce("member", s=R.mean("s"), k=R.mean("k")).let(x=missing.angle_of(F.col("s"), F.col("k"))).only("x")), "SELECT model, time, round(d - 360 * floor(d / 360), 6) AS x FROM (SELECT model, time, degrees(atan2(avg(sin(radians(vmax))), avg(cos(radians(vmax))))) AS d FROM ev GROUP BY 1, 2)")
+each("dt1_local_hour", f"hour({LOCAL}) + minute({LOCAL}) / 60.0 AS a", lambda: dict(a=clock.hour(F.col("time"), BERLIN)))
+each("dt2_weekday", "CAST(isodow(time) - 1 AS INT) AS a", lambda: dict(a=clock.day_of_week(F.col("time"))))
 ev("dt3_local_slice", lambda c: shown(c.sel(BERLIN, time=slice("2024-01-08T06:30", "2024-01-09")).only("v")), f"SELECT model, member, time, round(v, 6) AS v FROM ev WHERE {LOCAL} >= TIMESTAMP '2024-01-08 06:30:00' AND {LOCAL} < TIMESTAMP '2024-01-09'")
-each("dt4_labels", f"strftime({LOCAL}, '%Y-%m-%dT%H:%M') AS a, strftime({LOCAL}, '%Y-%m-%d') AS b", a=clock.label(F.col("time"), BERLIN), b=clock.label(F.col("time"), BERLIN, days=True))
+each("dt4_labels", f"strftime({LOCAL}, '%Y-%m-%dT%H:%M') AS a, strftime({LOCAL}, '%Y-%m-%d') AS b", lambda: dict(a=clock.label(F.col("time"), BERLIN), b=clock.label(F.col("time"), BERLIN, days=True)))
 
 # derived variables: v and vmax stand in for components, temperature and dew point
-each("de1_wind", "round(sqrt(pow(v - 50, 2) + pow(vmax - 50, 2)), 6) AS a, round(degrees(atan2(-(v - 50), -(vmax - 50))) - 360 * floor(degrees(atan2(-(v - 50), -(vmax - 50))) / 360), 6) AS b", a=wind_speed(v - 50, vmax - 50), b=wind_direction(v - 50, vmax - 50))
-each("de2_humidity", "round(greatest(0, least(100, 100 * exp(17.625 * ((v - 60) / 10) / (243.04 + (v - 60) / 10)) / exp(17.625 * (vmax / 10) / (243.04 + vmax / 10)))), 6) AS a", a=relative_humidity(vmax / 10, (v - 60) / 10))
+each("de1_wind", "round(sqrt(pow(v - 50, 2) + pow(vmax - 50, 2)), 6) AS a, round(degrees(atan2(-(v - 50), -(vmax - 50))) - 360 * floor(degrees(atan2(-(v - 50), -(vmax - 50))) / 360), 6) AS b", lambda: dict(a=wind_speed(col.v - 50, col.vmax - 50), b=wind_direction(col.v - 50, col.vmax - 50)))
+each("de2_humidity", "round(greatest(0, least(100, 100 * exp(17.625 * ((v - 60) / 10) / (243.04 + (v - 60) / 10)) / exp(17.625 * (vmax / 10) / (243.04 + vmax / 10)))), 6) AS a", lambda: dict(a=relative_humidity(col.vmax / 10, (col.v - 60) / 10)))
 ORACLE_SQL["de2_humidity"] = ORACLE_SQL["de2_humidity"].replace("SELECT model, member, time, round(", "SELECT model, member, time, CASE WHEN v IS NULL THEN NULL ELSE round(").replace(", 6) AS a FROM ev", ", 6) END AS a FROM ev")
 _T, _W, _H = "(v / 4 - 5)", "(vmax / 5)", "(v / 2 + 20)"
 _F = f"({_T} * 9 / 5 + 32)"
@@ -180,10 +195,10 @@ each(
     f"round(CASE WHEN {_T} <= 10 AND {_W} > 4.8 THEN 13.12 + 0.6215 * {_T} - 11.37 * pow({_W}, 0.16) + 0.3965 * {_T} * pow({_W}, 0.16) "
     f"WHEN {_T} >= 27 AND {_H} >= 40 THEN ((-42.379 + 2.04901523 * {_F} + 10.14333127 * {_H} - 0.22475541 * {_F} * {_H} - 0.00683783 * {_F} * {_F} - 0.05481717 * {_H} * {_H} + 0.00122874 * {_F} * {_F} * {_H} + 0.00085282 * {_F} * {_H} * {_H} - 0.00000199 * {_F} * {_F} * {_H} * {_H}) - 32) * 5 / 9 "
     f"ELSE {_T} END, 6) AS a",
-    a=feels_like(v / 4 - 5, vmax / 5, v / 2 + 20),
+    lambda: dict(a=feels_like(col.v / 4 - 5, col.vmax / 5, col.v / 2 + 20)),
 )
-each("de6_sum_parameters", "round(v + vmax, 6) AS a", a=num(v) + num(vmax))
-each("de7_units", "round(v - 273.15, 6) AS a, round(v * 3.6, 6) AS b, round(v * 1000, 6) AS c, round(v / 3600 * 1000, 6) AS d, round(v * 100, 6) AS e", a=convert(v, "K", "°C"), b=convert(v, "m/s", "km/h"), c=convert(v, "m", "mm"), d=convert(v, "J/m²/h", "W/m²") * 1000, e=convert(v, "fraction", "%"))
+each("de6_sum_parameters", "round(v + vmax, 6) AS a", lambda: dict(a=num(col.v) + num(col.vmax)))
+each("de7_units", "round(v - 273.15, 6) AS a, round(v * 3.6, 6) AS b, round(v * 1000, 6) AS c, round(v / 3600 * 1000, 6) AS d, round(v * 100, 6) AS e", lambda: dict(a=convert(col.v, "K", "°C"), b=convert(col.v, "m/s", "km/h"), c=convert(col.v, "m", "mm"), d=convert(col.v, "J/m²/h", "W/m²") * 1000, e=convert(col.v, "fraction", "%")))
 
 # all values at once, coverage of models, order of results
 ev("sc1_dataset_scan", lambda c: shown(c), "SELECT model, member, time, round(v, 6) AS v, round(vmax, 6) AS vmax, n FROM ev")

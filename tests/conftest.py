@@ -49,7 +49,7 @@ def same(spark, sf, duck):
 
     def rows(df):
         df = df[sorted(df.columns)]
-        show = lambda v: "-" if v is None or v != v or str(v) in ("NaT", "<NA>") else f"{v:.7g}" if isinstance(v, float) else str(v)
+        show = lambda v: "-" if v is None or str(v) in ("nan", "NaT", "<NA>") else f"{float(v):.7g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
         return sorted(tuple(map(show, r)) for r in df.itertuples(index=False))
 
     def check(query, sql):
