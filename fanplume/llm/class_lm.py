@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fanplume.llm.common import stored
+from fanplume.llm.common import sliced, stored
 
 #: Absolute discount of each seen word's count; what it frees goes to unseen words of the same class.
 DISCOUNT = 0.5
@@ -55,7 +55,7 @@ def encode_blocks(rows: DataFrame, block_words: int) -> DataFrame:
             block, ids, trains, sizes, numbers, vocabulary, held = block + 1, [], [], [], [], {}, 0
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for i, text, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokens_of(text)
                 ids.append(i)

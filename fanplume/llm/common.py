@@ -49,6 +49,13 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_columns(df: DataFrame, inputs: list[str], made: list[T.StructField], fn: Callable[..., list], drop: Iterable[str] = ()) -> DataFrame:
     """Add columns computed from each Arrow batch; the others pass through untouched.
 
@@ -62,7 +69,7 @@ def map_columns(df: DataFrame, inputs: list[str], made: list[T.StructField], fn:
     names = [df.columns[i] for i in kept] + [f.name for f in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             new = fn(*(batch.column(i).to_pylist() for i in at))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(v, t) for v, t in zip(new, types, strict=True)], names)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanplume.llm.common import SPACES
+from fanplume.llm.common import SPACES, sliced
 
 _BITS = 21
 _GAP = "\0"
@@ -212,7 +212,7 @@ def find_benchmark(
 
         def run(batches: Iterator[pa.RecordBatch], names=names, index=index) -> Iterator[pa.RecordBatch]:
             index.prepare()
-            for batch in batches:
+            for batch in sliced(batches):
                 found = [(d, m) for d, own in enumerate(index.search(batch.column(1).to_pylist())) for m in own]
                 if found:
                     ids = batch.column(0).take(pa.array([d for d, _ in found], pa.int64()))
@@ -230,7 +230,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             index.prepare()
-            for batch in batches:
+            for batch in sliced(batches):
                 clean = [not own for own in index.search(batch.column(at).to_pylist())]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
