@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanplume.llm.common import WordHashes, map_columns, mix, rolled, stored, without, words_of
+from fanplume.llm.common import WordHashes, map_columns, mix, rolled, sliced, stored, without, words_of
 
 #: Registers of a signature, and how many of them make a band: a pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8^4)^24 = 3e-6.
@@ -72,6 +72,15 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _jaccards(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of one sorted set to each of several."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(a, every), len(a) - 1)
+    sizes = np.array([len(x) for x in others])
+    both = np.add.reduceat((a[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return both / (len(a) + sizes - both)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
@@ -83,28 +92,29 @@ def text_key(words: list[bytes]) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(id, key, bands, signature) of rows (id, text); key and the rest are null for a text without words."""
-    schema = T.StructType([docs.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
+    """(id, key, bands, signature, shingles) of rows (id, text), the last a count; all but the id null for a text without words."""
+    schema = T.StructType([docs.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         seen: dict[bytes, tuple] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 if not words:
-                    out.append((None, None, None))
+                    out.append((None,) * 4)
                     continue
                 key = text_key(words)
                 if key not in seen:
                     if len(seen) > 10_000:
                         seen.clear()
-                    s = prob_min_hash(*weighted_shingles(words, hashes, size))
-                    seen[key] = (key, band_hashes(s), (s & np.uint64(255)).astype(np.uint8).tobytes())
+                    own = weighted_shingles(words, hashes, size)
+                    s = prob_min_hash(*own)
+                    seen[key] = (key, band_hashes(s), (s & np.uint64(255)).astype(np.uint8).tobytes(), len(own[0]))
                 out.append(seen[key])
-            keys, bands, sigs = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], schema.names)
+            keys, bands, sigs, counts = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(counts, pa.int64())], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -143,7 +153,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
                 known[key] = weighted_shingles(words_of(text), hashes, size)[0]
             return known[key]
 
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             good = [jaccard(of(*x), of(*y)) >= least for x, y in zip(zip(a, ta, strict=True), zip(b, tb, strict=True), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -151,44 +161,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def _across(members: DataFrame, longest: int, block: int = 4096) -> DataFrame:
-    """Likely pairs (a, b) of a bucket's members in different components, and whether more than `longest` were there.
+def _across(members: DataFrame, least: float, block: int = 4096, block_shingles: int = 8_000_000) -> DataFrame:
+    """Links (a, b) between members of a bucket (h, n, size, key, label, signature, shingles) in different components.
 
-    For each member and each other component, the `longest` members of that component whose signatures agree best.
-    A bucket of more than `block` members is dealt to tasks as pairs of blocks.
+    Pairs whose signatures agree often enough are compared by their shingle sets, the likeliest first. Components that
+    a link connects count as one from then on, so a bucket yields fewer links than it has components, and no pairs are
+    made. A bucket of more than `block` members or `block_shingles` shingles (size) is dealt to tasks as pairs of
+    blocks.
     """
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / block_shingles)).cast("int")
     dealt = members.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label", "signature")
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label", "signature", "shingles")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("key")
-        key, label, own = (group.column(c).to_pylist() for c in ("key", "label", "own"))
+        key, own = group.column("key").to_pylist(), np.array(group.column("own").to_pylist())
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(key), -1)
-        names = {x: k for k, x in enumerate(sorted(set(label)))}
-        part = np.array([names[x] for x in label])
-        own = np.array(own)
-        found: list[tuple] = []
-        for x in range(len(key)):
-            if i != j and own[x] != i:
-                continue
-            rest = np.flatnonzero((part != part[x]) & ((own == j) if i != j else (np.arange(len(key)) > x)))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        root = np.unique(np.array([x.hex() for x in group.column("label").to_pylist()]), return_inverse=True)[1]
+        place = np.arange(len(key))
+        found: list[tuple[bytes, bytes]] = []
+        for x in place if i == j else np.flatnonzero(own == i):
+            rest = np.flatnonzero((root != root[x]) & ((place > x) if i == j else (own == j)))
             if not len(rest):
                 continue
             alike = (signature[rest] == signature[x]).mean(axis=1)
             rest, alike = rest[alike >= LIKELY], alike[alike >= LIKELY]
             rest = rest[np.argsort(-alike, kind="stable")]
-            taken: dict[int, int] = {}
-            for y in rest.tolist():
-                n = taken[part[y]] = taken.get(part[y], 0) + 1
-                if n <= longest:
-                    found.append((min(key[x], key[y]), max(key[x], key[y]), False))
-                elif n == longest + 1:
-                    found.append((key[x], key[x], True))
-        return pa.table([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "more"])
+            while len(rest):
+                some, rest = rest[:64], rest[64:]
+                for y in some[_jaccards(sets[x], [sets[y] for y in some]) >= least]:
+                    if root[y] != root[x]:
+                        found.append((key[x], key[y]))
+                        root[root == root[y]] = root[x]
+                rest = rest[root[rest] != root[x]]
+        return pa.table([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.groupBy("h", "i", "j").applyInArrow(run, "a binary, b binary, more boolean")
+    return dealt.groupBy("h", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
@@ -197,8 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Classes are the components of links between texts whose sets of `size`-word shingles have a Jaccard similarity
     of at least `least`. Texts with the same words count as one node. Candidates share a band of their ProbMinHash
     signatures. In each bucket the members are first tested against the best connected one; then members of
-    different components are tested across, in blocks, until no likely pair is left, so no pairs are made within
-    what is connected already.
+    different components are tested across, in blocks, so no pairs are made within what is connected already.
 
     Texts of fewer words are one shingle; texts without words (null, empty, blank) are alone in their class. Rows
     that repeat an id and a text are rows of one class. Null ids sort after all others; a class of only such has a
@@ -230,9 +239,10 @@ def _classes(sigs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float) -> DataFrame:
     """(key, label) of texts with links to others."""
-    nodes = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.min(_rank("id")).alias("rep"))
-    bands = nodes.select("key", F.explode("bands").alias("h"))
-    counts = bands.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    nodes = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.min(_rank("id")).alias("rep"))
+    bands = nodes.select("key", F.explode("bands").alias("h"), "shingles")
+    counts = bands.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("size")).filter("n > 1")
+    bands = bands.drop("shingles")
     members = stored(bands.join(counts, "h"))
     degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "key").select("h", "n", "key", F.struct("degree", "key").alias("weight"))
@@ -244,29 +254,18 @@ def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float) -> DataFr
     texts = map_columns(found, ["text"], [T.StructField("key", T.BinaryType())], lambda t: [[text_key(words_of(x)) for x in t]])
     texts = stored(texts.filter("key = want").groupBy("key").agg(F.first("text").alias("text")))
     links = stored(_verified(pairs, texts, size, least))
-    tested = stored(pairs)
     labels = components(links)
-    parts = stored(members.join(nodes.select("key", "signature"), "key"))
-    longest = 8
-    while True:
-        marked = parts.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("h")
-        likely = stored(_across(marked.join(mixed, "h"), longest).distinct())
-        new = likely.filter("NOT more").select("a", "b")
-        both = tested.union(tested.select("b", "a")).toDF("a", "b")
-        new = stored(new.join(both, ["a", "b"], "left_anti"))
-        more = bool(likely.filter("more").limit(1).count())
-        if new.limit(1).count():
-            good = stored(_verified(new, texts, size, least))
-            tested = tested.unionByName(new)
-            if good.limit(1).count():
-                links = links.unionByName(good)
-                labels = components(links)
-        elif not more:
-            return labels
-        if not more:
-            return labels
-        longest *= 4
+    marked = stored(members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    mixed = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("h")
+
+    def shingles(keys: list, texts: list) -> list:
+        hashes = WordHashes()
+        return [[weighted_shingles(words_of(t), hashes, size)[0].tobytes() for t in texts]]
+
+    sets = map_columns(texts, ["key", "text"], [T.StructField("shingles", T.BinaryType())], shingles, drop=["text"])
+    parts = marked.join(mixed, "h").join(nodes.select("key", "signature"), "key").join(sets, "key")
+    more = stored(_across(parts, least).distinct())
+    return components(links.unionByName(more)) if more.limit(1).count() else labels
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:

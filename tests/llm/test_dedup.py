@@ -146,10 +146,10 @@ def test_components_of_a_bucket_are_tested_across_in_blocks(spark, block):
         shingles, weights = near_dedup.weighted_shingles(words_of(t), WordHashes())
         key = near_dedup.text_key(words_of(t))
         low = (near_dedup.prob_min_hash(shingles, weights) & near_dedup.np.uint64(255)).astype("u1").tobytes()
-        rows.append((1, len(texts), bytearray(key), bytearray(key), bytearray(low), bytearray(shingles.tobytes())))
-    members = spark.createDataFrame(rows, "h long, n long, key binary, label binary, signature binary, shingles binary")
+        rows.append((1, len(texts), 76 * len(texts), bytearray(key), bytearray(key), bytearray(low), bytearray(shingles.tobytes())))
+    members = spark.createDataFrame(rows, "h long, n long, size long, key binary, label binary, signature binary, shingles binary")
     links = near_dedup._across(members, 0.8, block).collect()
-    keys = {bytes(r[2]): i for i, r in enumerate(rows)}
+    keys = {bytes(r[3]): i for i, r in enumerate(rows)}
     label = list(range(len(texts)))
     for a, b in ((keys[bytes(x["a"])], keys[bytes(x["b"])]) for x in links):
         assert jaccard(texts[a], texts[b]) >= 0.8
