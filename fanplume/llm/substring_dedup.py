@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fanplume.llm.common import WordHashes, map_columns, mix, rolled, without, words_of
+from fanplume.llm.common import WordHashes, map_columns, mix, rolled, sliced, without, words_of
 
 #: Words of a minimiser.
 RUN = 5
@@ -164,7 +164,7 @@ def repeated_windows(blobs: list[bytes], window: int) -> list[tuple[tuple, bytes
     return [(owners[d], merged(np.array(r, np.int64)).astype("<i4").tobytes()) for d, r in found.items()]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_words: int = 1_500_000, bucket_chars: int = 12_000_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_words: int = 1_000_000, bucket_chars: int = 12_000_000) -> DataFrame:
     """Remove every word that lies in a window of `window` words whose sequence starts anywhere else as well.
 
     Consecutive windows that share a minimiser travel to its bucket as one packed string, about three times the text
@@ -201,7 +201,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             b, k, x = zip(*out, strict=True) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.bool_()), pa.array(x, pa.binary())], sent.names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for i, m, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 w = words_of(t)
                 if len(w) >= window:
