@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanplume.llm.common import SPACES, lower_ascii, map_columns, without
+from fanplume.llm.common import SPACES, lower_ascii, map_columns, sliced, stored, without
+
+#: How many hashes may be broadcast at most.
+HOT = 1000
 
 
 def line_key(line: str) -> str:
@@ -27,8 +30,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Drop lines that at least `min_docs` documents hold, except in the document with the smallest id.
 
     Lines are exploded as 128-bit hashes of their keys, once per document; hash groups are counted with partial
-    aggregates, so a line that a third of all documents holds costs each task one row. The documents that lose lines
-    get the set of their hashes back and are put together again by position.
+    aggregates, so a line that a third of all documents holds costs each task one row, and the few hottest hashes find
+    their lines without a shuffle. The documents that lose lines get the set of their hashes back and are put together again by position.
 
     Returns the columns of `docs` with the text replaced, plus n_lines (before dropping) and n_dropped; columns of
     those names are replaced. Null and empty texts are one empty line and become the empty text. Rows that repeat an
@@ -38,7 +41,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = without(docs, ["n_lines", "n_dropped"])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, found = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 own = {_key_hash(x, min_chars) for x in text.split("\n")} if text else set()
@@ -51,12 +54,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hashes, T.StructType([T.StructField("id", base.schema[id_col].dataType), T.StructField("hash", T.BinaryType())])
     )
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
-    shared = lines.groupBy("hash")
     if min_docs == 2:
-        shared = shared.agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first != last")
+        shared = lines.groupBy("hash").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("n")).filter("first != last").drop("last")
     else:
-        shared = lines.distinct().groupBy("hash").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
-    lost = lines.join(shared.select("hash", "first"), "hash").filter(rank != F.col("first"))
+        shared = lines.distinct().groupBy("hash").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+    shared = stored(shared)
+    # At most HOT hashes have more than one in HOT of all shared lines: these are broadcast, the others meet by hash.
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    told = lines.join(F.broadcast(shared.filter(hot).select("hash", F.col("first").alias("known"))), "hash", "left")
+    spread = F.coalesce(F.unhex(F.md5(F.col("id").cast("string"))), F.lit(b""))
+    told = told.withColumn("at", F.when(F.col("known").isNull(), F.col("hash")).otherwise(spread))
+    told = told.join(shared.filter(~hot).select(F.col("hash").alias("at"), "first"), "at", "left")
+    lost = told.filter(rank != F.coalesce("known", "first"))
     lost = lost.groupBy(F.col("id").alias("__fp_id")).agg(F.collect_set("hash").alias("__fp_lost"))
     joined = base.join(lost, base[f"`{id_col}`"].eqNullSafe(F.col("__fp_id")), "left").drop("__fp_id")
 
