@@ -15,23 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fanplume.llm.common import sliced
+
 
 def vocabulary_path(file: str = "byte_bpe_50k.json") -> str:
     """Where the public vocabulary `file` lies on this machine."""
     return importlib.import_module("public_tokenizers").path(file)
 
 
+#: Where texts are cut; the space belongs to what follows.
 _SINGLE = re.compile(r" (?=\S)")
+#: Marks the piece that a text begins with; other pieces never begin with white space.
+_FIRST = " "
 
 
 class CachedTokenizer:
     """Token ids of whole texts, as bytes of little-endian uint32.
 
     In this vocabulary no token spans a space that is followed by something other than white space, so a text is cut
-    there and each piece is encoded once; at most `most` pieces are remembered.
+    there and each piece is encoded once. When more than `most` pieces are held, those that the
+    present batch of texts doesn't need are forgotten, so rare pieces pass through and common ones stay.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,32 +49,31 @@ class CachedTokenizer:
         self.most = most
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [_SINGLE.split(t) for t in texts]
+        for own in pieces:
+            own[0] = _FIRST + own[0]  # not after a space
+        every = set().union(*pieces)
+        if len(self.cache) > self.most:
+            self.cache = {p: self.cache[p] for p in every & self.cache.keys()}
         cache = self.cache
-        if len(cache) > self.most:
-            cache.clear()
-        pieces = [self._pieces(t) for t in texts]
-        new = {p for own in pieces for p in own if p not in cache}
+        new = every - cache.keys()
         if new:
-            self._learn([p for p in new if p[0] == " "], [p for p in new if p[0] != " "])
+            self._learn([p for p in new if p[0] != _FIRST], [p for p in new if p[0] == _FIRST])
         return [b"".join(map(cache.__getitem__, own)) for own in pieces]
 
-    def _learn(self, spaced: list[str], other: list[str], together: int = 64) -> None:
-        """Encode new pieces; those that begin with a space are joined first and their ids told apart by their bytes."""
-        groups = [spaced[i : i + together] for i in range(0, len(spaced), together)] + [[p] for p in other]
-        for own, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+    def _learn(self, spaced: list[str], first: list[str], together: int = 64) -> None:
+        """Encode new pieces; those after a space are joined with their spaces and their ids told apart by their bytes."""
+        groups = [spaced[i : i + together] for i in range(0, len(spaced), together)]
+        joined = [" " + " ".join(g) for g in groups] + [p[1:] for p in first]
+        for own, e in zip(groups + [[p] for p in first], self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in own])) + 1
+            sizes = [len(p.encode()) + 1 for p in own] if own[0][0] != _FIRST else [len(own[0].encode()) - 1]
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1 if sizes[0] else np.zeros(1, int)
             raw, at = ids.tobytes(), 0
             for p, end in zip(own, (4 * ends).tolist(), strict=True):
                 self.cache[p] = raw[at:end]
                 at = end
 
-    def _pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        first, *rest = _SINGLE.split(text)
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
 
 _tokenizers: dict[tuple, CachedTokenizer] = {}
 
@@ -174,7 +179,7 @@ def pack_documents(
     schema = T.StructType([T.StructField(id_col, id_type), *PIECES.fields, T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer_at(tokenizer_path).encode
+        tokenizer = tokenizer_at(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 36
         ids: list = []
@@ -195,10 +200,10 @@ def pack_documents(
             ids, tokens, held = [], [], 0
             return pa.RecordBatch.from_arrays(out, schema.names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
-                new = [x + end for x in encode([t or "" for t in texts[at : at + 256]])]
+                new = [x + end for x in tokenizer.encode([t or "" for t in texts[at : at + 256]])]
                 ids.append(batch.column(0).slice(at, len(new)))
                 tokens += new
                 held += sum(map(len, new)) // 4
@@ -206,5 +211,6 @@ def pack_documents(
                     yield flush()
         if tokens:
             yield flush()
+        tokenizer.cache = {}  # workers live on and run other operators
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
