@@ -17,7 +17,7 @@ from fanplume.llm.common import WordHashes, map_columns, mix, rolled, sliced, st
 #: probability (1 - 0.8^4)^24 = 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: A pair whose signatures agree in fewer registers than this share is not verified; 0.8 falls below with probability 1e-4 a test.
+#: A pair whose signatures agree in fewer registers than this share is not verified; 0.8 falls below with probability 2e-5 a test.
 LIKELY = 0.62
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -109,9 +109,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 if key not in seen:
                     if len(seen) > 10_000:
                         seen.clear()
-                    own = weighted_shingles(words, hashes, size)
-                    s = prob_min_hash(*own)
-                    seen[key] = (key, band_hashes(s), (s & np.uint64(255)).astype(np.uint8).tobytes(), len(own[0]))
+                    own = weighted_shingles(words, hashes, size)[0]
+                    s = prob_min_hash(own, np.ones(len(own)))  # links are by sets, so repeats must not count
+                    seen[key] = (key, band_hashes(s), (s & np.uint64(255)).astype(np.uint8).tobytes(), len(own))
                 out.append(seen[key])
             keys, bands, sigs, counts = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(counts, pa.int64())], schema.names)
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Classes are the components of links between texts whose sets of `size`-word shingles have a Jaccard similarity
     of at least `least`. Texts with the same words count as one node. Candidates share a band of their ProbMinHash
-    signatures. In each bucket the members are first tested against the best connected one; then members of
+    signatures, in which each shingle has the same rate. In each bucket the members are first tested against the best connected one; then members of
     different components are tested across, in blocks, so no pairs are made within what is connected already.
 
     Texts of fewer words are one shingle; texts without words (null, empty, blank) are alone in their class. Rows

@@ -157,3 +157,13 @@ def test_components_of_a_bucket_are_tested_across_in_blocks(spark, block):
     want = brute_classes(list(enumerate(texts)))
     assert Counter(label.count(x) for x in label) == Counter({n: k for (_, _, n), k in Counter((0, 0, n) for _, _, n in want).items()})
     assert block == 3 or len(links) < len(texts)
+
+
+def test_near_copies_whose_own_passages_repeat(spark):
+    texts = []
+    for k in range(30):
+        shared = [f"{k}s{i}" for i in range(84)]
+        texts += [" ".join(shared), " ".join(shared + [f"{k}own{i}" for i in range(14)] * 60)]
+        assert jaccard(*texts[-2:]) >= 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == brute_classes(list(enumerate(texts)))
