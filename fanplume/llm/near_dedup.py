@@ -92,8 +92,8 @@ def text_key(words: list[bytes]) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(id, key, bands, signature, shingles) of rows (id, text), the last a count; all but the id null for a text without words."""
-    schema = T.StructType([docs.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.LongType())])
+    """(id, mark, key, bands, signature, shingles) of rows (id, text, mark), the last a count; all but the first two null for a text without words."""
+    schema = T.StructType([docs.schema["id"], docs.schema["mark"], T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     seen[key] = (key, band_hashes(s), (s & np.uint64(255)).astype(np.uint8).tobytes(), len(own))
                 out.append(seen[key])
             keys, bands, sigs, counts = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(counts, pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(counts, pa.int64())], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -219,11 +219,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _classes_input(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    return stored(signatures(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), size))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return stored(signatures(rows.withColumn("mark", F.xxhash64("text")), size))
 
 
-def _rank(name: str):
-    return F.struct(F.col(name).isNull().alias("none"), F.col(name).alias("id"))
+def _rank(name: str, *more: str):
+    return F.struct(F.col(name).isNull().alias("none"), F.col(name).alias("id"), *more)
 
 
 def _classes(sigs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def _classes(sigs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float) -> DataFrame:
     """(key, label) of texts with links to others."""
-    nodes = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.min(_rank("id")).alias("rep"))
+    nodes = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.min(_rank("id", "mark")).alias("rep"))
     bands = nodes.select("key", F.explode("bands").alias("h"), "shingles")
     counts = bands.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("size")).filter("n > 1")
     bands = bands.drop("shingles")
@@ -249,8 +250,10 @@ def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float) -> DataFr
     centre = ranked.groupBy("h").agg(F.max("weight").alias("centre"))
     stars = members.join(centre, "h").groupBy("key").agg(F.max("centre").alias("centre"))
     pairs = stars.select(F.col("key").alias("a"), F.col("centre.key").alias("b")).filter("a != b")
-    needed = members.select("key").distinct().join(nodes.select("key", "rep.id"), "key").select(F.col("key").alias("want"), F.col("id").alias("rep"))
-    found = rows.join(needed, rows["id"].eqNullSafe(needed["rep"])).select("want", "text")
+    needed = members.select("key").distinct().join(nodes.select("key", "rep.id", "rep.mark"), "key").select(F.col("key").alias("want"), F.col("id").alias("rep"), F.col("mark").alias("rep_mark"))
+    # by the text's mark too: a null or repeated id has many texts
+    marked = rows.withColumn("mark", F.xxhash64("text"))
+    found = marked.join(needed, marked["id"].eqNullSafe(needed["rep"]) & (marked["mark"] == needed["rep_mark"])).select("want", "text")
     texts = map_columns(found, ["text"], [T.StructField("key", T.BinaryType())], lambda t: [[text_key(words_of(x)) for x in t]])
     texts = stored(texts.filter("key = want").groupBy("key").agg(F.first("text").alias("text")))
     links = stored(_verified(pairs, texts, size, least))

@@ -167,3 +167,20 @@ def test_near_copies_whose_own_passages_repeat(spark):
         assert jaccard(*texts[-2:]) >= 0.8
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == brute_classes(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("same_id", [None, 7])
+def test_texts_of_one_id_are_not_joined_with_each_other(spark, monkeypatch, same_id):
+    texts = [" ".join([f"{k // 2}s{i}" for i in range(60)] + ["end"] * (k % 2)) for k in range(40)]
+    df = spark.createDataFrame([(same_id, t) for t in texts], "doc_id long, text string")
+    fetched = []
+
+    def counting(rows, *args, **kwargs):
+        if rows.columns == ["want", "text"]:
+            fetched.append(rows.count())
+        return plain(rows, *args, **kwargs)
+
+    plain = near_dedup.map_columns
+    monkeypatch.setattr(near_dedup, "map_columns", counting)
+    got = near_dedup.near_duplicates(df).collect()
+    assert fetched == [40] and [r["class_rows"] for r in got] == [2] * 40
