@@ -19,6 +19,9 @@ from fanplume.llm.common import WordHashes, map_columns, mix, rolled, sliced, wi
 
 #: Words of a minimiser.
 RUN = 5
+#: Slots of minimisers per bucket; a slot with more text than a bucket should hold is dealt by window instead. And how
+#: many slots are summed at a time.
+SLOTS, PART = 64, 4096
 
 
 def sliding_argmin(x: np.ndarray, n: int) -> np.ndarray:
@@ -72,16 +75,72 @@ def _unpack(x: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
+def _equal(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal pairs are neighbours, the number of each one's group in it, and the groups' sizes."""
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+    group = np.cumsum(new) - 1
+    return order, group, np.bincount(group)
+
+
+def _ranges(owner: np.ndarray, start: np.ndarray, window: int) -> Iterator[tuple[int, bytes]]:
+    """Each owner and the ranges that its windows cover."""
+    order = np.argsort(owner, kind="stable")
+    owner, start = owner[order], start[order].astype(np.int64)
+    edges = np.flatnonzero(np.diff(owner.astype(np.int64), prepend=-1))
+    for a, b in zip(edges, np.append(edges, len(owner))[1:], strict=True):
+        yield int(owner[a]), merged(np.stack([start[a:b], start[a:b] + window], axis=1)).astype("<i4").tobytes()
+
+
+def slot_sizes(words: list[list[bytes]], window: int, slots: int, hashes: WordHashes) -> np.ndarray:
+    """Bytes of the different super-k-mers of a chunk by the slot of their minimiser."""
+    flat = [w for own in words for w in own]
+    own = hashes.of(flat)
+    first, count, minimiser = super_kmers(own, np.repeat(np.arange(len(words)), [len(w) for w in words]), window)
+    if not len(first):
+        return np.zeros(slots, np.int64)
+    whole = rolled(own, window)
+    told = np.unique(mix(whole[first] + mix(whole[first + count - 1])), return_index=True)[1]
+    at = np.cumsum([0, *(len(w) + 1 for w in flat)])
+    sizes = (at[first + count + window - 1] - at[first])[told]
+    return np.bincount((mix(minimiser[told]) % np.uint64(slots)).astype(np.int64), sizes, slots).astype(np.int64)
+
+
+def repeated_hashes(blobs: list[bytes], window: int) -> list[tuple[tuple, bytes]]:
+    """(owner, ranges) of the windows of a bucket of single windows that more than one chunk told."""
+    parts = [_unpack(b) for b in blobs]
+    owners = [o for p in parts for o in p[0]]
+    shift = np.cumsum([0] + [len(p[0]) for p in parts])
+    index = np.concatenate([p[1].astype(np.int64) + s for p, s in zip(parts, shift[:-1], strict=True)])
+    start, one, two, many = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5))
+    order, group, sizes = _equal(one, two)
+    again = order[(sizes > 1)[group] & ~many[order]]
+    return [(owners[d], ranges) for d, ranges in _ranges(index[again], start[again], window)]
+
+
 class _Chunk:
-    """Some documents of a task: their super-k-mers, equal ones told only once."""
+    """Some documents of a task: their super-k-mers, equal ones told only once.
 
-    def __init__(self, owners: list[tuple], words: list[list[bytes]], window: int, buckets: int, hashes: WordHashes) -> None:
+    Windows whose minimiser is in a `hot` slot go one by one, as 128 bits, to the `spread` buckets after the others.
+    """
+
+    def __init__(self, owners: list[tuple], words: list[list[bytes]], window: int, buckets: int, hashes: WordHashes, hot: np.ndarray | None = None, spread: int = 1) -> None:
         self.owners = owners
         sizes = [len(w) for w in words]
         begin = np.cumsum([0, *sizes])
         flat = [w for own in words for w in own]
         doc = np.repeat(np.arange(len(words)), sizes)
-        first, count, minimiser = super_kmers(hashes.of(flat), doc, window)
+        own_hashes = hashes.of(flat)
+        first, count, minimiser = super_kmers(own_hashes, doc, window)
+        #: (owner, ranges) of windows that occur again within this chunk.
+        self.known: list[tuple[tuple, bytes]] = []
+        self.blobs: list[tuple[int, bytes]] = []
+        if hot is not None and len(hot):
+            is_hot = np.isin(mix(minimiser) % np.uint64(buckets * SLOTS), hot)
+            if is_hot.any():
+                self._windows(own_hashes, first[is_hot], count[is_hot], doc, begin, window, buckets, spread)
+            first, count, minimiser = first[~is_hot], count[~is_hot], minimiser[~is_hot]
         at = np.cumsum([0, *map(len, flat)]) + np.arange(len(flat) + 1)
         text = b" ".join(flat)
         cut = [text[a:b] for a, b in zip(at[first].tolist(), (at[first + count + window - 1] - 1).tolist(), strict=True)]
@@ -90,8 +149,6 @@ class _Chunk:
         repeated = np.bincount(same, minlength=len(cut))[same] > 1 if len(cut) else np.zeros(0, bool)
         owner = doc[first] if len(first) else first
         start = first - begin[owner]
-        #: (owner, ranges) of windows that occur again within this chunk.
-        self.known: list[tuple[tuple, bytes]] = []
         for d in np.unique(owner[repeated]):
             i = self._of(owner, repeated, d)
             self.known.append((owners[d], merged(np.stack([start[i], start[i] + count[i] - 1 + window], axis=1)).astype("<i4").tobytes()))
@@ -100,9 +157,8 @@ class _Chunk:
         bucket = (key[told] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         told, bucket = told[order], bucket[order]
-        self.blobs: list[tuple[int, bytes]] = []
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+        for a, b in zip(edges, np.append(edges, len(bucket))[1:], strict=True):
             i = told[a:b]
             docs, index = np.unique(owner[i], return_inverse=True)
             own = [cut[k] for k in i]
@@ -110,6 +166,23 @@ class _Chunk:
                 (int(bucket[a]), _pack(([owners[d] for d in docs], index.astype(np.uint32), start[i].astype(np.uint32), (key[i] >> np.uint64(32)).astype(np.uint32), repeated[i], np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own))))
             )
 
+    def _windows(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, begin: np.ndarray, window: int, buckets: int, spread: int) -> None:
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        one, two = rolled(hashes, window)[at], rolled(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), window)[at]
+        order, group, sizes = _equal(one, two)
+        at, one, two, many = at[order], one[order], two[order], (sizes > 1)[group]
+        owner, start = doc[at], at - begin[doc[at]]
+        for d, ranges in _ranges(owner[many], start[many], window):
+            self.known.append((self.owners[d], ranges))
+        told = np.flatnonzero(np.diff(group, prepend=-1))
+        bucket = (one[told] % np.uint64(spread)).astype(np.int64)
+        told, bucket = told[np.argsort(bucket, kind="stable")], np.sort(bucket)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(edges, np.append(edges, len(bucket))[1:], strict=True):
+            i = told[a:b]
+            docs, index = np.unique(owner[i], return_inverse=True)
+            self.blobs.append((buckets + int(bucket[a]), _pack(([self.owners[d] for d in docs], index.astype(np.uint32), start[i].astype(np.uint32), one[i], two[i], many[i]))))
+
     @staticmethod
     def _of(owner: np.ndarray, repeated: np.ndarray, d: int) -> np.ndarray:
         a, b = np.searchsorted(owner, [d, d + 1])  # owners ascend
@@ -170,7 +243,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Consecutive windows that share a minimiser travel to its bucket as one packed string, about three times the text
     before compression. Equal strings within `chunk_words` words of a task are sent once, so copies and shared
     passages reach a bucket at most once a chunk; buckets are as many as the text needs to hold about `bucket_chars`
-    of it each. Windows are judged on the input.
+    of it each. A pass before sums the strings by slots of minimisers; where a slot has more than `bucket_chars`, a
+    phrase stands in many surroundings, and its windows are dealt by 128 bits of the whole window, each told once a
+    chunk, so that no minimiser fills a bucket. Windows are judged on the input.
 
     Returns the columns of `docs` with the text replaced by the kept words, joined by one space, plus n_words and
     n_removed; columns of those names are replaced. Words are split at ASCII white space; null texts have none and
@@ -183,24 +258,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id_type = base.schema[id_col].dataType
     sent = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("known", T.BooleanType()), T.StructField("blob", T.BinaryType())])
 
-    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[list[bytes]]]]:
         owners: list[tuple] = []
         words: list[list[bytes]] = []
         held = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal owners, words, held
-            c = _Chunk(owners, words, window, buckets, hashes)
-            owners, words, held = [], [], 0
-            out = [(b, False, x) for b, x in c.blobs]
-            by: dict[int, list] = defaultdict(list)
-            for o, r in c.known:
-                by[zlib.crc32(str(o).encode()) % buckets].append((o, r))
-            out += [(b, True, _pack(x)) for b, x in by.items()]
-            b, k, x = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.bool_()), pa.array(x, pa.binary())], sent.names)
-
         for batch in sliced(batches):
             for i, m, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 w = words_of(t)
@@ -209,9 +270,41 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     words.append(w)
                     held += len(w)
                 if held >= chunk_words:
-                    yield flush()
+                    yield owners, words
+                    owners, words, held = [], [], 0
         if owners:
-            yield flush()
+            yield owners, words
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        sums = np.zeros(buckets * SLOTS, np.int64)
+        for _, words in chunks(batches):
+            sums += slot_sizes(words, window, len(sums), hashes)
+        if sums.any():
+            parts = range(0, len(sums), PART)
+            yield pa.RecordBatch.from_arrays([pa.array([at // PART for at in parts], pa.int32()), pa.array([_pack(sums[at : at + PART]) for at in parts], pa.binary())], ["part", "sums"])
+
+    def heavy(group: pa.Table) -> pa.Table:
+        sums = np.sum([_unpack(b) for b in group.column("sums").to_pylist()], axis=0)
+        slot = np.flatnonzero(sums > bucket_chars)
+        return pa.table([pa.array(slot + group.column("part")[0].as_py() * PART), pa.array(sums[slot])], ["slot", "size"])
+
+    # each has more than bucket_chars, so they are about as few as the buckets
+    weighed = rows.mapInArrow(weigh, "part int, sums binary").groupBy("part").applyInArrow(heavy, "slot long, size long").collect()
+    hot = np.array(sorted(r["slot"] for r in weighed), np.uint64)
+    spread = max(1, -(-sum(r["size"] for r in weighed) // bucket_chars))
+
+    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for owners, words in chunks(batches):
+            c = _Chunk(owners, words, window, buckets, hashes, hot, spread)
+            out = [(b, False, x) for b, x in c.blobs]
+            by: dict[int, list] = defaultdict(list)
+            for o, r in c.known:
+                by[zlib.crc32(str(o).encode()) % buckets].append((o, r))
+            out += [(b, True, _pack(x)) for b, x in by.items()]
+            b, k, x = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.bool_()), pa.array(x, pa.binary())], sent.names)
 
     covered = T.StructType([T.StructField("__fp_id", id_type), T.StructField("__fp_mark", T.IntegerType()), T.StructField("__fp_ranges", T.BinaryType())])
 
@@ -219,7 +312,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         known, blobs = group.column("known").to_pylist(), group.column("blob").to_pylist()
         found = [x for k, b in zip(known, blobs, strict=True) if k for x in _unpack(b)]
         rest = [b for k, b in zip(known, blobs, strict=True) if not k]
-        found += repeated_windows(rest, window) if rest else []
+        told_apart = repeated_windows if group.column("bucket")[0].as_py() < buckets else repeated_hashes
+        found += told_apart(rest, window) if rest else []
         return pa.table([pa.array([o[0] for o, _ in found], to_arrow_type(id_type)), pa.array([o[1] for o, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], covered.names)
 
     ranges = rows.mapInArrow(partition, sent).groupBy("bucket").applyInArrow(count, covered)

@@ -184,3 +184,23 @@ def test_texts_of_one_id_are_not_joined_with_each_other(spark, monkeypatch, same
     monkeypatch.setattr(near_dedup, "map_columns", counting)
     got = near_dedup.near_duplicates(df).collect()
     assert fetched == [40] and [r["class_rows"] for r in got] == [2] * 40
+
+
+@pytest.mark.parametrize("chunk_words", [400, 1_000_000])
+def test_a_phrase_in_many_surroundings_fills_no_bucket(spark, chunk_words):
+    from fanplume.llm.common import WordHashes, words_of
+
+    phrase = [f"p{i}" for i in range(20)]
+    texts = [" ".join([*(f"{k // 3 if k % 3 < 2 else k}a{i}" for i in range(40)), *phrase, *(f"{k}b{i}" for i in range(40))]) for k in range(120)] + ["short", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring_dedup.dedup_substrings(df, chunk_words=chunk_words, bucket_chars=6000).orderBy("doc_id").collect()
+    assert [(r["text"], r["n_words"], r["n_removed"]) for r in got] == brute_windows(texts, 35)
+
+    words, buckets = [words_of(t) for t in texts[:120]], 12
+    sizes = substring_dedup.slot_sizes(words, 35, buckets * substring_dedup.SLOTS, WordHashes())
+    hot = substring_dedup.np.flatnonzero(sizes > 6000).astype("u8")
+    assert len(hot)
+    chunk = substring_dedup._Chunk([(k, 0) for k in range(120)], words, 35, buckets, WordHashes(), hot, 16)
+    assert max(len(substring_dedup._unpack(x)[6]) for b, x in chunk.blobs if b < buckets) < sizes.max()
+    single = [len(substring_dedup._unpack(x)[2]) for b, x in chunk.blobs if b >= buckets]
+    assert len(single) == 16 and max(single) < 2 * sum(single) / 16
