@@ -40,7 +40,17 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = new_path(df.sparkSession, "stored")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what `stored` wrote for `df`, once all that was made from it has been stored in turn."""
+    if df is not None:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

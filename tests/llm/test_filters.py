@@ -244,3 +244,108 @@ def test_scores_of_odd_rows(odd, empty, clashing):
     assert class_lm.score_documents(clashing, F.lit(True)).count() == odd.count()
     untaught = class_lm.score_documents(odd, F.lit(False)).collect()
     assert all(math.isfinite(r["score"]) and r["train_tokens"] == 0 for r in untaught)
+
+
+def brute_model(texts, trains, core_words, classes, settled=0.01, least_gain=0.01):
+    """Scores of texts by the definition of the model, word by word in plain Python."""
+    said = [t.encode().lower().split() for t in texts]
+    counts = Counter(w for ws, tr in zip(said, trains, strict=True) if tr for w in ws)
+    core = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:core_words]]
+    end, other = classes + 1, classes
+
+    def bigrams(of):
+        table = np.zeros((classes + 2, classes + 2))
+        for ws, tr in zip(said, trains, strict=True):
+            if tr:
+                at = [end, *(of(w) for w in ws), end]
+                for a, b in zip(at, at[1:], strict=False):
+                    table[a, b] += 1
+        return table
+
+    full = np.zeros((len(core) + 2, len(core) + 2))
+    number = {w: i for i, w in enumerate(core)}
+    for ws, tr in zip(said, trains, strict=True):
+        if tr:
+            at = [len(core) + 1, *(number.get(w, len(core)) for w in ws), len(core) + 1]
+            for a, b in zip(at, at[1:], strict=False):
+                full[a, b] += 1
+    now = dict(zip(core, class_lm.exchange(full, classes).tolist(), strict=True))
+    previous, grown = None, -math.inf
+    while True:
+        table = bigrams(lambda w: now.get(w, other))
+        if previous is not None:
+            p = table / table.sum()
+            gain = sum(p[a, b] * math.log(p[a, b] / (p[a].sum() * p[:, b].sum())) for a, b in zip(*np.nonzero(p), strict=True))
+            if gain < grown + least_gain:
+                now = now if gain > grown else previous
+                break
+            grown = gain
+        worth = np.zeros((2, classes + 2, classes))
+        for c in range(classes):
+            for g in range(classes + 2):
+                worth[0, g, c] = math.log(table[g, c] + 0.5) - math.log(table[:, c].sum() + 1)
+                worth[1, g, c] = math.log(table[c, g] + 0.5) - math.log(table[c].sum() + 1)
+        sums = {w: np.zeros(classes) for w in counts}
+        for ws, tr in zip(said, trains, strict=True):
+            if tr:
+                at = [end, *(now.get(w, other) for w in ws), end]
+                for k, w in enumerate(ws):
+                    sums[w] += worth[0, at[k]] + worth[1, at[k + 2]]
+        new = {w: now[w] if w in now and s[now[w]] >= s.max() - 1e-9 else int(s.argmax()) for w, s in sums.items()}
+        moved = sum(n for w, n in counts.items() if now.get(w) != new[w])
+        previous, now = now, new
+        if moved <= settled * sum(counts.values()):
+            break
+    table = bigrams(lambda w: now[w])
+    tokens, types = Counter(), Counter()
+    for w, n in counts.items():
+        tokens[now[w]] += n
+        types[now[w]] += 1
+    seen = [*range(classes), end]
+    anywhere = {c: table[:, c].sum() + 0.5 for c in seen}
+    all_ = sum(anywhere.values())
+    after_unknown = {c: table[:, c].sum() for c in seen}
+
+    def step(g, c):
+        row = {x: table[g, x] for x in seen} if g != other else after_unknown
+        return (row[c] + 0.5 * len(seen) * anywhere[c] / all_) / (sum(row.values()) + 0.5 * len(seen))
+
+    def log_p(ws):
+        total, g = 0.0, end
+        for w in [*ws, None]:
+            if w is None:
+                total += math.log10(step(g, end))
+            elif w in counts:
+                c = now[w]
+                total += math.log10(step(g, c) * (counts[w] - class_lm.DISCOUNT) / tokens[c])
+                g = c
+            else:
+                total += math.log10(sum(step(g, c) * (class_lm.DISCOUNT * types[c] / tokens[c] if tokens[c] else 1.0) for c in range(classes)))
+                g = other
+        return total
+
+    return [log_p(ws) for ws in said], now
+
+
+def planted_texts():
+    rng = np.random.default_rng(8)
+    kinds = [[f"{k}{i}" for i in range(25)] for k in "abcd"]
+    made = [" ".join(kinds[(s + j) % 4][int(rng.zipf(1.6)) % 25] for j in range(int(rng.integers(1, 40)))) for s in range(160)]
+    return made + ["", "unheard words a0 b1", "A0 B0 C0 D0"]
+
+
+def test_scores_equal_the_model_in_plain_python(spark):
+    texts = planted_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") % 5 != 0
+    want, _ = brute_model(texts, [i % 5 != 0 for i in range(len(texts))], 12, 4)
+    got = {r["doc_id"]: r["score"] for r in class_lm.score_documents(df, train, core_words=12, classes=4, block_words=700, bucket_words=60).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
+def test_rare_words_outside_the_core_find_their_class():
+    texts = planted_texts()
+    _, now = brute_model(texts, [True] * len(texts), 12, 4)
+    outside = [w for w, n in Counter(w for t in texts for w in t.lower().encode().split()).most_common()[12:] if n > 1 and w[:1] in b"abcd"]
+    best = {k: Counter(now[w] for w in outside if w.startswith(k)).most_common(1)[0][0] for k in (b"a", b"b", b"c", b"d")}
+    assert len(set(best.values())) == 4 and np.mean([now[w] == best[w[:1]] for w in outside]) > 0.8
