@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from fanplume.llm.common import discard, sliced, stored
@@ -126,7 +127,7 @@ def send_words(blocks: DataFrame, buckets: int) -> DataFrame:
 NUMBERED = "bucket int, block long, blob binary, stats array<bigint>, top array<struct<word:binary,at:bigint,n:bigint>>"
 
 
-def number_words(sent: DataFrame, core_words: int) -> DataFrame:
+def number_words(sent: DataFrame, buckets: int, core_words: int) -> DataFrame:
     """Give the words of each bucket numbers and count them over all blocks.
 
     Rows (bucket, block, blob) hold the numbers and counts of a block's words, in the order in which they were sent.
@@ -153,7 +154,7 @@ def number_words(sent: DataFrame, core_words: int) -> DataFrame:
         out.append({"bucket": bucket, "stats": [int(total.sum()), int((total > 0).sum())], "top": [{"word": w, "at": i, "n": -n} for n, w, i in often]})
         return pa.Table.from_pylist(out, arrow)
 
-    return sent.groupBy("bucket").applyInArrow(run, NUMBERED)
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, NUMBERED)
 
 
 class Coded(Tokens):
@@ -190,7 +191,12 @@ class Coded(Tokens):
 MESSAGES = "bucket int, block long, blob binary, steps array<bigint>"
 
 
-def code_blocks(blocks: DataFrame, numbered: DataFrame, buckets: int, base_of: Callable[[np.ndarray], np.ndarray], ends: int) -> DataFrame:
+def by_block(one: DataFrame, two: DataFrame, tasks: int) -> PandasCogroupedOps:
+    """The rows of both by block, dealt to as many tasks as the blocks need; a row is a packed block or a part of one."""
+    return one.repartition(tasks, "block").groupBy("block").cogroup(two.repartition(tasks, "block").groupBy("block"))
+
+
+def code_blocks(blocks: DataFrame, numbered: DataFrame, tasks: int, buckets: int, base_of: Callable[[np.ndarray], np.ndarray], ends: int) -> DataFrame:
     """(block, ids, trains, blob): the blocks as `Coded`, with the sums by document that need the words' counts only:
     known tokens, base score, and log10(count - DISCOUNT) over known words."""
     schema = T.StructType([blocks.schema[c] for c in ("block", "ids", "trains", "blob")])
@@ -215,7 +221,7 @@ def code_blocks(blocks: DataFrame, numbered: DataFrame, buckets: int, base_of: C
             blobs.append(_pack((found, edges, at.astype(np.uint32), n > 0, sizes, numbers, sums)))
         return pa.table([left.column("block"), left.column("ids"), left.column("trains"), pa.array(blobs, pa.binary())], schema.names)
 
-    return blocks.select(*schema.names).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    return by_block(blocks.select(*schema.names), told, tasks).applyInArrow(run, schema)
 
 
 def core_bigrams(coded: DataFrame, core: np.ndarray) -> np.ndarray:
@@ -317,7 +323,7 @@ def worth_of(steps: np.ndarray) -> np.ndarray:
 REPLIES = "bucket int, block long, blob binary, stats array<bigint>"
 
 
-def choose(messages: DataFrame, steps: np.ndarray) -> DataFrame:
+def choose(messages: DataFrame, buckets: int, steps: np.ndarray) -> DataFrame:
     """Every word of the training text goes to the class that its neighbours' classes favour most, and stays where
     nothing is better.
 
@@ -354,7 +360,7 @@ def choose(messages: DataFrame, steps: np.ndarray) -> DataFrame:
         out.append({"bucket": out[0]["bucket"], "stats": [*map(int, np.concatenate(stats)), int(tokens[new != old].sum())]})
         return pa.Table.from_pylist(out, arrow)
 
-    return messages.filter("bucket IS NOT NULL").select("bucket", "block", "blob").groupBy("bucket").applyInArrow(run, REPLIES)
+    return messages.filter("bucket IS NOT NULL").select("bucket", "block", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, REPLIES)
 
 
 def _summed(df: DataFrame, column: str, size: int) -> np.ndarray:
@@ -365,7 +371,7 @@ def _summed(df: DataFrame, column: str, size: int) -> np.ndarray:
     return out
 
 
-def with_classes(coded: DataFrame, replies: DataFrame, make: Callable[[dict, Coded, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+def with_classes(coded: DataFrame, replies: DataFrame, tasks: int, make: Callable[[dict, Coded, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
     """What `make` says of each block, given its row and the class of each of its words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -374,10 +380,10 @@ def with_classes(coded: DataFrame, replies: DataFrame, make: Callable[[dict, Cod
         return pa.Table.from_batches(made) if made else to_arrow_schema(schema).empty_table()
 
     told = replies.filter("block IS NOT NULL").select("bucket", "block", "blob")
-    return coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    return by_block(coded, told, tasks).applyInArrow(run, schema)
 
 
-def learn_classes(coded: DataFrame, core: np.ndarray, of: np.ndarray, classes: int, settled: float, least_gain: float) -> DataFrame:
+def learn_classes(coded: DataFrame, tasks: int, buckets: int, core: np.ndarray, of: np.ndarray, classes: int, settled: float, least_gain: float) -> DataFrame:
     """Exchange of all words of the training text, as replies of `choose`.
 
     Starts from the classes `of` the core words, all others being one class beside them. In each round every word is
@@ -412,13 +418,13 @@ def learn_classes(coded: DataFrame, core: np.ndarray, of: np.ndarray, classes: i
                 return kept
             before = now
         discard(last)
-        last, replies = replies, stored(choose(messages, steps))
+        last, replies = replies, stored(choose(messages, buckets, steps))
         discard(messages)
         stats = _summed(replies, "stats", 2 * classes + 1)
         if stats[-1] <= settled * stats[:classes].sum():
             discard(last)
             return replies
-        messages = stored(with_classes(coded, replies, again, schema))
+        messages = stored(with_classes(coded, replies, tasks, again, schema))
 
 
 @dataclass(frozen=True)
@@ -472,18 +478,18 @@ def score_documents(
         raise ValueError("a class and its side are told in one byte: 120 classes at most")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = stored(encode_blocks(rows, block_words))
-    words, ends = blocks.agg(F.sum("words"), F.sum(F.size(F.filter("trains", lambda t: t)))).first()
-    buckets, ends = max(1, -(-(words or 0) // bucket_words)), int(ends or 0)
-    numbered = stored(number_words(send_words(blocks, buckets), core_words))
+    tasks, words, ends = blocks.agg(F.count("block"), F.sum("words"), F.sum(F.size(F.filter("trains", lambda t: t)))).first()
+    tasks, buckets, ends = max(1, tasks), max(1, -(-(words or 0) // bucket_words)), int(ends or 0)
+    numbered = stored(number_words(send_words(blocks, buckets), buckets, core_words))
     all_tokens, all_types = _summed(numbered, "stats", 2)
     all_tokens, all_types = int(all_tokens) + ends, int(all_types) + (ends > 0)
     top = numbered.select("bucket", F.explode("top").alias("w")).orderBy(F.desc("w.n"), "w.word").limit(core_words).collect()
     core = np.array([r["bucket"] << 32 | r["w"]["at"] for r in top], np.int64)
-    coded = stored(code_blocks(blocks, numbered, buckets, lambda n: np.log10((n + add) / (all_tokens + add * (all_types + 1))), ends))
+    coded = stored(code_blocks(blocks, numbered, tasks, buckets, lambda n: np.log10((n + add) / (all_tokens + add * (all_types + 1))), ends))
     discard(blocks)
     discard(numbered)
     of = exchange(core_bigrams(coded, core).astype(float), classes)
-    replies = learn_classes(coded, core, of, classes, settled, least_gain)
+    replies = learn_classes(coded, tasks, buckets, core, of, classes, settled, least_gain)
     stats = _summed(replies, "stats", 2 * classes + 1)
     read = T.StructType(
         [T.StructField("id", rows.schema["id"].dataType), T.StructField("train", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "counts")), T.StructField("classes", T.BinaryType())]
@@ -495,7 +501,7 @@ def score_documents(
         own = [raw[s : s + k] for s, k in zip(starts.tolist(), b.sizes.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(row["ids"], to_arrow_type(read["id"].dataType)), pa.array(row["trains"], pa.bool_()), pa.array(b.sizes), *map(pa.array, b.sums), pa.array(own, pa.binary())], read.names)
 
-    seqs = stored(with_classes(coded, replies, classed, read))
+    seqs = stored(with_classes(coded, replies, tasks, classed, read))
     discard(coded)
     discard(replies)
 
