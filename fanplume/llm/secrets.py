@@ -36,8 +36,10 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
     "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 1.0, "encryptionkey": 1.0, "signingkey": 1.0, "bearer": 0.8, "auth": 0.6, "key": 0.5, "salt": 0.5, "pin": 0.4,
 }
+#: A text without any of these has no sensitive name.
+_HINT = re.compile("passw|pwd|passphrase|secret|token|credential|bearer|auth|key|salt|pin", re.I)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|change_?me|example.*|your[_-].*|none|null|true|false|todo|dummy|test|placeholder)$", re.I)
+_PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|change_?me|example.*|your[_-].*|none|null|true|false|todo|dummy|test|placeholder|string|number|boolean|integer|required|optional)$", re.I)
 
 
 def name_score(name: str) -> float:
@@ -47,72 +49,192 @@ def name_score(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a secret, from 0 to 1: length and entropy, nothing for placeholders."""
-    if len(value) < 6 or value.isspace() or _PLACEHOLDER.match(value):
-        return 0.0
-    counts = Counter(value).values()
-    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
-    spread = min(1.0, bits / 3.0)
-    mixed = 1.0 if any(c.isdigit() for c in value) or not value.isalnum() else 0.8
-    return spread * mixed * (0.7 if " " in value else 1.0) * min(1.0, len(value) / 8)
+class Value:
+    """What a name is assigned: spans of literals, and the values of constants that are part of it.
 
+    Of the whole value it keeps what its score needs, so that constants of constants cost no more than others: how
+    often each character stands in it, and the text itself while it is short.
+    """
+
+    SHORT, LONG = 200, 1e6
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int]] = []
+        self.constants: list[Value] = []
+        self.counts: Counter[str] = Counter()
+        self.size = 0.0
+        self.text: str | None = ""
+
+    def add(self, part: str | Value, start: int = 0, end: int = 0) -> None:
+        if isinstance(part, str):
+            self.spans.append((start, end))
+            counts, size, text = Counter(part), len(part), part
+        else:
+            self.constants.append(part)
+            counts, size, text = part.counts, part.size, part.text
+        self.counts.update(counts)
+        self.size += size
+        self.text = self.text + text if self.text is not None and text is not None and len(self.text) + len(text) <= self.SHORT else None
+        if self.size > self.LONG:  # only shares count: doubling a value over and over must not make numbers without bound
+            self.counts = Counter({c: n / 2 for c, n in self.counts.items()})
+            self.size /= 2
 
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z_$][A-Za-z0-9_$]*)*"
-_STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
-#: A target: NAME, "NAME", [section "NAME"] entries and subscripts; then an assignment sign.
-_TARGET = re.compile(rf"""(?:["'](?P<quoted>{_NAME})["']\]?|(?P<plain>{_NAME}))[ \t]*(?P<sign>:=|=>|==?=?|:(?!:|//))[ \t]*""")
-_TERM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})(?![^\s,;)}}\]+#])|(?P<bare>[^\s\"'#;,(){{}}\[\]]+)")
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)?[ \t]*(?=[\"'A-Za-z_$])")
+    def score(self) -> float:
+        """How much it looks like a secret, from 0 to 1: length and entropy, nothing for placeholders."""
+        if self.size < 6 or (self.text is not None and (self.text.isspace() or _PLACEHOLDER.match(self.text))):
+            return 0.0
+        bits = -sum(n / self.size * math.log2(n / self.size) for n in self.counts.values() if n)
+        mixed = 1.0 if any(c.isdigit() or not c.isalnum() for c in self.counts) else 0.8
+        return min(1.0, bits / 3.0) * mixed * (0.7 if " " in self.counts else 1.0) * min(1.0, self.size / 8)
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Name and literal parts (start, end, value) of each assignment, in order; constants stand for their literals.
+# All patterns below take each character a bounded number of times: names begin only where nothing of a name stands
+# before, and quantifiers don't give back.
+_NAME = r"[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"
+_PLAIN = rf"(?<![\w$.\-])(?:--?+)?+(?P<plain>{_NAME})"
+#: A target: NAME, --NAME, "NAME" or the end of a subscript; then an assignment sign. Or `set NAME`. Or `<NAME ...>`.
+_TARGET = re.compile(
+    rf"""(?P<command>(?<![\w$.\-])[sS][eE][tT](?=[ \t]++[A-Za-z_$]))|<(?P<tag>{_NAME})(?:[ \t][^<>\n]*+)?+>"""
+    rf"""|(?:(?<![\w\\])["'](?P<quoted>{_NAME})["']\]?|{_PLAIN})(?P<gap>[ \t]*+)(?P<sign>:=|=>|==?=?|:(?!:|//))""",
+    re.A,
+)
+_COMMAND = re.compile(rf"[ \t]++(?P<plain>{_NAME})[ \t]++(?![=:])", re.A)
+_TYPE = re.compile(r"[ \t]*+[A-Za-z_][\w.<>\[\]|, ?]{0,80}[ \t]=(?![=>])(?=[ \t]*+[\"'`(rbufRBUF])", re.A)
+_STRING = re.compile(
+    r"""(?:[rbufRBUF]{1,2}(?=["']))?(?:\"{3}(?P<a>(?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}(?P<b>(?:[^'\\]|\\.|'(?!''))*+)'{3}|"(?P<c>(?:[^"\\\n]|\\.)*+)"|'(?P<d>(?:[^'\\\n]|\\.)*+)'|`(?P<e>(?:[^`\\]|\\.)*+)`)""", re.S
+)
+_WORD = re.compile(r"[^\s\"'`#;,(){}\[\]<>][^\s\"'`;,(){}\[\]<>]*+")
+_WHOLE_NAME = re.compile(_NAME, re.A)
+_SAME_LINE, _ANY_LINE = re.compile(r"[ \t]*+(?:\\\n[ \t]*+)?+"), re.compile(r"\s*+")
+_JOIN = re.compile(r"(?:\+|\.\.)(?!=)")
+_BLOCK = re.compile(r"[|>][+\-]?\d?[+\-]?[ \t]*+(?:#[^\n]*+)?\n")
+
+
+def _block_lines(text: str, target: int, at: int) -> tuple[list[tuple[int, int]], int]:
+    """The lines (without indent) of a block scalar that begins at `at`, and its end: they are indented deeper than the line of its target."""
+    begin = text.rfind("\n", 0, target) + 1
+    depth = len(text[begin:target]) - len(text[begin:target].lstrip(" "))
+    lines = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        own = line.strip()
+        if own:
+            indent = len(line) - len(line.lstrip(" "))
+            if indent <= depth:
+                break
+            first = at + line.index(own)
+            lines.append((first, first + len(own)))
+        at = end + 1
+    return lines, min(at, len(text))
+
 
-    Python, shell, JavaScript, JSON, YAML, TOML and ini share `name = value`, `"name": value`, `name := value` and
-    `name => value`. A value is a string, a sum of strings and earlier names, or a bare word. Comparisons don't assign.
+def _read(text: str, at: int, value: Value, known: dict[str, Value], sure: bool) -> int:
+    """Add to `value` the sum of strings and constants or the bare word at `at`; returns where it ends."""
+    pos, depth, some = at, 0, False
+    while True:
+        pos = (_ANY_LINE if depth else _SAME_LINE).match(text, pos).end()
+        if not some and text[pos : pos + 1] == "(":
+            depth, pos = depth + 1, pos + 1
+            continue
+        s = _STRING.match(text, pos)
+        if s:
+            k = s.lastgroup
+            value.add(s[k], s.start(k), s.end(k))
+            pos = s.end()
+        else:
+            w = None if _TARGET.match(text, pos) else _WORD.match(text, pos)
+            if not w:  # or a name that is assigned to in turn
+                return at
+            if w[0] in known:
+                value.add(known[w[0]])
+                pos = w.end()
+            elif some or depth or text[w.end() : w.end() + 1] in ("(", "[", "`"):
+                return at
+            elif _WHOLE_NAME.fullmatch(w[0]) and ("." in w[0] or not sure) and not any(map(str.isdigit, w[0])):
+                return at  # a variable
+            else:
+                value.add(w[0], w.start(), w.end())
+                return w.end()
+        at, some = pos, True
+        after = (_ANY_LINE if depth else _SAME_LINE).match(text, pos).end()
+        if j := _JOIN.match(text, after):
+            pos = _ANY_LINE.match(text, j.end()).end()
+        elif s and text[after : after + 1] in ('"', "'"):
+            pos = after
+        else:
+            return at
+
+
+def assignments(text: str) -> list[tuple[str, Value]]:
+    """Names and values in order; constants stand for their literals.
+
+    Python, shell, JavaScript, JSON, YAML, TOML and ini share `name = value`, `name: type = value`, `"name": value`,
+    `name := value` and `name => value`; besides there are YAML's block scalars, `set name value` and `<name>value</name>`.
+    A value is a sum of strings and earlier names, over several lines within brackets or after a sign, or a bare word.
+    Calls, subscripts and comparisons are no literals, and neither is a bare name after ` = `, which is a variable.
     """
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    known: dict[str, Value] = {}
     out = []
     at = 0
     while m := _TARGET.search(text, at):
         at = m.end()
-        if m["sign"].startswith("==") or (m["sign"] == "=" and m.start("sign") and text[m.start("sign") - 1] in "!<>"):
+        value = Value()
+        sure = True  # a bare word is a literal
+        if m["tag"]:
+            name, end = m["tag"], text.find("<", at)
+            if end > at and text.startswith("</" + name, end):
+                own = text[at:end].strip()
+                first = at + text[at:end].index(own)
+                value.add(own, first, first + len(own))
+                at = end
+            if value.spans and value.size:
+                out.append((name, value))
             continue
-        name, parts = m["quoted"] or m["plain"], []
-        pos = at
-        while t := _TERM.match(text, pos):
-            if t["string"]:
-                parts.append((t.start() + 1, t.end() - 1, t["string"][1:-1]))
-            elif t["name"] and t["name"] in known:
-                parts += known[t["name"]]
-            elif not parts:
-                word = t["name"] or t["bare"]
-                if _TARGET.match(text, pos):  # a name that is assigned to in turn
-                    break
-                parts.append((t.start(), t.end(), word))
+        if m["command"]:
+            c = _COMMAND.match(text, at)
+            if not c:
+                continue
+            name, pos, sure = c["plain"], c.end(), False
+        else:
+            if m["sign"].startswith("==") or (m["sign"] == "=" and m.start("sign") and text[m.start("sign") - 1] in "!<>"):
+                continue
+            name, pos = m["quoted"] or m["plain"], m.end()
+            if m["sign"] == ":":
+                typed = _TYPE.match(text, pos)
+                pos = typed.end() if typed else pos
             else:
-                break
-            at = pos = t.end()
-            plus = _PLUS.match(text, pos)
-            if not plus or ("+" not in plus[0] and ".." not in plus[0] and not (t["string"] and text[plus.end() : plus.end() + 1] in "\"'")):
-                break
-            pos = plus.end()
-        if parts:
-            known[name] = parts[:32]
-            out.append((name, parts))
+                sure = not m["gap"] and text[pos : pos + 1] not in (" ", "\t")
+            block = _BLOCK.match(text, _SAME_LINE.match(text, pos).end()) if m["sign"] == ":" else None
+            if block:
+                lines, at = _block_lines(text, m.start(), block.end())
+                for a, b in lines:
+                    value.add(text[a:b], a, b)
+        if not value.spans:
+            at = max(at, _read(text, pos, value, known, sure))
+        if value.spans or value.constants:
+            known[name] = value
+            out.append((name, value))
     return out
 
 
 def literal_spans(text: str, least: float = 0.5) -> list[Span]:
     """Literals that reach `least` = sensitivity of the target's name * look of the whole value."""
-    if "=" not in text and ":" not in text:
+    if not _HINT.search(text):
         return []
     found = set()
-    for name, parts in assignments(text):
+    marked: set[int] = set()
+    for name, value in assignments(text):
         score = name_score(name)
-        if score and score * literal_score("".join(v for _, _, v in parts)) >= least:
-            found |= {(s, e, "literal") for s, e, v in parts if e > s}
+        if score and score * value.score() >= least:
+            todo = [value]
+            while todo:  # constants are marked once, however many names they reach
+                v = todo.pop()
+                if id(v) not in marked:
+                    marked.add(id(v))
+                    found |= {(s, e, "literal") for s, e in v.spans if e > s}
+                    todo += v.constants
     return sorted(found)
 
 
@@ -128,8 +250,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 def find_secrets(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Add `secrets`, an array of (start, end, kind), to `docs`; a column of that name is replaced, others pass through.
 
-    Positions are code points, ends exclusive. Whole texts are scanned, where they lie; null and empty ones give an
-    empty array.
+    Positions are code points, ends exclusive. Whole texts are scanned, where they lie, in time that grows with their
+    length; null and empty ones give an empty array. Rows are judged one by one, so repeated rows give the same.
     """
 
     def fn(texts: list) -> list:

@@ -1,7 +1,10 @@
 """Quality rules, language ID, secrets, decontamination and scoring."""
 
+import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -121,12 +124,71 @@ def test_base_secrets_equal_brute_force(rows):
         ('password = "changeme"', []),
         ('color = "hunter2-Zx81"', []),
         ("password = ${DB_PASSWORD}", []),
+        ('api_key: str = "hunter2Xy9abc"', ["hunter2Xy9abc"]),
+        ("password: |\n  hunter2Xy9abc\n  second9Line\nname: x", ["hunter2Xy9abc", "second9Line"]),
+        ("<db><password>hunter2Xy9abc</password></db>", ["hunter2Xy9abc"]),
+        ("set password hunter2Xy9abc", ["hunter2Xy9abc"]),
+        ('password = os.environ["PASSWORD"]', []),
+        ("secret = get_secret(name)", []),
+        ("password = other_password", []),
+        ("const apiKey = `hunter2Xy9abc`;", ["hunter2Xy9abc"]),
+        ('password = (\n    "hunter2"\n    "Xy9abcde"\n)', ["hunter2", "Xy9abcde"]),
+        ('password = "hunter2" + \\\n    "Xy9abcde"', ["hunter2", "Xy9abcde"]),
+        ('password = """hunter2Xy9abc\nmore"""', ["hunter2Xy9abc\nmore"]),
+        ("don't say password = 'hunter2Xy9abc' or it's out", ["hunter2Xy9abc"]),
+        ("DB_PASSWORD=correcthorsebattery  # comment", ["correcthorsebattery"]),
+        ("mysql --password=hunter2Xy9abc -u x", ["hunter2Xy9abc"]),
+        ("client_secret = " + " + ".join(f'"part{i}x"' for i in range(40)), [f"part{i}x" for i in range(40)]),
+        ("\n".join(["a = " + " + ".join(f'"part{i}x"' for i in range(40)), "client_secret = a"]), [f"part{i}x" for i in range(40)]),
     ],
 )
 def test_assigned_literals(text, literals):
     assert [text[s:e] for s, e, _ in secrets.literal_spans(text)] == literals
 
 
+def test_scans_take_time_in_proportion():
+    doubled = 'a0 = "x7Qm"\n' + "\n".join(f"a{i + 1} = a{i} + a{i}" for i in range(3000)) + "\nclient_secret = a3000"
+    chained = "\n".join(f"key_{i + 1} = key_{i} + \"Zx9{i}\"" for i in range(4000))
+    texts = ["p" * 200_000, "a-" * 100_000, "token " * 40_000, "token" + " " * 200_000, '"' * 200_000, "password=" * 20_000, 'x="' * 60_000, "<a" * 100_000, "key: |\n" * 20_000, "\\\"" * 100_000, "a=(" * 60_000, doubled, chained, "pin=`" * 40_001, 'key="""' * 20_001]
+    for t in texts:
+        began = time.process_time()
+        found = secrets.spans_of(t + " password")
+        assert time.process_time() - began < 3, (t[:20], time.process_time() - began)
+        assert t is not doubled or any(kind == "literal" for *_, kind in found)
+
+
+def plain_assigned(text):
+    """Quoted literals of `NAME = "..."` lines, told by looking at whole lines."""
+    found = []
+    at = 0
+    for line in text.split("\n"):
+        name, sign, value = line.partition(" = ")
+        if sign and name.isidentifier() and len(value) > 2 and value[0] == value[-1] == '"' and not set(value[1:-1]) & set('"\\'):
+            v = secrets.Value()
+            v.add(value[1:-1], 0, 0)
+            if secrets.name_score(name) * v.score() >= 0.5:
+                found.append((at + len(name) + 4, at + len(line) - 1, "literal"))
+        at += len(line) + 1
+    return found
+
+
+def test_query_returns_the_spans_of_whole_texts(spark, sf, rows):
+    texts = {r[0]: r[1] for r in rows}
+    joined = lambda spans: ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+    order = ["assign", "access", "hex"]
+    for r in QUERIES["op7_secret_scans"](spark, sf).collect():
+        t = texts[r["doc_id"]]
+        base = sorted(brute_base(t), key=lambda x: (x[0], order.index(x[2])))
+        assert r["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert r["spans"] == joined(secrets.spans_of(t))
+        assert set(joined(base + plain_assigned(t or "")).split(",")) <= set(r["spans"].split(","))
+    rng = random.Random(6)
+    names = ["password", "name", "client_secret", "user_id", "authToken"]
+    for _ in range(200):
+        text = "\n".join(f'{rng.choice(names)} = "{"".join(rng.choices("abcXYZ019-_ ", k=rng.randint(0, 20)))}"' for _ in range(6))
+        assert secrets.literal_spans(text) == plain_assigned(text)
+
+
 def test_secrets_of_odd_rows(spark, sf, odd, empty, clashing):
     got = secrets.find_secrets(odd).collect()
     assert len(got) == odd.count() and all(r["secrets"] == [] for r in got if not r["text"])
