@@ -57,24 +57,67 @@ class CompressionClassifier:
         return sizes[0][1], margin, margin < self.min_margin
 
 
+def share_of(sizes: list[int], total: int) -> int:
+    """The most bytes that each text may give so that all together give at most `total`; short ones give what they have."""
+    left = total
+    for k, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if size > share:
+            return share
+        left -= size
+    return max(sizes, default=0)
+
+
+def pieces(data: bytes, size: int, piece: int = 128) -> bytes:
+    """About `size` bytes from all over `data`: all of it if it fits, else pieces at equal distances, first and last included."""
+    if len(data) <= size:
+        return data
+    n = max(2, size // (piece + 1))
+    own = max(1, size // n - 1)
+    return b" ".join(data[at : at + own] for at in ((len(data) - own) * k // (n - 1) for k in range(n)))
+
+
 def learn_languages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 160, chars_per_doc: int = 2000, dictionary_bytes: int = 131072, **options
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 160, dictionary_bytes: int = 131072, most_languages: int = 200, **options
 ) -> CompressionClassifier:
-    """Fit the dictionaries on a bounded sample: of each language, the `docs_per_language` documents with the smallest
-    hashes of their ids, `chars_per_doc` characters each, `dictionary_bytes` in all. Rows without a language or text don't count."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "size")
+    """Fit a dictionary of about `dictionary_bytes` for each language on a bounded sample of its rows.
+
+    The sample are the `docs_per_language` rows with the smallest hashes of their ids (ties: by id, then by hash of the
+    text; a row that repeats id and text counts once). Every sampled text gives the same share of the dictionary, in
+    pieces from all over the text; what short texts don't need goes to the others. The pieces are cut where the rows
+    lie, so the driver gets the dictionaries only. Rows without an id, a language or a text don't count; an empty table
+    teaches nothing. More than `most_languages` languages are an error, since each has a dictionary of its own.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "mark")
     # A filter on row_number lets every task keep its own best rows only, before anything is shuffled.
-    chosen = rows.select("lang", "id", F.length("text").alias("size")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_language)
-    texts = rows.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"]).select("lang", "id", F.substring("text", 1, chars_per_doc).alias("text"))
-    found = defaultdict(list)
-    for lang, _, text in sorted(map(tuple, texts.distinct().collect()), key=lambda x: (x[0], str(x[1]), x[2])):
-        found[lang].append(normalised(text))
-    return CompressionClassifier({lang: b" ".join(own)[:dictionary_bytes] for lang, own in found.items()}, **options)
+    chosen = rows.select("lang", "id", "mark", F.octet_length("text").alias("size")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_language)
+    found = chosen.select("lang", "id", "mark", "size").distinct().limit(docs_per_language * most_languages + 1).collect()
+    sizes = defaultdict(list)
+    for r in found:
+        sizes[r["lang"]].append(r["size"])
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not found:
+        return CompressionClassifier({}, **options)
+    shares = {lang: share_of(own, dictionary_bytes) for lang, own in sizes.items()}
+    keys = docs.sparkSession.createDataFrame([(r["lang"], r["id"], r["mark"]) for r in found], T.StructType([rows.schema[c] for c in ("lang", "id", "mark")]))
+    texts = rows.join(F.broadcast(keys), ["lang", "id", "mark"]).groupBy("lang", "id", "mark").agg(F.first("text").alias("text"))
+    cut = map_columns(texts, ["lang", "text"], [T.StructField("piece", T.BinaryType())], lambda langs, texts: [[pieces(normalised(t), shares[lang]) for lang, t in zip(langs, texts, strict=True)]], drop=["text"])
+    learned = defaultdict(list)
+    for lang, _, _, piece in sorted(map(tuple, cut.collect()), key=lambda x: (x[0], str(x[1]), x[2])):
+        learned[lang].append(bytes(piece))
+    return CompressionClassifier({lang: b" ".join(own) for lang, own in learned.items()}, **options)
 
 
 def identify(docs: DataFrame, model: CompressionClassifier, text_col: str = "text") -> DataFrame:
-    """Add lang_pred, score and rejected to `docs`; columns of those names are replaced, all others pass through."""
+    """Add lang_pred, score and rejected to `docs`; columns of those names are replaced, all others pass through.
+
+    Null texts and texts without letters are `und`, 0 and rejected. Where two languages compress a text to the same
+    size, the first by name is told, with a score of 0, and rejected. Whole texts are compressed in chunks; repeated
+    rows are told the same.
+    """
 
     def fn(texts: list) -> list:
         seen: dict = {}

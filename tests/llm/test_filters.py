@@ -10,6 +10,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from fanplume.llm import class_lm, decontaminate, language_id, quality, secrets
@@ -80,6 +82,55 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r["rejected"] for r in rows) / len(rows) < 0.02
 
 
+def test_languages_by_recompression(spark):
+    """Dictionaries from the rule of the sample, sizes from a compressor per text, in plain Python."""
+    sf = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    by = {}
+    for d, t, lang in docs:
+        if lang is not None and t is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            by.setdefault(lang, []).append((np.uint64(xxhash.xxh64_intdigest(int(d).to_bytes(8, "little"), 42)).astype(np.int64), d, t))
+    dictionaries = {}
+    for lang, own in by.items():
+        texts = [t for _, d, t in sorted(sorted(own)[:160], key=lambda x: str(x[1]))]
+        sizes = [len(t.encode()) for t in texts]
+        share = max(c for c in range(max(sizes) + 1) if sum(min(c, n) for n in sizes) <= 131072 or c == 0)
+        cut = []
+        for t in texts:
+            data = re.sub(rb"[^A-Za-z\x80-\xff]", b" ", t.lower().encode())
+            n = share // 129
+            wide = share // n - 1
+            cut.append(data if len(data) <= share else b" ".join(data[(len(data) - wide) * k // (n - 1) :][:wide] for k in range(n)))
+        dictionaries[lang] = b" ".join(cut)
+    model = language_id.learn_languages(spark.read.parquet(f"{sf}/documents.parquet").filter("crc32(cast(cast(doc_id AS string) AS binary)) % 4 != 2"))
+    assert model.samples == dictionaries and all(0.9 * 131072 < len(x) < 1.01 * 131072 for x in dictionaries.values())
+    told = {r["doc_id"]: r for r in QUERIES["op6_language_id"](spark, sf).collect()}
+    for d, t, _ in docs[::7]:
+        if not t or not any(map(str.isalpha, t)):
+            assert (told[d]["lang_pred"], told[d]["score"]) == ("und", 0.0)
+            continue
+        data = re.sub(rb"[^A-Za-z\x80-\xff]", b" ", t.lower().encode())
+        sizes = []
+        for lang, x in dictionaries.items():
+            c = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            sizes.append((sum(len(c.compress(data[k : k + 2048])) for k in range(0, len(data), 2048)), lang))
+        best, second = sorted(sizes)[:2]
+        assert told[d]["lang_pred"] == best[1] and told[d]["score"] == pytest.approx(1 - best[0] / second[0])
+
+
+def test_every_sampled_text_gives_its_share():
+    assert language_id.share_of([10, 1000, 1000], 110) == 50 and language_id.share_of([5, 6], 100) == 6 and language_id.share_of([], 5) == 0
+    data = bytes(range(256)) * 400
+    cut = language_id.pieces(data, 5000)
+    assert 4000 < len(cut) <= 5000 and cut.startswith(data[:100]) and cut.endswith(data[-100:]) and language_id.pieces(b"short", 9) == b"short"
+
+
+def test_more_languages_than_allowed_are_an_error(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.learn_languages(df, most_languages=4)
+
+
 def test_language_of_odd_rows(odd, empty, clashing):
     model = language_id.learn_languages(odd)
     got = language_id.identify(odd, model).collect()
