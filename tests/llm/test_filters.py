@@ -294,6 +294,65 @@ def test_decontamination_equals_brute_force(spark, sf):
         assert brute_distance(by[r["item_id"]], texts[r["doc_id"]][r["start"] : r["end"]]) == r["edits"]
 
 
+def test_query_finds_no_more_and_no_less_than_brute_force(spark, sf, rows):
+    """Every item against every text that shares a fifth of its words, and every reported place."""
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = QUERIES["op10_decontamination"](spark, sf).collect()
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        assert brute_distance(items[r["item_id"]], texts[r["doc_id"]][r["start"] : r["end"]]) == r["edits"] <= int(len(items[r["item_id"]]) * 0.05)
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    words = {i: set(x.lower().split()) for i, x in items.items()}
+    for d, t in texts.items():
+        own = set((t or "").lower().split())
+        for i, w in words.items():
+            if len(w & own) >= 0.8 * len(w) and len(t) < 30_000 and (d, i) not in found:
+                assert brute_distance(items[i], t) > int(len(items[i]) * 0.05)
+
+
+def test_bit_vectors_give_edit_distances():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        item, text = (rng.integers(97, 99, int(rng.integers(a, b))).astype(np.uint32) for a, b in ((1, 90), (0, 120)))
+        word = "".join(map(chr, item))
+        for end, d in enumerate(decontaminate.distances(item, text).tolist()):
+            row = list(range(len(word) + 1))  # of the item's beginnings to what ends here; a match may begin anywhere
+            best = None
+            table = [0] * (end + 2)
+            for c in word:
+                new = [table[0] + 1]
+                for j, x in enumerate(text[: end + 1].tolist()):
+                    new.append(min(new[-1] + 1, table[j + 1] + 1, table[j] + (chr(x) != c)))
+                table = new
+            best = table[end + 1]
+            assert best == d and len(row) == len(word) + 1
+
+
+def test_repetitive_texts_end():
+    item = "a" * 200
+    near = ("ab" * 100)[:60] + "x" + ("ab" * 100)[61:130] + "yz" + ("ab" * 100)[132:]
+    shared = [f"Question number one of all the questions, the answer is {i * 7919} and so on, {i} {i * i}" for i in range(40)]
+    for items, text in (([item], "a" * 1_000_000), ([near], "ab" * 60_000), ([item, near], "a" * 90_000 + "ab" * 9_000), (shared, " ".join(shared))):
+        began = time.process_time()
+        index = decontaminate.GramIndex(items, 8, 0.05)
+        index.prepare()
+        found = index.search([text])[0]
+        assert time.process_time() - began < 12
+        assert found and all(brute_distance(items[m.item], text[m.start : m.end]) == m.edits for m in found[:: max(1, len(found) // 20)])
+        if items == [item]:
+            assert len(found) == 5000
+
+
+def test_long_texts_are_searched_in_overlapping_parts(monkeypatch):
+    items = ["the quick brown onion jumps over the lazy ring and falls asleep", "few words"]
+    text = "".join(f"filler {k} text {items[0] if k % 9 == 0 else ''} and {items[1] if k % 5 == 0 else ''} so on " for k in range(300))
+    whole = decontaminate.GramIndex(items, 8, 0.05)
+    whole.prepare()
+    want = whole.search([text])[0]
+    monkeypatch.setattr(decontaminate.GramIndex, "PART", 500)
+    assert whole.search([text])[0] == want and len(want) == 34 + 60
+
+
 def test_every_verbatim_passage_is_found(spark, sf, rows):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op10_decontamination"](spark, sf).collect()}
@@ -301,9 +360,10 @@ def test_every_verbatim_passage_is_found(spark, sf, rows):
 
 
 def test_decontamination_of_odd_rows(spark, odd, empty, clashing):
-    bench = spark.createDataFrame([(1, "tall5 tree5 tall6 tree6 tall7 tree7 tall8 tree8"), (2, None), (3, ""), (None, "short"), (4, "tall5 tree5 tall6 tree6 tall7 tree7 tall8 tree8")], "item_id long, text string")
-    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_benchmark(odd, bench).collect()) == [(7, 1), (7, 4)]
-    assert decontaminate.decontaminate(odd, bench).count() == odd.count() - 1
+    bench = spark.createDataFrame([(1, "tall5 tree5 tall6 tree6 tall7 tree7 tall8 tree8"), (2, None), (3, ""), (None, "short"), (5, "alone"), (6, "lone"), (4, "tall5 tree5 tall6 tree6 tall7 tree7 tall8 tree8")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_benchmark(odd, bench).filter("doc_id IS NOT NULL").collect()) == [(7, 1), (7, 4)]
+    assert [(r["item_id"], r["start"], r["end"]) for r in decontaminate.find_benchmark(odd.filter("doc_id IS NULL"), bench).collect()] == [(5, 0, 5)]
+    assert decontaminate.decontaminate(odd, bench).count() == odd.count() - 2
     assert decontaminate.find_benchmark(odd, bench.filter("false")).count() == 0 and decontaminate.find_benchmark(empty, bench).count() == 0
     assert decontaminate.decontaminate(clashing, bench).columns == clashing.columns
 
