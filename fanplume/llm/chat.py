@@ -15,7 +15,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 Turn = tuple[str, str]
 Renderer = Callable[[list[Turn]], str]
 
-_PROBE = "\ue000"
+
+def probe_for(turns: list[Turn], out: str) -> str:
+    """A private-use character that neither the turns nor their rendering hold."""
+    held = set(out).union(*(r + t for r, t in turns))
+    return next(chr(c) for c in (*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE)) if chr(c) not in held)
 
 
 class TurnTemplate:
@@ -46,37 +50,54 @@ class TurnTemplate:
         return found
 
 
-def locate(render: Renderer, turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
+Span = tuple[int | None, int | None, int, int]
+
+
+def locate(render: Renderer, turns: list[Turn]) -> tuple[str, list[Span | None], int | None]:
     """The rendered conversation, (start, end, text start, text end) of each turn in it, and the first turn whose
-    addition rewrites what was rendered before it (None if none does; spans from there on aren't known and left out).
+    addition rewrites what was rendered before it (None if none does).
 
     `render` is a black box: successive prefixes of the conversation are rendered and compared. A constant ending
     (of the conversation, not of a turn) may follow every output. A turn's text is where a probe in its place shows.
+    Where history is rewritten, prefixes tell nothing about the final rendering, so each turn is probed in the whole
+    conversation: start and end are None then, and a turn whose text isn't shown, or not once, has no span.
     """
-    outs = [render([])]
-    spans: list[tuple[int, int, int, int]] = []
-    ending = outs[0]
+    whole = render(turns)
+    probe = probe_for(turns, whole)
+    empty = render([])
+    spans: list[Span | None] = []
+    ending = empty
     if turns:
         first = render(turns[:1])
         # What an empty conversation shows is a beginning, an ending or both.
-        ending = outs[0][len(commonprefix([outs[0], first])) :]
+        ending = empty[len(commonprefix([empty, first])) :]
         if not first.endswith(ending):
-            return render(turns), [], 0
-    body = outs[0][: len(outs[0]) - len(ending)]
-    out = outs[0]
+            return whole, _probed(render, turns, whole, probe), 0
+    body = empty[: len(empty) - len(ending)]
     for k, (role, _) in enumerate(turns):
         out = render(turns[: k + 1])
-        if not (out.startswith(body) and out.endswith(ending)):
-            return render(turns), spans, k
+        probed = render([*turns[:k], (role, probe)])
+        before = probed.find(probe, len(body))
+        after = len(probed) - len(ending) - before - 1
         new = out[: len(out) - len(ending)]
-        probe = render([*turns[:k], (role, _PROBE)])
-        before = probe.find(_PROBE, len(body)) if probe.startswith(body) else -1
-        after = len(probe) - len(ending) - before - 1
-        if before < 0 or len(new) - after < before or out[:before] != probe[:before]:
-            return render(turns), spans, k
+        known = out.startswith(body) and out.endswith(ending) and probed.startswith(body) and before >= 0 and len(new) - after >= before and out[:before] == probed[:before]
+        if not known:
+            return whole, _probed(render, turns, whole, probe), k
         spans.append((len(body), len(new), before, len(new) - after))
         body = new
-    return out, spans, None
+    return whole, spans, None
+
+
+def _probed(render: Renderer, turns: list[Turn], whole: str, probe: str) -> list[Span | None]:
+    """Where each turn's text shows in `whole`, from renderings of all turns with a probe in its place."""
+    spans: list[Span | None] = []
+    for k, (role, _) in enumerate(turns):
+        out = render([*turns[:k], (role, probe), *turns[k + 1 :]])
+        before = out.find(probe)
+        end = len(whole) - (len(out) - before - 1)
+        shown = before >= 0 and out.count(probe) == 1 and before <= end and whole[:before] == out[:before] and whole[end:] == out[before + 1 :]
+        spans.append((None, None, before, end) if shown else None)
+    return spans
 
 
 FORMATTED = T.StructType(
@@ -94,7 +115,7 @@ def format_conversations(
     turns: DataFrame, render: Renderer | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_roles: tuple[str, ...] = ("assistant",)
 ) -> DataFrame:
     """One row per conversation: its id, n_turns, formatted text, the span of each turn, the loss mask as spans of the
-    texts of `loss_roles`, and rewritten_at: the first turn that rewrites history (its template gives no mask from there).
+    texts of `loss_roles`, and rewritten_at: the first turn that rewrites history (null if none does; see `locate`).
 
     A conversation is one value in the end, so its rows meet in one group; prefixes cost the square of its number of
     turns. Turns with the same number come by role, then text; null roles and texts are empty; a null turn number
@@ -117,8 +138,8 @@ def format_conversations(
                     {
                         "n_turns": len(roles),
                         "formatted": out,
-                        "turns": [dict(zip(("role", "start", "end", "text_start", "text_end"), (r, *s), strict=True)) for r, s in zip(roles, spans, strict=False)],
-                        "loss": [{"start": s[2], "end": s[3]} for r, s in zip(roles, spans, strict=False) if r in loss_roles],
+                        "turns": [dict(zip(("role", "start", "end", "text_start", "text_end"), (r, *(s or (None,) * 4)), strict=True)) for r, s in zip(roles, spans, strict=True)],
+                        "loss": [{"start": s[2], "end": s[3]} for r, s in zip(roles, spans, strict=True) if s and r in loss_roles],
                         "rewritten_at": rewritten,
                     }
                 )
@@ -129,7 +150,10 @@ def format_conversations(
 
 
 def digests(formatted: DataFrame, template: TurnTemplate | None = None, conv_col: str = "conv_id") -> DataFrame:
-    """What `formatted` says when it is read back: the turns parsed from the text, the text under the loss mask."""
+    """What `formatted` (of `format_conversations` with this template) says when it is read back: n_turns and
+    turns_sha256 of the turns parsed from the text, loss_chars and loss_sha256 of the text under the loss mask,
+    formatted_chars. One row per row of `formatted`, null ids and repeated ones included; a text of no turns gives 0
+    and the digest of the empty text; other columns are not returned; a text that is no rendering is an error."""
     import hashlib
 
     template = template or TurnTemplate()

@@ -53,7 +53,32 @@ def test_templates_that_rewrite_history():
 
     turns = [("user", "one"), ("assistant", "two"), ("user", "three")]
     out, spans, rewritten = chat.locate(last_only, turns)
-    assert rewritten == 2 and len(spans) == 2 and out == last_only(turns)
+    assert rewritten == 2 and out == last_only(turns)
+    assert [s and out[s[2] : s[3]] for s in spans] == ["one", None, "three"]
+    turns = [("user", "one"), ("assistant", "a longer answer"), ("user", "three"), ("assistant", "the last answer")]
+    out, spans, rewritten = chat.locate(last_only, turns)
+    assert rewritten == 2 and [s and out[s[2] : s[3]] for s in spans] == ["one", None, "three", "the last answer"]
+
+    def newest_first(turns):
+        return "".join(f"<{r}>{t}\n" for r, t in reversed(turns))
+
+    out, spans, rewritten = chat.locate(newest_first, turns)
+    assert rewritten == 1 and [out[s[2] : s[3]] for s in spans] == [t for _, t in turns]
+
+
+def test_rewritten_history_masks_no_foreign_text(spark):
+    render = lambda turns: "".join(f"<{r}>{'...' if r == 'assistant' and k < len(turns) - 1 else t}\n" for k, (r, t) in enumerate(turns))
+    rows = [(1, 0, "user", "one"), (1, 1, "assistant", "a longer answer"), (1, 2, "user", "three"), (1, 3, "assistant", "the end")]
+    (r,) = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), render).collect()
+    assert r["rewritten_at"] == 2 and [r["formatted"][x["start"] : x["end"]] for x in r["loss"]] == ["the end"]
+    assert [x["text_start"] is None for x in r["turns"]] == [False, True, False, False]
+
+
+def test_probes_that_the_texts_hold():
+    t = chat.TurnTemplate()
+    turns = [("\ue000", "\ue000\ue001"), ("assistant", "\ue002"), ("user\ue003", "")]
+    out, spans, rewritten = chat.locate(t, turns)
+    assert rewritten is None and [out[a:b] for _, _, a, b in spans] == [x for _, x in turns]
 
 
 def test_odd_conversations(spark):
