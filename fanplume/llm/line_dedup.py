@@ -31,7 +31,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are exploded as 128-bit hashes of their keys, once per document; hash groups are counted with partial
     aggregates, so a line that a third of all documents holds costs each task one row, and the few hottest hashes find
-    their lines without a shuffle. The documents that lose lines get the set of their hashes back and are put together again by position.
+    their lines without a shuffle. The documents that lose lines get the set
+    of their hashes back and are put together again by position.
 
     Returns the columns of `docs` with the text replaced, plus n_lines (before dropping) and n_dropped; columns of
     those names are replaced. Null and empty texts are one empty line and become the empty text. Rows that repeat an
@@ -48,27 +49,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 own.discard(None)
                 ids += [i] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(found, pa.binary())], ["id", "hash"])
+            at = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(found, pa.binary())], ["id", "mark", "hash"])
 
-    lines = base.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
-        hashes, T.StructType([T.StructField("id", base.schema[id_col].dataType), T.StructField("hash", T.BinaryType())])
+    # The mark of its text tells a row from others of one null or repeated id, so no id gathers the lines of many rows.
+    mark = F.xxhash64(F.col(f"`{text_col}`"))
+    lines = base.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), mark.alias("mark")).mapInArrow(
+        hashes, T.StructType([T.StructField("id", base.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("hash", T.BinaryType())])
     )
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     if min_docs == 2:
         shared = lines.groupBy("hash").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("n")).filter("first != last").drop("last")
     else:
-        shared = lines.distinct().groupBy("hash").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+        shared = lines.select("id", "hash").distinct().groupBy("hash").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
     shared = stored(shared)
     # At most HOT hashes have more than one in HOT of all shared lines: these are broadcast, the others meet by hash.
     total = shared.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * HOT > total
     told = lines.join(F.broadcast(shared.filter(hot).select("hash", F.col("first").alias("known"))), "hash", "left")
-    spread = F.coalesce(F.unhex(F.md5(F.col("id").cast("string"))), F.lit(b""))
+    spread = F.unhex(F.md5(F.concat_ws(" ", "id", "mark")))
     told = told.withColumn("at", F.when(F.col("known").isNull(), F.col("hash")).otherwise(spread))
     told = told.join(shared.filter(~hot).select(F.col("hash").alias("at"), "first"), "at", "left")
     lost = told.filter(rank != F.coalesce("known", "first"))
-    lost = lost.groupBy(F.col("id").alias("__fp_id")).agg(F.collect_set("hash").alias("__fp_lost"))
-    joined = base.join(lost, base[f"`{id_col}`"].eqNullSafe(F.col("__fp_id")), "left").drop("__fp_id")
+    lost = lost.groupBy(F.col("id").alias("__fp_id"), F.col("mark").alias("__fp_mark")).agg(F.collect_set("hash").alias("__fp_lost"))
+    joined = base.join(lost, base[f"`{id_col}`"].eqNullSafe(F.col("__fp_id")) & (mark == F.col("__fp_mark")), "left").drop("__fp_id", "__fp_mark")
 
     def rebuild(texts: list, lost: list) -> list:
         kept_texts, n_lines, n_dropped = [], [], []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanplume.llm.common import WordHashes, map_columns, mix, rolled, sliced, stored, without, words_of
+from fanplume.llm.common import WordHashes, discard, map_columns, mix, rolled, sliced, stored, without, words_of
 
 #: Registers of a signature, and how many of them make a band: a pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8^4)^24 = 3e-6.
@@ -119,22 +119,26 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(key, label) of all keys in `links` (a, b): the least key that is connected to each.
+def components(links: DataFrame, most_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(key, label) of all keys in `links` (a, b): the least key that is connected to each; and the stored table of it.
 
     Each round takes the least label of the neighbours, by partial aggregates, and then the label of the label; it
     ends when nothing changes, after about the logarithm of the longest path.
     """
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = stored(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("low")).select("key", F.least("key", "low").alias("label")))
+    last = labels
     for _ in range(most_rounds):
         low = edges.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("low"))
         near = labels.join(low, "key").select("key", F.least("label", "low").alias("near"), F.col("label").alias("old"))
         jump = labels.select(F.col("key").alias("near"), F.col("label").alias("far"))
         new = stored(near.join(jump, "near").select("key", F.least("near", "far").alias("label"), (F.least("near", "far") != F.col("old")).alias("moved")))
-        labels = new.select("key", "label")
-        if not new.filter("moved").limit(1).count():
-            return labels
+        settled = not new.filter("moved").limit(1).count()
+        discard(last)
+        last, labels = new, new.select("key", "label")
+        if settled:
+            discard(edges)
+            return labels, new
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
@@ -257,7 +261,7 @@ def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float) -> DataFr
     texts = map_columns(found, ["text"], [T.StructField("key", T.BinaryType())], lambda t: [[text_key(words_of(x)) for x in t]])
     texts = stored(texts.filter("key = want").groupBy("key").agg(F.first("text").alias("text")))
     links = stored(_verified(pairs, texts, size, least))
-    labels = components(links)
+    labels, first = components(links)
     marked = stored(members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
     mixed = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("h")
 
@@ -268,7 +272,12 @@ def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float) -> DataFr
     sets = map_columns(texts, ["key", "text"], [T.StructField("shingles", T.BinaryType())], shingles, drop=["text"])
     parts = marked.join(mixed, "h").join(nodes.select("key", "signature"), "key").join(sets, "key")
     more = stored(_across(parts, least).distinct())
-    return components(links.unionByName(more)) if more.limit(1).count() else labels
+    if more.limit(1).count():
+        labels, _ = components(links.unionByName(more))
+        discard(first)
+    for table in (members, texts, links, marked, more):
+        discard(table)
+    return labels
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:

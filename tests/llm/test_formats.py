@@ -207,3 +207,21 @@ def test_pipeline(spark, sf, docs, rows):
     check_pieces(pieces, clean)
     whole = P.run(spark, sf)
     check_pieces(whole.collect(), clean)  # partitions may differ, so the pieces may; their documents don't
+
+
+def test_pipeline_of_odd_tables(spark, odd, empty, clashing, tmp_path):
+    """Nulls in any column, repeated rows and extra columns whose names the stages use."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, "an item that no document holds, whatever it says")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = [c for c in clashing.columns if c not in odd.columns]
+    extra = clashing.select("*", F.lit("own").alias("n_lines2")).drop("kept")
+    for table in (odd, extra, empty):
+        at = table
+        for name, stage in P.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == table.columns, name
+        rows = at.collect()
+        assert all(r[n] == f"own {n}" for r in rows for n in names if n in at.columns)
+        assert {r["doc_id"] for r in rows} <= {1, 2, 3, 7, 8, 9, 10, None} and bool(rows) == (table is not empty)
+        assert P.STAGES[-1][1](spark, at, str(tmp_path)).filter("length = 0").count() == 0
