@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanplume.functions import clock
 from fanplume.functions.missing import num, where
-from fanplume.functions.units import HOURS, Unit
+from fanplume.functions.units import HOURS, product, quotient
 from fanplume.operators.reduce import BY_NAME, DT, Aggregate
 
 #: Dimensions in the order that results show them.
@@ -20,6 +20,8 @@ ORDER = ("model", "member", "time", "hour", "route", "lat", "lon", "point", "dis
 #: Values that a sum over time makes little sense of, and those that are compass directions.
 STATES = {"t2m", "td2m", "rh", "feels_like", "wind", "gust", "cloud", "cape"}
 DIRECTIONS = {"wind_dir"}
+#: Cells that a cube may have to be repeated over another.
+SMALL = 10_000
 
 
 @dataclass(frozen=True)
@@ -33,28 +35,42 @@ class Cube:
     df: DataFrame
     dims: tuple[str, ...]
     values: tuple[str, ...]
-    units: dict[str, Unit] = field(default_factory=dict)
+    units: dict[str, str] = field(default_factory=dict)
     notes: tuple[str, ...] = ()
+    #: Of a cube just read: its cube for a stretch of time (from, before), which the scan then reads alone.
+    within: Callable[[datetime | None, datetime | None], Cube] | None = None
 
     @classmethod
     def dense(cls, cells: DataFrame, dims: Iterable[str], values: Iterable[str], hours: float = 1.0, **units: str) -> Cube:
-        """A cube of all combinations of the labels that occur in `cells`.
+        """A cube of all combinations of the labels that occur in `cells`."""
+        return cls.over(cls.grid(cells, dims), cells, dims, values, hours, **units)
 
-        The labels of each dimension, which are few, are gathered in one row by partial aggregates and unfolded again,
-        the longest one first so that the rest unfolds in parallel.
+    @staticmethod
+    def grid(cells: DataFrame, dims: Iterable[str]) -> DataFrame:
+        """All combinations of the labels that occur in `cells`.
+
+        The labels of each dimension, which are few, are gathered in one row by partial aggregates and unfolded again:
+        time first, or two dimensions where there is none, so that the rest unfolds in parallel.
         """
-        dims, values = tuple(dims), tuple(values)
+        dims = sorted(dims, key=lambda d: d != "time")
+        first = dims[:1] if "time" in dims else dims[:2]
         grid = cells.agg(*(F.collect_set(d).alias(d) for d in dims))
-        for k, d in enumerate(sorted(dims, key=lambda d: d != "time")):
+        for d in dims:
             grid = grid.withColumn(d, F.explode(d))
-            if not k:
-                grid = grid.repartition(d)
+            if d == first[-1]:
+                grid = grid.repartition(*first)
+        return grid
+
+    @classmethod
+    def over(cls, grid: DataFrame, cells: DataFrame, dims: Iterable[str], values: Iterable[str], hours: float = 1.0, **units: str) -> Cube:
+        """A cube of the combinations of `grid`, with the values that `cells` has for them."""
+        dims, values = tuple(dims), tuple(values)
         df = grid.join(cells.select(*dims, *values), list(dims), "left").select(*dims, *values)
         df = df.withColumn(DT, F.lit(hours)) if "time" in dims else df
-        return cls(df, tuple(sorted(dims, key=ORDER.index)), values, {k: Unit.parse(u) for k, u in units.items()})
+        return cls(df, tuple(sorted(dims, key=ORDER.index)), values, units)
 
     def _with(self, df: DataFrame, **changes) -> Cube:
-        return dataclasses.replace(self, df=df, **changes)
+        return dataclasses.replace(self, df=df, within=None, **changes)
 
     def _aux(self) -> list[str]:
         return [DT] if "time" in self.dims else []
@@ -62,11 +78,13 @@ class Cube:
     # elementwise
 
     def let(self, **columns: Column) -> Cube:
-        """Add values computed from others of the same cell."""
-        return self._with(self.df.withColumns(columns), values=tuple(dict.fromkeys([*self.values, *columns])))
+        """Add values computed from others of the same cell. Their unit isn't known; a replaced value loses its own."""
+        units = {v: u for v, u in self.units.items() if v not in columns}
+        return self._with(self.df.withColumns(columns), values=tuple(dict.fromkeys([*self.values, *columns])), units=units)
 
     def only(self, *values: str) -> Cube:
-        return self._with(self.df.select(*self.dims, *values, *self._aux()), values=values)
+        within = (lambda a, b: self.within(a, b).only(*values)) if self.within else None
+        return dataclasses.replace(self, df=self.df.select(*self.dims, *values, *self._aux()), values=values, within=within)
 
     def where(self, condition: Column, other: float | None = None) -> Cube:
         """Mask all values; cells stay."""
@@ -79,10 +97,33 @@ class Cube:
         """The labels of a dimension in order, and their positions."""
         return self.df.select(dim).distinct().withColumn("pos", F.row_number().over(Window.orderBy(dim)) - 1)
 
-    def sel(self, zone: str = "UTC", **labels) -> Cube:
+    def require(self, dim: str, labels: list) -> None:
+        """An error that names the labels which the dimension doesn't have; reads the axis once."""
+        own = self.df.select(F.col(dim).alias("x")).distinct().filter(F.col("x").isin(labels))
+        absent = set(labels) - {r["x"] for r in own.collect()}  # as many as were asked for
+        if absent:
+            raise ValueError(f"{dim} has no {', '.join(map(str, sorted(absent)))}")
+
+    def sel(self, zone: str = "UTC", strict: bool = False, **labels) -> Cube:
         """By label. A scalar drops its dimension, a list keeps it; a slice of times is half-open, other slices include
-        both ends; the text of a date is the whole local day. Labels are local to `zone` unless they have an offset."""
-        df, dims = self.df, self.dims
+        both ends; the text of a date is the whole local day. Labels are local to `zone` unless they have an offset.
+
+        A stretch of time that is selected first is all that the scan reads. Labels that aren't there select nothing;
+        with `strict` they are an error, and so is a slice that nothing lies in.
+        """
+        base = self
+        if self.within and "time" in labels:
+            span = _span(labels["time"], zone)
+            base = self.within(*span) if span else self
+        df, dims = base.df, self.dims
+        if strict:
+            for dim, want in labels.items():
+                day = dim == "time" and isinstance(want, str) and len(want) == 10
+                if isinstance(want, slice) or day:
+                    if not self.sel(zone, **{dim: want}).df.limit(1).count():
+                        raise ValueError(f"nothing in this range of {dim}")
+                else:
+                    self.require(dim, [datetime.fromisoformat(str(clock.utc(x, zone))) if dim == "time" and isinstance(x, str) else x for x in (want if isinstance(want, list) else [want])])
         for dim, want in labels.items():
             c = F.col(dim)
             if dim == "time" and isinstance(want, str) and len(want) == 10:
@@ -101,10 +142,17 @@ class Cube:
                 dims = tuple(d for d in dims if d != dim)
         return self._with(df, dims=dims)
 
-    def isel(self, **positions: int | list[int] | slice) -> Cube:
-        """By position on the dimension's axis, which is small and broadcast; negative ones count from the end."""
+    def isel(self, strict: bool = False, **positions: int | list[int] | slice) -> Cube:
+        """By position on the dimension's axis, which is small and broadcast; negative ones count from the end.
+
+        Positions that aren't there select nothing; with `strict` they are an error.
+        """
         out = self
         for dim, want in positions.items():
+            if strict and not isinstance(want, slice):
+                size = out.df.select(dim).distinct().count()
+                if wrong := [k for k in (want if isinstance(want, list) else [want]) if not -size <= k < size]:
+                    raise ValueError(f"{dim} has {size} labels; no position {wrong[0]}")
             axis = out.axis(dim).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy()))
             pos, size = F.col("pos"), F.col("size")
             if isinstance(want, slice):
@@ -130,23 +178,32 @@ class Cube:
         timed = "time" in gone
         columns = [a(timed).alias(n) for n, a in aggregates.items()]
         df = self.df.groupBy(*keep).agg(*columns, *([F.first(DT).alias(DT)] if "time" in keep else []))
-        units, notes = {}, list(self.notes)
-        for n, a in aggregates.items():
-            unit = self.units.get(a.of)
-            if a.kind == "count":
-                unit = Unit()
-            elif a.kind == "sum" and timed and unit is not None:
-                unit = unit * HOURS
-            if unit is not None:
-                units[n] = unit
-            if a.kind == "sum" and timed and a.of in STATES:
-                notes.append(f"{n}: a sum over time of {a.of}, which is a state and not a rate")
-            if a.of in DIRECTIONS and a.kind != "count":
-                notes.append(f"{n}: {a.kind} of a direction; average its sine and cosine instead")
+        units, notes = self._described({n: (a.kind, a.of) for n, a in aggregates.items()}, timed)
         if {"model", "member"} <= gone:
             notes.append("members of all models are pooled, so models count by their numbers of members")
         return Cube(df, keep, tuple(aggregates), units, tuple(dict.fromkeys(notes)))
 
+    def _described(self, made: dict[str, tuple[str, str]], timed: bool) -> tuple[dict[str, str], list[str]]:
+        """Units and notes of values made by an aggregate (kind) of a value, over time or not."""
+        units, notes = {}, list(self.notes)
+        for name, (kind, of) in made.items():
+            unit = "" if kind in ("count", "any", "all") else self.units.get(of)
+            if kind == "sum" and timed and unit is not None:
+                unit = product(unit, HOURS)
+            if unit is not None:
+                units[name] = unit
+            if kind == "sum" and timed and of in STATES:
+                notes.append(f"{name}: a sum over time of {of}, which is a state and not a rate")
+            if of in DIRECTIONS and kind != "count":
+                notes.append(f"{name}: {kind} of a direction; average its sine and cosine instead")
+        return units, notes
+
+    def _over_time(self, df: DataFrame, how: str, made: tuple[str, ...], **changes) -> Cube:
+        """This cube with values made by `how` over samples of time, and with their units and notes."""
+        units, notes = self._described({v: (how, v) for v in made}, True)
+        kept = {v: u for v, u in self.units.items() if v not in made and v in changes.get("values", self.values)}
+        return self._with(df, units=kept | units, notes=tuple(dict.fromkeys(notes)), **changes)
+
     def unfold_quantiles(self, name: str, levels: list[float]) -> Cube:
         """Turn an array of quantiles into a dimension."""
         df = self.df.select(*self.dims, *self._aux(), F.posexplode_outer(name).alias("pos", name))
@@ -159,7 +216,8 @@ class Cube:
         """Over the last `n` samples; missing unless all of them are there. Sums and means are weighted by hours."""
         w = Window.partitionBy(*(d for d in self.dims if d != "time")).orderBy("time").rowsBetween(1 - n, 0)
         out = {}
-        for v in values or self.values:
+        values = values or self.values
+        for v in values:
             x = num(F.col(v))
             full = F.count(x).over(w) == n
             made = {
@@ -169,31 +227,33 @@ class Cube:
                 "min": lambda x=x: F.min(x).over(w),
             }[how]()
             out[v] = F.when(full, made)
-        return self._with(self.df.withColumns(out))
+        return self._over_time(self.df.withColumns(out), how, values)
 
     def rolling_between(self, n: int, how: str, start: str, stop: str, zone: str = "UTC", hours: float = 1.0) -> Cube:
         """`rolling` and then `.sel(time=slice(start, stop))`, reading only n - 1 samples more than asked for.
 
-        Spark keeps a filter on time above the window; the wider one below it reaches the scan.
+        Spark keeps a filter on time above the window, so the wider one is set below it, where it reaches the scan.
         """
-        wide = F.lit(clock.utc(start, zone)).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(3600 * hours * (n - 1))))
-        near = self._with(self.df.filter((F.col("time") >= wide) & (F.col("time") < _time(stop, zone))))
+        wide = clock.utc(start, zone) - timedelta(hours=hours * (n - 1))
+        near = self.sel(time=slice(wide, clock.utc(stop, zone)))
         return near.rolling(n, how).sel(zone, time=slice(start, stop))
 
     def resample(self, hours: int, how: str, *values: str, zone: str = "UTC") -> Cube:
         """Over local buckets of `hours` (24 for days), labelled by their first sample."""
         keep = [d for d in self.dims if d != "time"]
-        columns = [BY_NAME[how](v)(True).alias(v) for v in values or self.values]
+        values = tuple(values or self.values)
+        columns = [BY_NAME[how](v)(True).alias(v) for v in values]
         df = self.df.withColumn("__bucket", clock.bucket(F.col("time"), hours, zone)).groupBy(*keep, "__bucket")
         df = df.agg(F.min("time").alias("time"), *columns, F.sum(DT).alias(DT)).drop("__bucket")
-        return self._with(df, values=tuple(values or self.values))
+        return self._over_time(df, how, values, values=values)
 
     def by_hour(self, how: str, *values: str, zone: str = "UTC") -> Cube:
         """Over all samples of the same local hour of day."""
         keep = [d for d in self.dims if d != "time"]
-        columns = [BY_NAME[how](v)(True).alias(v) for v in values or self.values]
+        values = tuple(values or self.values)
+        columns = [BY_NAME[how](v)(True).alias(v) for v in values]
         df = self.df.groupBy(*keep, F.hour(clock.local(F.col("time"), zone)).alias("hour")).agg(*columns)
-        return self._with(df, dims=tuple(sorted([*keep, "hour"], key=ORDER.index)), values=tuple(values or self.values))
+        return self._over_time(df, how, values, dims=tuple(sorted([*keep, "hour"], key=ORDER.index)), values=values)
 
     # ranks
 
@@ -201,9 +261,8 @@ class Cube:
         """The label of the greatest (or least) value along a dimension: the first one of several, missing if all are."""
         keep = tuple(d for d in self.dims if d != dim)
         x = num(F.col(value))
-        sign = x if largest else -x
-        best = F.max(F.when(x.isNotNull(), sign)).over(Window.partitionBy(*keep))
-        df = self.df.withColumn("__best", best).groupBy(*keep).agg(F.min(F.when(sign == F.col("__best"), F.col(dim))).alias(name))
+        rank = F.struct((-x if largest else x).alias("x"), F.col(dim).alias("label"))
+        df = self.df.groupBy(*keep).agg(F.min(F.when(x.isNotNull(), rank))["label"].alias(name))
         return Cube(df, keep, (name,), {}, self.notes)
 
     def top(self, n: int, by: str, ascending: bool = False) -> DataFrame:
@@ -221,12 +280,14 @@ class Cube:
     def align(self, other: Cube, suffix: str = "_b") -> Cube:
         """Both cubes on the labels that they share; dimensions that only one has are repeated over the other.
 
-        Values of `other` whose names are taken get the suffix. Needs a dimension in common; a cube without any
-        (a constant) has one row and is broadcast.
+        Values of `other` whose names are taken get the suffix. Without a dimension in common, as with a constant, all
+        of `other` is repeated; it is counted first, and more than SMALL cells are an error.
         """
         shared = [d for d in self.dims if d in other.dims]
         renamed = {v: v + suffix for v in other.values if v in self.values}
         right = other.df.select(*other.dims, *(F.col(v).alias(renamed.get(v, v)) for v in other.values), *([DT] if "time" in other.dims and "time" not in self.dims else []))
+        if not shared and right.limit(SMALL + 1).count() > SMALL:
+            raise ValueError(f"no dimension in common, and more than {SMALL} cells to repeat")
         df = self.df.join(right, shared, "inner") if shared else self.df.join(F.broadcast(right))
         dims = tuple(sorted(dict.fromkeys([*self.dims, *other.dims]), key=ORDER.index))
         units = self.units | {renamed.get(v, v): u for v, u in other.units.items()}
@@ -243,7 +304,9 @@ class Cube:
             if ua is not None and ub is not None and ua != ub:
                 notes.append(f"{name}: combining values in {ua} and {ub}")
         elif ua is not None and ub is not None:
-            unit = ua * ub if sign == "*" else ua / ub
+            unit = product(ua, ub) if sign == "*" else quotient(ua, ub)
+        else:
+            unit = None
         out = self.let(**{name: column})
         return dataclasses.replace(out, units=self.units | ({name: unit} if unit is not None else {}), notes=tuple(notes))
 
@@ -255,3 +318,14 @@ class Cube:
 
 def _time(x: str | datetime, zone: str) -> Column:
     return F.lit(clock.utc(x, zone) if isinstance(x, str) else x).cast("timestamp_ntz")
+
+
+def _span(want, zone: str) -> tuple[datetime | None, datetime | None] | None:
+    """The stretch of time (from, before) that a selection lies in, or None if it isn't one stretch."""
+    at = lambda x: clock.utc(x, zone) if isinstance(x, str) else x
+    if isinstance(want, slice):
+        return at(want.start), at(want.stop)
+    if isinstance(want, str) and len(want) == 10:
+        return clock.local_day(want, zone)
+    labels = [at(x) for x in (want if isinstance(want, list) else [want])]
+    return (min(labels), max(labels) + timedelta(microseconds=1)) if labels else None

@@ -1,57 +1,49 @@
-"""Units of values: products of symbols with integer powers."""
+"""Units of values as text, such as `mm`, `km/h` or `W/m²`; empty text is a pure number and `?` an unknown unit."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from collections import Counter
 
+UNKNOWN = "?"
+HOURS = "h"
+#: What follows a symbol that is multiplied more than once.
+RAISED = {1: "", 2: "²", 3: "³"}
 
-@dataclass(frozen=True)
-class Unit:
-    """`powers` maps symbols to powers; None stands for an unknown unit, printed `?`."""
 
-    powers: tuple[tuple[str, int], ...] | None = ()
+def factors(unit: str) -> Counter[str]:
+    """How often each symbol is a factor; of divisors, a negative number."""
+    found: Counter[str] = Counter()
+    for k, part in enumerate(unit.split("/")):
+        for word in part.split("·"):
+            symbol = word.rstrip("²³") if word != "1" else ""
+            if symbol:
+                found[symbol] += next(n for n, mark in RAISED.items() if word == symbol + mark) * (-1 if k else 1)
+    return found
 
-    @classmethod
-    def parse(cls, text: str) -> Unit:
-        if text == "?":
-            return cls(None)
-        up: dict[str, int] = {}
-        for sign, part in zip((1, -1, -1, -1), text.split("/"), strict=False):
-            for symbol, power in re.findall(r"([^\d·\s²³]+)([²³]?)", part):
-                up[symbol] = up.get(symbol, 0) + sign * {"": 1, "²": 2, "³": 3}[power]
-        return cls._of(up)
 
-    @classmethod
-    def _of(cls, powers: dict[str, int]) -> Unit:
-        return cls(tuple(sorted((s, p) for s, p in powers.items() if p)))
+def spelled(found: Counter[str]) -> str:
+    """The unit with these factors; divisors follow one by one, each behind its own stroke."""
+    words = {way: [s + RAISED.get(way * n, f"^{way * n}") for s, n in sorted(found.items()) if way * n > 0] for way in (1, -1)}
+    return "/".join(["·".join(words[1]) or ("1" if words[-1] else ""), *words[-1]])
 
-    def __mul__(self, other: Unit) -> Unit:
-        return self._with(other, 1)
 
-    def __truediv__(self, other: Unit) -> Unit:
-        return self._with(other, -1)
+def _joined(a: str, b: str, way: int) -> str:
+    if UNKNOWN in (a, b):
+        return UNKNOWN
+    one, two = factors(a), factors(b)
+    return spelled(Counter({s: one[s] + way * two[s] for s in {*one, *two}}))
 
-    def _with(self, other: Unit, sign: int) -> Unit:
-        if self.powers is None or other.powers is None:
-            return Unit(None)
-        out = dict(self.powers)
-        for s, p in other.powers:
-            out[s] = out.get(s, 0) + sign * p
-        return Unit._of(out)
 
-    def __pow__(self, n: float) -> Unit:
-        if self.powers is None or any(p * n != int(p * n) for _, p in self.powers):
-            return Unit(None)
-        return Unit._of({s: int(p * n) for s, p in self.powers})
+def product(a: str, b: str) -> str:
+    return _joined(a, b, 1)
 
-    def __str__(self) -> str:
-        if self.powers is None:
-            return "?"
-        show = lambda s, p: s + {1: "", 2: "²", 3: "³"}.get(p, f"^{p}")
-        up = "·".join(show(s, p) for s, p in self.powers if p > 0)
-        down = "/".join(show(s, -p) for s, p in self.powers if p < 0)
-        return f"{up or '1'}/{down}" if down else up
 
+def quotient(a: str, b: str) -> str:
+    return _joined(a, b, -1)
 
-HOURS = Unit.parse("h")
+
+def power(a: str, n: float) -> str:
+    """`?` where a factor would not be whole, as in the square root of a length."""
+    if a == UNKNOWN or any(k * n != int(k * n) for k in factors(a).values()):
+        return UNKNOWN
+    return spelled(Counter({s: int(k * n) for s, k in factors(a).items()}))

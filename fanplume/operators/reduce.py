@@ -66,8 +66,8 @@ def std(name: str) -> Aggregate:
 
 
 def count(name: str) -> Aggregate:
-    """Of what isn't missing; false counts."""
-    return Aggregate(lambda t: F.count(name), "count", name)
+    """Of what isn't missing; false counts. Of no cells at all it is missing, like all others."""
+    return Aggregate(lambda t: F.when(F.count(F.lit(1)) > 0, F.count(name)), "count", name)
 
 
 def any_of(name: str) -> Aggregate:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +16,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_cells(spark: SparkSession, sf_dir: str, start: datetime | None = None, stop: datetime | None = None) -> DataFrame:
+    """Events by type, user and hour, of hours from `start` and before `stop`; the bounds reach the scan."""
     events = table(spark, sf_dir, "events")
+    bound = lambda t: F.lit(t).cast("timestamp_ntz").cast(events.schema["ts"].dataType)
+    if start is not None:
+        events = events.filter(F.col("ts") >= bound(start))
+    if stop is not None:  # an hour that begins before `stop` ends less than an hour behind it
+        events = events.filter(F.col("ts") < bound(stop + timedelta(hours=1)))
     return events.groupBy(F.col("event_type").alias("model"), (F.col("user_id") % 10).alias("member"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time")).agg(
         F.avg("value").alias("v"), F.max("value").alias("vmax"), F.count(F.lit(1)).alias("n")
     )
 
 
+def _events(spark: SparkSession, sf_dir: str, kept: str) -> Cube:
+    dims = ["model", "member", "time"]
+    grid = Cube.grid(event_cells(spark, sf_dir).filter(kept), dims)
+
+    def within(start: datetime | None, stop: datetime | None) -> Cube:
+        own = grid
+        if start is not None:  # an hour that is cut by the start has lost events, and isn't selected either
+            own = own.filter(F.col("time") >= F.lit(start).cast("timestamp_ntz"))
+        if stop is not None:
+            own = own.filter(F.col("time") < F.lit(stop).cast("timestamp_ntz"))
+        return Cube.over(own, event_cells(spark, sf_dir, start, stop).filter(kept), dims, ["v", "vmax", "n"], v="mm/h", vmax="km/h", n="")
+
+    return dataclasses.replace(within(None, None), within=within)
+
+
 def event_cube(spark: SparkSession, sf_dir: str) -> Cube:
     """Events by type (model), user (member) and hour: mean, greatest and number of values."""
-    return Cube.dense(event_cells(spark, sf_dir), ["model", "member", "time"], ["v", "vmax", "n"], v="mm/h", vmax="km/h", n="")
+    return _events(spark, sf_dir, "true")
 
 
 def padded_cube(spark: SparkSession, sf_dir: str) -> Cube:
     """The same, but one model has half the members; the rest of its cells are there and missing."""
-    cells = event_cells(spark, sf_dir).filter("model <> 'signup' OR member < 5")
-    return Cube.dense(cells, ["model", "member", "time"], ["v", "vmax", "n"], v="mm/h", vmax="km/h", n="")
+    return _events(spark, sf_dir, "model <> 'signup' OR member < 5")
 
 
 def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

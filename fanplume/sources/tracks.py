@@ -21,6 +21,8 @@ def polyline_points(text: str) -> list[tuple[float, float]]:
         bits = ord(c) - 63
         if not 0 <= bits < 64:
             raise ValueError("not a polyline")
+        if shift > 30:  # more than any place on the globe needs
+            raise ValueError("a value of the polyline is too long")
         value |= (bits & 31) << shift
         shift += 5
         if bits < 32:
@@ -67,7 +69,7 @@ def unfold(files: DataFrame, name: str, text: str, form: str) -> DataFrame:
 
 
 def simplified(lat: np.ndarray, lon: np.ndarray, tolerance_km: float) -> np.ndarray:
-    """Which points Douglas-Peucker keeps, on a plane around the track's middle."""
+    """Which points Douglas-Peucker keeps, on a plane around the track's middle, by the distance to the line through both ends."""
     y = lat * 111.195
     x = lon * 111.195 * np.cos(np.radians(lat.mean()))
     keep = np.zeros(len(lat), bool)
@@ -79,9 +81,8 @@ def simplified(lat: np.ndarray, lon: np.ndarray, tolerance_km: float) -> np.ndar
             continue
         px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
         dx, dy = x[b] - x[a], y[b] - y[a]
-        size = dx * dx + dy * dy
-        along = np.clip((px * dx + py * dy) / size, 0, 1) if size else 0.0
-        off = np.hypot(px - along * dx, py - along * dy)
+        size = float(np.hypot(dx, dy))
+        off = np.abs(px * dy - py * dx) / size if size else np.hypot(px, py)
         k = int(off.argmax())
         if off[k] > tolerance_km:
             m = a + 1 + k
