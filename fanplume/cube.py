@@ -22,12 +22,15 @@ STATES = {"t2m", "td2m", "rh", "feels_like", "wind", "gust", "cloud", "cape"}
 DIRECTIONS = {"wind_dir"}
 #: Cells that a cube may have to be repeated over another.
 SMALL = 10_000
+#: Samples that a rolling window may span.
+LONGEST = 384
 
 
 @dataclass(frozen=True)
 class Cube:
     """`df` has the columns `dims`, `values`, and `dt` (hours per sample) while time is a dimension.
 
+    Labels are in their natural order, unless a dimension is `placed`: then `<dim>_pos` holds their positions.
     It is dense: there is a row for each combination of labels, and a missing value is NULL. Everything is lazy;
     elementwise work on one cube adds columns to one DataFrame and never joins it with itself.
     """
@@ -39,6 +42,8 @@ class Cube:
     notes: tuple[str, ...] = ()
     #: Of a cube just read: its cube for a stretch of time (from, before), which the scan then reads alone.
     within: Callable[[datetime | None, datetime | None], Cube] | None = None
+    #: Dimensions in an order of their own.
+    placed: tuple[str, ...] = ()
 
     @classmethod
     def dense(cls, cells: DataFrame, dims: Iterable[str], values: Iterable[str], hours: float = 1.0, **units: str) -> Cube:
@@ -70,10 +75,23 @@ class Cube:
         return cls(df, tuple(sorted(dims, key=ORDER.index)), values, units)
 
     def _with(self, df: DataFrame, **changes) -> Cube:
-        return dataclasses.replace(self, df=df, within=None, **changes)
+        out = dataclasses.replace(self, df=df, within=None, **changes)
+        return dataclasses.replace(out, placed=tuple(d for d in out.placed if d in out.dims))
 
     def _aux(self) -> list[str]:
-        return [DT] if "time" in self.dims else []
+        return [*([DT] if "time" in self.dims else []), *(f"{d}_pos" for d in self.placed)]
+
+    def at(self, dim: str) -> Column:
+        """What the labels of a dimension are ordered by."""
+        return F.col(f"{dim}_pos" if dim in self.placed else dim)
+
+    def _kept(self, dims: Iterable[str]) -> list[Column]:
+        """Aggregates that keep the positions of these dimensions."""
+        return [F.first(f"{d}_pos").alias(f"{d}_pos") for d in dims if d in self.placed]
+
+    def _without(self, dim: str) -> list[str]:
+        """The columns that go with a dimension."""
+        return [dim, f"{dim}_pos", *([DT] if dim == "time" else [])]
 
     # elementwise
 
@@ -95,7 +113,24 @@ class Cube:
 
     def axis(self, dim: str) -> DataFrame:
         """The labels of a dimension in order, and their positions."""
-        return self.df.select(dim).distinct().withColumn("pos", F.row_number().over(Window.orderBy(dim)) - 1)
+        labels = self.df.select(dim, self.at(dim).alias("__at")).distinct()
+        return labels.select(dim, (F.row_number().over(Window.orderBy("__at")) - 1).alias("pos"))
+
+    def _place(self, df: DataFrame, dim: str) -> Cube:
+        """This cube with the rows `df`, which hold new positions of a dimension as `__new`."""
+        return self._with(df.withColumn(f"{dim}_pos", F.col("__new")).drop("__new"), placed=tuple(dict.fromkeys([*self.placed, dim])))
+
+    def sortby(self, key: Cube, ascending: bool = True) -> Cube:
+        """The labels of the one dimension of `key` in the order of its value: missing ones last, ties as they were.
+
+        What follows goes by that order: rolling windows, positions, ties of ranks and the rows of sinks. Labels that
+        `key` doesn't have go. The key is an axis with a value, so few rows, and Spark sees that when it joins them.
+        """
+        if len(key.dims) != 1 or key.dims[0] not in self.dims or len(key.values) != 1:
+            raise ValueError("a sort key has one value and one dimension, which the cube has too")
+        dim = key.dims[0]
+        own = key.sorted_positions(dim, key.values[0], ascending).select(dim, F.col("pos").alias("__new"))
+        return self._place(self.df.join(own, dim), dim)
 
     def require(self, dim: str, labels: list) -> None:
         """An error that names the labels which the dimension doesn't have; reads the axis once."""
@@ -105,7 +140,7 @@ class Cube:
             raise ValueError(f"{dim} has no {', '.join(map(str, sorted(absent)))}")
 
     def sel(self, zone: str = "UTC", strict: bool = False, **labels) -> Cube:
-        """By label. A scalar drops its dimension, a list keeps it; a slice of times is half-open, other slices include
+        """By label. A scalar drops its dimension, a list keeps it in the order of the list; a slice of times is half-open, other slices include
         both ends; the text of a date is the whole local day. Labels are local to `zone` unless they have an offset.
 
         A stretch of time that is selected first is all that the scan reads. Labels that aren't there select nothing;
@@ -115,7 +150,7 @@ class Cube:
         if self.within and "time" in labels:
             span = _span(labels["time"], zone)
             base = self.within(*span) if span else self
-        df, dims = base.df, self.dims
+        df, dims, placed = base.df, self.dims, self.placed
         if strict:
             for dim, want in labels.items():
                 day = dim == "time" and isinstance(want, str) and len(want) == 10
@@ -136,14 +171,19 @@ class Cube:
                 if want.stop is not None:
                     df = df.filter(c < at(want.stop) if dim == "time" else c <= at(want.stop))
             elif isinstance(want, list):
-                df = df.filter(c.isin([_time(x, zone) if dim == "time" else x for x in want]))
+                asked = [_time(x, zone) if dim == "time" else F.lit(x) for x in want]
+                df = df.filter(c.isin(asked))
+                if len(want) > 1:
+                    df = df.withColumn(f"{dim}_pos", F.array_position(F.array(*asked), c).cast("int") - 1)
+                    placed = tuple(dict.fromkeys([*placed, dim]))
             else:
-                df = df.filter(c == (_time(want, zone) if dim == "time" else want)).drop(dim, *([DT] if dim == "time" else []))
+                df = df.filter(c == (_time(want, zone) if dim == "time" else want)).drop(*self._without(dim))
                 dims = tuple(d for d in dims if d != dim)
-        return self._with(df, dims=dims)
+        return self._with(df, dims=dims, placed=placed)
 
     def isel(self, strict: bool = False, **positions: int | list[int] | slice) -> Cube:
-        """By position on the dimension's axis, which is small and broadcast; negative ones count from the end.
+        """By position on the dimension's axis, which is small and broadcast; negative ones count from the end, and a
+        list keeps its own order.
 
         Positions that aren't there select nothing; with `strict` they are an error.
         """
@@ -161,10 +201,14 @@ class Cube:
                 axis = axis.filter((pos >= low) & (pos < (size if high is None else high)) & ((pos - low) % (want.step or 1) == 0))
             else:
                 axis = axis.filter(pos.isin(*([want] if isinstance(want, int) else want)) | (pos - size).isin(*([want] if isinstance(want, int) else want)))
+            if isinstance(want, list) and want:
+                listed = lambda p: F.nullif(F.array_position(F.array(*map(F.lit, want)), p.cast("int")), F.lit(0))
+                axis = axis.select(dim, (F.coalesce(listed(pos), listed(pos - size)).cast("int") - 1).alias("__new"))
+                out = out._place(out.df.join(F.broadcast(axis), dim), dim)
+                continue
             df = out.df.join(F.broadcast(axis.select(dim)), dim, "left_semi")
             if isinstance(want, int):
-                df = df.drop(dim, *([DT] if dim == "time" else []))
-                out = out._with(df, dims=tuple(d for d in out.dims if d != dim))
+                out = out._with(df.drop(*self._without(dim)), dims=tuple(d for d in out.dims if d != dim))
             else:
                 out = out._with(df)
         return out
@@ -177,11 +221,11 @@ class Cube:
         keep = tuple(d for d in self.dims if d not in gone)
         timed = "time" in gone
         columns = [a(timed).alias(n) for n, a in aggregates.items()]
-        df = self.df.groupBy(*keep).agg(*columns, *([F.first(DT).alias(DT)] if "time" in keep else []))
+        df = self.df.groupBy(*keep).agg(*columns, *self._kept(keep), *([F.first(DT).alias(DT)] if "time" in keep else []))
         units, notes = self._described({n: (a.kind, a.of) for n, a in aggregates.items()}, timed)
         if {"model", "member"} <= gone:
             notes.append("members of all models are pooled, so models count by their numbers of members")
-        return Cube(df, keep, tuple(aggregates), units, tuple(dict.fromkeys(notes)))
+        return Cube(df, keep, tuple(aggregates), units, tuple(dict.fromkeys(notes)), placed=tuple(d for d in self.placed if d in keep))
 
     def _described(self, made: dict[str, tuple[str, str]], timed: bool) -> tuple[dict[str, str], list[str]]:
         """Units and notes of values made by an aggregate (kind) of a value, over time or not."""
@@ -213,8 +257,11 @@ class Cube:
     # windows and groups of time
 
     def rolling(self, n: int, how: str, *values: str) -> Cube:
-        """Over the last `n` samples; missing unless all of them are there. Sums and means are weighted by hours."""
-        w = Window.partitionBy(*(d for d in self.dims if d != "time")).orderBy("time").rowsBetween(1 - n, 0)
+        """Over the last `n` samples in the order of time that the cube has; missing unless all of them are there.
+        Sums and means are weighted by hours."""
+        if not 1 <= n <= LONGEST:
+            raise ValueError(f"a window spans 1 to {LONGEST} samples")
+        w = Window.partitionBy(*(d for d in self.dims if d != "time")).orderBy(self.at("time")).rowsBetween(1 - n, 0)
         out = {}
         values = values or self.values
         for v in values:
@@ -244,36 +291,41 @@ class Cube:
         values = tuple(values or self.values)
         columns = [BY_NAME[how](v)(True).alias(v) for v in values]
         df = self.df.withColumn("__bucket", clock.bucket(F.col("time"), hours, zone)).groupBy(*keep, "__bucket")
-        df = df.agg(F.min("time").alias("time"), *columns, F.sum(DT).alias(DT)).drop("__bucket")
-        return self._over_time(df, how, values, values=values)
+        df = df.agg(F.min("time").alias("time"), *columns, *self._kept(keep), F.sum(DT).alias(DT)).drop("__bucket")
+        return self._over_time(df, how, values, values=values, placed=tuple(d for d in self.placed if d in keep))
 
     def by_hour(self, how: str, *values: str, zone: str = "UTC") -> Cube:
         """Over all samples of the same local hour of day."""
         keep = [d for d in self.dims if d != "time"]
         values = tuple(values or self.values)
         columns = [BY_NAME[how](v)(True).alias(v) for v in values]
-        df = self.df.groupBy(*keep, F.hour(clock.local(F.col("time"), zone)).alias("hour")).agg(*columns)
+        df = self.df.groupBy(*keep, F.hour(clock.local(F.col("time"), zone)).alias("hour")).agg(*columns, *self._kept(keep))
         return self._over_time(df, how, values, dims=tuple(sorted([*keep, "hour"], key=ORDER.index)), values=values)
 
     # ranks
 
     def extreme_label(self, dim: str, value: str, largest: bool = True, name: str = "label") -> Cube:
-        """The label of the greatest (or least) value along a dimension: the first one of several, missing if all are."""
+        """The label of the greatest (or least) value along a dimension: the first one of several in the dimension's order,
+        missing if all are."""
         keep = tuple(d for d in self.dims if d != dim)
         x = num(F.col(value))
-        rank = F.struct((-x if largest else x).alias("x"), F.col(dim).alias("label"))
-        df = self.df.groupBy(*keep).agg(F.min(F.when(x.isNotNull(), rank))["label"].alias(name))
-        return Cube(df, keep, (name,), {}, self.notes)
+        rank = F.struct((-x if largest else x).alias("x"), self.at(dim).alias("at"), F.col(dim).alias("label"))
+        df = self.df.groupBy(*keep).agg(F.min(F.when(x.isNotNull(), rank))["label"].alias(name), *self._kept(keep))
+        return Cube(df, keep, (name,), {}, self.notes, placed=tuple(d for d in self.placed if d in keep))
 
     def top(self, n: int, by: str, ascending: bool = False) -> DataFrame:
-        """The first n cells by a value, missing ones last, ties by label."""
+        """The first n cells by a value, missing ones last, ties in the order of the dimensions."""
         key = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
-        return self.df.select(*self.dims, *self.values).orderBy(key, *self.dims).limit(n)
+        return self.df.orderBy(key, *map(self.at, self.dims)).limit(n).select(*self.dims, *self.values)
 
     def sorted_positions(self, dim: str, by: str, ascending: bool = True) -> DataFrame:
         """A one-dimensional cube with the positions its labels take when sorted by a value; missing ones come last."""
         key = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
-        return self.df.select(dim, by, (F.row_number().over(Window.orderBy(key, dim)) - 1).alias("pos"))
+        return self.df.select(dim, by, (F.row_number().over(Window.orderBy(key, self.at(dim))) - 1).alias("pos"))
+
+    def rows(self) -> DataFrame:
+        """Dimensions and values, row by row in the order of the dimensions."""
+        return self.df.orderBy(*map(self.at, self.dims)).select(*self.dims, *self.values)
 
     # alignment
 
@@ -285,13 +337,14 @@ class Cube:
         """
         shared = [d for d in self.dims if d in other.dims]
         renamed = {v: v + suffix for v in other.values if v in self.values}
-        right = other.df.select(*other.dims, *(F.col(v).alias(renamed.get(v, v)) for v in other.values), *([DT] if "time" in other.dims and "time" not in self.dims else []))
+        right = other.df.select(*other.dims, *(F.col(v).alias(renamed.get(v, v)) for v in other.values), *([DT] if "time" in other.dims and "time" not in self.dims else []), *(f"{d}_pos" for d in other.placed if d not in self.dims))
         if not shared and right.limit(SMALL + 1).count() > SMALL:
             raise ValueError(f"no dimension in common, and more than {SMALL} cells to repeat")
         df = self.df.join(right, shared, "inner") if shared else self.df.join(F.broadcast(right))
         dims = tuple(sorted(dict.fromkeys([*self.dims, *other.dims]), key=ORDER.index))
         units = self.units | {renamed.get(v, v): u for v, u in other.units.items()}
-        return Cube(df, dims, (*self.values, *(renamed.get(v, v) for v in other.values)), units, tuple(dict.fromkeys([*self.notes, *other.notes])))
+        placed = (*self.placed, *(d for d in other.placed if d not in self.dims))
+        return Cube(df, dims, (*self.values, *(renamed.get(v, v) for v in other.values)), units, tuple(dict.fromkeys([*self.notes, *other.notes])), placed=placed)
 
     def combine(self, name: str, a: str, sign: str, b: str) -> Cube:
         """Add a value a + b, a - b, a * b or a / b with its unit; differing units of a sum are noted."""
@@ -310,6 +363,13 @@ class Cube:
         out = self.let(**{name: column})
         return dataclasses.replace(out, units=self.units | ({name: unit} if unit is not None else {}), notes=tuple(notes))
 
+    def wave(self, name: str, how: str, of: str) -> Cube:
+        """Add the sine or cosine ("sin", "cos") of a value in radians; a value in degrees is noted and taken as it is."""
+        made = {"sin": F.sin, "cos": F.cos}[how](num(F.col(of)))
+        out = self.let(**{name: made})
+        notes = [f"{name}: {how} takes radians, and {of} is in degrees"] if self.units.get(of) == "°" else []
+        return dataclasses.replace(out, units=out.units | {name: ""}, notes=tuple(dict.fromkeys([*self.notes, *notes])))
+
     def anomaly(self, over: str, value: str, name: str = "anomaly") -> Cube:
         """The value less its mean over a dimension: a window instead of a join with the coarser array."""
         keep = [d for d in self.dims if d != over]

@@ -92,11 +92,13 @@ ev("multi_answer", lambda c: shown(c.reduce("time", s=R.total("v"), k=R.count("v
 # scans and coordinates
 ev("sc2_variable_scan", lambda c: shown(c.only("v")), "SELECT model, member, time, round(v, 6) AS v FROM ev")
 ev("sc3_coordinates", lambda c: c.df.select("time").distinct().select("time", clock.hour(F.col("time")).alias("hour"), clock.day_of_week(F.col("time")).alias("weekday")), "SELECT DISTINCT time, hour(time) + minute(time) / 60.0 AS hour, CAST(isodow(time) - 1 AS INT) AS weekday FROM ev")
-ev("sc16_table", lambda c: sinks.table_rows(c.only("v").reduce("member", v=R.median("v")), 6), "SELECT model, time, round(quantile_cont(v, 0.5), 6) AS v FROM ev GROUP BY 1, 2")
-ev("sc17_chart_arrays", lambda c: sinks.chart_arrays(c.only("n"), "n", "time").select("model", "member", F.array_join(F.transform("data", lambda x: x.cast("int").cast("string")), ",", "-").alias("data")), "SELECT model, member, string_agg(coalesce(CAST(n AS VARCHAR), '-'), ',' ORDER BY time) AS data FROM ev GROUP BY 1, 2")
+ev("sc16_table", lambda c: sinks.table_rows(c.only("v").reduce("member", v=R.median("v")), 6, None), "SELECT model, time, round(quantile_cont(v, 0.5), 6) AS v FROM ev GROUP BY 1, 2")
+ev("sc17_chart_arrays", lambda c: sinks.chart_arrays(c.only("n"), "n", "time", most=None).select("model", "member", F.array_join(F.transform("data", lambda x: x.cast("int").cast("string")), ",", "-").alias("data")), "SELECT model, member, string_agg(coalesce(CAST(n AS VARCHAR), '-'), ',' ORDER BY time) AS data FROM ev GROUP BY 1, 2")
 ev("sc18_summary", lambda c: shown(sinks.summary(c, "v")), "SELECT count(DISTINCT model) AS n_model, count(DISTINCT member) AS n_member, count(DISTINCT time) AS n_time, min(v) AS min, round(avg(v), 6) AS mean, max(v) AS max FROM ev")
 ev("sc20_model_table", lambda c: c.df.filter("v IS NOT NULL").groupBy("model").agg(F.count_distinct("member").alias("members"), F.min("time").alias("first"), F.max("time").alias("last")), "SELECT model, count(DISTINCT member) AS members, min(time) AS first, max(time) AS last FROM ev WHERE v IS NOT NULL GROUP BY 1")
 
+ev("sc20_missing_variables", lambda c: sinks.model_table(c.only("v", "vmax").let(vmax=missing.where(col.model != "view", col.vmax))), "SELECT model, count(DISTINCT member) FILTER (v IS NOT NULL) AS members, min(time) FILTER (v IS NOT NULL) AS first, max(time) FILTER (v IS NOT NULL) AS last, date_diff('hour', min(time) FILTER (v IS NOT NULL), max(time) FILTER (v IS NOT NULL)) AS lead_hours, CASE WHEN model = 'view' THEN 'vmax' ELSE '' END AS missing FROM ev GROUP BY model")
+
 # selections, masks, projections
 ev("se1_half_open_slice", lambda c: shown(c.sel(time=DAY).only("v")), f"SELECT model, member, time, round(v, 6) AS v FROM ev WHERE {S}")
 ev("se2_local_day", lambda c: shown(c.sel(BERLIN, time="2024-01-08").only("v")), f"SELECT model, member, time, round(v, 6) AS v FROM ev WHERE CAST({LOCAL} AS DATE) = DATE '2024-01-08'")
@@ -155,6 +157,8 @@ ev("wi2_rolling_days", lambda c: shown(c.resample(24, "sum", "v").rolling(3, "me
 ev("wi3_idxmax_member", lambda c: c.extreme_label("member", "v").df, "SELECT model, time, arg_max(member, (v, -member)) FILTER (v IS NOT NULL) AS label FROM ev GROUP BY 1, 2")
 ev("wi3_idxmin_time", lambda c: c.extreme_label("time", "v", largest=False).df, "SELECT model, member, arg_min(time, (v, epoch(time))) FILTER (v IS NOT NULL) AS label FROM ev GROUP BY 1, 2")
 ev("wi4_sortby", lambda c: shown(c.reduce(["model", "member"], m=R.mean("v")).sorted_positions("time", "m", ascending=False)), "SELECT time, round(m, 6) AS m, CAST(row_number() OVER (ORDER BY m DESC NULLS LAST, time) - 1 AS INT) AS pos FROM (SELECT time, avg(v) AS m FROM ev GROUP BY 1)")
+ev("wi4_rolling_in_order", lambda c: shown((x := c.only("v").sel(time=DAY)).sortby(x.reduce(["model", "member"], m=R.mean("v")), ascending=False).rolling(3, "sum", "v")), f"SELECT model, member, e.time, round(CASE WHEN count(v) OVER w = 3 THEN sum(v) OVER w END, 6) AS v FROM ev e JOIN (SELECT time, row_number() OVER (ORDER BY avg(v) DESC NULLS LAST, time) AS pos FROM ev WHERE {S} GROUP BY 1) k ON k.time = e.time WINDOW w AS (PARTITION BY model, member ORDER BY pos ROWS 2 PRECEDING)")
+ev("wi4_members_by_value", lambda c: shown((x := c.sel(member=[7, 2, 5, 0]).reduce("time", m=R.mean("v"), k=R.count("v"))).sortby(x.reduce("model", s=R.low("m"))).isel(member=[-1, 0]).reduce("model", m=R.high("m")).let(pos=F.col("member_pos"))), "SELECT member, round(max(m), 6) AS m, CASE WHEN p = 4 THEN 0 ELSE 1 END AS pos FROM (SELECT model, member, avg(v) AS m FROM ev WHERE member IN (7, 2, 5, 0) GROUP BY 1, 2) JOIN (SELECT member, row_number() OVER (ORDER BY s, CASE member WHEN 7 THEN 0 WHEN 2 THEN 1 WHEN 5 THEN 2 ELSE 3 END) AS p FROM (SELECT member, min(m) AS s FROM (SELECT model, member, avg(v) AS m FROM ev WHERE member IN (7, 2, 5, 0) GROUP BY 1, 2) GROUP BY 1)) USING (member) WHERE p IN (1, 4) GROUP BY member, p")
 ev("wi5_top", lambda c: shown(c.reduce(["model", "member"], m=R.high("v")).top(10, "m")), "SELECT time, round(max(v), 6) AS m FROM ev GROUP BY 1 ORDER BY m DESC NULLS LAST, time LIMIT 10")
 ev("wi5_bottom", lambda c: shown(c.reduce(["model", "member"], m=R.low("v")).top(10, "m", ascending=True)), "SELECT time, round(min(v), 6) AS m FROM ev GROUP BY 1 ORDER BY m NULLS LAST, time LIMIT 10")
 ev("wi6_top_record", lambda c: shown(c.reduce(["model", "member"], m=R.high("v"), k=R.count("v")).top(7, "k")), "SELECT time, round(max(v), 6) AS m, count(v) AS k FROM ev GROUP BY 1 ORDER BY k DESC NULLS LAST, time LIMIT 7")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PARTS = ["source", "run", "variable"]
+#: Seconds for which a run that failed isn't tried again, and runs that are tried for one answer.
+REST, TRIES = 300, 3
 
 
 def write_fields(fields: DataFrame, path: str) -> None:
@@ -35,3 +42,72 @@ def cached_until(stored: DataFrame, by: list[str], every: int, start: int = 0) -
     steps = stored.select(*by, "step").distinct().filter(F.col("step") >= start)
     whole = steps.withColumn("__k", F.row_number().over(w) - 1).withColumn("__ok", F.col("step") == start + F.col("__k") * every)
     return whole.groupBy(*by).agg(F.max(F.when(F.col("__ok"), F.col("step"))).alias("until"))
+
+
+def evict(spark: SparkSession, path: str, newest: int = 2, writing: list[tuple] = ()) -> list[str]:
+    """Delete the folders of all runs but the newest ones of each source, and but those (source, run) being written.
+
+    Only names of folders are looked at, one for each run. Returns what was deleted.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [x.getPath() for x in fs.globStatus(hadoop(path, "source=*/run=*"))]
+    if not folders:
+        return []
+    named = [(unquote(f.getParent().getName().split("=", 1)[1]), unquote(f.getName().split("=", 1)[1]), f.toString()) for f in folders]
+    kept = {(str(r["source"]), str(r["run"])) for r in kept_runs(read_fields(spark, path), newest).collect()} | {(str(a), str(b)) for a, b in writing}
+    gone = [f for source, run, f in named if (source, run) not in kept]
+    for f in gone:
+        fs.delete(hadoop(f), True)
+    return gone
+
+
+def runs_to_try(runs: DataFrame, failures: DataFrame, now: float, rest: float = REST, tries: int = TRIES) -> DataFrame:
+    """The newest runs (source, run) of each source in the order they are to be tried (`turn` from 1), without those that
+    `failures` (source, run, at in seconds) says failed less than `rest` seconds ago."""
+    resting = failures.filter((now - F.col("at") >= 0) & (now - F.col("at") < rest)).select("source", "run").distinct()
+    ready = runs.select("source", "run").distinct().join(resting, ["source", "run"], "left_anti")
+    turn = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("run")))
+    return ready.withColumn("turn", turn).filter(F.col("turn") <= tries)
+
+
+def first_usable(turns: DataFrame, stored: DataFrame) -> DataFrame:
+    """Of each source the first run in turn that has any fields, and how many newer ones were passed over; sources
+    without one have a missing run."""
+    there = turns.join(stored.select("source", "run").distinct(), ["source", "run"], "left_semi")
+    best = there.groupBy("source").agg(F.min_by("run", "turn").alias("run"), (F.min("turn") - 1).alias("passed_over"))
+    return turns.select("source").distinct().join(best, "source", "left")
+
+
+def available_variables(stored: DataFrame, needs: dict[str, list[str]], steps: list[int]) -> DataFrame:
+    """For each run (source, run) and each derived variable (name) whether every parameter that it is made of is stored at
+    every wanted step, and which are `lost`, joined by commas.
+
+    A parameter that is missing at a step makes only the variables that need it unavailable.
+    """
+    had = F.collect_set(F.when(F.col("whole"), F.col("variable")))
+    steps = sorted(set(steps))
+    of_run = stored.groupBy(*PARTS).agg((F.count_distinct(F.when(F.col("step").isin(steps), F.col("step"))) == len(steps)).alias("whole"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, sorted(set(own)))).alias("made_of")) for name, own in needs.items()))
+    rows = of_run.groupBy("source", "run").agg(had.alias("had")).select("source", "run", "had", F.explode(wanted).alias("w"))
+    lost = F.array_except("w.made_of", "had")
+    return rows.select("source", "run", "w.name", (F.size(lost) == 0).alias("available"), F.array_join(lost, ",").alias("lost"))
+
+
+def gather(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of all sources that can be read, with their name as `source`, and what is wrong with the others.
+
+    A source fails when its frame can't be made or its plan can't be resolved, such as a folder that isn't there; that
+    is reported and not fatal, unless no source is left. Errors inside later jobs are Spark's, which tries tasks again.
+    """
+    read, problems = [], {}
+    for name, make in sources.items():
+        try:
+            df = make()
+            df.schema  # noqa: B018  (resolves the plan)
+            read.append(df.withColumn("source", F.lit(name)))
+        except (PySparkException, ValueError, OSError) as e:
+            problems[name] = f"failed ({type(e).__name__})"
+    if not read:
+        raise ValueError("no source could be read: " + "; ".join(f"{k}: {v}" for k, v in problems.items()))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read), problems

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from fanplume.cube import Cube
 
 
-def table_rows(cube: Cube, decimals: int = 4) -> DataFrame:
-    """One row per cell, values rounded, rows where nothing is known included."""
-    return cube.df.select(*cube.dims, *(F.round(v, decimals).alias(v) for v in cube.values))
+#: Rows of a table and values of a chart that somebody will look at.
+MOST_ROWS, MOST_VALUES = 500, 400_000
+
+
+def table_rows(cube: Cube, decimals: int = 4, most: int | None = MOST_ROWS) -> DataFrame:
+    """One row per cell in the order of the dimensions, values rounded, rows where nothing is known included; more than
+    `most` rows are an error. None sets no limit, and leaves out the job that counts."""
+    shown = cube.rows().select(*cube.dims, *(F.round(v, decimals).alias(v) for v in cube.values))
+    return shown if most is None else require_rows(shown, most)
 
 
 def quantile_columns(cube: Cube, value: str, levels: list[float], decimals: int = 4) -> DataFrame:
@@ -20,11 +26,14 @@ def quantile_columns(cube: Cube, value: str, levels: list[float], decimals: int
     return cube.df.groupBy(*others).agg(*picked)
 
 
-def chart_arrays(cube: Cube, value: str, along: str, decimals: int = 3) -> DataFrame:
-    """A dense array of a value along one dimension for each combination of the others, in order of its labels."""
+def chart_arrays(cube: Cube, value: str, along: str, decimals: int = 3, most: int | None = MOST_VALUES) -> DataFrame:
+    """A dense array of a value along one dimension, in its order, for each combination of the others; what isn't finite
+    is missing. More than `most` values are an error; None sets no limit."""
+    if most is not None:
+        require_rows(cube.df, most)
     others = [d for d in cube.dims if d != along]
     shown = F.when(F.abs(F.col(value)) < float("inf"), F.round(value, decimals))
-    cells = F.array_sort(F.collect_list(F.struct(F.col(along).alias("at"), shown.alias("x"))))
+    cells = F.array_sort(F.collect_list(F.struct(cube.at(along).alias("at"), shown.alias("x"))))
     return cube.df.groupBy(*others).agg(F.transform(cells, lambda s: s["x"]).alias("data"))
 
 
@@ -40,3 +49,14 @@ def require_rows(df: DataFrame, most: int) -> DataFrame:
     if df.limit(most + 1).count() > most:
         raise ValueError(f"the result has more than {most} rows")
     return df
+
+
+def model_table(cube: Cube, start: str = "time") -> DataFrame:
+    """Per model: its members and stretch of time with anything known, hours from its first sample on, and the values
+    of which it has none at all, joined by commas."""
+    known = {v: F.col(v).isNotNull() for v in cube.values}
+    some = F.greatest(*known.values(), F.lit(False))
+    absent = F.concat_ws(",", *(F.when(~F.max(k), F.lit(v)) for v, k in known.items()))
+    first, last = F.min(F.when(some, F.col(start))), F.max(F.when(some, F.col(start)))
+    lead = F.timestamp_diff("HOUR", first, last)
+    return cube.df.groupBy("model").agg(F.count_distinct(F.when(some, F.col("member"))).alias("members"), first.alias("first"), last.alias("last"), lead.alias("lead_hours"), absent.alias("missing"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fanplume.operators.spatial import with_polylines
+
 POINTS = "route string, sample long, lat double, lon double, hours double"
 
 
@@ -100,3 +102,14 @@ def simplify(points: DataFrame, tolerance_km: float = 0.05) -> DataFrame:
 
     own = points.select("route", "sample", "lat", "lon")
     return own.groupBy("route").applyInPandas(run, own.schema)
+
+
+def describe(points: DataFrame, speed_kmh: float = 20.0, tolerance_km: float = 0.05) -> DataFrame:
+    """Of each route (route, sample, lat, lon, distance_km, and hours where a track has them): its length, bounds, hours
+    at a speed and by its own times, and its simplified line as a polyline."""
+    own = [(F.max("hours") - F.min("hours")).alias("track_hours")] if "hours" in points.columns else []
+    bounds = [F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east")]
+    facts = points.groupBy("route").agg(F.max("distance_km").alias("km"), *bounds, (F.max("distance_km") / speed_kmh).alias("hours"), *own)
+    kept = simplify(points, tolerance_km)
+    lines = with_polylines(kept, ["route"]).join(kept.groupBy("route").agg(F.count(F.lit(1)).alias("kept_points")), "route")
+    return facts.join(lines, "route")

@@ -13,7 +13,7 @@ from fanplume.functions.weather import crosswind, feels_like, haversine_km, head
 from fanplume.operators import reduce as R
 from fanplume.operators import spatial, steps
 from fanplume.sources import fields, sinks
-from fanplume.sources.tracks import gpx_points, polyline_points, simplified
+from fanplume.sources.tracks import describe, gpx_points, polyline_points, simplified
 
 START = datetime(2026, 10, 7)
 COLUMNS = "model string, member long, time timestamp_ntz, precip double, t2m double, gust double"
@@ -247,3 +247,131 @@ def test_area_grid_and_bilinear(spark):
 def test_too_many_rows(spark):
     with pytest.raises(ValueError):
         sinks.require_rows(spark.range(11), 10)
+
+
+def test_order_is_kept(spark, cube):
+    c = cube.only("t2m").sel(member=[4, 1, 9])
+    assert c.reduce("time", n=R.count("t2m")).rows().select("member").first()["member"] == 4
+    assert [k for (k,) in values(c.isel(member=[2, 0]).reduce("time", n=R.count("t2m")).rows(), "member")] == [9, 4]
+    assert values(c.isel(member=1).reduce("time", m=R.low("t2m")).df, "m") == [(pytest.approx(10.5),)]
+    back = c.sortby(c.reduce(["model", "time"], m=R.mean("t2m")), ascending=False)
+    assert [k for (k,) in values(back.reduce("time", m=R.mean("t2m")).rows(), "member")] == [9, 4, 1]
+    level = c.let(same=F.lit(1.0)).only("same")
+    assert {k for (k,) in values(level.extreme_label("member", "same").df, "label")} == {4}
+    assert [k for (k,) in values(level.sel(time="2026-10-07T00:00").top(3, "same"), "member")] == [4, 1, 9]
+    late = cube.only("t2m").sel(member=[0]).sortby(cube.reduce(["model", "member"], m=R.mean("t2m")), ascending=False).rolling(2, "max")
+    assert late.rows().first()["t2m"] is None and late.rows().limit(2).collect()[1]["t2m"] == pytest.approx(10 + 7.1)
+    with pytest.raises(ValueError):
+        c.sortby(c)
+    with pytest.raises(ValueError):
+        cube.rolling(385, "max")
+
+
+def test_arrays_follow_the_order(spark, cube):
+    c = cube.only("gust").sel(member=[3, 0, 2], time="2026-10-07T00:00")
+    assert sinks.chart_arrays(c, "gust", "member").first()["data"] == [35.0, 20.0, 30.0]
+    with pytest.raises(ValueError):
+        sinks.table_rows(cube.only("gust"))
+    with pytest.raises(ValueError):
+        sinks.chart_arrays(cube, "gust", "time", most=100)
+
+
+def test_missing_variables_of_a_model(spark):
+    c = Cube.dense(cells(spark, 6, (("a", 2, 1.0), ("b", 1, 1.0))), ["model", "member", "time"], ["precip", "t2m"])
+    table = sinks.model_table(c.let(t2m=missing.where(F.col("model") != "b", F.col("t2m"))))
+    assert sorted(values(table, "model", "members", "lead_hours", "missing")) == [("a", 2, 5, ""), ("b", 1, 5, "t2m")]
+
+
+def test_sine_of_degrees_is_noted(cube):
+    c = cube.let(angle=F.lit(0.0))
+    degrees = c.combine("turn", "angle", "+", "angle")
+    assert degrees.wave("x", "sin", "angle").notes == ()
+    import dataclasses
+
+    assert "degrees" in dataclasses.replace(c, units={"angle": "°"}).wave("x", "cos", "angle").notes[0]
+
+
+def test_route_in_place_and_time(spark):
+    rows = [(r, c, h, float(r + 10 * c + 100 * h)) for r in range(3) for c in range(3) for h in range(3)]
+    grid = spark.createDataFrame(rows, "lat_pos long, lon_pos long, hour long, v double")
+    own = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.5, 1.25, 0.5), (2, 2.0, 2.0, 2.0), (3, 2.5, 0.0, 0.0), (4, 0.0, 0.0, 2.5)], "k int, lat double, lon double, hours double")
+    where = dict(south=0.0, west=0.0, step=1.0, rows=3, cols=3)
+    got = dict(values(spatial.along(own, grid, ["v"], ["k"], **where), "k", "v"))
+    assert got == {0: 0.0, 1: pytest.approx(0.5 + 12.5 + 50), 2: pytest.approx(222.0), 4: None}
+    rates = dict(values(spatial.along(own.filter("k < 2"), grid, ["v"], ["k"], instant=False, **where), "k", "v"))
+    assert rates == {0: 0.0, 1: pytest.approx(0.5 + 12.5 + 100)}
+    with pytest.raises(ValueError):
+        spatial.bilinear(own.withColumnRenamed("k", "point"), grid, ["v"], **where, strict=True)
+
+
+def test_times_along_a_track(spark):
+    points = spark.createDataFrame([(1, 0, 50.0, 7.0, 0.0, 9.0, 90.0), (1, 1, 50.0, 7.1, 4.0, 10.0, 90.0), (1, 2, 50.0, 7.3, 8.0, 14.0, None)], "route int, sample int, lat double, lon double, distance_km double, hours double, course double")
+    samples = spatial.resample_routes(points, 2.0, ["route"])
+    own = spatial.timed_samples(samples, ["route"], 6.0).orderBy("k")
+    assert values(own, "hours", "dt") == [(6.0, 0.25), (6.5, 0.5), (7.0, 1.25), (9.0, 2.0), (11.0, 1.0)]
+    steady = spatial.timed_samples(samples, ["route"], 1.0, speed_kmh=4.0).orderBy("k")
+    assert [x for (x,) in values(steady, "hours")] == [1.0, 1.5, 2.0, 2.5, 3.0]
+    with pytest.raises(ValueError):
+        spatial.timed_samples(samples, ["route"], 0.0, speed_kmh=500)
+
+
+def test_area_rule(spark):
+    rows, cols, dlat, dlon = spatial.area_sides(50, 50.5, 6, 6.5)
+    assert (rows, cols) == (6, 4) and dlat * 111.2 == pytest.approx(10) and dlon > dlat
+    for south, north, west, east in ((40, 60, 0, 30), (0, 30, 0, 30), (-90, -60, 10, 11), (50, 50.01, 0, 30)):
+        rows, cols, _, _ = spatial.area_sides(south, north, west, east)
+        assert 1 <= rows * cols <= 500
+    assert rows * cols > 200
+    for wrong in ((50, 50, 6, 7), (0, 31, 0, 1), (80, 91, 0, 1)):
+        with pytest.raises(ValueError):
+            spatial.area_sides(*wrong)
+    assert spatial.area_points(spark, 50, 50.5, 6, 6.5).count() == 24
+
+
+def test_eviction_and_turns(spark, tmp_path):
+    path = str(tmp_path / "f")
+    own = spark.createDataFrame([(s, r, "v", 0, 0, 0, 1.0) for s in ("a b", "c") for r in ("2026-01-01", "2026-01-02", "2026-01-03", "2026-01-04")], "source string, run string, variable string, step int, member int, cell int, value double")
+    fields.write_fields(own, path)
+    assert len(fields.evict(spark, path, 2, [("c", "2026-01-01")])) == 3
+    left = {(s, str(r)) for s, r in values(fields.read_fields(spark, path), "source", "run")}
+    assert left == {("a b", "2026-01-03"), ("a b", "2026-01-04"), ("c", "2026-01-01"), ("c", "2026-01-03"), ("c", "2026-01-04")}
+    assert fields.evict(spark, str(tmp_path / "none")) == []
+    failures = spark.createDataFrame([("a b", "2026-01-04", 900.0), ("c", "2026-01-04", 100.0)], "source string, run string, at double")
+    turns = fields.runs_to_try(own, failures, now=1000.0, tries=2)
+    assert sorted(values(turns, "source", "run", "turn")) == [("a b", "2026-01-02", 2), ("a b", "2026-01-03", 1), ("c", "2026-01-03", 2), ("c", "2026-01-04", 1)]
+    best = fields.first_usable(turns, own.filter("run < '2026-01-03'"))
+    assert sorted(values(best, "source", "run", "passed_over")) == [("a b", "2026-01-02", 1), ("c", None, None)]
+
+
+def test_sources_that_fail(spark, tmp_path):
+    rows, problems = fields.gather({"good": lambda: spark.range(2), "bad": lambda: spark.read.parquet(str(tmp_path / "no"))})
+    assert rows.count() == 2 and list(problems) == ["bad"]
+    with pytest.raises(ValueError):
+        fields.gather({"bad": lambda: spark.read.parquet(str(tmp_path / "no"))})
+
+
+def test_described_route(spark):
+    points = spark.createDataFrame([("r", 0, 50.0, 7.0, 0.0, 1.0), ("r", 1, 50.5, 7.0, 55.6, 2.0), ("r", 2, 51.0, 7.0, 111.2, 3.5)], "route string, sample long, lat double, lon double, distance_km double, hours double")
+    row = describe(points, 20.0).first()
+    assert (row["kept_points"], row["track_hours"], row["hours"]) == (2, 2.5, pytest.approx(5.56))
+    assert polyline_points(row["polyline"]) == [(50.0, 7.0), (51.0, 7.0)]
+
+
+def test_lines_against_a_recursive_form():
+    def kept(points, tolerance):
+        if len(points) < 3:
+            return set(points)
+        (x0, y0), (x1, y1) = points[0][1:], points[-1][1:]
+        size = np.hypot(x1 - x0, y1 - y0)
+        off = [abs((x - x0) * (y1 - y0) - (y - y0) * (x1 - x0)) / size for _, x, y in points[1:-1]]
+        worst = int(np.argmax(off)) + 1
+        if off[worst - 1] <= tolerance:
+            return {points[0], points[-1]}
+        return kept(points[: worst + 1], tolerance) | kept(points[worst:], tolerance)
+
+    rng = np.random.default_rng(5)
+    lat, lon = 50 + np.cumsum(rng.normal(0, 0.01, 300)), 7 + np.cumsum(rng.normal(0.005, 0.01, 300))
+    x, y = lon * 111.195 * np.cos(np.radians(lat.mean())), lat * 111.195
+    for tolerance in (0.2, 1.0, 5.0):
+        want = {p[0] for p in kept([*zip(range(300), x, y)], tolerance)}
+        assert set(np.flatnonzero(simplified(lat, lon, tolerance))) == want
