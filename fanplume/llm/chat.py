@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ Renderer = Callable[[list[Turn]], str]
 def probe_for(turns: list[Turn], out: str) -> str:
     """A private-use character that neither the turns nor their rendering hold."""
     held = set(out).union(*(r + t for r, t in turns))
-    return next(chr(c) for c in (*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE)) if chr(c) not in held)
+    return next(chr(c) for c in chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE)) if chr(c) not in held)
 
 
 class TurnTemplate:
