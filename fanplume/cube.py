@@ -225,6 +225,8 @@ class Cube:
         units, notes = self._described({n: (a.kind, a.of) for n, a in aggregates.items()}, timed)
         if {"model", "member"} <= gone:
             notes.append("members of all models are pooled, so models count by their numbers of members")
+        elif "model" in gone and "member" in keep:
+            notes.append("members of different models are put together by number, though they have nothing in common; reduce member first")
         return Cube(df, keep, tuple(aggregates), units, tuple(dict.fromkeys(notes)), placed=tuple(d for d in self.placed if d in keep))
 
     def _described(self, made: dict[str, tuple[str, str]], timed: bool) -> tuple[dict[str, str], list[str]]:
@@ -248,6 +250,15 @@ class Cube:
         kept = {v: u for v, u in self.units.items() if v not in made and v in changes.get("values", self.values)}
         return self._with(df, units=kept | units, notes=tuple(dict.fromkeys(notes)), **changes)
 
+    def with_coverage(self, value: str) -> Cube:
+        """This cube with a note on each model that has the value for a part of the time only. A job of its own, which
+        brings one row a model to the driver."""
+        has = self.df.groupBy("model", "time").agg((F.count(value) > 0).alias("has"))
+        first, last = (f(F.when(F.col("has"), F.col("time"))).alias(n) for f, n in ((F.min, "first"), (F.max, "last")))
+        parts = has.groupBy("model").agg(first, last, F.bool_and("has").alias("whole")).filter("NOT whole").orderBy("model").collect()
+        notes = [f"{r['model']} covers only {r['first']} to {r['last']} of the selected time" if r["first"] else f"{r['model']} covers none of the selected time" for r in parts]
+        return dataclasses.replace(self, notes=tuple(dict.fromkeys([*self.notes, *notes])))
+
     def unfold_quantiles(self, name: str, levels: list[float]) -> Cube:
         """Turn an array of quantiles into a dimension."""
         df = self.df.select(*self.dims, *self._aux(), F.posexplode_outer(name).alias("pos", name))

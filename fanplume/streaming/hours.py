@@ -10,9 +10,17 @@ from fanplume.sources.shared import new_path
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 16) -> DataFrame:
-    """New event files of a folder, so many at a time."""
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", per_trigger: int | None = None) -> DataFrame:
+    """New event files: those of this name in a folder, or the part files of a folder of this name.
+
+    What is there at the start is one trigger, whatever the order of its files, so none of it is late; with
+    `per_trigger` it comes so many files at a time, by their age.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    status = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path)
+    at, files = (f"{folder}/{name}", "*.parquet") if status.isDirectory() else (folder, name)
+    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", files)
+    return (stream.option("maxFilesPerTrigger", per_trigger) if per_trigger else stream).parquet(at)
 
 
 def hourly_cells(events: DataFrame, late: str = "2 hours") -> DataFrame:

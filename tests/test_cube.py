@@ -108,6 +108,8 @@ def test_units_and_notes(cube):
     c = cube.reduce("time", x=R.total("t2m"), r=R.total("precip"))
     assert any("state" in n for n in c.notes) and str(c.units["r"]) == "mm"
     assert any("pooled" in n for n in cube.reduce(["model", "member"], x=R.mean("gust")).notes)
+    assert any("by number" in n for n in cube.reduce("model", x=R.mean("gust")).notes)
+    assert not cube.reduce("member", x=R.mean("gust")).reduce("model", x=R.mean("x")).notes
     assert any("combining" in n for n in cube.combine("z", "t2m", "+", "gust").notes)
     assert str(cube.combine("z", "gust", "*", "gust").units["z"]) == "km²/h²"
     assert product("W/m²", "m²") == "W" and power("km", 0.5) == "?" and power("km/h", 2) == "km²/h²" and quotient("", "h") == "1/h"
@@ -375,3 +377,19 @@ def test_lines_against_a_recursive_form():
     for tolerance in (0.2, 1.0, 5.0):
         want = {p[0] for p in kept([*zip(range(300), x, y)], tolerance)}
         assert set(np.flatnonzero(simplified(lat, lon, tolerance))) == want
+
+
+def test_models_that_cover_a_part_are_noted(spark):
+    rows = cells(spark, 6, (("a", 2, 1.0), ("b", 2, 1.0), ("c", 1, 1.0))).filter("model <> 'b' OR time < TIMESTAMP_NTZ '2026-10-07 04:00:00'").withColumn("gust", F.when(F.col("model") != "c", F.col("gust")))
+    notes = Cube.dense(rows, ["model", "member", "time"], ["gust"]).with_coverage("gust").notes
+    assert notes == (f"b covers only {START} to {START + timedelta(hours=3)} of the selected time", "c covers none of the selected time")
+
+
+def test_part_files_of_a_backlog_come_in_any_order(spark, tmp_path):
+    from fanplume.streaming.hours import event_stream, hourly_cells, run_available
+
+    for k in (3, 1, 2, 0):  # the latest hours first
+        rows = [(k * 10 + i, START + timedelta(hours=6 * k + i), 1, "view", float(i), "") for i in range(6)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = run_available(hourly_cells(event_stream(spark, str(tmp_path))), spark).collect()
+    assert sorted(r["time"] for r in got) == [START + timedelta(hours=h) for h in range(21)]
