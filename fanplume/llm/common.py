@@ -16,6 +16,8 @@ from fanplume.sources.shared import new_path
 
 #: What separates words and what is stripped from lines: space, tab, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"
+#: Tasks of one shuffle, at most; beyond them each task takes several buckets in turn.
+MOST_TASKS = 50_000
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
@@ -53,6 +55,11 @@ def discard(df: DataFrame | None) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def dealt(tasks: int) -> int:
+    """How many tasks a shuffle is dealt to that would want so many: one at least, and no more than a driver keeps track of."""
+    return max(1, min(tasks, MOST_TASKS))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """`df` less the columns that an operator is about to add under the same names."""
     taken = {n.lower() for n in names}

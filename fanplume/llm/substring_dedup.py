@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fanplume.llm.common import WordHashes, map_columns, mix, rolled, sliced, without, words_of
+from fanplume.llm.common import WordHashes, dealt, map_columns, mix, rolled, sliced, without, words_of
 
 #: Words of a minimiser.
 RUN = 5
@@ -93,18 +93,24 @@ def _ranges(owner: np.ndarray, start: np.ndarray, window: int) -> Iterator[tuple
         yield int(owner[a]), merged(np.stack([start[a:b], start[a:b] + window], axis=1)).astype("<i4").tobytes()
 
 
-def slot_sizes(words: list[list[bytes]], window: int, slots: int, hashes: WordHashes) -> np.ndarray:
-    """Bytes of the different super-k-mers of a chunk by the slot of their minimiser."""
+def slot_sums(slot: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots, each once, and the sum of the sizes of each."""
+    slots, at = np.unique(slot, return_inverse=True)
+    return slots, np.bincount(at, size, len(slots)).astype(np.int64)
+
+
+def slot_sizes(words: list[list[bytes]], window: int, slots: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of the minimisers of a chunk, and the bytes of the different super-k-mers in each."""
     flat = [w for own in words for w in own]
     own = hashes.of(flat)
     first, count, minimiser = super_kmers(own, np.repeat(np.arange(len(words)), [len(w) for w in words]), window)
     if not len(first):
-        return np.zeros(slots, np.int64)
+        return (np.zeros(0, np.int64),) * 2
     whole = rolled(own, window)
     told = np.unique(mix(whole[first] + mix(whole[first + count - 1])), return_index=True)[1]
     at = np.cumsum([0, *(len(w) + 1 for w in flat)])
     sizes = (at[first + count + window - 1] - at[first])[told]
-    return np.bincount((mix(minimiser[told]) % np.uint64(slots)).astype(np.int64), sizes, slots).astype(np.int64)
+    return slot_sums((mix(minimiser[told]) % np.uint64(slots)).astype(np.int64), sizes)
 
 
 def repeated_hashes(blobs: list[bytes], window: int) -> list[tuple[tuple, bytes]]:
@@ -277,20 +283,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        sums = np.zeros(buckets * SLOTS, np.int64)
-        for _, words in chunks(batches):
-            sums += slot_sizes(words, window, len(sums), hashes)
-        if sums.any():
-            parts = range(0, len(sums), PART)
-            yield pa.RecordBatch.from_arrays([pa.array([at // PART for at in parts], pa.int32()), pa.array([_pack(sums[at : at + PART]) for at in parts], pa.binary())], ["part", "sums"])
+        told = [slot_sizes(words, window, buckets * SLOTS, hashes) for _, words in chunks(batches)]
+        slot, size = slot_sums(*(np.concatenate([t[k] for t in told]) for k in (0, 1))) if told else ((), ())
+        if len(slot):
+            part, begin = np.unique(slot // PART, return_index=True)
+            sums = [_pack((slot[a:b], size[a:b])) for a, b in zip(begin, [*begin[1:], len(slot)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(sums, pa.binary())], ["part", "sums"])
 
     def heavy(group: pa.Table) -> pa.Table:
-        sums = np.sum([_unpack(b) for b in group.column("sums").to_pylist()], axis=0)
-        slot = np.flatnonzero(sums > bucket_chars)
-        return pa.table([pa.array(slot + group.column("part")[0].as_py() * PART), pa.array(sums[slot])], ["slot", "size"])
+        told = [_unpack(b) for b in group.column("sums").to_pylist()]
+        slot, size = slot_sums(*(np.concatenate([t[k] for t in told]) for k in (0, 1)))
+        return pa.table([pa.array(slot[size > bucket_chars]), pa.array(size[size > bucket_chars])], ["slot", "size"])
 
     # each has more than bucket_chars, so they are about as few as the buckets
-    weighed = rows.mapInArrow(weigh, "part int, sums binary").groupBy("part").applyInArrow(heavy, "slot long, size long").collect()
+    weighed = rows.mapInArrow(weigh, "part long, sums binary").groupBy("part").applyInArrow(heavy, "slot long, size long").collect()
     hot = np.array(sorted(r["slot"] for r in weighed), np.uint64)
     spread = max(1, -(-sum(r["size"] for r in weighed) // bucket_chars))
 
@@ -316,7 +322,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found += told_apart(rest, window) if rest else []
         return pa.table([pa.array([o[0] for o, _ in found], to_arrow_type(id_type)), pa.array([o[1] for o, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], covered.names)
 
-    ranges = rows.mapInArrow(partition, sent).groupBy("bucket").applyInArrow(count, covered)
+    # twice as many tasks as buckets, so that few of them get several
+    ranges = rows.mapInArrow(partition, sent).repartition(dealt(2 * (buckets + spread)), "bucket").groupBy("bucket").applyInArrow(count, covered)
     ranges = ranges.groupBy("__fp_id", "__fp_mark").agg(F.collect_list("__fp_ranges").alias("__fp_ranges"))
     marked = base.withColumn("__fp_hash", F.hash(F.col(f"`{text_col}`")))
     joined = marked.join(ranges, base[f"`{id_col}`"].eqNullSafe(F.col("__fp_id")) & (F.col("__fp_hash") == F.col("__fp_mark")), "left").drop("__fp_id", "__fp_mark", "__fp_hash")

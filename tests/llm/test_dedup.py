@@ -197,8 +197,8 @@ def test_a_phrase_in_many_surroundings_fills_no_bucket(spark, chunk_words):
     assert [(r["text"], r["n_words"], r["n_removed"]) for r in got] == brute_windows(texts, 35)
 
     words, buckets = [words_of(t) for t in texts[:120]], 12
-    sizes = substring_dedup.slot_sizes(words, 35, buckets * substring_dedup.SLOTS, WordHashes())
-    hot = substring_dedup.np.flatnonzero(sizes > 6000).astype("u8")
+    slots, sizes = substring_dedup.slot_sizes(words, 35, buckets * substring_dedup.SLOTS, WordHashes())
+    hot = slots[sizes > 6000].astype("u8")
     assert len(hot)
     chunk = substring_dedup._Chunk([(k, 0) for k in range(120)], words, 35, buckets, WordHashes(), hot, 16)
     assert max(len(substring_dedup._unpack(x)[6]) for b, x in chunk.blobs if b < buckets) < sizes.max()
