@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from fanplume.llm.common import discard, sliced, stored
+from fanplume.llm.common import dealt, discard, sliced, stored
 
 #: Absolute discount of each seen word's count; what it frees goes to unseen words of the same class.
 DISCOUNT = 0.5
@@ -154,7 +154,7 @@ def number_words(sent: DataFrame, buckets: int, core_words: int) -> DataFrame:
         out.append({"bucket": bucket, "stats": [int(total.sum()), int((total > 0).sum())], "top": [{"word": w, "at": i, "n": -n} for n, w, i in often]})
         return pa.Table.from_pylist(out, arrow)
 
-    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, NUMBERED)
+    return sent.repartition(dealt(2 * buckets), "bucket").groupBy("bucket").applyInArrow(run, NUMBERED)
 
 
 class Coded(Tokens):
@@ -192,8 +192,8 @@ MESSAGES = "bucket int, block long, blob binary, steps array<bigint>"
 
 
 def by_block(one: DataFrame, two: DataFrame, tasks: int) -> PandasCogroupedOps:
-    """The rows of both by block, dealt to as many tasks as the blocks need; a row is a packed block or a part of one."""
-    return one.repartition(tasks, "block").groupBy("block").cogroup(two.repartition(tasks, "block").groupBy("block"))
+    """The rows of both by block, dealt to so many tasks that few get several blocks; a row is a packed block or a part of one."""
+    return one.repartition(dealt(2 * tasks), "block").groupBy("block").cogroup(two.repartition(dealt(2 * tasks), "block").groupBy("block"))
 
 
 def code_blocks(blocks: DataFrame, numbered: DataFrame, tasks: int, buckets: int, base_of: Callable[[np.ndarray], np.ndarray], ends: int) -> DataFrame:
@@ -360,7 +360,7 @@ def choose(messages: DataFrame, buckets: int, steps: np.ndarray) -> DataFrame:
         out.append({"bucket": out[0]["bucket"], "stats": [*map(int, np.concatenate(stats)), int(tokens[new != old].sum())]})
         return pa.Table.from_pylist(out, arrow)
 
-    return messages.filter("bucket IS NOT NULL").select("bucket", "block", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, REPLIES)
+    return messages.filter("bucket IS NOT NULL").select("bucket", "block", "blob").repartition(dealt(2 * buckets), "bucket").groupBy("bucket").applyInArrow(run, REPLIES)
 
 
 def _summed(df: DataFrame, column: str, size: int) -> np.ndarray:
