@@ -199,12 +199,13 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Learn the list on a bounded sample of labelled documents: the `max_rows` labels with the smallest hashes of ids.
 
     Documents that fail the base rules teach nothing. Null labels, and labels of documents that aren't there, are
-    left out; without any, the list is empty and keeps all. A document with several labels counts with the lowest.
+    left out; without any, the list is empty and keeps all. A document with several labels counts with the lowest,
+    and of rows that repeat an id the least text counts, so the sample is bounded whatever repeats.
     """
     marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(marked), "id")
-    rows = with_statistics(rows).filter(~base_failed()).select("id", "label", *(c.alias(n) for n, c in features().items())).toPandas()
+    rows = with_statistics(rows.groupBy("id", "label").agg(F.min("text").alias("text"))).filter(~base_failed()).select("id", "label", *(c.alias(n) for n, c in features().items())).toPandas()
     rows = rows.sort_values(["id", *features()], kind="stable")
     return cover({n: rows[n].to_numpy(float) for n in features()}, rows["label"].to_numpy() == 0, **options)
 
