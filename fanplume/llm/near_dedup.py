@@ -72,13 +72,10 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _jaccards(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """The Jaccard similarity of one sorted set to each of several."""
-    every = np.concatenate(others)
-    at = np.minimum(np.searchsorted(a, every), len(a) - 1)
-    sizes = np.array([len(x) for x in others])
-    both = np.add.reduceat((a[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
-    return both / (len(a) + sizes - both)
+def shingle_set(words: list[bytes], hashes: WordHashes, size: int, weighted: bool) -> np.ndarray:
+    """The sorted shingles of a text and, if weighted, the bits of their weights after them."""
+    elements, weights = weighted_shingles(words, hashes, size)
+    return np.append(elements, weights.view(np.uint64)) if weighted else elements
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -86,12 +83,37 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """The sum over shared elements d of 1 / sum over all elements e of max(wa[e] / wa[d], wb[e] / wb[d]).
+
+    In the order of wa / wb, elements from d on give the first of the two and those before it the second. With equal
+    weights it is the Jaccard similarity. Rounded to 12 places, so that the order of the sums decides nothing.
+    """
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    order = np.argsort(wa[i] / wb[j])
+    x, y = wa[i][order], wb[j][order]
+    return round(float((1 / ((wa.sum() - np.cumsum(x) + x) / x + (wb.sum() - y.sum() + np.cumsum(y) - y) / y)).sum()), 12)
+
+
+def similarities(a: np.ndarray, others: list[np.ndarray], weighted: bool) -> np.ndarray:
+    """The similarity of one shingle set to each of several."""
+    if weighted:
+        halves = [np.split(x, 2) for x in (a, *others)]
+        (one, w), *rest = [(x, bits.view(np.float64)) for x, bits in halves]
+        return np.array([probability_jaccard(one, w, x, v) for x, v in rest])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(a, every), len(a) - 1)
+    sizes = np.array([len(x) for x in others])
+    both = np.add.reduceat((a[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return both / (len(a) + sizes - both)
+
+
 def text_key(words: list[bytes]) -> bytes:
     """128 bits that tell texts apart by their words."""
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, weighted: bool = False) -> DataFrame:
     """(id, mark, key, bands, signature, shingles) of rows (id, text, mark), the last a count; all but the first two null for a text without words."""
     schema = T.StructType([docs.schema["id"], docs.schema["mark"], T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.LongType())])
 
@@ -109,8 +131,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 if key not in seen:
                     if len(seen) > 10_000:
                         seen.clear()
-                    own = weighted_shingles(words, hashes, size)[0]
-                    s = prob_min_hash(own, np.ones(len(own)))  # links are by sets, so repeats must not count
+                    own, weights = weighted_shingles(words, hashes, size)
+                    s = prob_min_hash(own, weights if weighted else np.ones(len(own)))  # where links are by sets, repeats must not count
                     seen[key] = (key, band_hashes(s), (s & np.uint64(255)).astype(np.uint8).tobytes(), len(own))
                 out.append(seen[key])
             keys, bands, sigs, counts = zip(*out, strict=True) if out else ((),) * 4
@@ -142,8 +164,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> tuple[DataFrame, Data
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have at least this Jaccard similarity of shingle sets."""
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float, weighted: bool) -> DataFrame:
+    """The pairs (a, b) whose texts have at least this similarity of shingle sets."""
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,28 +176,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
             if key not in known:
                 if len(known) > 500:
                     known.clear()
-                known[key] = weighted_shingles(words_of(text), hashes, size)[0]
+                known[key] = shingle_set(words_of(text), hashes, size, weighted)
             return known[key]
 
         for batch in sliced(batches):
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            good = [jaccard(of(*x), of(*y)) >= least for x, y in zip(zip(a, ta, strict=True), zip(b, tb, strict=True), strict=True)]
+            good = [similarities(of(*x), [of(*y)], weighted)[0] >= least for x, y in zip(zip(a, ta, strict=True), zip(b, tb, strict=True), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def _across(members: DataFrame, least: float, block: int = 4096, block_shingles: int = 8_000_000) -> DataFrame:
-    """Links (a, b) between members of a bucket (h, n, size, key, label, signature, shingles) in different components.
+def _dealt(members: DataFrame, block: int = 4096, block_shingles: int = 8_000_000) -> DataFrame:
+    """Members of buckets (h, n, size, key, length, label), each with its own block, and once for each pair of blocks (i, j) it takes part in.
+
+    A bucket of at most `block` members (n) and `block_shingles` shingles (size) is one block. The largest component of
+    another one, which most members of a group of copies belong to, has blocks of its own: these meet the blocks of the
+    other members but not each other, so a hot group is sent as often as it has blocks of members that it lacks.
+    """
+    hot = members.filter((F.col("n") > block) | (F.col("size") > block_shingles))
+    parts = hot.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"))
+    parts = parts.groupBy("h").agg(F.max(F.struct("n", "label", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.greatest(n / block, size / block_shingles))).cast("int")
+    rest = blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    parts = parts.select("h", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("mains"), rest.alias("rest"))
+    at, is_main = F.xxhash64("key"), F.col("label") == F.col("main")
+    own = F.when(is_main, F.col("rest") + F.pmod(at, "mains")).otherwise(F.pmod(at, "rest"))
+    last = F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1
+    placed = members.join(parts, "h", "left").withColumn("own", F.coalesce(own, F.lit(0)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(last, F.lit(0)))))
+    return placed.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label")
+
+
+def _across(dealt: DataFrame, least: float, weighted: bool = False) -> DataFrame:
+    """Links (a, b) between members of two blocks (h, i, j, own, key, label, signature, shingles) in different components.
 
     Pairs whose signatures agree often enough are compared by their shingle sets, the likeliest first. Components that
     a link connects count as one from then on, so a bucket yields fewer links than it has components, and no pairs are
-    made. A bucket of more than `block` members or `block_shingles` shingles (size) is dealt to tasks as pairs of
-    blocks.
+    made.
     """
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / block_shingles)).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label", "signature", "shingles")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("key")
@@ -195,7 +233,7 @@ def _across(members: DataFrame, least: float, block: int = 4096, block_shingles:
             rest = rest[np.argsort(-alike, kind="stable")]
             while len(rest):
                 some, rest = rest[:64], rest[64:]
-                for y in some[_jaccards(sets[x], [sets[y] for y in some]) >= least]:
+                for y in some[similarities(sets[x], [sets[y] for y in some], weighted) >= least]:
                     if root[y] != root[x]:
                         found.append((key[x], key[y]))
                         root[root == root[y]] = root[x]
@@ -205,26 +243,27 @@ def _across(members: DataFrame, least: float, block: int = 4096, block_shingles:
     return dealt.groupBy("h", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, weighted: bool = False) -> DataFrame:
     """One row per row of `docs`: its id, class_id (the least id of its class) and class_rows (rows in it).
 
     Classes are the components of links between texts whose sets of `size`-word shingles have a Jaccard similarity
-    of at least `least`. Texts with the same words count as one node. Candidates share a band of their ProbMinHash
-    signatures, in which each shingle has the same rate. In each bucket the members are first tested against the best connected one; then members of
+    of at least `least`; with `weighted`, a probability Jaccard similarity in which a shingle's weight is 1 + ln(count).
+    Texts with the same words count as one node. Candidates share a band of their ProbMinHash signatures, whose rates
+    are these weights, or all the same. In each bucket the members are first tested against the best connected one; then members of
     different components are tested across, in blocks, so no pairs are made within what is connected already.
 
     Texts of fewer words are one shingle; texts without words (null, empty, blank) are alone in their class. Rows
     that repeat an id and a text are rows of one class. Null ids sort after all others; a class of only such has a
     null class_id. Other columns are not returned.
     """
-    sigs = _classes_input(docs, id_col, text_col, size)
-    labels = _labels(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), sigs, size, least)
+    sigs = _classes_input(docs, id_col, text_col, size, weighted)
+    labels = _labels(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), sigs, size, least, weighted)
     return _classes(sigs, labels).select(F.col("id").alias(id_col), "class_id", "class_rows")
 
 
-def _classes_input(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def _classes_input(docs: DataFrame, id_col: str, text_col: str, size: int, weighted: bool) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return stored(signatures(rows.withColumn("mark", F.xxhash64("text")), size))
+    return stored(signatures(rows.withColumn("mark", F.xxhash64("text")), size, weighted))
 
 
 def _rank(name: str, *more: str):
@@ -242,12 +281,11 @@ def _classes(sigs: DataFrame, labels: DataFrame) -> DataFrame:
     return some.join(named, "key").select("id", "key", "class_id", "class_rows").union(alone)
 
 
-def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float) -> DataFrame:
+def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float, weighted: bool) -> DataFrame:
     """(key, label) of texts with links to others."""
     nodes = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.min(_rank("id", "mark")).alias("rep"))
-    bands = nodes.select("key", F.explode("bands").alias("h"), "shingles")
-    counts = bands.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("size")).filter("n > 1")
-    bands = bands.drop("shingles")
+    bands = nodes.select("key", F.explode("bands").alias("h"), F.col("shingles").alias("length"))
+    counts = bands.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).filter("n > 1")
     members = stored(bands.join(counts, "h"))
     degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "key").select("h", "n", "key", F.struct("degree", "key").alias("weight"))
@@ -260,18 +298,18 @@ def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float) -> DataFr
     found = marked.join(needed, marked["id"].eqNullSafe(needed["rep"]) & (marked["mark"] == needed["rep_mark"])).select("want", "text")
     texts = map_columns(found, ["text"], [T.StructField("key", T.BinaryType())], lambda t: [[text_key(words_of(x)) for x in t]])
     texts = stored(texts.filter("key = want").groupBy("key").agg(F.first("text").alias("text")))
-    links = stored(_verified(pairs, texts, size, least))
+    links = stored(_verified(pairs, texts, size, least, weighted))
     labels, first = components(links)
     marked = stored(members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
     mixed = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("h")
 
     def shingles(keys: list, texts: list) -> list:
         hashes = WordHashes()
-        return [[weighted_shingles(words_of(t), hashes, size)[0].tobytes() for t in texts]]
+        return [[shingle_set(words_of(t), hashes, size, weighted).tobytes() for t in texts]]
 
     sets = map_columns(texts, ["key", "text"], [T.StructField("shingles", T.BinaryType())], shingles, drop=["text"])
-    parts = marked.join(mixed, "h").join(nodes.select("key", "signature"), "key").join(sets, "key")
-    more = stored(_across(parts, least).distinct())
+    parts = _dealt(marked.join(mixed, "h")).join(nodes.select("key", "signature"), "key").join(sets, "key")
+    more = stored(_across(parts, least, weighted).distinct())
     if more.limit(1).count():
         labels, _ = components(links.unionByName(more))
         discard(first)
@@ -280,11 +318,11 @@ def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float) -> DataFr
     return labels
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, weighted: bool = False) -> DataFrame:
     """The rows of `docs` that are the first of their class, with all their columns. Rows that repeat id and text are one document."""
     base = without(docs, ())
-    sigs = _classes_input(base, id_col, text_col, size)
-    labels = _labels(base.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), sigs, size, least)
+    sigs = _classes_input(base, id_col, text_col, size, weighted)
+    labels = _labels(base.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), sigs, size, least, weighted)
     first = _classes(sigs, labels).filter(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__fp_id"), F.coalesce("key", F.lit(b"")).alias("__fp_own")).distinct()
     keyed = map_columns(base, [text_col], [T.StructField("__fp_key", T.BinaryType())], lambda t: [[text_key(w) if w else b"" for w in map(words_of, t)]])
     kept = keyed.join(first, keyed[f"`{id_col}`"].eqNullSafe(first["__fp_id"]) & (F.col("__fp_key") == F.col("__fp_own")), "left_semi")

@@ -135,8 +135,10 @@ def test_clashing_columns(clashing, odd):
     assert near_dedup.near_duplicates(clashing).count() == odd.count()
 
 
+@pytest.mark.parametrize("known", [1, 10])
 @pytest.mark.parametrize("block", [3, 4096])
-def test_components_of_a_bucket_are_tested_across_in_blocks(spark, block):
+def test_components_of_a_bucket_are_tested_across_in_blocks(spark, block, known):
+    """`known` of them are one component from the start."""
     from fanplume.llm.common import WordHashes, words_of
 
     base = [f"w{i}" for i in range(80)]
@@ -146,11 +148,14 @@ def test_components_of_a_bucket_are_tested_across_in_blocks(spark, block):
         shingles, weights = near_dedup.weighted_shingles(words_of(t), WordHashes())
         key = near_dedup.text_key(words_of(t))
         low = (near_dedup.prob_min_hash(shingles, weights) & near_dedup.np.uint64(255)).astype("u1").tobytes()
-        rows.append((1, len(texts), 76 * len(texts), bytearray(key), bytearray(key), bytearray(low), bytearray(shingles.tobytes())))
-    members = spark.createDataFrame(rows, "h long, n long, size long, key binary, label binary, signature binary, shingles binary")
-    links = near_dedup._across(members, 0.8, block).collect()
+        mine = key if len(rows) >= known or not rows else rows[0][3]
+        rows.append((1, len(texts), 76 * len(texts), bytearray(key), 76, bytearray(mine), bytearray(low), bytearray(shingles.tobytes())))
+    members = spark.createDataFrame(rows, "h long, n long, size long, key binary, length long, label binary, signature binary, shingles binary")
+    dealt = near_dedup._dealt(members, block)
+    assert known < 10 or block > 3 or dealt.groupBy("key").count().filter(F.col("count") > 4).count() <= len(texts) - known
+    links = near_dedup._across(dealt.join(members.select("key", "signature", "shingles"), "key"), 0.8).collect()
     keys = {bytes(r[3]): i for i, r in enumerate(rows)}
-    label = list(range(len(texts)))
+    label = [0 if i < known else i for i in range(len(texts))]
     for a, b in ((keys[bytes(x["a"])], keys[bytes(x["b"])]) for x in links):
         assert jaccard(texts[a], texts[b]) >= 0.8
         label = [label[b] if x == label[a] else x for x in label]
@@ -204,3 +209,29 @@ def test_a_phrase_in_many_surroundings_fills_no_bucket(spark, chunk_words):
     assert max(len(substring_dedup._unpack(x)[6]) for b, x in chunk.blobs if b < buckets) < sizes.max()
     single = [len(substring_dedup._unpack(x)[2]) for b, x in chunk.blobs if b >= buckets]
     assert len(single) == 16 and max(single) < 2 * sum(single) / 16
+
+
+def weighted_jaccard(a, b):
+    """By its definition."""
+    from math import log
+
+    x, y = ({g: 1 + log(n) for g, n in Counter(tuple(w[s : s + 5]) for w in [WORD.findall(t)] for s in range(len(w) - 4)).items()} for t in (a, b))
+    every = x.keys() | y.keys()
+    return round(sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in x.keys() & y.keys()), 12)
+
+
+def test_weighted_classes_are_by_probability_jaccard(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for k in range(25):
+        shared = [f"{k}s{i}" for i in range(60)]
+        for more in (0, 8, 14):
+            own = [f"{k}own{more}{i}" for i in range(more)]
+            texts.append(" ".join(shared * rng.choice([1, 3]) + own * rng.choice([1, 2, 9])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain, weighted = (Counter(map(tuple, near_dedup.near_duplicates(df, weighted=w).collect())) for w in (False, True))
+    assert plain == brute_classes(list(enumerate(texts)))
+    monkeypatch.setitem(globals(), "jaccard", weighted_jaccard)
+    assert weighted == brute_classes(list(enumerate(texts))) and weighted != plain
