@@ -154,7 +154,7 @@ def number_words(sent: DataFrame, buckets: int, core_words: int) -> DataFrame:
         out.append({"bucket": bucket, "stats": [int(total.sum()), int((total > 0).sum())], "top": [{"word": w, "at": i, "n": -n} for n, w, i in often]})
         return pa.Table.from_pylist(out, arrow)
 
-    return sent.repartition(dealt(2 * buckets), "bucket").groupBy("bucket").applyInArrow(run, NUMBERED)
+    return sent.repartitionById(dealt(buckets), "bucket").groupBy("bucket").applyInArrow(run, NUMBERED)
 
 
 class Coded(Tokens):
@@ -360,7 +360,7 @@ def choose(messages: DataFrame, buckets: int, steps: np.ndarray) -> DataFrame:
         out.append({"bucket": out[0]["bucket"], "stats": [*map(int, np.concatenate(stats)), int(tokens[new != old].sum())]})
         return pa.Table.from_pylist(out, arrow)
 
-    return messages.filter("bucket IS NOT NULL").select("bucket", "block", "blob").repartition(dealt(2 * buckets), "bucket").groupBy("bucket").applyInArrow(run, REPLIES)
+    return messages.filter("bucket IS NOT NULL").select("bucket", "block", "blob").repartitionById(dealt(buckets), "bucket").groupBy("bucket").applyInArrow(run, REPLIES)
 
 
 def _summed(df: DataFrame, column: str, size: int) -> np.ndarray:

@@ -322,8 +322,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found += told_apart(rest, window) if rest else []
         return pa.table([pa.array([o[0] for o, _ in found], to_arrow_type(id_type)), pa.array([o[1] for o, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], covered.names)
 
-    # twice as many tasks as buckets, so that few of them get several
-    ranges = rows.mapInArrow(partition, sent).repartition(dealt(2 * (buckets + spread)), "bucket").groupBy("bucket").applyInArrow(count, covered)
+    # a bucket a task: no two meet by chance
+    ranges = rows.mapInArrow(partition, sent).repartitionById(dealt(buckets + spread), "bucket").groupBy("bucket").applyInArrow(count, covered)
     ranges = ranges.groupBy("__fp_id", "__fp_mark").agg(F.collect_list("__fp_ranges").alias("__fp_ranges"))
     marked = base.withColumn("__fp_hash", F.hash(F.col(f"`{text_col}`")))
     joined = marked.join(ranges, base[f"`{id_col}`"].eqNullSafe(F.col("__fp_id")) & (F.col("__fp_hash") == F.col("__fp_mark")), "left").drop("__fp_id", "__fp_mark", "__fp_hash")
