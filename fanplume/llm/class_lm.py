@@ -192,8 +192,8 @@ MESSAGES = "bucket int, block long, blob binary, steps array<bigint>"
 
 
 def by_block(one: DataFrame, two: DataFrame, tasks: int) -> PandasCogroupedOps:
-    """The rows of both by block, dealt to so many tasks that few get several blocks; a row is a packed block or a part of one."""
-    return one.repartition(dealt(2 * tasks), "block").groupBy("block").cogroup(two.repartition(dealt(2 * tasks), "block").groupBy("block"))
+    """The rows of both by block, dealt to as many tasks as the blocks need; a row is a packed block or a part of one."""
+    return one.repartition(dealt(tasks), "block").groupBy("block").cogroup(two.repartition(dealt(tasks), "block").groupBy("block"))
 
 
 def code_blocks(blocks: DataFrame, numbered: DataFrame, tasks: int, buckets: int, base_of: Callable[[np.ndarray], np.ndarray], ends: int) -> DataFrame:
