@@ -103,6 +103,8 @@ class GramIndex:
     """The q-grams of a block of items, and the search for the items in texts.
 
     Items too short for an edit are searched as they are, as whole words: a few letters inside a word are no evidence.
+    Where an item may have so many edits that its q-grams prove nothing, an index of grams half as long holds it, down
+    to single characters, of which an item always shares some.
     """
 
     #: A q-gram that this many items share is common. An item may do without its common ones.
@@ -119,8 +121,10 @@ class GramIndex:
         edits = np.array([int(len(x) * error_rate) for x in codes], np.int64)
         fuzzy = np.array([k > 0 and len(x) + 1 > q * (k + 1) for x, k in zip(codes, edits.tolist(), strict=True)], bool)
         self.number = np.flatnonzero(fuzzy)
+        self.looser = np.flatnonzero((edits > 0) & ~fuzzy).tolist()
+        self.halved = GramIndex([items[i] for i in self.looser], q // 2, error_rate) if self.looser else None
         self.exact: dict[str, list[int]] = {}
-        for i in np.flatnonzero(~fuzzy).tolist():
+        for i in np.flatnonzero(edits == 0).tolist():
             if (text := _text(codes[i])).strip():
                 self.exact.setdefault(text, []).append(i)
         self.items = [codes[i] for i in self.number]
@@ -137,7 +141,7 @@ class GramIndex:
         new = np.ones(len(every), bool)
         new[1:] = (every[1:] != every[:-1]) | (item[1:] != item[:-1])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(every)) - 1
+        last = np.append(first, len(every))[1:] - 1
         times = np.diff(np.append(first, len(every)))
         every, item, low, high = every[first], item[first], at[first], at[last]
         # Without some of an item's grams it still shares `least` less as many: half of them may be common ones.
@@ -162,6 +166,8 @@ class GramIndex:
 
     def prepare(self) -> None:
         """What each worker makes for itself."""
+        if self.halved:
+            self.halved.prepare()
         self.fold = _folded()
         self.marked = np.zeros(1 << _BITS, bool)
         self.marked[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
@@ -193,6 +199,9 @@ class GramIndex:
         out: list[list[Match]] = [[] for _ in texts]
         for (i, at, _), own in zip(parts, found, strict=True):
             out[i] += [Match(m.item, m.start + at, m.end + at, m.edits) for m in own]
+        if self.halved:
+            for own, more in zip(out, self.halved.search(texts), strict=True):
+                own += [Match(self.looser[m.item], m.start, m.end, m.edits) for m in more]
         return [_best(own) for own in out]
 
     def _search_some(self, texts: list[str], out: list[list[Match]]) -> None:
@@ -323,6 +332,8 @@ def _best(found: list[Match]) -> list[Match]:
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, q: int, error_rate: float, block_chars: int) -> Iterator[tuple[list, GramIndex, bool]]:
     """Indexes of at most `block_chars` characters each (or one item), so that what is sent to the tasks has a proven
     bound, and whether there is another to come. An item that repeats is searched once."""
+    if not 0 <= error_rate < 1:
+        raise ValueError("error_rate is a share of an item's characters, below 1")
     rows = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")).filter(F.length("text") > 0).distinct()
     n, count = 1, 2
     while n < 2 * count:

@@ -368,6 +368,33 @@ def test_decontamination_of_odd_rows(spark, odd, empty, clashing):
     assert decontaminate.decontaminate(clashing, bench).columns == clashing.columns
 
 
+def test_blocks_of_short_items_only(spark):
+    bench = spark.createDataFrame([(1, "hello you"), (2, "good day")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "I say Hello  You."), (2, "well, hello\tyou and GOOD DAY!"), (3, "good days"), (4, None)], "doc_id long, text string")
+    for rate in (0.0, 0.05):
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_benchmark(docs, bench, error_rate=rate).collect()) == [(2, 1), (2, 2)]
+        assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, bench, error_rate=rate, block_chars=10).collect()) == [1, 3, 4]
+
+
+def test_any_error_rate_below_one(spark):
+    item, longer = "thirty characters, all of them", "the quick brown onion jumps over the lazy ring and falls asleep"
+    typo = item.replace("all", "al")
+    for items in ([item], [item, longer], [item, "hello you", "x"]):
+        for rate in (0.05, 0.1, 0.13, 0.2, 0.3):
+            index = decontaminate.GramIndex(items, 8, rate)
+            index.prepare()
+            found = index.search([f"so there were {typo} here, {longer}", item])
+            assert (0, 1) in {(m.item, m.edits) for m in found[0]}, (items, rate)
+            assert (0, 0, len(item), 0) in {(m.item, m.start, m.end, m.edits) for m in found[1]}
+            assert all(brute_distance(items[m.item], (f"so there were {typo} here, {longer}")[m.start : m.end]) == m.edits <= int(len(items[m.item]) * rate) for m in found[0])
+    for rate in (0.4, 0.5, 0.7, 0.99):
+        index = decontaminate.GramIndex([item, "hello you"], 8, rate)
+        index.prepare()
+        assert {m.item for m in index.search([f"{item} and hello you"])[0]} == {0, 1}
+    with pytest.raises(ValueError):
+        decontaminate.decontaminate(spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([(1, "x")], "item_id long, text string"), error_rate=1.0)
+
+
 def test_scores(spark, sf, rows):
     tok = lambda t: [*(t or "").encode().lower().split(), None]
     counts = Counter(w for r in rows if zlib.crc32(str(r[0]).encode()) % 10 for w in tok(r[1]))
