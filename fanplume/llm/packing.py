@@ -53,7 +53,14 @@ class TextEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.merges is None:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [self.merges.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
+        return [self._merged(t) for t in texts]
+
+    def _merged(self, text: str) -> bytes:
+        try:
+            ids = self.merges.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # white space of about a million characters is more than its pattern can step back over
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return ids.astype("<u4", copy=False).tobytes()
 
 
 def _by_merges(path: str):

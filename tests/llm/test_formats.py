@@ -152,6 +152,25 @@ def test_ids_are_those_of_the_library_for_every_code_point():
         assert [[*np.frombuffer(x, "<u4").tolist(), 1] for x in own.encode(part)] == reference_ids(part)
 
 
+def test_white_space_of_any_length():
+    own = packing.TextEncoder(packing.vocabulary_path())
+    some = [" " * 5_000_000, "a" + " " * 1_100_000 + "b", "\n" * 2_000_000, "<|endoftext|>" + "\t " * 800_000 + "x"]
+    assert [[*np.frombuffer(x, "<u4").tolist(), 1] for x in own.encode(some)] == reference_ids(some)
+
+
+def test_white_space_of_any_length_through_spark_and_pipeline(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = [" " * 5_000_000, "word and " * 40 + " " * 1_200_000 + "the end", "other words here " * 30, "\n" * 1_500_000]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    check_pieces(packing.pack_documents(df).collect(), dict(enumerate(texts)))
+    spark.createDataFrame([(1, "hello you"), (2, "good day")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = df
+    for _, stage in P.STAGES:
+        at = stage(spark, at, str(tmp_path))
+    assert {r["doc_id"] for r in at.collect()} <= {0, 1, 2, 3}
+
+
 def test_other_vocabularies_are_left_to_the_library():
     own = packing.TextEncoder(packing.vocabulary_path("word_bpe_49k.json"))
     assert own.merges is None
