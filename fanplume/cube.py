@@ -340,7 +340,20 @@ class Cube:
 
     # alignment
 
-    def align(self, other: Cube, suffix: str = "_b") -> Cube:
+    def align(self, *others: Cube, suffixes: str = "_b _c _d _e _f _g _h", strict: bool = False) -> Cube:
+        """All cubes on the labels that they share, one after the other as `_aligned` has it. Values of the first, second ...
+        other cube whose names are taken get the first, second ... suffix. With `strict` it is an error, found by a
+        small job, if no label is common to all."""
+        out = self
+        for other, suffix in zip(others, suffixes.split(), strict=False):
+            out = out._aligned(other, suffix)
+        if len(others) > len(suffixes.split()):
+            raise ValueError("more cubes than suffixes")
+        if strict and not out.df.limit(1).count():
+            raise ValueError("no label in common")
+        return out
+
+    def _aligned(self, other: Cube, suffix: str) -> Cube:
         """Both cubes on the labels that they share; dimensions that only one has are repeated over the other.
 
         Values of `other` whose names are taken get the suffix. Without a dimension in common, as with a constant, all
@@ -382,9 +395,14 @@ class Cube:
         return dataclasses.replace(out, units=out.units | {name: ""}, notes=tuple(dict.fromkeys([*self.notes, *notes])))
 
     def anomaly(self, over: str, value: str, name: str = "anomaly") -> Cube:
-        """The value less its mean over a dimension: a window instead of a join with the coarser array."""
-        keep = [d for d in self.dims if d != over]
-        return self.let(**{name: num(F.col(value)) - F.avg(num(F.col(value))).over(Window.partitionBy(*keep))})
+        """The value less its mean over a dimension (over time weighted by hours): a window instead of a join with the
+        coarser array."""
+        x, w = num(F.col(value)), Window.partitionBy(*(d for d in self.dims if d != over))
+        average = F.avg(x).over(w)
+        if over == "time":
+            average = F.sum(x * F.col(DT)).over(w) / F.nullif(F.sum(F.when(x.isNotNull(), F.col(DT))).over(w), F.lit(0.0))
+        out = self.let(**{name: x - average})
+        return dataclasses.replace(out, units=out.units | ({name: self.units[value]} if value in self.units else {}))
 
 
 def _time(x: str | datetime, zone: str) -> Column:

@@ -15,12 +15,21 @@ def factors(unit: str) -> Counter[str]:
     found: Counter[str] = Counter()
     for k, part in enumerate(unit.split("/")):
         for word in part.split("·"):
-            symbol = word.rstrip("²³") if word != "1" else ""
+            symbol, times = _raised(word)
             if symbol:
-                found[symbol] += next(n for n, mark in RAISED.items() if word == symbol + mark) * (-1 if k else 1)
+                found[symbol] += -times if k else times
     return found
 
 
+def _raised(word: str) -> tuple[str, int]:
+    """A symbol and how often it is multiplied: `m³` and `m^4`; the number 1 has no symbol."""
+    symbol, raised, times = word.partition("^")
+    if raised:
+        return symbol, int(times)
+    symbol = word.rstrip("²³")
+    return ("", 0) if word == "1" else (symbol, next(n for n, mark in RAISED.items() if word == symbol + mark))
+
+
 def spelled(found: Counter[str]) -> str:
     """The unit with these factors; divisors follow one by one, each behind its own stroke."""
     words = {way: [s + RAISED.get(way * n, f"^{way * n}") for s, n in sorted(found.items()) if way * n > 0] for way in (1, -1)}

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fanplume.functions.missing import num
 from fanplume.functions.weather import haversine_km
 
 KM_PER_DEGREE = 111.2
@@ -52,8 +53,8 @@ def area_grid(spark: SparkSession, south: float, north: float, west: float, east
 
 
 def _place_on(south: float, west: float, step: float, rows: int, cols: int) -> tuple[Column, Column, Column]:
-    """Positions of lat and lon on a grid, in steps, and whether they lie on it."""
-    fr, fc = F.round((F.col("lat") - south) / step, 9), F.round((F.col("lon") - west) / step, 9)
+    """Positions of lat and lon on a grid, in steps, and whether they lie on it. Longitudes that differ by 360 are one."""
+    fr, fc = F.round((F.col("lat") - south) / step, 9), F.round(F.pmod(F.round(F.col("lon") - west, 11), F.lit(360.0)) / step, 9)
     return fr, fc, (fr >= 0) & (fr <= rows - 1) & (fc >= 0) & (fc <= cols - 1)
 
 
@@ -82,16 +83,21 @@ def along(samples: DataFrame, fields: DataFrame, values: list[str], key: list[st
     spread = spread.select(*key, "r", "c", F.explode(two(F.col("hours"), F.floor("hours")) if instant else one).alias("t"))
     weighted = spread.select(*key, F.col("r.at").alias("lat_pos"), F.col("c.at").alias("lon_pos"), F.col("t.at").alias("hour"), (F.col("r.part") * F.col("c.part") * F.col("t.part")).alias("weight")).filter("weight > 0")
     met = weighted.join(fields, ["lat_pos", "lon_pos", "hour"])
-    # what was found makes up all of the weight, or else the value is missing
-    made = lambda v: F.when(F.abs(F.sum(F.when(F.col(v).isNotNull(), F.col("weight"))) - 1) < 1e-6, F.sum(F.col("weight") * F.col(v)))
-    found = met.groupBy(*key, *(by or [])).agg(*(made(v).alias(v) for v in values))
+    found = met.groupBy(*key, *(by or [])).agg(*(_weighted(v) for v in values))
     return found if by else samples.filter(on).select(*key).join(found, key, "left")
 
 
+def _weighted(value: str) -> Column:
+    """The weighted sum of what was found, if that makes up all of the weight; else missing."""
+    x = num(F.col(value))
+    return F.when(F.abs(F.sum(F.when(x.isNotNull(), F.col("weight"))) - 1) < 1e-6, F.sum(F.col("weight") * x)).alias(value)
+
+
 def bilinear(points: DataFrame, grid: DataFrame, values: list[str], south: float, west: float, step: float, rows: int, cols: int, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """Each point's value from the four grid cells around it; points outside the grid are left out, or with `strict` an error.
 
-    `grid` has lat_pos and lon_pos. A point unfolds its four cells and weights, which then join by position.
+    `grid` has lat_pos and lon_pos. A point unfolds those of its four cells that have any weight, which then join by
+    position; where one of them is missing or isn't there, so is the value.
     """
     if strict:
         require_inside(points, south, west, step, rows, cols)
@@ -100,22 +106,24 @@ def bilinear(points: DataFrame, grid: DataFrame, values: list[str], south: float
     inside = points.filter(on)
     wr, wc = fr - r, fc - c
     corner = lambda dr, dc: F.struct((r + dr).alias("lat_pos"), (c + dc).alias("lon_pos"), ((wr if dr else 1 - wr) * (wc if dc else 1 - wc)).alias("weight"))
-    corners = inside.withColumn("__c", F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)))).select("point", F.col("__c.lat_pos"), F.col("__c.lon_pos"), F.col("__c.weight"))
-    joined = corners.join(grid, ["lat_pos", "lon_pos"])
-    return joined.groupBy("point", *(by or [])).agg(*(F.sum(F.col("weight") * F.col(v)).alias(v) for v in values))
+    corners = inside.withColumn("__c", F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)))).select("point", F.col("__c.lat_pos"), F.col("__c.lon_pos"), F.col("__c.weight")).filter("weight > 0")
+    found = corners.join(grid, ["lat_pos", "lon_pos"]).groupBy("point", *(by or [])).agg(*map(_weighted, values))
+    return found if by else inside.select("point").join(found, "point", "left")
 
 
 def nearest(points: DataFrame, cells: DataFrame, bucket_deg: float = 0.25, max_km: float | None = None) -> DataFrame:
     """The cell (its id `cell`) nearest to each point, by the local plane; ties to the smaller id.
 
-    Cells meet the points of their own and the eight neighbouring buckets in an equi-join. Points without a cell
-    there, or with none within `max_km`, are left out.
+    Cells meet the points of their own and the eight neighbouring buckets in an equi-join; longitudes that differ by
+    360 are one, and the buckets go round the globe. Points without a cell there, or with none within `max_km`, are left out.
     """
-    row, col = (lambda c: F.floor((F.col(c) + 90) / bucket_deg)), (lambda c: F.floor((F.col(c) + 180) / bucket_deg))
+    row, round_globe = (lambda c: F.floor((F.col(c) + 90) / bucket_deg)), F.lit(math.ceil(360 / bucket_deg))
+    col = lambda c: F.floor(F.pmod(F.round(F.col(c) + 180, 11), F.lit(360.0)) / bucket_deg)
     near = points.withColumns({"__r": F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: row("lat") + d))})
-    near = near.withColumn("__c", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: col("lon") + d)))
+    near = near.withColumn("__c", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(col("lon") + d, round_globe))))
     own = cells.select("cell", F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"), row("lat").alias("__r"), col("lon").alias("__c"))
-    d2 = F.pow(F.col("cell_lat") - F.col("lat"), F.lit(2)) + F.pow((F.col("cell_lon") - F.col("lon")) * F.cos(F.radians("lat")), F.lit(2))
+    apart = F.pmod(F.col("cell_lon") - F.col("lon") + 180, F.lit(360.0)) - 180
+    d2 = F.pow(F.col("cell_lat") - F.col("lat"), F.lit(2)) + F.pow(apart * F.cos(F.radians("lat")), F.lit(2))
     best = near.join(own, ["__r", "__c"]).groupBy("point").agg(F.min(F.struct(F.round(d2, 12).alias("d2"), "cell")).alias("best"))
     out = best.select("point", F.col("best.cell").alias("cell"), (F.sqrt("best.d2") * 111.2).alias("km"))
     return out if max_km is None else out.filter(F.col("km") <= max_km)

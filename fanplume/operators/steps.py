@@ -9,10 +9,11 @@ from fanplume.functions.missing import num
 
 
 def deaccumulate(steps: DataFrame, value: str, keys: list[str], step: str = "step", name: str = "rate") -> DataFrame:
-    """Rates between steps from totals since the start; a total that falls gives 0. The first step has no rate before it."""
+    """Rates between steps from totals since the start; a total that falls gives 0. The first step has no rate before
+    it, and beside a missing total the rate is missing."""
     w = Window.partitionBy(*keys).orderBy(step)
-    change = F.greatest(F.col(value) - F.lag(value).over(w), F.lit(0.0))
-    return steps.withColumn(name, change / (F.col(step) - F.lag(step).over(w)))
+    change = num(F.col(value)) - F.lag(num(F.col(value))).over(w)
+    return steps.withColumn(name, F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))) / (F.col(step) - F.lag(step).over(w)))
 
 
 def deaverage(steps: DataFrame, value: str, keys: list[str], step: str = "step", name: str = "rate") -> DataFrame:

@@ -32,6 +32,9 @@ CELLS = "cells AS (SELECT i * 10 + j AS cell, i AS lat_pos, j AS lon_pos, round(
 GRID = "grid AS (SELECT l_suppkey % 10 AS lat_pos, l_partkey % 10 AS lon_pos, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 RUNS = "runs AS (SELECT o_orderpriority AS source, strftime(o_orderdate, '%Y-%m-%d') AS run, min(o_custkey) AS from_hour, max(o_custkey) AS to_hour FROM orders GROUP BY 1, 2)"
 KEYS = ["model", "member"]
+WEIGHT = "CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lon_pos = c THEN 1 - (fc - c) ELSE fc - c END"
+#: The weighted sum, where what was found makes up all of the weight.
+GUARD = f"CASE WHEN abs(sum(CASE WHEN v IS NOT NULL THEN {WEIGHT} END) - 1) < 1e-6 THEN sum(v * {WEIGHT}) END"
 
 
 def query(key: str, build: Callable[[SparkSession, str], DataFrame], sql: str, *ctes: str) -> None:
@@ -50,6 +53,13 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select((F.col("lat_pos") * 10 + F.col("lon_pos")).alias("cell"), F.round(50 + 0.1 * F.col("lat_pos"), 4).alias("lat"), F.round(6 + 0.1 * F.col("lon_pos"), 4).alias("lon"))
 
 
+def _corner_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as points on and between the lines of the grid."""
+    k = F.col("s_suppkey")
+    points = table(spark, sf_dir, "supplier").filter(k % 46 / 5 <= 9)
+    return points.select(k.alias("point"), (50 + 0.1 * (k % 18) / 2).alias("lat"), (6 + 0.1 * (k % 46) / 5).alias("lon"))
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a priority (source) on a day (run) reach from their least to their greatest customer."""
     orders = table(spark, sf_dir, "orders")
@@ -68,6 +78,12 @@ STORED = "stored AS (SELECT l_linestatus AS source, CAST(year(l_shipdate) AS INT
 query("de4_deaccumulate", lambda s, d: shown(steps.deaccumulate(step_totals(s, d), "acc", KEYS).select("model", "member", "step", "rate")), "SELECT model, member, step, round(greatest(acc - lag(acc) OVER w, 0) / (step - lag(step) OVER w), 6) AS rate FROM st WINDOW w AS (PARTITION BY model, member ORDER BY step)", ST)
 ORACLE_SQL["de4_deaccumulate"] = ORACLE_SQL["de4_deaccumulate"].replace("round(greatest(acc - lag(acc) OVER w, 0) / (step - lag(step) OVER w), 6)", "CASE WHEN lag(acc) OVER w IS NOT NULL THEN round(greatest(acc - lag(acc) OVER w, 0) / (step - lag(step) OVER w), 6) END")
 query("de5_deaverage", lambda s, d: shown(steps.deaverage(step_totals(s, d).filter("step > 0").withColumn("m", F.col("acc") / F.col("step")), "m", KEYS).select("model", "member", "step", "rate")), "SELECT model, member, step, CASE WHEN lag(acc) OVER w IS NOT NULL THEN round(greatest(acc - lag(acc) OVER w, 0) / (step - lag(step) OVER w), 6) END AS rate FROM st WHERE step > 0 WINDOW w AS (PARTITION BY model, member ORDER BY step)", ST)
+# totals of which some are missing: no rate before or behind them
+query("de4_missing_totals", lambda s, d: shown(steps.deaccumulate(step_totals(s, d).withColumn("acc", F.when(F.col("step") % 150 != 60, F.col("acc"))), "acc", KEYS).select("model", "member", "step", "rate")),
+      "SELECT model, member, step, round(CASE WHEN acc - before < 0 THEN 0 ELSE acc - before END / (step - lag(step) OVER w), 6) AS rate FROM (SELECT *, lag(acc) OVER (PARTITION BY model, member ORDER BY step) AS before FROM (SELECT * REPLACE (CASE WHEN step % 150 <> 60 THEN acc END AS acc) FROM st)) WINDOW w AS (PARTITION BY model, member ORDER BY step)", ST)
+ORACLE_SQL["de4_missing_totals"] = ORACLE_SQL["de4_missing_totals"].replace("CASE WHEN acc - before < 0 THEN 0 ELSE acc - before END", "CASE WHEN acc - before < 0 THEN 0 WHEN acc - before >= 0 THEN acc - before END")
+query("de5_missing_means", lambda s, d: shown(steps.deaverage(step_totals(s, d).filter("step > 0").withColumn("m", F.when(F.col("step") % 210 != 90, F.col("acc") / F.col("step"))), "m", KEYS).select("model", "member", "step", "rate")),
+      "SELECT model, member, step, round(CASE WHEN acc IS NULL OR lag(acc) OVER w IS NULL THEN NULL ELSE greatest(acc - lag(acc) OVER w, 0) / (step - lag(step) OVER w) END, 6) AS rate FROM (SELECT * REPLACE (CASE WHEN step % 210 <> 90 THEN acc END AS acc) FROM st WHERE step > 0) WINDOW w AS (PARTITION BY model, member ORDER BY step)", ST)
 query("jo6_interval_join", lambda s, d: shown(steps.at_times(steps.deaccumulate(step_totals(s, d), "acc", KEYS), KEYS, 7, "rate", interval=True)),
       "SELECT model, member, t, round(rate, 6) AS value FROM (SELECT model, member, step, lag(step) OVER w AS low, greatest(acc - lag(acc) OVER w, 0) / (step - lag(step) OVER w) AS rate FROM st WINDOW w AS (PARTITION BY model, member ORDER BY step)) b JOIN (SELECT unnest(range(-70, 4000, 7)) AS t) h ON h.t + 3.5 > b.low AND h.t + 3.5 <= b.step", ST)
 query("jo7_bracketing_join", lambda s, d: shown(steps.at_times(step_totals(s, d), KEYS, 7, "acc")),
@@ -105,7 +121,14 @@ query("de8_head_crosswind", lambda s, d: shown(routes(s, d).select("route", "sam
 query("lo3_places", lambda s, d: shown(places(s, d)), "SELECT point, round(lat, 6) AS lat, round(lon, 6) AS lon FROM pt", PT)
 query("lo5_area_grid", lambda s, d: shown(spatial.area_grid(s, 50.0, 50.9, 6.0, 6.9, 10, 10).join(_grid(s, d), ["lat_pos", "lon_pos"], "left").select("lat", "lon", "v")), "SELECT lat, lon, round(v, 6) AS v FROM cells LEFT JOIN grid USING (lat_pos, lon_pos)", CELLS, GRID)
 query("lo10_bilinear", lambda s, d: shown(spatial.bilinear(places(s, d), _grid(s, d), ["v"], 50.0, 6.0, 0.1, 10, 10)),
-      "SELECT point, round(sum(v * CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lon_pos = c THEN 1 - (fc - c) ELSE fc - c END), 6) AS v FROM (SELECT point, (lat - 50) / 0.1 AS fr, (lon - 6) / 0.1 AS fc, least(floor((lat - 50) / 0.1), 8) AS r, least(floor((lon - 6) / 0.1), 8) AS c FROM pt) p JOIN grid ON lat_pos IN (r, r + 1) AND lon_pos IN (c, c + 1) WHERE fr BETWEEN 0 AND 9 AND fc BETWEEN 0 AND 9 GROUP BY point", PT, GRID)
+      "SELECT point, round(CASE WHEN abs(sum(CASE WHEN v IS NOT NULL THEN CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lon_pos = c THEN 1 - (fc - c) ELSE fc - c END END) - 1) < 1e-6 THEN sum(v * CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lon_pos = c THEN 1 - (fc - c) ELSE fc - c END) END, 6) AS v FROM (SELECT point, (lat - 50) / 0.1 AS fr, (lon - 6) / 0.1 AS fc, least(floor((lat - 50) / 0.1), 8) AS r, least(floor((lon - 6) / 0.1), 8) AS c FROM pt) p JOIN grid ON lat_pos IN (r, r + 1) AND lon_pos IN (c, c + 1) WHERE fr BETWEEN 0 AND 9 AND fc BETWEEN 0 AND 9 GROUP BY point", PT, GRID)
+# cells of which some aren't there (remainder 3 by 7) or have no value (5 by 11); a corner without weight doesn't matter
+query("lo10_gaps", lambda s, d: shown(spatial.bilinear(_corner_points(s, d), _grid(s, d).filter("(lat_pos * 10 + lon_pos) % 7 <> 3").withColumn("v", F.when((F.col("lat_pos") * 10 + F.col("lon_pos")) % 11 != 5, F.col("v"))), ["v"], 50.0, 6.0, 0.1, 10, 10)),
+      f"SELECT p.point, round(x.v, 6) AS v FROM cp p LEFT JOIN (SELECT point, {GUARD} AS v FROM (SELECT point, fr, fc, least(floor(fr), 8) AS r, least(floor(fc), 8) AS c FROM cp) q JOIN gg ON lat_pos IN (r, r + 1) AND lon_pos IN (c, c + 1) WHERE {WEIGHT} > 0 GROUP BY point) x USING (point)",
+      "cp AS (SELECT s_suppkey AS point, round(s_suppkey % 18 / 2, 9) AS fr, round(s_suppkey % 46 / 5, 9) AS fc FROM supplier WHERE s_suppkey % 46 / 5 <= 9)", GRID, "gg AS (SELECT lat_pos, lon_pos, CASE WHEN (lat_pos * 10 + lon_pos) % 11 <> 5 THEN v END AS v FROM grid WHERE (lat_pos * 10 + lon_pos) % 7 <> 3)")
+# cells east of 359 degrees, places west of 0: the same cells as three degrees further east
+query("lo11_round_globe", lambda s, d: shown(spatial.nearest(places(s, d).withColumn("lon", F.col("lon") - 6.05), _cells(s, d).withColumn("lon", F.pmod(F.col("lon") - 6.05, F.lit(360.0))), max_km=30.0)),
+      "SELECT point, cell, round(sqrt(d2) * 111.2, 6) AS km FROM (SELECT point, cell, round(pow(g.lat - p.lat, 2) + pow((g.lon - p.lon) * cos(radians(p.lat)), 2), 12) AS d2 FROM pt p CROSS JOIN (SELECT lat_pos * 10 + lon_pos AS cell, round(50 + 0.1 * lat_pos, 4) AS lat, round(6 + 0.1 * lon_pos, 4) AS lon FROM grid) g) WHERE sqrt(d2) * 111.2 <= 30 QUALIFY row_number() OVER (PARTITION BY point ORDER BY d2, cell) = 1", PT, GRID)
 query("lo11_nearest_cell", lambda s, d: shown(spatial.nearest(places(s, d), _cells(s, d), max_km=30.0)),
       "SELECT point, cell, round(sqrt(d2) * 111.2, 6) AS km FROM (SELECT point, cell, round(pow(g.lat - p.lat, 2) + pow((g.lon - p.lon) * cos(radians(p.lat)), 2), 12) AS d2 FROM pt p CROSS JOIN (SELECT lat_pos * 10 + lon_pos AS cell, round(50 + 0.1 * lat_pos, 4) AS lat, round(6 + 0.1 * lon_pos, 4) AS lon FROM grid) g) WHERE sqrt(d2) * 111.2 <= 30 QUALIFY row_number() OVER (PARTITION BY point ORDER BY d2, cell) = 1", PT, GRID)
 query("jo9_nearest_values", lambda s, d: shown(spatial.nearest(places(s, d), _cells(s, d)).join(_grid(s, d).withColumn("cell", F.col("lat_pos") * 10 + F.col("lon_pos")), "cell").select("point", "cell", "v")),
@@ -122,9 +145,9 @@ def _grid_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID_BY_MODEL = "gm AS (SELECT l_returnflag AS model, l_suppkey % 10 AS lat_pos, l_partkey % 10 AS lon_pos, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
 
 query("lo1_point", lambda s, d: shown(spatial.bilinear(s.createDataFrame([("p", 50.23, 6.37)], "point string, lat double, lon double"), _grid_by_model(s, d), ["v"], 50.0, 6.0, 0.1, 10, 10, by=["model"])),
-      "SELECT 'p' AS point, model, round(sum(v * CASE lat_pos WHEN 2 THEN 0.7 ELSE 0.3 END * CASE lon_pos WHEN 3 THEN 0.3 ELSE 0.7 END), 6) AS v FROM gm WHERE lat_pos IN (2, 3) AND lon_pos IN (3, 4) GROUP BY model", GRID_BY_MODEL)
+      "SELECT 'p' AS point, model, round(CASE WHEN abs(sum(CASE WHEN v IS NOT NULL THEN CASE lat_pos WHEN 2 THEN 0.7 ELSE 0.3 END * CASE lon_pos WHEN 3 THEN 0.3 ELSE 0.7 END END) - 1) < 1e-6 THEN sum(v * CASE lat_pos WHEN 2 THEN 0.7 ELSE 0.3 END * CASE lon_pos WHEN 3 THEN 0.3 ELSE 0.7 END) END, 6) AS v FROM gm WHERE lat_pos IN (2, 3) AND lon_pos IN (3, 4) GROUP BY model", GRID_BY_MODEL)
 query("lo2_points", lambda s, d: shown(spatial.bilinear(places(s, d), _grid_by_model(s, d), ["v"], 50.0, 6.0, 0.1, 10, 10, by=["model"]).groupBy("model").agg(F.avg("v").alias("m"), F.count("v").alias("points"))),
-      "SELECT model, round(avg(v), 6) AS m, count(v) AS points FROM (SELECT model, point, sum(v * CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lon_pos = c THEN 1 - (fc - c) ELSE fc - c END) AS v FROM (SELECT point, (lat - 50) / 0.1 AS fr, (lon - 6) / 0.1 AS fc, least(floor((lat - 50) / 0.1), 8) AS r, least(floor((lon - 6) / 0.1), 8) AS c FROM pt) p JOIN gm ON lat_pos IN (r, r + 1) AND lon_pos IN (c, c + 1) GROUP BY model, point) GROUP BY model", PT, GRID_BY_MODEL)
+      "SELECT model, round(avg(v), 6) AS m, count(v) AS points FROM (SELECT model, point, CASE WHEN abs(sum(CASE WHEN v IS NOT NULL THEN CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lon_pos = c THEN 1 - (fc - c) ELSE fc - c END END) - 1) < 1e-6 THEN sum(v * CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lon_pos = c THEN 1 - (fc - c) ELSE fc - c END) END AS v FROM (SELECT point, (lat - 50) / 0.1 AS fr, (lon - 6) / 0.1 AS fc, least(floor((lat - 50) / 0.1), 8) AS r, least(floor((lon - 6) / 0.1), 8) AS c FROM pt) p JOIN gm ON lat_pos IN (r, r + 1) AND lon_pos IN (c, c + 1) GROUP BY model, point) GROUP BY model", PT, GRID_BY_MODEL)
 query("lo4_route_cells", lambda s, d: shown(spatial.nearest(routes(s, d).select(F.col("sample").alias("point"), "lat", "lon"), _cells(s, d), max_km=8.0).withColumnRenamed("point", "sample")),
       "SELECT sample, cell, round(sqrt(d2) * 111.2, 6) AS km FROM (SELECT sample, lat_pos * 10 + lon_pos AS cell, round(pow(round(50 + 0.1 * lat_pos, 4) - r.lat, 2) + pow((round(6 + 0.1 * lon_pos, 4) - r.lon) * cos(radians(r.lat)), 2), 12) AS d2 FROM rt r CROSS JOIN grid) WHERE sqrt(d2) * 111.2 <= 8 QUALIFY row_number() OVER (PARTITION BY sample ORDER BY d2, cell) = 1", RT, GRID)
 query("ag2_route_mean", lambda s, d: shown(spatial.half_gaps(routes(s, d), ["route"], F.col("distance_km") / 50).groupBy("route").agg((F.sum(F.col("v") * F.col("dt")) / F.nullif(F.sum("dt"), F.lit(0.0))).alias("mean"), F.sum(F.col("v") * F.col("dt")).alias("total"))),

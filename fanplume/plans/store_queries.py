@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fanplume.operators import spatial
 from fanplume.plans.cube_queries import shown
-from fanplume.plans.place_queries import GRID, PT, RT, STORED, _cells, _grid, _stored
+from fanplume.plans.place_queries import GRID, GUARD, PT, RT, STORED, _cells, _grid, _stored
 from fanplume.sources import fields
 from fanplume.sources import places as named
 from fanplume.sources.cubes import places, routes, table
@@ -139,7 +139,7 @@ def lo9_described_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GAP = "10 / 111.2"
 
 
-@query(f"SELECT point, round(sum(v * CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lon_pos = c THEN 1 - (fc - c) ELSE fc - c END), 6) AS v FROM (SELECT i * 6 + j AS point, round((50.1 + i * {_GAP} - 50) / 0.1, 9) AS fr, round((6.1 + j * {_GAP} / cos(radians(50.45)) - 6) / 0.1, 9) AS fc, least(floor(fr), 8) AS r, least(floor(fc), 8) AS c FROM (SELECT unnest(range(8)) AS i) CROSS JOIN (SELECT unnest(range(6)) AS j)) JOIN grid ON lat_pos IN (r, r + 1) AND lon_pos IN (c, c + 1) GROUP BY point", GRID)
+@query(f"SELECT point, round({GUARD}, 6) AS v FROM (SELECT i * 6 + j AS point, round((50.1 + i * {_GAP} - 50) / 0.1, 9) AS fr, round((6.1 + j * {_GAP} / cos(radians(50.45)) - 6) / 0.1, 9) AS fc, least(floor(fr), 8) AS r, least(floor(fc), 8) AS c FROM (SELECT unnest(range(8)) AS i) CROSS JOIN (SELECT unnest(range(6)) AS j)) JOIN grid ON lat_pos IN (r, r + 1) AND lon_pos IN (c, c + 1) GROUP BY point", GRID)
 def lo5_area_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid of an area by the rule of 10 km, interpolated from the cells."""
     points = spatial.area_points(spark, 50.1, 50.8, 6.1, 6.85)

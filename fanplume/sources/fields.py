@@ -47,7 +47,7 @@ def cached_until(stored: DataFrame, by: list[str], every: int, start: int = 0) -
 def evict(spark: SparkSession, path: str, newest: int = 2, writing: list[tuple] = ()) -> list[str]:
     """Delete the folders of all runs but the newest ones of each source, and but those (source, run) being written.
 
-    Only names of folders are looked at, one for each run. Returns what was deleted.
+    Runs are compared as the text that their folders are named by, and nothing else is looked at. Returns what was deleted.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -55,7 +55,9 @@ def evict(spark: SparkSession, path: str, newest: int = 2, writing: list[tuple]
     if not folders:
         return []
     named = [(unquote(f.getParent().getName().split("=", 1)[1]), unquote(f.getName().split("=", 1)[1]), f.toString()) for f in folders]
-    kept = {(str(r["source"]), str(r["run"])) for r in kept_runs(read_fields(spark, path), newest).collect()} | {(str(a), str(b)) for a, b in writing}
+    kept = {(str(a), str(b)) for a, b in writing}
+    for own in {source for source, _, _ in named}:
+        kept |= {(own, run) for run in sorted({r for s, r, _ in named if s == own}, reverse=True)[:newest]}
     gone = [f for source, run, f in named if (source, run) not in kept]
     for f in gone:
         fs.delete(hadoop(f), True)
