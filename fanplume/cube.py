@@ -40,8 +40,12 @@ class Cube:
     values: tuple[str, ...]
     units: dict[str, str] = field(default_factory=dict)
     notes: tuple[str, ...] = ()
-    #: Of a cube just read: its cube for a stretch of time (from, before), which the scan then reads alone.
+    #: Of a cube whose scan can be bounded: the same for the samples from a time and before another, which the scan then
+    #: reads alone. Windows and buckets ask for as much more as they need.
     within: Callable[[datetime | None, datetime | None], Cube] | None = None
+    #: One row with an array of the labels of each dimension in `known`, in any order.
+    labels: DataFrame | None = None
+    known: tuple[str, ...] = ()
     #: Dimensions in an order of their own.
     placed: tuple[str, ...] = ()
 
@@ -54,12 +58,17 @@ class Cube:
     def grid(cells: DataFrame, dims: Iterable[str]) -> DataFrame:
         """All combinations of the labels that occur in `cells`.
 
-        The labels of each dimension, which are few, are gathered in one row by partial aggregates and unfolded again:
-        time first, or two dimensions where there is none, so that the rest unfolds in parallel.
+        The labels of each dimension, which are few, are gathered in one row by partial aggregates.
         """
+        return Cube.unfolded(cells.agg(*(F.collect_set(d).alias(d) for d in dims)), dims)
+
+    @staticmethod
+    def unfolded(labels: DataFrame, dims: Iterable[str]) -> DataFrame:
+        """All combinations of the labels in a row of arrays: time is unfolded first, or two dimensions where there is
+        none, so that the rest unfolds in parallel."""
         dims = sorted(dims, key=lambda d: d != "time")
         first = dims[:1] if "time" in dims else dims[:2]
-        grid = cells.agg(*(F.collect_set(d).alias(d) for d in dims))
+        grid = labels.select(*dims)
         for d in dims:
             grid = grid.withColumn(d, F.explode(d))
             if d == first[-1]:
@@ -75,8 +84,14 @@ class Cube:
         return cls(df, tuple(sorted(dims, key=ORDER.index)), values, units)
 
     def _with(self, df: DataFrame, **changes) -> Cube:
-        out = dataclasses.replace(self, df=df, within=None, **changes)
-        return dataclasses.replace(out, placed=tuple(d for d in out.placed if d in out.dims))
+        out = dataclasses.replace(self, df=df, **({"within": None} | changes))
+        return dataclasses.replace(out, placed=tuple(d for d in out.placed if d in out.dims), known=tuple(d for d in out.known if d in out.dims))
+
+    def _bounded(self, made: Cube, again: Callable[[Cube], Cube], widened: Callable | None = None) -> Cube:
+        """`made` of this cube, with bounds of time that go through to this cube's scan."""
+        if not self.within or "time" not in made.dims or "time" in made.placed:
+            return made
+        return dataclasses.replace(made, within=lambda a, b: again(self.within(*(widened(a, b) if widened else (a, b)))))
 
     def _aux(self) -> list[str]:
         return [*([DT] if "time" in self.dims else []), *(f"{d}_pos" for d in self.placed)]
@@ -98,27 +113,30 @@ class Cube:
     def let(self, **columns: Column) -> Cube:
         """Add values computed from others of the same cell. Their unit isn't known; a replaced value loses its own."""
         units = {v: u for v, u in self.units.items() if v not in columns}
-        return self._with(self.df.withColumns(columns), values=tuple(dict.fromkeys([*self.values, *columns])), units=units)
+        out = self._with(self.df.withColumns(columns), values=tuple(dict.fromkeys([*self.values, *columns])), units=units)
+        return self._bounded(out, lambda c: c.let(**columns))
 
     def only(self, *values: str) -> Cube:
-        within = (lambda a, b: self.within(a, b).only(*values)) if self.within else None
-        return dataclasses.replace(self, df=self.df.select(*self.dims, *values, *self._aux()), values=values, within=within)
+        out = self._with(self.df.select(*self.dims, *values, *self._aux()), values=values)
+        return self._bounded(out, lambda c: c.only(*values))
 
     def where(self, condition: Column, other: float | None = None) -> Cube:
         """Mask all values; cells stay."""
         masked = {v: where(condition, F.col(v), other) for v in self.values}
-        return self._with(self.df.withColumns(masked))
+        return self._bounded(self._with(self.df.withColumns(masked)), lambda c: c.where(condition, other))
 
     # selections
 
     def axis(self, dim: str) -> DataFrame:
         """The labels of a dimension in order, and their positions."""
+        if dim in self.known and dim not in self.placed:
+            return self.labels.select(F.posexplode(F.sort_array(dim)).alias("pos", dim)).select(dim, "pos")
         labels = self.df.select(dim, self.at(dim).alias("__at")).distinct()
         return labels.select(dim, (F.row_number().over(Window.orderBy("__at")) - 1).alias("pos"))
 
     def _place(self, df: DataFrame, dim: str) -> Cube:
         """This cube with the rows `df`, which hold new positions of a dimension as `__new`."""
-        return self._with(df.withColumn(f"{dim}_pos", F.col("__new")).drop("__new"), placed=tuple(dict.fromkeys([*self.placed, dim])))
+        return self._with(df.withColumn(f"{dim}_pos", F.col("__new")).drop("__new"), placed=tuple(dict.fromkeys([*self.placed, dim])), known=tuple(d for d in self.known if d != dim))
 
     def sortby(self, key: Cube, ascending: bool = True) -> Cube:
         """The labels of the one dimension of `key` in the order of its value: missing ones last, ties as they were.
@@ -134,7 +152,8 @@ class Cube:
 
     def require(self, dim: str, labels: list) -> None:
         """An error that names the labels which the dimension doesn't have; reads the axis once."""
-        own = self.df.select(F.col(dim).alias("x")).distinct().filter(F.col("x").isin(labels))
+        own = self.axis(dim) if dim in self.known else self.df
+        own = own.select(F.col(dim).alias("x")).distinct().filter(F.col("x").isin(labels))
         absent = set(labels) - {r["x"] for r in own.collect()}  # as many as were asked for
         if absent:
             raise ValueError(f"{dim} has no {', '.join(map(str, sorted(absent)))}")
@@ -143,14 +162,17 @@ class Cube:
         """By label. A scalar drops its dimension, a list keeps it in the order of the list; a slice of times is half-open, other slices include
         both ends; the text of a date is the whole local day. Labels are local to `zone` unless they have an offset.
 
-        A stretch of time that is selected first is all that the scan reads. Labels that aren't there select nothing;
-        with `strict` they are an error, and so is a slice that nothing lies in.
+        A stretch of time that is selected of a cube that was read, or that elementwise work, reductions over other
+        dimensions, windows or buckets of time made of such a one, is all that the scan reads, and what these need
+        around it. Labels that aren't there select nothing; with `strict` they are an error, and so is a slice that
+        nothing lies in.
         """
         base = self
         if self.within and "time" in labels:
             span = _span(labels["time"], zone)
-            base = self.within(*span) if span else self
+            base = dataclasses.replace(self.within(*span), units=self.units, notes=self.notes) if span else self
         df, dims, placed = base.df, self.dims, self.placed
+        known = tuple(d for d in base.known if d not in labels)
         if strict:
             for dim, want in labels.items():
                 day = dim == "time" and isinstance(want, str) and len(want) == 10
@@ -179,7 +201,9 @@ class Cube:
             else:
                 df = df.filter(c == (_time(want, zone) if dim == "time" else want)).drop(*self._without(dim))
                 dims = tuple(d for d in dims if d != dim)
-        return self._with(df, dims=dims, placed=placed)
+        out = base._with(df, dims=dims, placed=placed, known=known)
+        rest = {d: x for d, x in labels.items() if d != "time"}
+        return out if "time" in labels else self._bounded(out, lambda c: c.sel(zone, **rest))
 
     def isel(self, strict: bool = False, **positions: int | list[int] | slice) -> Cube:
         """By position on the dimension's axis, which is small and broadcast; negative ones count from the end, and a
@@ -190,7 +214,7 @@ class Cube:
         out = self
         for dim, want in positions.items():
             if strict and not isinstance(want, slice):
-                size = out.df.select(dim).distinct().count()
+                size = out.axis(dim).count()
                 if wrong := [k for k in (want if isinstance(want, list) else [want]) if not -size <= k < size]:
                     raise ValueError(f"{dim} has {size} labels; no position {wrong[0]}")
             axis = out.axis(dim).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy()))
@@ -207,10 +231,13 @@ class Cube:
                 out = out._place(out.df.join(F.broadcast(axis), dim), dim)
                 continue
             df = out.df.join(F.broadcast(axis.select(dim)), dim, "left_semi")
+            out = dataclasses.replace(out, known=tuple(d for d in out.known if d != dim))
             if isinstance(want, int):
                 out = out._with(df.drop(*self._without(dim)), dims=tuple(d for d in out.dims if d != dim))
             else:
                 out = out._with(df)
+        if set(positions) <= {*self.known} - {"time", *self.placed}:  # the same labels of whatever stretch of time
+            return self._bounded(out, lambda c: c.isel(**positions))
         return out
 
     # reductions
@@ -227,7 +254,8 @@ class Cube:
             notes.append("members of all models are pooled, so models count by their numbers of members")
         elif "model" in gone and "member" in keep:
             notes.append("members of different models are put together by number, though they have nothing in common; reduce member first")
-        return Cube(df, keep, tuple(aggregates), units, tuple(dict.fromkeys(notes)), placed=tuple(d for d in self.placed if d in keep))
+        made = Cube(df, keep, tuple(aggregates), units, tuple(dict.fromkeys(notes)), placed=tuple(d for d in self.placed if d in keep), labels=self.labels, known=tuple(d for d in self.known if d in keep))
+        return self._bounded(made, lambda c: c.reduce(over, **aggregates))
 
     def _described(self, made: dict[str, tuple[str, str]], timed: bool) -> tuple[dict[str, str], list[str]]:
         """Units and notes of values made by an aggregate (kind) of a value, over time or not."""
@@ -285,13 +313,23 @@ class Cube:
                 "min": lambda x=x: F.min(x).over(w),
             }[how]()
             out[v] = F.when(full, made)
-        return self._over_time(self.df.withColumns(out), how, values)
+        return self._bounded(self._over_time(self.df.withColumns(out), how, values), lambda c: c.rolling(n, how, *values), lambda a, b: (self._back(a, n - 1), b))
+
+    def _back(self, at: datetime | None, n: int) -> datetime | None:
+        """The label of time `n` samples before the first one from a time on; no bound if the axis isn't known."""
+        if at is None or n == 0 or "time" not in self.known:
+            return at if n == 0 else None
+        earlier = F.filter(F.sort_array("time"), lambda x: x < F.lit(at).cast("timestamp_ntz"))
+        found = self.labels.select(F.when(F.size(earlier) >= n, F.element_at(earlier, -n)).alias("at")).first()  # one value
+        return found["at"] if found else None
 
     def rolling_between(self, n: int, how: str, start: str, stop: str, zone: str = "UTC", hours: float = 1.0) -> Cube:
         """`rolling` and then `.sel(time=slice(start, stop))`, reading only n - 1 samples more than asked for.
 
         Spark keeps a filter on time above the window, so the wider one is set below it, where it reaches the scan.
         """
+        if self.within and "time" in self.known:
+            return self.rolling(n, how).sel(zone, time=slice(start, stop))
         wide = clock.utc(start, zone) - timedelta(hours=hours * (n - 1))
         near = self.sel(time=slice(wide, clock.utc(stop, zone)))
         return near.rolling(n, how).sel(zone, time=slice(start, stop))
@@ -303,7 +341,10 @@ class Cube:
         columns = [BY_NAME[how](v)(True).alias(v) for v in values]
         df = self.df.withColumn("__bucket", clock.bucket(F.col("time"), hours, zone)).groupBy(*keep, "__bucket")
         df = df.agg(F.min("time").alias("time"), *columns, *self._kept(keep), F.sum(DT).alias(DT)).drop("__bucket")
-        return self._over_time(df, how, values, values=values, placed=tuple(d for d in self.placed if d in keep))
+        made = self._over_time(df, how, values, values=values, placed=tuple(d for d in self.placed if d in keep), known=tuple(d for d in self.known if d != "time"))
+        # A bucket is an hour longer than its hours at most, where clocks go back; those that the bounds cut lie outside.
+        more = timedelta(hours=hours + 1)
+        return self._bounded(made, lambda c: c.resample(hours, how, *values, zone=zone), lambda a, b: (a and a - more, b and b + more))
 
     def by_hour(self, how: str, *values: str, zone: str = "UTC") -> Cube:
         """Over all samples of the same local hour of day."""

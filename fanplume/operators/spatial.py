@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fanplume.functions.missing import num
+from fanplume.functions.missing import known, num
 from fanplume.functions.weather import haversine_km
 
 KM_PER_DEGREE = 111.2
@@ -89,7 +89,7 @@ def along(samples: DataFrame, fields: DataFrame, values: list[str], key: list[st
 
 def _weighted(value: str) -> Column:
     """The weighted sum of what was found, if that makes up all of the weight; else missing."""
-    x = num(F.col(value))
+    x = known(num(F.col(value)))
     return F.when(F.abs(F.sum(F.when(x.isNotNull(), F.col("weight"))) - 1) < 1e-6, F.sum(F.col("weight") * x)).alias(value)
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanplume.functions.missing import num
+from fanplume.functions.missing import known, num
 
 
 def deaccumulate(steps: DataFrame, value: str, keys: list[str], step: str = "step", name: str = "rate") -> DataFrame:
     """Rates between steps from totals since the start; a total that falls gives 0. The first step has no rate before
     it, and beside a missing total the rate is missing."""
     w = Window.partitionBy(*keys).orderBy(step)
-    change = num(F.col(value)) - F.lag(num(F.col(value))).over(w)
+    total = known(num(F.col(value)))
+    change = total - F.lag(total).over(w)
     return steps.withColumn(name, F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))) / (F.col(step) - F.lag(step).over(w)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fanplume.cube import Cube
 from fanplume.functions.weather import bearing, haversine_km
+from fanplume.sources.axes import stored_axes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,15 +32,16 @@ def event_cells(spark: SparkSession, sf_dir: str, start: datetime | None = None,
 
 def _events(spark: SparkSession, sf_dir: str, kept: str) -> Cube:
     dims = ["model", "member", "time"]
-    grid = Cube.grid(event_cells(spark, sf_dir).filter(kept), dims)
+    labels = stored_axes(spark, f"{sf_dir}/events.parquet", kept, event_cells(spark, sf_dir).filter(kept).select(*dims), dims)
 
     def within(start: datetime | None, stop: datetime | None) -> Cube:
-        own = grid
+        own, hour = labels, lambda t: F.lit(t).cast("timestamp_ntz")
         if start is not None:  # an hour that is cut by the start has lost events, and isn't selected either
-            own = own.filter(F.col("time") >= F.lit(start).cast("timestamp_ntz"))
+            own = own.withColumn("time", F.filter("time", lambda t: t >= hour(start)))
         if stop is not None:
-            own = own.filter(F.col("time") < F.lit(stop).cast("timestamp_ntz"))
-        return Cube.over(own, event_cells(spark, sf_dir, start, stop).filter(kept), dims, ["v", "vmax", "n"], v="mm/h", vmax="km/h", n="")
+            own = own.withColumn("time", F.filter("time", lambda t: t < hour(stop)))
+        made = Cube.over(Cube.unfolded(own, dims), event_cells(spark, sf_dir, start, stop).filter(kept), dims, ["v", "vmax", "n"], v="mm/h", vmax="km/h", n="")
+        return dataclasses.replace(made, labels=own, known=tuple(dims))
 
     return dataclasses.replace(within(None, None), within=within)
 
@@ -64,7 +66,10 @@ def grid_cube(spark: SparkSession, sf_dir: str) -> Cube:
     """Order lines on a 10 x 10 grid: mean quantity by return flag (model), line number (member) and place."""
     cells = line_cells(spark, sf_dir).withColumns({"lat": F.round(50 + 0.1 * F.col("lat_pos"), 4), "lon": F.round(6 + 0.1 * F.col("lon_pos"), 4)})
     cells = cells.groupBy("model", "member", "lat", "lon").agg(F.avg("l_quantity").alias("v"))
-    return Cube.dense(cells, ["model", "member", "lat", "lon"], ["v"], v="mm")
+    dims = ["model", "member", "lat", "lon"]
+    labels = stored_axes(spark, f"{sf_dir}/lineitem.parquet", "grid", cells.select(*dims), dims)
+    made = Cube.over(Cube.unfolded(labels, dims), cells, dims, ["v"], v="mm")
+    return dataclasses.replace(made, labels=labels, known=tuple(dims))
 
 
 def step_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases with closed-form answers."""
 
+import dataclasses
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -148,14 +149,78 @@ def test_cubes_without_a_common_dimension_are_counted(cube):
         one.align(big)
 
 
+def scans(df, capsys):
+    """Of each scan of events whether it has both bounds on ts."""
+    df.explain("formatted")
+    nodes = capsys.readouterr().out.split("\n\n")
+    return ["GreaterThanOrEqual(ts" in x and "LessThan(ts" in x for x in nodes if "Scan parquet" in x and "events.parquet" in x]
+
+
+def test_whole_questions_read_events_once_for_each_stretch(spark, sf, capsys):
+    from fanplume.plans.cube_queries import QUERIES
+
+    want = {"prob_window": [True], "two_windows": [True] * 2, "wi1_rolling_then_slice": [True], "se1_half_open_slice": [True], "se2_local_day": [True], "se3_exact_label": [True], "dt3_local_slice": [True], "se8_dataset_selection": [True], "jo11_models_present": None, "jo5_record": None, "se7_positions": [False], "rolling3_max": [False], "daily_max_median": [False], "ag8_quantile": [False]}
+    for key, bounds in want.items():
+        found = scans(QUERIES[key](spark, sf), capsys)
+        assert found == bounds if bounds else len(found) == 2, (key, found)
+
+
+def test_bounds_go_through_windows_and_buckets(spark, sf, capsys):
+    from fanplume.sources.cubes import event_cube
+
+    c, zone = event_cube(spark, sf), "Europe/Berlin"
+    day = slice("2024-01-08", "2024-01-09")
+    made = {
+        "resample": lambda c: c.resample(24, "max", "v", zone=zone),
+        "six hours": lambda c: c.resample(6, "sum", "v", zone=zone).let(w=F.col("v") > 10),
+        "rolling": lambda c: c.rolling(5, "mean", "v"),
+        "rolled buckets": lambda c: c.rolling(3, "sum", "v").resample(12, "mean", "v"),
+        "reduced": lambda c: c.where(F.col("v") > 1).let(w=F.col("v") * 2).reduce("member", m=R.mean("w")).rolling(2, "max", "m"),
+        "selected": lambda c: c.sel(model=["view", "click"]).isel(member=slice(0, 4)).only("v").rolling(3, "min", "v"),
+    }
+    for name, make in made.items():
+        near = make(c).sel(zone, time=day)
+        assert scans(near.df, capsys) == [True], name
+        plain = make(dataclasses.replace(c, within=None)).sel(zone, time=day)
+        shown = lambda x: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in x.df.select(*x.dims, *x.values).collect())
+        assert shown(near) == shown(plain), name
+        assert name == "selected" or near.df.count() > 0
+
+
+@pytest.mark.parametrize("day", ["2024-03-31", "2024-10-27", "2024-06-01"])
+def test_local_days_over_the_change_of_clocks(spark, tmp_path, capsys, day):
+    from fanplume.sources.cubes import event_cube
+
+    start = datetime.fromisoformat(day) - timedelta(days=4)
+    rows = [(k, start + timedelta(minutes=40 * k), k % 3, "view" if k % 5 else "click", float(k % 17), "") for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    daily = lambda c: c.resample(24, "sum", "v", zone="Europe/Berlin").sel("Europe/Berlin", time=day)
+    c = event_cube(spark, str(tmp_path))
+    near = daily(c)
+    assert scans(near.df, capsys) == [True]
+    shown = lambda x: sorted(map(str, x.df.select("model", "member", "time", "v", "dt").collect()))
+    assert shown(near) == shown(daily(dataclasses.replace(c, within=None)))
+    assert {r["dt"] for r in near.df.collect()} == {{"2024-03-31": 23.0, "2024-10-27": 25.0}.get(day, 24.0)}
+
+
+def test_stored_axes_follow_the_table(spark, tmp_path):
+    from fanplume.sources.cubes import event_cube
+
+    path, schema = str(tmp_path / "events.parquet"), "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    row = lambda k, kind: (k, datetime(2024, 1, 1, k), k, kind, 1.0, "")
+    spark.createDataFrame([row(1, "view"), row(2, "view")], schema).write.parquet(path)
+    assert event_cube(spark, str(tmp_path)).df.count() == 4
+    spark.createDataFrame([row(3, "click")], schema).write.mode("append").parquet(path)
+    assert event_cube(spark, str(tmp_path)).df.count() == 2 * 3 * 3
+    assert [r["pos"] for r in event_cube(spark, str(tmp_path)).axis("time").collect()] == [0, 1, 2]
+
+
 def test_a_stretch_of_time_reaches_the_scan(spark, sf, capsys):
     from fanplume.sources.cubes import event_cube
 
     c = event_cube(spark, sf)
     for near in (c.sel(time=slice("2024-01-08", "2024-01-09")), c.only("v").rolling_between(3, "sum", "2024-01-08", "2024-01-09"), c.sel(time="2024-01-08")):
-        near.df.explain("formatted")
-        pushed = [x for x in capsys.readouterr().out.splitlines() if "PushedFilters" in x]
-        assert any("GreaterThanOrEqual(ts" in x and "LessThan(ts" in x for x in pushed)
+        assert scans(near.df, capsys) == [True]
     whole = c.df.filter("time >= '2024-01-08' AND time < '2024-01-09'").select("model", "member", "time", "v", "n")
     some = c.sel(time=slice("2024-01-08", "2024-01-09")).df.select(*whole.columns)
     assert sorted(map(str, whole.collect())) == sorted(map(str, some.collect())) and some.count() > 0
