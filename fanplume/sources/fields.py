@@ -7,7 +7,7 @@ from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PARTS = ["source", "run", "variable"]
@@ -96,6 +96,38 @@ def available_variables(stored: DataFrame, needs: dict[str, list[str]], steps: l
     return rows.select("source", "run", "w.name", (F.size(lost) == 0).alias("available"), F.array_join(lost, ",").alias("lost"))
 
 
+def levels(derivations: dict[str, list[list[str]]]) -> int:
+    """Rounds after which nothing more can be derived, whatever is there at first: every round adds a name or is the last."""
+    found, rounds = {n for own in derivations.values() for needs in own for n in needs} - set(derivations), 0
+    while new := {n for n, own in derivations.items() if n not in found and any(set(needs) <= found for needs in own)}:
+        found, rounds = found | new, rounds + 1
+    return max(rounds, len(derivations) if set(derivations) - found else 0)
+
+
+def derivable(stored: DataFrame, derivations: dict[str, list[list[str]]], by: list[str] = PARTS[:2]) -> DataFrame:
+    """Everything that each run (columns `by`) has or can make: name and `level`, 0 for what is stored, else the round of
+    derivations in which it can be made first.
+
+    `derivations` names what can be made and the sets of names that each of its ways needs, stored or made in turn; a
+    few dozen. A run's stored names are gathered once, and the closure is a fold over that row, of as many rounds
+    as the graph of derivations has levels, so there is no join and no loop of jobs.
+    """
+    kind = "array<struct<name: string, level: int>>"
+    had = stored.groupBy(*by).agg(F.collect_set(F.col("variable").cast("string")).alias("names"))
+    ways = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, sorted(set(needs)))).alias("needs")) for name, own in derivations.items() for needs in own))
+
+    def more(found: Column, level: Column) -> Column:
+        names = F.transform(found, lambda f: f["name"])
+        fits = lambda w: ~F.array_contains(names, w["name"]) & (F.size(F.array_except(w["needs"], names)) == 0)
+        new = F.array_distinct(F.transform(F.filter(ways, fits), lambda w: F.struct(w["name"].alias("name"), level.alias("level"))))
+        return F.concat(found, new).cast(kind)
+
+    start = F.transform("names", lambda n: F.struct(n.alias("name"), F.lit(0).alias("level"))).cast(kind)
+    rounds = levels(derivations)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, more) if rounds else start
+    return had.select(*by, F.explode(found).alias("f")).select(*by, "f.name", "f.level")
+
+
 def gather(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
     """The rows of all sources that can be read, with their name as `source`, and what is wrong with the others.
 

@@ -2,10 +2,10 @@
 
 import pytest
 
-from fanplume.plans import cube_queries, place_queries, store_queries, stream_queries
+from fanplume.plans import cube_queries, place_queries, source_queries, store_queries, stream_queries
 
-QUERIES = {**cube_queries.QUERIES, **place_queries.QUERIES, **store_queries.QUERIES, **stream_queries.QUERIES}
-ORACLE_SQL = {**cube_queries.ORACLE_SQL, **place_queries.ORACLE_SQL, **store_queries.ORACLE_SQL, **stream_queries.ORACLE_SQL}
+QUERIES = {**cube_queries.QUERIES, **place_queries.QUERIES, **store_queries.QUERIES, **stream_queries.QUERIES, **source_queries.QUERIES}
+ORACLE_SQL = {**cube_queries.ORACLE_SQL, **place_queries.ORACLE_SQL, **store_queries.ORACLE_SQL, **stream_queries.ORACLE_SQL, **source_queries.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE_SQL))
