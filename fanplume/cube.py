@@ -11,15 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanplume.functions import clock
-from fanplume.functions.missing import num, where
+from fanplume.functions.missing import modulo, num, power, sqrt, where
 from fanplume.functions.units import HOURS, product, quotient
+from fanplume.functions.units import power as unit_power
 from fanplume.operators.reduce import BY_NAME, DT, Aggregate
 
 #: Dimensions in the order that results show them.
 ORDER = ("model", "member", "time", "hour", "route", "lat", "lon", "point", "distance_bin", "quantile")
-#: Values that a sum over time makes little sense of, and those that are compass directions.
+#: Values that a sum over time makes little sense of, and those that are compass directions, by the names that tables
+#: give them; from there on they are known by the trait of their column, whatever it is called.
 STATES = {"t2m", "td2m", "rh", "feels_like", "wind", "gust", "cloud", "cape"}
 DIRECTIONS = {"wind_dir"}
+STATE, DIRECTION = "state", "direction"
+#: Aggregates of a state that are a state of the same kind.
+LINEAR = {"mean", "min", "max", "quantile"}
 #: Cells that a cube may have to be repeated over another.
 SMALL = 10_000
 #: Samples that a rolling window may span.
@@ -43,12 +48,31 @@ class Cube:
     #: Of a cube whose scan can be bounded: the same for the samples from a time and before another, which the scan then
     #: reads alone. Windows and buckets ask for as much more as they need.
     within: Callable[[datetime | None, datetime | None], Cube] | None = None
+    #: What is known of values besides their units: STATE, DIRECTION. Both also go along as metadata of the columns, so
+    #: a value that is selected, joined or given another name keeps them; what is computed from it has none.
+    traits: dict[str, frozenset[str]] = field(default_factory=dict)
     #: One row with an array of the labels of each dimension in `known`, in any order.
     labels: DataFrame | None = None
     known: tuple[str, ...] = ()
     #: Dimensions in an order of their own.
     placed: tuple[str, ...] = ()
 
+    def __post_init__(self) -> None:
+        schema, told = self.df.schema, {}
+        units, traits = ({v: x for v, x in own.items() if v in self.values} for own in (self.units, self.traits))
+        for f in (f for f in schema if f.name in self.values):
+            own = f.metadata or {}
+            if "unit" in own:
+                units.setdefault(f.name, own["unit"])
+            traits.setdefault(f.name, frozenset(own.get("traits", ())))
+            known = ({"unit": units[f.name]} if f.name in units else {}) | ({"traits": sorted(traits[f.name])} if traits[f.name] else {})
+            if known != {k: own[k] for k in ("unit", "traits") if k in own}:
+                told[f.name] = {k: v for k, v in own.items() if k not in ("unit", "traits")} | known
+        object.__setattr__(self, "units", units)
+        object.__setattr__(self, "traits", traits)
+        if told:
+            object.__setattr__(self, "df", self.df.select(*(F.col(f"`{c}`").alias(c, metadata=told[c]) if c in told else F.col(f"`{c}`") for c in schema.names)))
+
     @classmethod
     def dense(cls, cells: DataFrame, dims: Iterable[str], values: Iterable[str], hours: float = 1.0, **units: str) -> Cube:
         """A cube of all combinations of the labels that occur in `cells`."""
@@ -81,7 +105,8 @@ class Cube:
         dims, values = tuple(dims), tuple(values)
         df = grid.join(cells.select(*dims, *values), list(dims), "left").select(*dims, *values)
         df = df.withColumn(DT, F.lit(hours)) if "time" in dims else df
-        return cls(df, tuple(sorted(dims, key=ORDER.index)), values, units)
+        traits = {v: frozenset([STATE] * (v in STATES) + [DIRECTION] * (v in DIRECTIONS)) for v in values}
+        return cls(df, tuple(sorted(dims, key=ORDER.index)), values, units, traits=traits)
 
     def _with(self, df: DataFrame, **changes) -> Cube:
         out = dataclasses.replace(self, df=df, **({"within": None} | changes))
@@ -111,9 +136,11 @@ class Cube:
     # elementwise
 
     def let(self, **columns: Column) -> Cube:
-        """Add values computed from others of the same cell. Their unit isn't known; a replaced value loses its own."""
-        units = {v: u for v, u in self.units.items() if v not in columns}
-        out = self._with(self.df.withColumns(columns), values=tuple(dict.fromkeys([*self.values, *columns])), units=units)
+        """Add values computed from others of the same cell. Another name for a value keeps its unit and traits; of what is
+        computed they aren't known (`combine`, `raised`, `root`, `scaled`, `turned` and `wave` do know), and a replaced
+        value loses its own."""
+        units, traits = ({v: x for v, x in own.items() if v not in columns} for own in (self.units, self.traits))
+        out = self._with(self.df.withColumns(columns), values=tuple(dict.fromkeys([*self.values, *columns])), units=units, traits=traits)
         return self._bounded(out, lambda c: c.let(**columns))
 
     def only(self, *values: str) -> Cube:
@@ -249,34 +276,36 @@ class Cube:
         timed = "time" in gone
         columns = [a(timed).alias(n) for n, a in aggregates.items()]
         df = self.df.groupBy(*keep).agg(*columns, *self._kept(keep), *([F.first(DT).alias(DT)] if "time" in keep else []))
-        units, notes = self._described({n: (a.kind, a.of) for n, a in aggregates.items()}, timed)
+        units, notes, traits = self._described({n: (a.kind, a.of) for n, a in aggregates.items()}, timed)
         if {"model", "member"} <= gone:
             notes.append("members of all models are pooled, so models count by their numbers of members")
         elif "model" in gone and "member" in keep:
             notes.append("members of different models are put together by number, though they have nothing in common; reduce member first")
-        made = Cube(df, keep, tuple(aggregates), units, tuple(dict.fromkeys(notes)), placed=tuple(d for d in self.placed if d in keep), labels=self.labels, known=tuple(d for d in self.known if d in keep))
+        made = Cube(df, keep, tuple(aggregates), units, tuple(dict.fromkeys(notes)), placed=tuple(d for d in self.placed if d in keep), traits=traits, labels=self.labels, known=tuple(d for d in self.known if d in keep))
         return self._bounded(made, lambda c: c.reduce(over, **aggregates))
 
-    def _described(self, made: dict[str, tuple[str, str]], timed: bool) -> tuple[dict[str, str], list[str]]:
-        """Units and notes of values made by an aggregate (kind) of a value, over time or not."""
-        units, notes = {}, list(self.notes)
+    def _described(self, made: dict[str, tuple[str, str]], timed: bool) -> tuple[dict[str, str], list[str], dict[str, frozenset[str]]]:
+        """Units, notes and traits of values made by an aggregate (kind) of a value, over time or not."""
+        units, notes, traits = {}, list(self.notes), {}
         for name, (kind, of) in made.items():
             unit = "" if kind in ("count", "any", "all") else self.units.get(of)
             if kind == "sum" and timed and unit is not None:
                 unit = product(unit, HOURS)
             if unit is not None:
                 units[name] = unit
-            if kind == "sum" and timed and of in STATES:
+            own = self.traits.get(of, frozenset())
+            traits[name] = own & {STATE} if kind in LINEAR or kind == "sum" and not timed else frozenset()
+            if kind == "sum" and timed and STATE in own:
                 notes.append(f"{name}: a sum over time of {of}, which is a state and not a rate")
-            if of in DIRECTIONS and kind != "count":
+            if DIRECTION in own and kind != "count":
                 notes.append(f"{name}: {kind} of a direction; average its sine and cosine instead")
-        return units, notes
+        return units, notes, traits
 
     def _over_time(self, df: DataFrame, how: str, made: tuple[str, ...], **changes) -> Cube:
         """This cube with values made by `how` over samples of time, and with their units and notes."""
-        units, notes = self._described({v: (how, v) for v in made}, True)
-        kept = {v: u for v, u in self.units.items() if v not in made and v in changes.get("values", self.values)}
-        return self._with(df, units=kept | units, notes=tuple(dict.fromkeys(notes)), **changes)
+        units, notes, traits = self._described({v: (how, v) for v in made}, True)
+        kept, known = ({v: x for v, x in own.items() if v not in made and v in changes.get("values", self.values)} for own in (self.units, self.traits))
+        return self._with(df, units=kept | units, traits=known | traits, notes=tuple(dict.fromkeys(notes)), **changes)
 
     def with_coverage(self, value: str) -> Cube:
         """This cube with a note on each model that has the value for a part of the time only. A job of its own, which
@@ -425,15 +454,42 @@ class Cube:
             unit = product(ua, ub) if sign == "*" else quotient(ua, ub)
         else:
             unit = None
-        out = self.let(**{name: column})
-        return dataclasses.replace(out, units=self.units | ({name: unit} if unit is not None else {}), notes=tuple(notes))
+        state = (self.traits.get(a, frozenset()) | self.traits.get(b, frozenset())) & {STATE} if sign in "+-" else frozenset()
+        return self._told(name, column, unit, state, notes)
+
+    def _told(self, name: str, column: Column, unit: str | None, traits: Iterable[str] = (), notes: Iterable[str] = ()) -> Cube:
+        """`let` of one value whose unit and traits are known."""
+
+        def tell(c: Cube) -> Cube:
+            out = c.let(**{name: column})
+            units = {v: u for v, u in out.units.items() if v != name} | ({name: unit} if unit is not None else {})
+            return dataclasses.replace(out, units=units, traits=out.traits | {name: frozenset(traits)}, notes=tuple(dict.fromkeys([*c.notes, *notes])), within=None)
+
+        return self._bounded(tell(self), tell)
+
+    def raised(self, name: str, of: str, n: float) -> Cube:
+        """Add a power of a value, with its unit; the unit of a power that isn't whole is unknown."""
+        unit = self.units.get(of)
+        return self._told(name, power(F.col(of), n), None if unit is None else unit_power(unit, n))
+
+    def root(self, name: str, of: str) -> Cube:
+        """Add the square root of a value, with its unit."""
+        unit = self.units.get(of)
+        return self._told(name, sqrt(F.col(of)), None if unit is None else unit_power(unit, 0.5))
+
+    def scaled(self, name: str, of: str, factor: float = 1.0, plus: float = 0.0) -> Cube:
+        """Add a value times a constant and plus another one: its unit stays, and a state is still one."""
+        return self._told(name, num(F.col(of)) * factor + plus, self.units.get(of), self.traits.get(of, frozenset()) & {STATE})
+
+    def turned(self, name: str, of: str, plus: float = 0.0, full: float = 360.0) -> Cube:
+        """Add the remainder of a value (and a constant) by a full turn: of degrees, it is a direction."""
+        degrees = self.units.get(of) == "°" and full == 360
+        return self._told(name, modulo(num(F.col(of)) + plus, full), self.units.get(of), [DIRECTION] if degrees else ())
 
     def wave(self, name: str, how: str, of: str) -> Cube:
         """Add the sine or cosine ("sin", "cos") of a value in radians; a value in degrees is noted and taken as it is."""
         made = {"sin": F.sin, "cos": F.cos}[how](num(F.col(of)))
-        out = self.let(**{name: made})
-        notes = [f"{name}: {how} takes radians, and {of} is in degrees"] if self.units.get(of) == "°" else []
-        return dataclasses.replace(out, units=out.units | {name: ""}, notes=tuple(dict.fromkeys([*self.notes, *notes])))
+        return self._told(name, made, "", (), [f"{name}: {how} takes radians, and {of} is in degrees"] if self.units.get(of) == "°" else [])
 
     def anomaly(self, over: str, value: str, name: str = "anomaly") -> Cube:
         """The value less its mean over a dimension (over time weighted by hours): a window instead of a join with the
@@ -442,8 +498,10 @@ class Cube:
         average = F.avg(x).over(w)
         if over == "time":
             average = F.sum(x * F.col(DT)).over(w) / F.nullif(F.sum(F.when(x.isNotNull(), F.col(DT))).over(w), F.lit(0.0))
-        out = self.let(**{name: x - average})
-        return dataclasses.replace(out, units=out.units | ({name: self.units[value]} if value in self.units else {}))
+        made = x - average
+        if over == "time":  # a part of time has another mean
+            self = dataclasses.replace(self, within=None)
+        return self._told(name, made, self.units.get(value), self.traits.get(value, frozenset()) & {STATE})
 
 
 def _time(x: str | datetime, zone: str) -> Column:

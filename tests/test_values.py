@@ -72,3 +72,36 @@ def test_three_cubes_in_one_call(spark):
     assert cube([1]).align(cube([2])).df.count() == 0
     with pytest.raises(ValueError, match="no label"):
         cube([1, 2]).align(cube([2, 3]), cube([3]), strict=True)
+
+
+@pytest.fixture()
+def weather(spark):
+    rows = [("m", k, h, 10.0 + h, 350.0 + 10 * k, 4.0) for k in range(2) for h in range(4)]
+    cells = spark.createDataFrame(rows, "model string, member int, time int, t2m double, wind_dir double, u double")
+    return Cube.dense(cells.withColumn("time", F.expr("TIMESTAMP_NTZ '2024-01-01' + make_interval(0, 0, 0, 0, time)")), ["model", "member", "time"], ["t2m", "wind_dir", "u"], t2m="°C", wind_dir="°", u="m²/s²")
+
+
+def test_another_name_keeps_unit_and_traits(weather):
+    x = weather.let(x=F.col("t2m"), d=F.col("wind_dir"), y=F.col("t2m") + 1)
+    assert (x.units["x"], x.units["d"], x.units.get("y")) == ("°C", "°", None)
+    assert "state" in x.reduce("time", s=R.total("x")).notes[0] and x.reduce("time", s=R.total("y")).notes == ()
+    assert "direction" in x.sel(member=0).reduce("time", s=R.mean("d")).notes[0]
+    mean = x.reduce("member", m=R.mean("x")).let(z=F.col("m"))
+    assert mean.units["z"] == "°C" and "state" in mean.reduce("time", s=R.total("z")).notes[0]
+    both = x.only("x").align(weather.reduce("member", x=R.low("t2m")))
+    assert both.units == {"x": "°C", "x_b": "°C"} and "state" in both.reduce("time", s=R.total("x_b")).notes[0]
+    assert x.rolling(2, "mean", "x").resample(24, "sum", "x").notes[0].startswith("x: a sum over time")
+    replaced = x.let(t2m=F.col("u"))
+    assert replaced.units["t2m"] == "m²/s²" and replaced.reduce("time", s=R.total("t2m")).notes == ()
+    assert x.let(d=F.col("d") / 2).reduce("time", s=R.mean("d")).notes == ()
+
+
+def test_units_of_roots_powers_and_turns(weather):
+    c = weather.root("v", "u").raised("q", "v", 3).turned("back", "wind_dir", plus=180).scaled("warmer", "t2m", 2, 1).combine("mix", "warmer", "-", "t2m").turned("odd", "t2m")
+    assert [c.units[n] for n in ("v", "q", "back", "warmer", "mix")] == ["m/s", "m³/s³", "°", "°C", "°C"]
+    assert c.raised("no", "v", 0.5).units["no"] == "?"
+    row = c.df.filter("member = 1 AND t2m = 10").first()
+    assert (row["v"], row["q"], row["back"], row["warmer"]) == (2.0, 8.0, 180.0, 21.0)
+    assert "direction" in c.reduce("time", m=R.mean("back")).notes[0] and c.reduce("time", m=R.mean("odd")).notes == ()
+    assert "state" in c.reduce("time", m=R.total("mix")).notes[0]
+    assert "degrees" in c.let(angle=F.col("back")).wave("w", "sin", "angle").notes[0]
