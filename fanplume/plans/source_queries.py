@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fanplume.operators import shapes
 from fanplume.plans.cube_queries import EV, shown
 from fanplume.plans.place_queries import STORED, _stored
-from fanplume.sources import fields, listings
+from fanplume.sources import fields, listings, tracks
 from fanplume.sources.cubes import table
 from fanplume.sources.shared import new_path
 from fanplume.streaming import refresh
@@ -178,6 +178,21 @@ def sc5_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.listed(table(spark, sf_dir, "pages"), ["page_id"])
 
 
+# tracks
+
+
+@query(
+    "SELECT CAST(route AS VARCHAR) AS route, row_number() OVER w - 1 AS sample, round(lat, 6) AS lat, round(lon, 6) AS lon, CASE WHEN route % 2 = 0 THEN round((s - first_value(s) OVER w) / 60.0, 6) END AS hours FROM (SELECT s_suppkey // 20 AS route, s_suppkey AS s, 50 + 0.02 * s_suppkey AS lat, 7 + s_acctbal / 20000 AS lon FROM supplier) WINDOW w AS (PARTITION BY route ORDER BY s)"
+)
+def sc14_gpx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as tracks of twenty points, a minute apart, written as GPX and read back; odd tracks lack a time."""
+    k, path = F.col("s_suppkey"), new_path(spark, "gpx")
+    time = F.when((F.floor(k / 20) % 2 == 0) | (k % 20 != 3), F.expr("TIMESTAMP '2024-05-01 06:00:00'") + F.make_dt_interval(mins=k.cast("int")))
+    points = table(spark, sf_dir, "supplier").select(F.floor(k / 20).alias("route"), k.alias("sample"), (50 + 0.02 * k).alias("lat"), (7 + F.col("s_acctbal") / 20000).alias("lon"), time.alias("time"))
+    tracks.write_gpx(points, path)
+    return shown(tracks.read_gpx(spark, path)[0].drop("file"))
+
+
 # stores that streams keep
 
 HOURS = 72  # of a chunk

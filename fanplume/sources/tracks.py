@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanplume.operators.spatial import with_polylines
@@ -16,6 +16,45 @@ from fanplume.operators.spatial import with_polylines
 POINTS = "route string, sample long, lat double, lon double, hours double"
 
 
+_POINT = "array<struct<_lat: double, _lon: double, time: string>>"
+#: What a GPX document holds of tracks and routes.
+GPX = f"trk array<struct<name: string, trkseg: array<struct<trkpt: {_POINT}>>>>, rte array<struct<name: string, rtept: {_POINT}>>"
+
+
+def read_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The points of all GPX documents in the files at `path`, by Spark's XML source, and the files that are refused.
+
+    A file may hold many documents under one root; each gives its first track, of all segments, or its first route if it has no
+    track. Points are (file, route, sample, lat, lon, hours): the route is the track's name, hours since the first
+    point are there only if every point has a time. Points off the globe or without a place go with their whole route.
+    Files with a DOCTYPE are refused: nothing of them is read, and the second frame names them.
+    """
+    name = F.input_file_name().alias("file")
+    refused = spark.read.text(path).select(name, "value").filter(F.upper("value").contains("<!DOCTYPE")).select("file").distinct()
+    own = spark.read.format("xml").option("rowTag", "gpx").option("ignoreNamespace", "true").option("mode", "DROPMALFORMED").schema(GPX).load(path).select(name, "trk", "rte")
+    own = own.join(refused, "file", "left_anti")
+    track, route = F.try_element_at("trk", F.lit(1)), F.try_element_at("rte", F.lit(1))
+    segments = F.filter(track["trkseg"], lambda s: s["trkpt"].isNotNull())
+    points = F.when(track.isNotNull(), F.flatten(F.transform(segments, lambda s: s["trkpt"]))).otherwise(route["rtept"])
+    own = own.select("file", F.coalesce(track["name"], route["name"]).alias("route"), points.alias("p"))
+    placed = F.forall("p", lambda p: F.coalesce(F.abs(p["_lat"]) <= 90, F.lit(False)) & F.coalesce(F.abs(p["_lon"]) <= 180, F.lit(False)))
+    at = lambda p: F.unix_micros(F.try_to_timestamp(F.trim(p["time"])))
+    own = own.filter(F.size("p") > 0).filter(placed).withColumns({"timed": F.forall("p", lambda p: at(p).isNotNull()), "start": at(F.element_at("p", 1))})
+    rows = own.select("file", "route", "timed", "start", F.posexplode("p").alias("sample", "p"))
+    hours = F.when(F.col("timed"), (at(F.col("p")) - F.col("start")) / 3.6e9)
+    return rows.select("file", "route", F.col("sample").cast("long").alias("sample"), F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), hours.alias("hours")), refused
+
+
+def write_gpx(points: DataFrame, path: str) -> None:
+    """Routes (route, sample, lat, lon, and time where there is one) as GPX documents by Spark's XML writer, which gathers
+    those of a task under one root."""
+    time = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if "time" in points.columns else F.lit(None).cast("string")
+    point = F.struct(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), time.alias("time"))
+    own = points.groupBy(F.col("route").cast("string").alias("route")).agg(F.array_sort(F.collect_list(F.struct("sample", point.alias("p")))).alias("own"))
+    segment = F.array(F.struct(F.transform("own", lambda x: x["p"]).alias("trkpt")))
+    own.select(F.array(F.struct(F.col("route").alias("name"), segment.alias("trkseg"))).alias("trk")).write.format("xml").option("rootTag", "documents").option("rowTag", "gpx").save(path)
+
+
 def polyline_points(text: str) -> list[tuple[float, float]]:
     """Decode a polyline of precision 5."""
     values, value, shift = [], 0, 0

@@ -141,3 +141,30 @@ def test_newest_runs_whatever_the_order(spark, tmp_path):
             found = refresh.keep_newest(spark.readStream.schema(schema).parquet(folder), path, state)
         columns = latest_cells(spark.createDataFrame([], schema)).columns
         assert sorted(map(str, found.select(*columns).collect())) == want
+
+
+def test_gpx_documents_are_scanned(spark, tmp_path):
+    from fanplume.sources.tracks import gpx_points, read_gpx, write_gpx
+
+    head, folder = '<?xml version="1.0"?>\n', tmp_path / "gpx"
+    folder.mkdir()
+    point = lambda a, b, t=None: f'<trkpt lat="{a}" lon="{b}"><ele>3</ele>{f"<time>{t}</time>" if t else ""}</trkpt>'
+    texts = {
+        "two": f'{head}<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1"><metadata/><trk><name>a</name><trkseg>{point(50, 7, "2024-01-01T00:00:00Z")}{point(50.5, 7.5, "2024-01-01T01:30:00Z")}</trkseg><trkseg>{point(51, 8, "2024-01-01T05:00:00+01:00")}</trkseg></trk><trk><name>b</name><trkseg>{point(1, 2)}</trkseg></trk></gpx>',
+        "rte": f'{head}<gpx><rte><name>r &amp; s</name><rtept lat="1.5" lon="-2"/><rtept lat="2" lon="-2.5"><time>2024-01-01T00:00:00Z</time></rtept></rte></gpx>',
+        "bad": f'{head}<!doctype gpx [<!ENTITY x "y">]>\n<gpx><trk><name>c</name><trkseg>{point(1, 2)}</trkseg></trk></gpx>',
+        "off": f"{head}<gpx><trk><name>d</name><trkseg>{point(1, 2)}{point(91, 2)}</trkseg></trk></gpx>",
+        "none": f"{head}<gpx><wpt lat='1' lon='2'/></gpx>",
+    }
+    for name, text in texts.items():
+        (folder / f"{name}.gpx").write_text(text)
+    points, refused = read_gpx(spark, str(folder))
+    got = {}
+    for r in points.orderBy("file", "sample").collect():
+        got.setdefault((r["file"].rsplit("/", 1)[1], r["route"]), []).append((r["lat"], r["lon"], r["hours"]))
+    assert got == {("two.gpx", "a"): gpx_points(texts["two"]), ("rte.gpx", "r & s"): gpx_points(texts["rte"])}
+    assert [r["file"].rsplit("/", 1)[1] for r in refused.collect()] == ["bad.gpx"]
+    again = str(tmp_path / "again")
+    write_gpx(points.withColumn("time", F.lit(None).cast("timestamp")), again)
+    back = read_gpx(spark, again)[0]
+    assert sorted((r["route"], r["sample"], r["lat"], r["lon"], r["hours"]) for r in back.collect()) == sorted((k[1], i, p[0], p[1], None) for k, own in got.items() for i, p in enumerate(own))
