@@ -27,8 +27,8 @@ STATE, DIRECTION = "state", "direction"
 LINEAR = {"mean", "min", "max", "quantile"}
 #: Cells that a cube may have to be repeated over another.
 SMALL = 10_000
-#: Samples that a rolling window may span.
-LONGEST = 384
+#: Samples that a rolling window may span, and cells that a ranking may name.
+LONGEST, MOST_RANKED = 384, 100
 
 
 @dataclass(frozen=True)
@@ -395,7 +395,9 @@ class Cube:
         return Cube(df, keep, (name,), {}, self.notes, placed=tuple(d for d in self.placed if d in keep))
 
     def top(self, n: int, by: str, ascending: bool = False) -> DataFrame:
-        """The first n cells by a value, missing ones last, ties in the order of the dimensions."""
+        """The first n cells by a value, MOST_RANKED at most, missing ones last, ties in the order of the dimensions."""
+        if not 1 <= n <= MOST_RANKED:
+            raise ValueError(f"a ranking names 1 to {MOST_RANKED} cells")
         key = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
         return self.df.orderBy(key, *map(self.at, self.dims)).limit(n).select(*self.dims, *self.values)
 

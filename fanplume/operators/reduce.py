@@ -12,6 +12,8 @@ from fanplume.functions.missing import num
 
 #: Hours that a sample stands for.
 DT = "dt"
+#: Levels of one array of quantiles.
+MOST_LEVELS = 20
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,11 @@ def median(name: str) -> Aggregate:
 
 
 def quantile(name: str, q: float | list[float]) -> Aggregate:
-    """Exact quantiles with linear interpolation, not weighted; a list of levels gives an array, in one pass."""
+    """Exact quantiles with linear interpolation, not weighted; a list of levels (different ones from 0 to 1, MOST_LEVELS at
+    most) gives an array, in one pass."""
+    own = q if isinstance(q, list) else [q]
+    if not 1 <= len(own) <= MOST_LEVELS or len({*own}) < len(own) or not all(0 <= x <= 1 for x in own):
+        raise ValueError(f"1 to {MOST_LEVELS} different levels from 0 to 1")
     levels = F.array(*map(F.lit, q)) if isinstance(q, list) else F.lit(q)
     return Aggregate(lambda t: F.percentile(num(F.col(name)), levels), "quantile", name)
 

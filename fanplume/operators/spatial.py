@@ -66,6 +66,13 @@ def require_inside(points: DataFrame, south: float, west: float, step: float, ro
     return points
 
 
+def require_few(points: DataFrame, most: int = MOST_POINTS) -> DataFrame:
+    """`points`, or an error if there are more than `most`; reads no more than that and one."""
+    if points.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} points")
+    return points
+
+
 def along(samples: DataFrame, fields: DataFrame, values: list[str], key: list[str], south: float, west: float, step: float, rows: int, cols: int, instant: bool = True, by: list[str] | None = None) -> DataFrame:
     """Each sample's value at its own place (lat, lon) and time (hours), from the cells around it; samples off the grid
     are left out, and one whose cells aren't all there is missing.

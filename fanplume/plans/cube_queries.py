@@ -208,3 +208,6 @@ each("de7_units", "round(v - 273.15, 6) AS a, round(v * 3.6, 6) AS b, round(v *
 ev("sc1_dataset_scan", lambda c: shown(c), "SELECT model, member, time, round(v, 6) AS v, round(vmax, 6) AS vmax, n FROM ev")
 ev("dg7_coverage", lambda c: shown(c.reduce("member", k=R.count("v")).df.groupBy("model").agg(F.avg((F.col("k") > 0).cast("double")).alias("covered"), F.min(F.when(F.col("k") > 0, F.col("time"))).alias("first"), F.max(F.when(F.col("k") > 0, F.col("time"))).alias("last"))), "SELECT model, round(avg(CAST(k > 0 AS INT)), 6) AS covered, min(time) FILTER (k > 0) AS first, max(time) FILTER (k > 0) AS last FROM (SELECT model, time, count(v) AS k FROM ev GROUP BY 1, 2) GROUP BY model")
 gr("wi8_row_order", lambda c: c.reduce(["member", "model"], m=R.high("v")).df.select("lat", "lon", "m", (F.row_number().over(Window.partitionBy("lat").orderBy("lon")) - 1).alias("pos")), "SELECT lat, lon, m, CAST(row_number() OVER (PARTITION BY lat ORDER BY lon) - 1 AS INT) AS pos FROM (SELECT lat, lon, max(v) AS m FROM gr GROUP BY 1, 2)")
+# the rows of a cube whose models are in an order of their own, and sorted by the mean of each: with their place in it
+ev("wi7_rows_in_order", lambda c: shown(c.sel(model=["view", "click"]).only("v").rows()), "SELECT model, member, time, round(v, 6) AS v FROM ev WHERE model IN ('view', 'click')")
+ev("wi7_sorted_axis", lambda c: c.sel(time=DAY).reduce(["time", "member"], m=R.mean("v")).sorted_positions("model", "m", ascending=False).select("model", "pos"), f"SELECT model, row_number() OVER (ORDER BY m DESC NULLS LAST, model) - 1 AS pos FROM (SELECT model, avg(v) AS m FROM ev WHERE {S} GROUP BY 1)")

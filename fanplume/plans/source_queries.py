@@ -104,6 +104,17 @@ def sc22_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(found.select("shape", "sample", F.when(F.col("significance") == float("inf"), -1.0).otherwise(F.col("significance")).alias("significance")))
 
 
+@query(
+    "SELECT CAST(v.shape AS VARCHAR) AS route, v.sample, round(v.lat, 6) AS lat, round(v.lon, 6) AS lon FROM vl v LEFT JOIN (SELECT shape, b, max(cap) AS s FROM legs GROUP BY 1, 2) l ON l.shape = v.shape AND l.b = v.sample WHERE s > 2 OR v.sample IN (SELECT min(sample) FROM vl GROUP BY shape)",
+    "vl AS (SELECT s_suppkey // 60 AS shape, s_suppkey AS sample, 50 + 0.02 * s_suppkey AS lat, 7 + s_acctbal / 20000 AS lon FROM supplier)", _FLAT, _LEGS, recursive=True,
+)
+def lo8_simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of sixty vertices, simplified to two kilometres."""
+    k = F.col("s_suppkey")
+    lines = table(spark, sf_dir, "supplier").select(F.floor(k / 60).cast("string").alias("route"), k.alias("sample"), (50 + 0.02 * k).alias("lat"), (7 + F.col("s_acctbal") / 20000).alias("lon"))
+    return shown(tracks.simplify(lines, 2.0))
+
+
 # derivations over several levels, with a second way, a loop, and one that nothing leads to
 
 DERIVATIONS = {"wind": [["A", "N"]], "heat": [["A", "R"], ["wind"]], "comfort": [["heat", "R"], ["storm"]], "storm": [["heat", "wind"]], "alarm": [["comfort", "storm"]], "never": [["snow"]], "first": [["second"]], "second": [["first"], ["alarm"]]}

@@ -105,3 +105,22 @@ def test_units_of_roots_powers_and_turns(weather):
     assert "direction" in c.reduce("time", m=R.mean("back")).notes[0] and c.reduce("time", m=R.mean("odd")).notes == ()
     assert "state" in c.reduce("time", m=R.total("mix")).notes[0]
     assert "degrees" in c.let(angle=F.col("back")).wave("w", "sin", "angle").notes[0]
+
+
+def test_limits_of_rankings_levels_and_points(spark, weather):
+    assert weather.top(100, "t2m").count() == 8
+    for n in (0, 101):
+        with pytest.raises(ValueError, match="ranking"):
+            weather.top(n, "t2m")
+    for levels in ([0.5, 0.5], [1.1], [], [k / 30 for k in range(21)]):
+        with pytest.raises(ValueError, match="levels"):
+            R.quantile("t2m", levels)
+    points = spark.range(501)
+    with pytest.raises(ValueError, match="500"):
+        spatial.require_few(points)
+    assert spatial.require_few(points.limit(500)).count() == 500
+
+
+def test_rows_come_in_the_order_of_placed_labels(weather):
+    rows = [tuple(r)[:2] for r in weather.sel(member=[1, 0]).only("t2m").rows().collect()]
+    assert rows == [("m", 1)] * 4 + [("m", 0)] * 4
