@@ -19,7 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_cells(spark: SparkSession, sf_dir: str, start: datetime | None = None, stop: datetime | None = None) -> DataFrame:
     """Events by type, user and hour, of hours from `start` and before `stop`; the bounds reach the scan."""
-    events = table(spark, sf_dir, "events")
+    return _cells_of(table(spark, sf_dir, "events"), start, stop)
+
+
+def _cells_of(events: DataFrame, start: datetime | None = None, stop: datetime | None = None) -> DataFrame:
     bound = lambda t: F.lit(t).cast("timestamp_ntz").cast(events.schema["ts"].dataType)
     if start is not None:
         events = events.filter(F.col("ts") >= bound(start))
@@ -32,7 +35,8 @@ def event_cells(spark: SparkSession, sf_dir: str, start: datetime | None = None,
 
 def _events(spark: SparkSession, sf_dir: str, kept: str) -> Cube:
     dims = ["model", "member", "time"]
-    labels = stored_axes(spark, f"{sf_dir}/events.parquet", kept, event_cells(spark, sf_dir).filter(kept).select(*dims), dims)
+    events = table(spark, sf_dir, "events")  # once, since each read looks at the files' footers
+    labels = stored_axes(spark, f"{sf_dir}/events.parquet", kept, _cells_of(events).filter(kept).select(*dims), dims)
 
     def within(start: datetime | None, stop: datetime | None) -> Cube:
         own, hour = labels, lambda t: F.lit(t).cast("timestamp_ntz")
@@ -40,7 +44,7 @@ def _events(spark: SparkSession, sf_dir: str, kept: str) -> Cube:
             own = own.withColumn("time", F.filter("time", lambda t: t >= hour(start)))
         if stop is not None:
             own = own.withColumn("time", F.filter("time", lambda t: t < hour(stop)))
-        made = Cube.over(Cube.unfolded(own, dims), event_cells(spark, sf_dir, start, stop).filter(kept), dims, ["v", "vmax", "n"], v="mm/h", vmax="km/h", n="")
+        made = Cube.over(Cube.unfolded(own, dims), _cells_of(events, start, stop).filter(kept), dims, ["v", "vmax", "n"], v="mm/h", vmax="km/h", n="")
         return dataclasses.replace(made, labels=own, known=tuple(dims))
 
     return dataclasses.replace(within(None, None), within=within)
