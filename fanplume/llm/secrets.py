@@ -107,6 +107,17 @@ _WORD = re.compile(r"[^\s\"'`#;,(){}\[\]<>][^\s\"'`;,(){}\[\]<>]*+")
 _WHOLE_NAME = re.compile(_NAME, re.A)
 _SAME_LINE, _ANY_LINE = re.compile(r"[ \t]*+(?:\\\n[ \t]*+)?+"), re.compile(r"\s*+")
 _JOIN = re.compile(r"(?:\+|\.\.)(?!=)")
+#: A constant within a template or a shell's word, and a shell's default.
+_HOLE = re.compile(rf"\$\{{[ \t]*+(?P<shell>{_NAME})[ \t]*+\}}|\$(?P<bare>[A-Za-z_]\w*+)|(?<!\{{)\{{[ \t]*+(?P<format>{_NAME})[ \t]*+(?:[!:=][^{{}}\n]*+)?+\}}", re.A)
+_REFERENCE = re.compile(rf"\$(?:\{{(?P<braced>{_NAME})\}}|(?P<bare>[A-Za-z_]\w*+))", re.A)
+_SHELL_DEFAULT = re.compile(rf"\$\{{{_NAME}:?+[\-=](?P<text>[^{{}}\s\"'$`]++)\}}", re.A)
+#: A look-up whose literal is what it gives where nothing is found: NAME("X", "..."), NAME("X") or "...", NAME || "...".
+_LITERAL = r"""(?:"[^"\\\n]*+"|'[^'\\\n]*+')"""
+_LOOKUP = re.compile(
+    rf"""(?P<name>{_NAME})(?:\(\s*+{_LITERAL}\s*+(?P<comma>,)\s*+(?=["'])|(?:\(\s*+{_LITERAL}\s*+\)|\[\s*+{_LITERAL}\s*+\])?+[ \t]*+(?:\|\||\?\?|or\b)[ \t]*+(?=["'`]))""", re.A
+)
+#: Last parts of the names of functions whose second argument is such a literal.
+LOOKUPS = {"get", "getenv", "env", "get_env", "getProperty", "getOrDefault", "config", "pop", "setdefault"}
 _BLOCK = re.compile(r"[|>][+\-]?\d?[+\-]?[ \t]*+(?:#[^\n]*+)?\n")
 
 
@@ -130,6 +141,23 @@ def _block_lines(text: str, target: int, at: int) -> tuple[list[tuple[int, int]]
     return lines, min(at, len(text))
 
 
+def _add_string(text: str, s: re.Match, value: Value, known: dict[str, Value]) -> None:
+    """Add the parts of a string: in templates (f"...", and $ in "..." and `...`) known constants stand for their literals."""
+    k = s.lastgroup
+    begin, end = s.span(k)
+    form = "f" in text[s.start() : begin].lower()
+    if known and (form or k in "ace"):
+        for h in _HOLE.finditer(text, begin, end):
+            part = known.get(h[h.lastgroup])
+            if part is not None and (form or h.lastgroup != "format"):
+                if h.start() > begin:
+                    value.add(text[begin : h.start()], begin, h.start())
+                value.add(part)
+                begin = h.end()
+    if begin < end or not (value.spans or value.constants):
+        value.add(text[begin:end], begin, end)
+
+
 def _read(text: str, at: int, value: Value, known: dict[str, Value], sure: bool) -> int:
     """Add to `value` the sum of strings and constants or the bare word at `at`; returns where it ends."""
     pos, depth, some = at, 0, False
@@ -140,16 +168,29 @@ def _read(text: str, at: int, value: Value, known: dict[str, Value], sure: bool)
             continue
         s = _STRING.match(text, pos)
         if s:
-            k = s.lastgroup
-            value.add(s[k], s.start(k), s.end(k))
+            _add_string(text, s, value, known)
             pos = s.end()
+        elif not some and (u := _LOOKUP.match(text, pos)) and (not u["comma"] or u["name"].rpartition(".")[2] in LOOKUPS):
+            pos = u.end()
+            continue
+        elif (r := _REFERENCE.match(text, pos)) and r[r.lastgroup] in known:
+            value.add(known[r[r.lastgroup]])
+            pos = r.end()
+        elif r := _SHELL_DEFAULT.match(text, pos):
+            value.add(r["text"], *r.span("text"))
+            pos = r.end()
         else:
             w = None if _TARGET.match(text, pos) else _WORD.match(text, pos)
             if not w:  # or a name that is assigned to in turn
                 return at
+            *terms, last = w[0].split("+")
             if w[0] in known:
                 value.add(known[w[0]])
                 pos = w.end()
+            elif terms and all(t in known for t in terms) and (last in known or not last):  # a sum without spaces
+                for t in filter(None, (*terms, last)):
+                    value.add(known[t])
+                pos = w.end() - (not last)
             elif some or depth or text[w.end() : w.end() + 1] in ("(", "[", "`"):
                 return at
             elif _WHOLE_NAME.fullmatch(w[0]) and ("." in w[0] or not sure) and not any(map(str.isdigit, w[0])):
@@ -167,19 +208,49 @@ def _read(text: str, at: int, value: Value, known: dict[str, Value], sure: bool)
             return at
 
 
+def _items(text: str, at: int, known: dict[str, Value]) -> tuple[list[Value], int]:
+    """The strings, constants and their sums that stand at `at`, with commas between; and where they end."""
+    found: list[Value] = []
+    while True:
+        pos = _ANY_LINE.match(text, at).end()
+        w = _WORD.match(text, pos)
+        if not (_STRING.match(text, pos) or (w and (w[0] in known or w[0].partition("+")[0] in known))):
+            return found, at
+        value = Value()
+        end = _read(text, pos, value, known, False)
+        if end <= pos:
+            return found, at
+        found.append(value)
+        at = end
+        after = _ANY_LINE.match(text, at).end()
+        if text[after : after + 1] != ",":
+            return found, at
+        at = after + 1
+
+
+def _names_before(text: str, since: int, at: int) -> list[str]:
+    """Names with a comma after each that stand right before `at` on its line: a, b, c = ..."""
+    *parts, blank = text[max(since, text.rfind("\n", since, at) + 1) : at].split(",")
+    names: list[str] = []
+    while parts and not blank.strip() and _WHOLE_NAME.fullmatch(own := parts.pop().strip(" \t([")):
+        names.insert(0, own.removeprefix("const ").removeprefix("let "))
+    return names
+
+
 def assignments(text: str) -> list[tuple[str, Value]]:
     """Names and values in order; constants stand for their literals.
 
     Python, shell, JavaScript, JSON, YAML, TOML and ini share `name = value`, `name: type = value`, `"name": value`,
     `name := value` and `name => value`; besides there are YAML's block scalars, `set name value` and `<name>value</name>`.
     A value is a sum of strings and earlier names, over several lines within brackets or after a sign, or a bare word.
-    Calls, subscripts and comparisons are no literals, and neither is a bare name after ` = `, which is a variable.
+    Known constants within templates count as their literals. Items of a list are values of their own, and `a, b = "x", "y"`
+    gives each name its own. A look-up's default is a literal: `get("X", "...")`, `NAME or "..."`, `${NAME:-...}`. Other calls, subscripts and comparisons are no literals, and neither is a bare name after ` = `, which is a variable.
     """
     known: dict[str, Value] = {}
     out = []
     at = 0
     while m := _TARGET.search(text, at):
-        at = m.end()
+        since, at = at, m.end()
         value = Value()
         sure = True  # a bare word is a literal
         if m["tag"]:
@@ -211,6 +282,24 @@ def assignments(text: str) -> list[tuple[str, Value]]:
                 lines, at = _block_lines(text, m.start(), block.end())
                 for a, b in lines:
                     value.add(text[a:b], a, b)
+        if not value.spans and m["sign"]:
+            first = _SAME_LINE.match(text, pos).end()
+            names = [*_names_before(text, since, m.start()), name] if m["sign"] == "=" and m["plain"] else [name]
+            if text[first : first + 1] == "[" or len(names) > 1:
+                values, end = _items(text, first + (text[first : first + 1] in ("[", "(")), known)
+                if len(values) != len(names) > 1:
+                    values = []
+                if values:
+                    for k, own in enumerate(values):
+                        out.append((names[k] if len(names) > 1 else name, own))
+                    if len(names) == 1:
+                        for own in values:
+                            value.add(own)
+                        known[name] = value
+                    else:
+                        known.update(zip(names, values, strict=True))
+                    at = max(at, end)
+                    continue
         if not value.spans:
             at = max(at, _read(text, pos, value, known, sure))
         if value.spans or value.constants:

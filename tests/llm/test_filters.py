@@ -191,6 +191,29 @@ def test_base_secrets_equal_brute_force(rows):
         ("mysql --password=hunter2Xy9abc -u x", ["hunter2Xy9abc"]),
         ("client_secret = " + " + ".join(f'"part{i}x"' for i in range(40)), [f"part{i}x" for i in range(40)]),
         ("\n".join(["a = " + " + ".join(f'"part{i}x"' for i in range(40)), "client_secret = a"]), [f"part{i}x" for i in range(40)]),
+        ('a = "hunter2X"\nb = "y9abcdef"\npassword=a+b', ["hunter2X", "y9abcdef"]),
+        ('a = "hunter2X"\npassword=a+"y9abcdef"', ["hunter2X", "y9abcdef"]),
+        ('a = "hunter2X"\npassword = "y9abcdef"+a+a', ["hunter2X", "y9abcdef"]),
+        ("token=abc+defGHI12345", ["abc+defGHI12345"]),
+        ('p = "hunter2X"\npassword = f"{p}y9abcd"', ["hunter2X", "y9abcd"]),
+        ('p = "hunter2X"\npassword = f"{p!r:>9}"', ["hunter2X"]),
+        ('p = "hunter2X"\npassword = "{p}y9abcd"', ["{p}y9abcd"]),
+        ('P=hunter2X\nexport DB_PASSWORD="${P}y9a$P"', ["hunter2X", "y9a"]),
+        ("P=hunter2Xy9\nDB_PASSWORD=$P\n", ["hunter2Xy9"]),
+        ("P=hunter2Xy9\nDB_PASSWORD=${P}", ["hunter2Xy9"]),
+        ("DB_PASSWORD='$P'", []),
+        ('const p = "hunter2X";\nconst apiKey = `${p}-y9abc`;', ["hunter2X", "-y9abc"]),
+        ('{"pwd": ["hunter2Xy9abc", "other9Zz81q"], "name": ["hunter2Xy9abc"]}', ["hunter2Xy9abc", "other9Zz81q"]),
+        ('a = "hunter2Xy9"\nkeys = 1\napi_token = [\n  a,\n  "other9Zz81q",\n]', ["hunter2Xy9", "other9Zz81q"]),
+        ('tokens: [{"name": "hunter2Xy9abc"}]', []),
+        ('pwd, user = "hunter2Xy9abc", "bobby12345"', ["hunter2Xy9abc"]),
+        ('user, pwd = ("bobby12345", "hunter2Xy9abc")', ["hunter2Xy9abc"]),
+        ('connect(host, user, pwd="hunter2Xy9abc", name="bobby12345")', ["hunter2Xy9abc"]),
+        ('password = os.environ.get("X", "hunter2Xy9abc")', ["hunter2Xy9abc"]),
+        ('password = os.environ.get("X") or "hunter2Xy9abc"', ["hunter2Xy9abc"]),
+        ('const password = process.env.DB_PASSWORD || "hunter2Xy9abc";', ["hunter2Xy9abc"]),
+        ("DB_PASSWORD=${DB_PASSWORD:-hunter2Xy9abc}", ["hunter2Xy9abc"]),
+        ('secret = digest("sha256", "hunter2Xy9abc")', []),
     ],
 )
 def test_assigned_literals(text, literals):
@@ -200,7 +223,7 @@ def test_assigned_literals(text, literals):
 def test_scans_take_time_in_proportion():
     doubled = 'a0 = "x7Qm"\n' + "\n".join(f"a{i + 1} = a{i} + a{i}" for i in range(3000)) + "\nclient_secret = a3000"
     chained = "\n".join(f"key_{i + 1} = key_{i} + \"Zx9{i}\"" for i in range(4000))
-    texts = ["p" * 200_000, "a-" * 100_000, "token " * 40_000, "token" + " " * 200_000, '"' * 200_000, "password=" * 20_000, 'x="' * 60_000, "<a" * 100_000, "key: |\n" * 20_000, "\\\"" * 100_000, "a=(" * 60_000, doubled, chained, "pin=`" * 40_001, 'key="""' * 20_001]
+    texts = ["p" * 200_000, "a-" * 100_000, "token " * 40_000, "token" + " " * 200_000, '"' * 200_000, "password=" * 20_000, 'x="' * 60_000, "<a" * 100_000, "key: |\n" * 20_000, "\\\"" * 100_000, "a=(" * 60_000, "a=[" * 60_000, "a, " * 60_000, "a, b=" * 40_000, 'a=["x",' * 30_000, "a=x+" * 40_000, 'a="x"\npassword=f"' + "{a}" * 60_000 + '"', "a=${b:-" * 30_000, 'a=get("x",' * 20_000, "a=b." * 40_000, doubled, chained, "pin=`" * 40_001, 'key="""' * 20_001]
     for t in texts:
         began = time.process_time()
         found = secrets.spans_of(t + " password")
