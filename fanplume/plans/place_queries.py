@@ -37,6 +37,30 @@ WEIGHT = "CASE WHEN lat_pos = r THEN 1 - (fr - r) ELSE fr - r END * CASE WHEN lo
 GUARD = f"CASE WHEN abs(sum(CASE WHEN v IS NOT NULL THEN {WEIGHT} END) - 1) < 1e-6 THEN sum(v * {WEIGHT}) END"
 
 
+#: Lines `vl` (shape, sample, lat, lon) on a plane, and their legs as Douglas-Peucker splits them, each with the tolerance up to which it is split off.
+FLAT = "flat AS (SELECT shape, sample, lat, lon, lon * 111.195 * cos(radians(avg(lat) OVER (PARTITION BY shape))) AS x, lat * 111.195 AS y FROM vl)"
+LEGS = """splits(shape, a, b, cap) AS (
+SELECT shape, min(sample), max(sample), CAST('infinity' AS DOUBLE) FROM vl GROUP BY 1
+UNION ALL SELECT shape, CASE side WHEN 0 THEN a ELSE split END, CASE side WHEN 0 THEN split ELSE b END, level FROM (
+  SELECT l.shape, l.a, l.b, p.sample AS split, least(l.cap, CASE WHEN hypot > 0 THEN abs((p.x - q.x) * (r.y - q.y) - (p.y - q.y) * (r.x - q.x)) / hypot ELSE sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) END) AS level,
+         row_number() OVER (PARTITION BY l.shape, l.a ORDER BY CASE WHEN hypot > 0 THEN abs((p.x - q.x) * (r.y - q.y) - (p.y - q.y) * (r.x - q.x)) / hypot ELSE sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) END DESC, p.sample) AS n
+  FROM (SELECT l.*, sqrt((f.x - e.x) ** 2 + (f.y - e.y) ** 2) AS hypot FROM splits l JOIN flat e ON e.shape = l.shape AND e.sample = l.a JOIN flat f ON f.shape = l.shape AND f.sample = l.b) l
+  JOIN flat q ON q.shape = l.shape AND q.sample = l.a JOIN flat r ON r.shape = l.shape AND r.sample = l.b JOIN flat p ON p.shape = l.shape AND p.sample > l.a AND p.sample < l.b
+) CROSS JOIN (VALUES (0), (1)) s(side) WHERE n = 1)"""
+
+#: The vertices that matter by more than a tolerance, in km, and the ends.
+KEPT = "SELECT v.shape AS route, v.sample, v.lat, v.lon FROM vl v LEFT JOIN (SELECT shape, b, max(cap) AS s FROM splits GROUP BY 1, 2) l ON l.shape = v.shape AND l.b = v.sample WHERE s > {0} OR v.sample IN (SELECT min(sample) FROM vl GROUP BY shape)"
+#: Points (route, sample, lat, lon) with the change of their rounded degrees since the point before.
+DEGREES = "SELECT *, i - coalesce(lag(i) OVER w, 0) AS di, j - coalesce(lag(j) OVER w, 0) AS dj FROM (SELECT *, CAST(round(lat * 100000) AS BIGINT) AS i, CAST(round(lon * 100000) AS BIGINT) AS j FROM {0}) WINDOW w AS (PARTITION BY route ORDER BY sample)"
+
+
+def polyline_sql() -> str:
+    """The polyline of a group of rows of DEGREES: groups of five bits of each change, least first, as characters."""
+    coded = lambda d: f"array_to_string(list_transform(range(0, 6), lambda k: CASE WHEN k = 0 OR ({d} >> (5 * k)) > 0 THEN chr(CAST(63 + (({d} >> (5 * k)) & 31) + CASE WHEN ({d} >> (5 * k + 5)) > 0 THEN 32 ELSE 0 END AS INT)) ELSE '' END), '')"
+    folded = lambda d: f"(CASE WHEN {d} < 0 THEN -2 * {d} - 1 ELSE 2 * {d} END)"
+    return f"string_agg({coded(folded('di'))} || {coded(folded('dj'))}, '' ORDER BY sample)"
+
+
 def query(key: str, build: Callable[[SparkSession, str], DataFrame], sql: str, *ctes: str) -> None:
     QUERIES[key] = build
     if sql:
@@ -113,7 +137,7 @@ query("lo7_half_gaps", lambda s, d: shown(spatial.half_gaps(routes(s, d), ["rout
 query("lo7_resampled_route", lambda s, d: shown(spatial.resample_routes(routes(s, d), 2.0, ["route"])),
       "SELECT l.route, k.k, round(k.k * gap, 6) AS at_km, round(lat + (k.k * gap - distance_km) / (to_km - distance_km) * (nlat - lat), 6) AS lat, round(lon + (k.k * gap - distance_km) / (to_km - distance_km) * (nlon - lon), 6) AS lon, round(course, 6) AS course FROM (SELECT *, lead(distance_km) OVER w AS to_km, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon, max(distance_km) OVER (PARTITION BY route) / greatest(1, ceil(max(distance_km) OVER (PARTITION BY route) / 2)) AS gap FROM rt WINDOW w AS (PARTITION BY route ORDER BY sample)) l JOIN (SELECT unnest(range(0, 20000)) AS k) k ON k.k <= floor(round(to_km / gap, 9)) AND k.k >= CASE WHEN distance_km = 0 THEN 0 ELSE floor(round(distance_km / gap, 9)) + 1 END WHERE to_km > distance_km", RT)
 query("lo9_describe_route", lambda s, d: shown(routes(s, d).groupBy("route").agg(F.max("distance_km").alias("km"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.count(F.lit(1)).alias("points"))), "SELECT route, round(max(distance_km), 6) AS km, round(min(lat), 6) AS south, round(max(lat), 6) AS north, round(min(lon), 6) AS west, round(max(lon), 6) AS east, count(*) AS points FROM rt GROUP BY 1", RT)
-query("sc15_polyline", lambda s, d: spatial.with_polylines(routes(s, d), ["route"]), "", RT)
+query("sc15_polyline", lambda s, d: spatial.with_polylines(routes(s, d), ["route"]), f"SELECT route, {polyline_sql()} AS polyline FROM ({DEGREES.format('rt')}) GROUP BY route", RT)
 query("jo8_route_diagonal", lambda s, d: shown(routes(s, d).select("route", "sample", "lat").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_acctbal").alias("field")), "sample")), "SELECT sample, route, round(lat, 6) AS lat, s_acctbal AS field FROM rt JOIN supplier ON s_suppkey = sample", RT)
 query("de8_head_crosswind", lambda s, d: shown(routes(s, d).select("route", "sample", headwind(F.lit(20.0), F.col("v") % 360, F.col("course")).alias("head"), crosswind(F.lit(20.0), F.col("v") % 360, F.col("course")).alias("cross"))), "SELECT route, sample, round(20 * cos(radians(v % 360 - course)), 6) AS head, round(abs(20 * sin(radians(v % 360 - course))), 6) AS cross FROM rt", RT)
 

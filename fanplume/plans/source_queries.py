@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fanplume.operators import shapes
 from fanplume.plans.cube_queries import EV, shown
-from fanplume.plans.place_queries import STORED, _stored
+from fanplume.plans.place_queries import FLAT, LEGS, STORED, _stored
 from fanplume.sources import fields, listings, tracks
 from fanplume.sources.cubes import table
 from fanplume.sources.shared import new_path
@@ -80,20 +80,9 @@ def sc19_whole_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(rings.select("box", "shape", shapes.ring_area(F.col("points")).alias("area")))
 
 
-_FLAT = "flat AS (SELECT shape, sample, lat, lon, lon * 111.195 * cos(radians(avg(lat) OVER (PARTITION BY shape))) AS x, lat * 111.195 AS y FROM vl)"
-_LEGS = """legs(shape, a, b, cap) AS (
-SELECT shape, min(sample), max(sample), CAST('infinity' AS DOUBLE) FROM vl GROUP BY 1
-UNION ALL SELECT shape, CASE side WHEN 0 THEN a ELSE split END, CASE side WHEN 0 THEN split ELSE b END, level FROM (
-  SELECT l.shape, l.a, l.b, p.sample AS split, least(l.cap, CASE WHEN hypot > 0 THEN abs((p.x - q.x) * (r.y - q.y) - (p.y - q.y) * (r.x - q.x)) / hypot ELSE sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) END) AS level,
-         row_number() OVER (PARTITION BY l.shape, l.a ORDER BY CASE WHEN hypot > 0 THEN abs((p.x - q.x) * (r.y - q.y) - (p.y - q.y) * (r.x - q.x)) / hypot ELSE sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) END DESC, p.sample) AS n
-  FROM (SELECT l.*, sqrt((f.x - e.x) ** 2 + (f.y - e.y) ** 2) AS hypot FROM legs l JOIN flat e ON e.shape = l.shape AND e.sample = l.a JOIN flat f ON f.shape = l.shape AND f.sample = l.b) l
-  JOIN flat q ON q.shape = l.shape AND q.sample = l.a JOIN flat r ON r.shape = l.shape AND r.sample = l.b JOIN flat p ON p.shape = l.shape AND p.sample > l.a AND p.sample < l.b
-) CROSS JOIN (VALUES (0), (1)) s(side) WHERE n = 1)"""
-
-
 @query(
-    "SELECT v.shape, v.sample, CASE WHEN v.sample IN (SELECT min(sample) FROM vl GROUP BY shape) THEN -1 ELSE round(CASE WHEN isinf(s) THEN -1 ELSE s END, 6) END AS significance FROM vl v LEFT JOIN (SELECT shape, b, max(cap) AS s FROM legs GROUP BY 1, 2) l ON l.shape = v.shape AND l.b = v.sample",
-    "vl AS (SELECT s_suppkey // 60 AS shape, s_suppkey AS sample, 50 + 0.02 * s_suppkey AS lat, 7 + s_acctbal / 20000 AS lon FROM supplier)", _FLAT, _LEGS, recursive=True,
+    "SELECT v.shape, v.sample, CASE WHEN v.sample IN (SELECT min(sample) FROM vl GROUP BY shape) THEN -1 ELSE round(CASE WHEN isinf(s) THEN -1 ELSE s END, 6) END AS significance FROM vl v LEFT JOIN (SELECT shape, b, max(cap) AS s FROM splits GROUP BY 1, 2) l ON l.shape = v.shape AND l.b = v.sample",
+    "vl AS (SELECT s_suppkey // 60 AS shape, s_suppkey AS sample, 50 + 0.02 * s_suppkey AS lat, 7 + s_acctbal / 20000 AS lon FROM supplier)", FLAT, LEGS, recursive=True,
 )
 def sc22_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much each vertex of lines of sixty matters; the ends, which always stay, are -1. Legs of more than ten vertices
@@ -105,8 +94,8 @@ def sc22_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT CAST(v.shape AS VARCHAR) AS route, v.sample, round(v.lat, 6) AS lat, round(v.lon, 6) AS lon FROM vl v LEFT JOIN (SELECT shape, b, max(cap) AS s FROM legs GROUP BY 1, 2) l ON l.shape = v.shape AND l.b = v.sample WHERE s > 2 OR v.sample IN (SELECT min(sample) FROM vl GROUP BY shape)",
-    "vl AS (SELECT s_suppkey // 60 AS shape, s_suppkey AS sample, 50 + 0.02 * s_suppkey AS lat, 7 + s_acctbal / 20000 AS lon FROM supplier)", _FLAT, _LEGS, recursive=True,
+    "SELECT CAST(v.shape AS VARCHAR) AS route, v.sample, round(v.lat, 6) AS lat, round(v.lon, 6) AS lon FROM vl v LEFT JOIN (SELECT shape, b, max(cap) AS s FROM splits GROUP BY 1, 2) l ON l.shape = v.shape AND l.b = v.sample WHERE s > 2 OR v.sample IN (SELECT min(sample) FROM vl GROUP BY shape)",
+    "vl AS (SELECT s_suppkey // 60 AS shape, s_suppkey AS sample, 50 + 0.02 * s_suppkey AS lat, 7 + s_acctbal / 20000 AS lon FROM supplier)", FLAT, LEGS, recursive=True,
 )
 def lo8_simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of sixty vertices, simplified to two kilometres."""

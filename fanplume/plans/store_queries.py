@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fanplume.operators import spatial
 from fanplume.plans.cube_queries import shown
-from fanplume.plans.place_queries import GRID, GUARD, PT, RT, STORED, _cells, _grid, _stored
+from fanplume.plans.place_queries import DEGREES, FLAT, GRID, GUARD, KEPT, LEGS, PT, RT, STORED, _cells, _grid, _stored, polyline_sql
 from fanplume.sources import fields
 from fanplume.sources import places as named
 from fanplume.sources.cubes import places, routes, table
@@ -129,7 +129,10 @@ def lo4_route_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(spatial.along(_samples(spark, sf_dir), _fields_by_hour(spark, sf_dir), ["v"], ["route", "k"], instant=False, **WHERE_FIELDS))
 
 
-@query("")
+@query(
+    f"SELECT route, round(km, 6) AS km, round(south, 6) AS south, round(west, 6) AS west, round(north, 6) AS north, round(east, 6) AS east, round(km / {SPEED}, 6) AS hours, polyline, kept_points FROM (SELECT route, max(distance_km) AS km, min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east FROM rt GROUP BY 1) JOIN (SELECT route, {polyline_sql()} AS polyline, count(*) AS kept_points FROM ({DEGREES.format('kept')}) GROUP BY 1) USING (route)",
+    "RECURSIVE " + RT.strip(), "vl AS (SELECT route AS shape, sample, lat, lon FROM rt)", FLAT, LEGS, f"kept AS ({KEPT.format(0.2)})",
+)
 def lo9_described_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(describe(routes(spark, sf_dir), SPEED, 0.2))
 

@@ -1,4 +1,4 @@
-"""Registered queries that run streams or per-route Python."""
+"""Registered queries that run streams, and lines simplified and encoded."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fanplume.operators.spatial import with_polylines
 from fanplume.plans.cube_queries import EV, shown
+from fanplume.plans.place_queries import FLAT, KEPT, LEGS, RT
 from fanplume.sources.cubes import event_cells, routes
 from fanplume.sources.tracks import simplify, unfold
 from fanplume.streaming.hours import event_stream, hourly_cells, latest_cells, run_available
@@ -36,6 +37,7 @@ def sc15_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (st1_stream_hours, st2_latest_run, lo8_simplify, sc15_round_trip)}
 
 ORACLE_SQL = {
+    "lo8_simplify": f"WITH RECURSIVE {RT}, vl AS (SELECT route AS shape, sample, lat, lon FROM rt), {FLAT}, {LEGS} SELECT route, sample, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ({KEPT.format(0.2)})",
     "st1_stream_hours": f"WITH {EV} SELECT model, member, time, round(v, 6) AS v, round(vmax, 6) AS vmax, n FROM cells WHERE time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR",
     "st2_latest_run": f"WITH {EV} SELECT model, member, time, round(CASE WHEN time >= TIMESTAMP '2024-01-15' THEN v + 1 ELSE v END, 6) AS v, round(vmax, 6) AS vmax, n, CASE WHEN time >= TIMESTAMP '2024-01-15' THEN 2 ELSE 1 END AS run FROM cells",
     "sc15_round_trip": "SELECT CAST(s_suppkey // 50 AS VARCHAR) AS route, s_suppkey % 50 AS sample, round(50 + 0.02 * s_suppkey, 5) AS lat, round(7 + 0.01 * (s_suppkey % 7), 5) AS lon FROM supplier",

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fanplume.operators.shapes import significance
 from fanplume.operators.spatial import with_polylines
 
 POINTS = "route string, sample long, lat double, lon double, hours double"
@@ -133,14 +134,12 @@ def simplified(lat: np.ndarray, lon: np.ndarray, tolerance_km: float) -> np.ndar
 
 
 def simplify(points: DataFrame, tolerance_km: float = 0.05) -> DataFrame:
-    """The points (route, sample, lat, lon) of each route that Douglas-Peucker keeps. A route is a few thousand points at most."""
-
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("sample")
-        return track[simplified(track["lat"].to_numpy(), track["lon"].to_numpy(), tolerance_km)]
-
-    own = points.select("route", "sample", "lat", "lon")
-    return own.groupBy("route").applyInPandas(run, own.schema)
+    """The points (route, sample, lat, lon) of each route that Douglas-Peucker keeps, those whose significance is above the
+    tolerance. Long routes are split over tasks; rows whose route is null are one route."""
+    named = F.coalesce(F.concat(F.lit("="), F.col("route").cast("string")), F.lit("")).alias("__route")
+    found = significance(points.select(named, "sample", "lat", "lon"), ["__route"]).filter(F.col("significance") > tolerance_km)
+    route = F.when(F.col("__route") != "", F.expr("substring(__route, 2)")).cast(points.schema["route"].dataType)
+    return found.select(route.alias("route"), "sample", "lat", "lon")
 
 
 def describe(points: DataFrame, speed_kmh: float = 20.0, tolerance_km: float = 0.05) -> DataFrame:
