@@ -244,7 +244,8 @@ def _across(dealt: DataFrame, least: float, weighted: bool = False) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, weighted: bool = False) -> DataFrame:
-    """One row per row of `docs`: its id, class_id (the least id of its class) and class_rows (rows in it).
+    """One row per row of `docs`: its id, class_id (the least id of its class), class_rows (rows in it), text_id (the
+    least id of rows with the same words) and class_texts (different texts in the class).
 
     Classes are the components of links between texts whose sets of `size`-word shingles have a Jaccard similarity
     of at least `least`; with `weighted`, a probability Jaccard similarity in which a shingle's weight is 1 + ln(count).
@@ -257,13 +258,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null class_id. Other columns are not returned.
     """
     sigs = _classes_input(docs, id_col, text_col, size, weighted)
-    labels = _labels(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), sigs, size, least, weighted)
-    return _classes(sigs, labels).select(F.col("id").alias(id_col), "class_id", "class_rows")
+    labels, links = _linked(_rows(docs, id_col, text_col), sigs, size, least, weighted)
+    discard(links)
+    return _classes(sigs, labels).select(F.col("id").alias(id_col), "class_id", "class_rows", "text_id", "class_texts")
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, weighted: bool = False) -> DataFrame:
+    """The verified links (a_id, b_id) that connect the classes of `near_duplicates`, by the text_id of both texts, a before b.
+
+    Each is a pair of different texts of at least this similarity; together they connect what any link connects, with
+    no more pairs than a bucket has members. Empty tables and texts without words have none; of texts with null ids
+    only, the id in the pair is null.
+    """
+    sigs = _classes_input(docs, id_col, text_col, size, weighted)
+    _, links = _linked(_rows(docs, id_col, text_col), sigs, size, least, weighted)
+    first = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.min(_rank("id")).alias("first"))
+    named = links.join(first.select(F.col("key").alias("a"), F.col("first").alias("one")), "a").join(first.select(F.col("key").alias("b"), F.col("first").alias("two")), "b")
+    return named.select(F.least("one", "two")["id"].alias("a_id"), F.greatest("one", "two")["id"].alias("b_id"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def _classes_input(docs: DataFrame, id_col: str, text_col: str, size: int, weighted: bool) -> DataFrame:
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return stored(signatures(rows.withColumn("mark", F.xxhash64("text")), size, weighted))
+    return stored(signatures(_rows(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")), size, weighted))
 
 
 def _rank(name: str, *more: str):
@@ -271,18 +290,19 @@ def _rank(name: str, *more: str):
 
 
 def _classes(sigs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, key, class_id, class_rows) of all rows."""
+    """(id, key, class_id, class_rows, text_id, class_texts) of all rows."""
     some = sigs.filter("key IS NOT NULL").select("id", "key")
     texts = some.groupBy("key").agg(F.min(_rank("id")).alias("first"), F.count(F.lit(1)).alias("n"))
     texts = texts.join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "first", "n")
-    classes = texts.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("class_rows"))
-    named = texts.select("key", "label").join(classes, "label").select("key", F.col("first.id").alias("class_id"), "class_rows")
-    alone = sigs.filter("key IS NULL").select("id", "key", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"))
-    return some.join(named, "key").select("id", "key", "class_id", "class_rows").union(alone)
+    classes = texts.groupBy("label").agg(F.min("first").alias("least"), F.sum("n").alias("class_rows"), F.count(F.lit(1)).alias("class_texts"))
+    named = texts.select("key", "label", "first").join(classes, "label").select("key", F.col("least.id").alias("class_id"), "class_rows", F.col("first.id").alias("text_id"), "class_texts")
+    one = F.lit(1).cast("long")
+    alone = sigs.filter("key IS NULL").select("id", "key", F.col("id").alias("class_id"), one.alias("class_rows"), F.col("id").alias("text_id"), one.alias("class_texts"))
+    return some.join(named, "key").select("id", "key", "class_id", "class_rows", "text_id", "class_texts").union(alone)
 
 
-def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float, weighted: bool) -> DataFrame:
-    """(key, label) of texts with links to others."""
+def _linked(rows: DataFrame, sigs: DataFrame, size: int, least: float, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """(key, label) of texts with links to others; and the stored links (a, b)."""
     nodes = sigs.filter("key IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.min(_rank("id", "mark")).alias("rep"))
     bands = nodes.select("key", F.explode("bands").alias("h"), F.col("shingles").alias("length"))
     counts = bands.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).filter("n > 1")
@@ -311,18 +331,21 @@ def _labels(rows: DataFrame, sigs: DataFrame, size: int, least: float, weighted:
     parts = _dealt(marked.join(mixed, "h")).join(nodes.select("key", "signature"), "key").join(sets, "key")
     more = stored(_across(parts, least, weighted).distinct())
     if more.limit(1).count():
-        labels, _ = components(links.unionByName(more))
+        links, some = stored(links.unionByName(more)), links
+        labels, _ = components(links)
         discard(first)
-    for table in (members, texts, links, marked, more):
+        discard(some)
+    for table in (members, texts, marked, more):
         discard(table)
-    return labels
+    return labels, links
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, weighted: bool = False) -> DataFrame:
     """The rows of `docs` that are the first of their class, with all their columns. Rows that repeat id and text are one document."""
     base = without(docs, ())
     sigs = _classes_input(base, id_col, text_col, size, weighted)
-    labels = _labels(base.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), sigs, size, least, weighted)
+    labels, links = _linked(_rows(base, id_col, text_col), sigs, size, least, weighted)
+    discard(links)
     first = _classes(sigs, labels).filter(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__fp_id"), F.coalesce("key", F.lit(b"")).alias("__fp_own")).distinct()
     keyed = map_columns(base, [text_col], [T.StructField("__fp_key", T.BinaryType())], lambda t: [[text_key(w) if w else b"" for w in map(words_of, t)]])
     kept = keyed.join(first, keyed[f"`{id_col}`"].eqNullSafe(first["__fp_id"]) & (F.col("__fp_key") == F.col("__fp_own")), "left_semi")

@@ -231,7 +231,8 @@ ORACLE_SQL: dict[str, str] = {
         ), classed AS (
             SELECT d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS class_id FROM documents d LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id
         )
-        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows FROM classed
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows, text_id, count(*) FILTER (doc_id = text_id) OVER (PARTITION BY class_id) AS class_texts
+        FROM classed JOIN (SELECT doc_id, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) ELSE doc_id END AS text_id FROM words) USING (doc_id)
     """,
     "op9_line_dedup": rf"""
         WITH lines AS (

@@ -73,6 +73,10 @@ def jaccard(a, b):
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
+def classes(rows):
+    return Counter((r["doc_id"], r["class_id"], r["class_rows"]) for r in rows)
+
+
 def brute_classes(pairs):
     label = list(range(len(pairs)))
     for i in range(len(pairs)):
@@ -87,7 +91,7 @@ def brute_classes(pairs):
 
 def test_near_classes_of_odd_rows(odd):
     got = near_dedup.near_duplicates(odd).collect()
-    assert Counter(map(tuple, got)) == brute_classes([(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert classes(got) == brute_classes([(r["doc_id"], r["text"]) for r in odd.collect()])
 
 
 def test_near_classes_without_a_common_centre(spark):
@@ -97,7 +101,26 @@ def test_near_classes_without_a_common_centre(spark):
     copies = [[*base[:50], f"edit{k}", *base[51:]] + ["tail"] * (k % 3) for k in range(40)]
     texts = [" ".join(w) for w in chain + copies]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == brute_classes(list(enumerate(texts)))
+    assert classes(near_dedup.near_duplicates(df).collect()) == brute_classes(list(enumerate(texts)))
+
+
+def test_links_connect_what_the_classes_hold(spark, odd):
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[: 100 - 8 * k] + [f"x{k}{i}" for i in range(4 * k)]) for k in range(5)] + [" ".join([*base[:50], f"edit{k % 9}", *base[51:]]) for k in range(20)] + ["alone", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = [tuple(r) for r in near_dedup.near_links(df).collect()]
+    assert links and all(a < b and texts[a] != texts[b] and jaccard(texts[a], texts[b]) >= 0.8 for a, b in links)
+    rows = {r["doc_id"]: r for r in near_dedup.near_duplicates(df).collect()}
+    label = {i: i for i in rows}
+    for a, b in links:
+        label = {k: min(label[a], label[b]) if v in (label[a], label[b]) else v for k, v in label.items()}
+    for i, r in rows.items():
+        same = [j for j in rows if texts[i] and texts[j] and texts[i].split() == texts[j].split()] or [i]
+        assert r["text_id"] == min(same) and label[r["text_id"]] == r["class_id"]
+        assert r["class_texts"] == len({x["text_id"] for x in rows.values() if x["class_id"] == r["class_id"]})
+    for r in near_dedup.near_duplicates(odd).collect():
+        assert r["class_texts"] <= r["class_rows"]
+    near_dedup.near_links(odd).collect()
 
 
 def test_one_of_each_class_stays(odd):
@@ -171,7 +194,7 @@ def test_near_copies_whose_own_passages_repeat(spark):
         texts += [" ".join(shared), " ".join(shared + [f"{k}own{i}" for i in range(14)] * 60)]
         assert jaccard(*texts[-2:]) >= 0.8
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == brute_classes(list(enumerate(texts)))
+    assert classes(near_dedup.near_duplicates(df).collect()) == brute_classes(list(enumerate(texts)))
 
 
 @pytest.mark.parametrize("same_id", [None, 7])
@@ -231,7 +254,7 @@ def test_weighted_classes_are_by_probability_jaccard(spark, monkeypatch):
             own = [f"{k}own{more}{i}" for i in range(more)]
             texts.append(" ".join(shared * rng.choice([1, 3]) + own * rng.choice([1, 2, 9])))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    plain, weighted = (Counter(map(tuple, near_dedup.near_duplicates(df, weighted=w).collect())) for w in (False, True))
+    plain, weighted = (classes(near_dedup.near_duplicates(df, weighted=w).collect()) for w in (False, True))
     assert plain == brute_classes(list(enumerate(texts)))
     monkeypatch.setitem(globals(), "jaccard", weighted_jaccard)
     assert weighted == brute_classes(list(enumerate(texts))) and weighted != plain
