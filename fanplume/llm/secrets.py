@@ -22,9 +22,21 @@ KINDS = [k for k, *_ in BASE] + ["literal"]
 Span = tuple[int, int, str]
 
 
+#: Every match of the first pattern holds one of these, in either case.
+_ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+
+def _holds(text: str, parts: tuple[str, ...]) -> bool:
+    """Whether one of the lower-case `parts` may stand in `text`; A-Z in either case."""
+    low = text.lower()  # letters beyond ASCII may become ASCII ones, which only means a search for nothing
+    return any(p in low for p in parts)
+
+
 def base_spans(text: str) -> list[Span]:
     found = []
     for kind, pattern, group, least in BASE:
+        if kind == "assign" and not _holds(text, _ASSIGNED):
+            continue
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
                 found.append((m.start(), m.end(), kind))
@@ -36,8 +48,8 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
     "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 1.0, "encryptionkey": 1.0, "signingkey": 1.0, "bearer": 0.8, "auth": 0.6, "key": 0.5, "salt": 0.5, "pin": 0.4,
 }
-#: A text without any of these has no sensitive name.
-_HINT = re.compile("passw|pwd|passphrase|secret|token|credential|bearer|auth|key|salt|pin", re.I)
+#: A text without any of these has no sensitive name. Of names in two parts, those that begin with "pass" count too.
+_HINT = ("passw", "pwd", "passphrase", "secret", "token", "credential", "bearer", "auth", "key", "salt", "pin", *(f"pass{sign}{rest}" for sign in "_-." for rest in ("word", "wd", "phrase")))
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|change_?me|example.*|your[_-].*|none|null|true|false|todo|dummy|test|placeholder|string|number|boolean|integer|required|optional)$", re.I)
 
@@ -310,7 +322,7 @@ def assignments(text: str) -> list[tuple[str, Value]]:
 
 def literal_spans(text: str, least: float = 0.5) -> list[Span]:
     """Literals that reach `least` = sensitivity of the target's name * look of the whole value."""
-    if not _HINT.search(text):
+    if not _holds(text, _HINT):
         return []
     found = set()
     marked: set[int] = set()

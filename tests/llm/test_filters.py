@@ -213,6 +213,8 @@ def test_base_secrets_equal_brute_force(rows):
         ('password = os.environ.get("X") or "hunter2Xy9abc"', ["hunter2Xy9abc"]),
         ('const password = process.env.DB_PASSWORD || "hunter2Xy9abc";', ["hunter2Xy9abc"]),
         ("DB_PASSWORD=${DB_PASSWORD:-hunter2Xy9abc}", ["hunter2Xy9abc"]),
+        ('db_pass_word = "hunter2Xy9abc"', ["hunter2Xy9abc"]),
+        ('DB_PASS-PHRASE: "hunter2Xy9abc"', ["hunter2Xy9abc"]),
         ('secret = digest("sha256", "hunter2Xy9abc")', []),
     ],
 )
