@@ -134,3 +134,12 @@ def test_detail_by_tolerance(spark):
     boxes = spark.createDataFrame([(k, 0.0, 0.0, 90.0, 90.0, 5, t) for k, t in enumerate([0.0, 0.2, 0.5])], BOX)
     left = {r["box"]: r["n"] for r in shapes.detail(shapes.shown_in(boxes, drawn_once)).select("box", F.size("points").alias("n")).collect()}
     assert left[0] >= 4 and left[1] == 3 and left[2] == 2
+
+
+def test_routes_without_a_name_are_one_route(spark):
+    from fanplume.sources.tracks import simplify
+
+    rows = [(r, k, 50.0 + k / 100, 7.0 + (0.1 if k == 3 else 0.0)) for r in (None, "", "a") for k in range(7)] + [("single", 0, 1.0, 2.0)]
+    kept = simplify(spark.createDataFrame(rows, "route string, sample long, lat double, lon double"), 0.05).collect()
+    assert {(r["route"], r["sample"]) for r in kept} == {(r, k) for r in (None, "", "a") for k in (0, 2, 3, 4, 6)} | {("single", 0)}
+    assert len(kept) == 16
