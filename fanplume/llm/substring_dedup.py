@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,6 +23,12 @@ RUN = 5
 #: Slots of minimisers per bucket; a slot with more text than a bucket should hold is dealt by window instead. And how
 #: many slots are summed at a time.
 SLOTS, PART = 64, 4096
+#: A slot is dealt by window above this share of the text at most, so the slots that every task has to know are a few
+#: millions (8 bytes each) however long the text is.
+MOST_HOT = 1_000_000
+#: What is told of each super-k-mer of a bucket: number of its owner, first window, a part of its minimiser's hash,
+#: whether it repeats in its chunk, and its bytes; and of each single window.
+STRINGS, WINDOWS = ("<u4", "<u4", "<u4", "?", "<u4"), ("<u4", "<u4", "<u8", "<u8", "?")
 
 
 def sliding_argmin(x: np.ndarray, n: int) -> np.ndarray:
@@ -75,6 +82,24 @@ def _unpack(x: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
+def seal(owners: list[tuple], columns: list[np.ndarray], kinds: tuple[str, ...], text: bytes = b"") -> bytes:
+    """Columns of one length (at least one row), side by side and compressed; a blob of one row is hardly more than its text."""
+    named = pickle.dumps(owners, 5)
+    parts = [struct.pack("<II", len(named), len(columns[0])), named, *(np.ascontiguousarray(c, k).tobytes() for c, k in zip(columns, kinds, strict=True)), text]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def unseal(blob: bytes, kinds: tuple[str, ...]) -> tuple[list[tuple], list[np.ndarray], bytes]:
+    """What `seal` was given."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    size, n = struct.unpack_from("<II", raw)
+    at, columns = 8 + size, []
+    for k in kinds:
+        columns.append(np.frombuffer(raw, k, n, at))
+        at += n * columns[-1].itemsize
+    return pickle.loads(raw[8 : 8 + size]), columns, raw[at:]
+
+
 def _equal(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order in which equal pairs are neighbours, the number of each one's group in it, and the groups' sizes."""
     order = np.lexsort((two, one))
@@ -113,13 +138,17 @@ def slot_sizes(words: list[list[bytes]], window: int, slots: int, hashes: WordHa
     return slot_sums((mix(minimiser[told]) % np.uint64(slots)).astype(np.int64), sizes)
 
 
+def _together(blobs: list[bytes], kinds: tuple[str, ...]) -> tuple[list[tuple], np.ndarray, list[np.ndarray], bytes]:
+    """The owners of all blobs, the number of each row's owner among them, the other columns, and all the text."""
+    parts = [unseal(b, kinds) for b in blobs]
+    shift = np.cumsum([0] + [len(p[0]) for p in parts])
+    index = np.concatenate([p[1][0].astype(np.int64) + s for p, s in zip(parts, shift[:-1], strict=True)])
+    return [o for p in parts for o in p[0]], index, [np.concatenate([p[1][k] for p in parts]) for k in range(1, len(kinds))], b"".join(p[2] for p in parts)
+
+
 def repeated_hashes(blobs: list[bytes], window: int) -> list[tuple[tuple, bytes]]:
     """(owner, ranges) of the windows of a bucket of single windows that more than one chunk told."""
-    parts = [_unpack(b) for b in blobs]
-    owners = [o for p in parts for o in p[0]]
-    shift = np.cumsum([0] + [len(p[0]) for p in parts])
-    index = np.concatenate([p[1].astype(np.int64) + s for p, s in zip(parts, shift[:-1], strict=True)])
-    start, one, two, many = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5))
+    owners, index, (start, one, two, many), _ = _together(blobs, WINDOWS)
     order, group, sizes = _equal(one, two)
     again = order[(sizes > 1)[group] & ~many[order]]
     return [(owners[d], ranges) for d, ranges in _ranges(index[again], start[again], window)]
@@ -168,9 +197,8 @@ class _Chunk:
             i = told[a:b]
             docs, index = np.unique(owner[i], return_inverse=True)
             own = [cut[k] for k in i]
-            self.blobs.append(
-                (int(bucket[a]), _pack(([owners[d] for d in docs], index.astype(np.uint32), start[i].astype(np.uint32), (key[i] >> np.uint64(32)).astype(np.uint32), repeated[i], np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own))))
-            )
+            columns = [index, start[i], key[i] >> np.uint64(32), repeated[i], np.fromiter(map(len, own), np.uint32, len(own))]
+            self.blobs.append((int(bucket[a]), seal([owners[d] for d in docs], columns, STRINGS, b"".join(own))))
 
     def _windows(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, begin: np.ndarray, window: int, buckets: int, spread: int) -> None:
         at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
@@ -187,7 +215,7 @@ class _Chunk:
         for a, b in zip(edges, np.append(edges, len(bucket))[1:], strict=True):
             i = told[a:b]
             docs, index = np.unique(owner[i], return_inverse=True)
-            self.blobs.append((buckets + int(bucket[a]), _pack(([self.owners[d] for d in docs], index.astype(np.uint32), start[i].astype(np.uint32), one[i], two[i], many[i]))))
+            self.blobs.append((buckets + int(bucket[a]), seal([self.owners[d] for d in docs], [index, start[i], one[i], two[i], many[i]], WINDOWS)))
 
     @staticmethod
     def _of(owner: np.ndarray, repeated: np.ndarray, d: int) -> np.ndarray:
@@ -200,15 +228,9 @@ def repeated_windows(blobs: list[bytes], window: int) -> list[tuple[tuple, bytes
 
     Strings of one minimiser are told apart first; windows of those that differ are sorted and counted exactly.
     """
-    parts = [_unpack(b) for b in blobs]
-    owners = [o for p in parts for o in p[0]]
-    shift = np.cumsum([0] + [len(p[0]) for p in parts])
-    index = np.concatenate([p[1] + s for p, s in zip(parts, shift[:-1], strict=True)])
-    start, key, many = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
-    strings: list[bytes] = []
-    for p in parts:
-        ends = np.cumsum(p[5], dtype=np.int64).tolist()
-        strings += [p[6][a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    owners, index, (start, key, many, size), text = _together(blobs, STRINGS)
+    ends = np.cumsum(size, dtype=np.int64).tolist()
+    strings = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
     order = np.argsort(key, kind="stable")
     edges = np.flatnonzero(np.diff(key[order].astype(np.int64), prepend=-1))
     found: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -249,7 +271,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Consecutive windows that share a minimiser travel to its bucket as one packed string, about three times the text
     before compression. Equal strings within `chunk_words` words of a task are sent once, so copies and shared
     passages reach a bucket at most once a chunk; buckets are as many as the text needs to hold about `bucket_chars`
-    of it each. A pass before sums the strings by slots of minimisers; where a slot has more than `bucket_chars`, a
+    of it each. A pass before sums the strings by slots of minimisers; where a slot has more than `bucket_chars` (or a
+    millionth of the text, so that these slots stay few), a
     phrase stands in many surroundings, and its windows are dealt by 128 bits of the whole window, each told once a
     chunk, so that no minimiser fills a bucket. Windows are judged on the input.
 
@@ -290,15 +313,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sums = [_pack((slot[a:b], size[a:b])) for a, b in zip(begin, [*begin[1:], len(slot)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(sums, pa.binary())], ["part", "sums"])
 
+    heavy_chars = max(bucket_chars, total // MOST_HOT)
+
     def heavy(group: pa.Table) -> pa.Table:
         told = [_unpack(b) for b in group.column("sums").to_pylist()]
         slot, size = slot_sums(*(np.concatenate([t[k] for t in told]) for k in (0, 1)))
-        return pa.table([pa.array(slot[size > bucket_chars]), pa.array(size[size > bucket_chars])], ["slot", "size"])
+        return pa.table([pa.array(slot[size > heavy_chars]), pa.array(size[size > heavy_chars])], ["slot", "size"])
 
-    # each has more than bucket_chars, so they are about as few as the buckets
-    weighed = rows.mapInArrow(weigh, "part long, sums binary").groupBy("part").applyInArrow(heavy, "slot long, size long").collect()
-    hot = np.array(sorted(r["slot"] for r in weighed), np.uint64)
-    spread = max(1, -(-sum(r["size"] for r in weighed) // bucket_chars))
+    # the strings are about three times the text, so some 3 * MOST_HOT slots at most have so much
+    weighed = rows.mapInArrow(weigh, "part long, sums binary").groupBy("part").applyInArrow(heavy, "slot long, size long").toArrow()
+    hot = np.sort(weighed.column("slot").to_numpy()).astype(np.uint64)
+    spread = max(1, -(-int(weighed.column("size").to_numpy().sum()) // bucket_chars))
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

@@ -229,11 +229,31 @@ def test_a_phrase_in_many_surroundings_fills_no_bucket(spark, chunk_words):
     hot = slots[sizes > 6000].astype("u8")
     assert len(hot)
     chunk = substring_dedup._Chunk([(k, 0) for k in range(120)], words, 35, buckets, WordHashes(), hot, 16)
-    assert max(len(substring_dedup._unpack(x)[6]) for b, x in chunk.blobs if b < buckets) < sizes.max()
-    single = [len(substring_dedup._unpack(x)[2]) for b, x in chunk.blobs if b >= buckets]
+    assert max(len(substring_dedup.unseal(x, substring_dedup.STRINGS)[2]) for b, x in chunk.blobs if b < buckets) < sizes.max()
+    single = [len(substring_dedup.unseal(x, substring_dedup.WINDOWS)[1][0]) for b, x in chunk.blobs if b >= buckets]
     assert len(single) == 16 and max(single) < 2 * sum(single) / 16
 
 
+def test_a_string_alone_in_its_bucket_costs_little(rows):
+    from fanplume.llm.common import WordHashes, words_of
+
+    words = [w for r in rows if len(w := words_of(r[1])) >= 35]
+    told = [substring_dedup._Chunk([(k, k) for k in range(len(words))], words, 35, buckets, WordHashes()).blobs for buckets in (1, 2**30)]
+    text = sum(len(substring_dedup.unseal(x, substring_dedup.STRINGS)[2]) for _, x in told[0])
+    strings = sum(len(substring_dedup.unseal(x, substring_dedup.STRINGS)[1][0]) for _, x in told[0])
+    apart = sum(len(x) for _, x in told[1])
+    assert len(told[1]) > 0.8 * strings and sum(len(substring_dedup.unseal(x, substring_dedup.STRINGS)[2]) for _, x in told[1]) == text
+    assert apart < text  # with the numbers that go along
+
+
+def test_sealed_columns_come_back():
+    import numpy as np
+
+    owners, columns = [(7, -1), (None, 2), ("é", 3)], [np.array([0, 2, 1]), np.array([5, 2**32 - 1, 0]), np.array([1, 2, 3], np.uint64), np.array([True, False, True]), np.array([1, 0, 3])]
+    names, back, text = substring_dedup.unseal(substring_dedup.seal(owners, columns, substring_dedup.STRINGS, b"abcd"), substring_dedup.STRINGS)
+    assert names == owners and text == b"abcd" and [x.tolist() for x in back] == [x.tolist() for x in columns]
+
+
 def weighted_jaccard(a, b):
     """By its definition."""
     from math import log
