@@ -51,6 +51,78 @@ def test_learned_list_tells_held_out_junk(spark):
     assert sum(r["kept"] for r in told if r["quality"] == 1) / sum(r["quality"] == 1 for r in told) > 0.97
 
 
+def plain_list(rows):
+    """The decision list by its definition, of rows (features, bad), as lists of (feature, above, threshold)."""
+    from math import log2
+
+    names, left, found = list(rows[0][0]), set(range(len(rows))), []
+    holds = lambda rule, i: all((rows[i][0][f] > t) == above for f, above, t in rule)
+    while len(found) < 24:
+        learn, test = [i for i in sorted(left) if i % 3 < 2], [i for i in sorted(left) if i % 3 == 2]
+        if not any(rows[i][1] for i in learn):
+            break
+        rule, inside = [], learn
+        while len(rule) < 4 and not all(rows[i][1] for i in inside):
+            p0, n0 = sum(rows[i][1] for i in inside), sum(not rows[i][1] for i in inside)
+            best, gain = None, 1e-9
+            for f in names:
+                own = sorted((rows[i][0][f], rows[i][1]) for i in inside)
+                ends = [k for k in range(len(own) - 1) if own[k][0] < own[k + 1][0]]
+                if len(ends) > 256:
+                    ends = [ends[int(k)] for k in np.linspace(0, len(ends) - 1, 256)]
+                below = [0]
+                for _, b in own:
+                    below.append(below[-1] + b)
+                for above in (False, True):
+                    for k in ends:
+                        p, n = below[k + 1], k + 1 - below[k + 1]
+                        p, n = (p0 - p, n0 - n) if above else (p, n)
+                        g = p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else -1.0
+                        if g > gain + 1e-12:
+                            best, gain = (f, above, (own[k][0] + own[k + 1][0]) / 2), g
+            if best is None:
+                break
+            rule.append(best)
+            inside = [i for i in inside if holds([best], i)]
+        if not rule:
+            break
+        counts = lambda own, where: (sum(rows[i][1] for i in where if holds(own, i)), sum(not rows[i][1] for i in where if holds(own, i)))
+
+        def worth(own):
+            p, n = counts(own, test)  # noqa: B023
+            return (p - n) / (p + n) if p + n else -1.0
+
+        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
+        p, n = counts(rule, left)
+        if worth(rule) < 0.8 or p < 3 or p < 0.9 * (p + n):
+            break
+        found.append(rule)
+        left = {i for i in left if not holds(rule, i)}
+    return found
+
+
+def test_verdicts_equal_a_list_learned_in_plain_python(spark):
+    sf = "/root/testdata/sf0.01"
+    share = lambda a, b: a / max(b, 1)
+    told = {}
+    for d, t in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        words, symbols, dup, again = (WORD.findall(t or ""), *quality.statistics(t)[2:5])
+        n, chars = len(words), sum(map(len, words))
+        count = lambda pattern: len(re.findall(pattern, t or ""))  # noqa: B023, E731
+        told[d] = n < 20 or 100 * again > 30 * n, {
+            "word_length": share(chars, n), "symbol_share": share(symbols, chars), "dup_lines": float(dup), "repeat_share": share(again, n), "upper_share": share(count("[A-Z]"), chars),
+            "digit_share": share(count("[0-9]"), chars), "ends_per_word": share(count("[.!?]"), n), "distinct_share": share(len(set(words)), n), "words": float(n),
+        }
+    labels = {}
+    for d, q in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect():
+        if d in told and q is not None and not told[d][0]:
+            labels[d] = min(q, labels.get(d, q))
+    rules = plain_list([(told[d][1], labels[d] == 0) for d in sorted(labels)])
+    assert rules and len(labels) < 16_000
+    kept = {r["doc_id"]: r["kept"] for r in QUERIES["op5_quality_rules"](spark, sf).select("doc_id", "kept").collect()}
+    assert kept == {d: not failed and not any(all((x[f] > t) == above for f, above, t in rule) for rule in rules) for d, (failed, x) in told.items()}
+
+
 def test_sequential_covering_finds_a_planted_rule():
     rng = np.random.default_rng(0)
     x = {"a": rng.random(3000), "b": rng.random(3000)}
