@@ -202,16 +202,17 @@ def timed_samples(samples: DataFrame, by: list[str], start: float, speed_kmh: fl
     return out.withColumn("dt", (F.coalesce(after, F.col("hours")) - F.coalesce(before, F.col("hours"))) / 2)
 
 
-def with_polylines(points: DataFrame, by: list[str]) -> DataFrame:
-    """Each route as an encoded polyline of precision 5: differences of rounded degrees in groups of five bits."""
+def with_polylines(points: DataFrame, by: list[str], groups: int = 6) -> DataFrame:
+    """Each route as an encoded polyline of precision 5: differences of rounded degrees in groups of five bits. Six groups
+    hold any difference on the globe; eleven hold those of any places that a double tells apart to five digits."""
     w = Window.partitionBy(*by).orderBy("sample")
     whole = lambda c: F.round(F.col(c) * 100000).cast("long")
     change = lambda c: whole(c) - F.coalesce(F.lag(whole(c)).over(w), F.lit(0))
 
     def encoded(d: Column) -> Column:
         v = F.when(d < 0, -2 * d - 1).otherwise(2 * d)
-        groups = [F.when((v >= 32**k) | F.lit(k == 0), F.chr(63 + (F.floor(v / 32**k) % 32) + F.when(v >= 32 ** (k + 1), 32).otherwise(0))).otherwise("") for k in range(6)]
-        return F.concat(*groups)
+        chars = [F.when((v >= 32**k) | F.lit(k == 0), F.chr(63 + (F.floor(v / 32**k) % 32) + F.when(v >= 32 ** (k + 1), 32).otherwise(0))).otherwise("") for k in range(groups)]
+        return F.concat(*chars)
 
     parts = points.withColumns({"dlat": change("lat"), "dlon": change("lon")}).withColumn("part", F.concat(encoded(F.col("dlat")), encoded(F.col("dlon"))))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", "part"))), lambda s: s["part"]), "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fanplume.operators.spatial import with_polylines
@@ -30,8 +30,12 @@ def lo8_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sc15_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes as polylines and back: points rounded to five places."""
-    return unfold(with_polylines(routes(spark, sf_dir), ["route"]), "route", "polyline", "polyline").select("route", "sample", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
+    """Routes as polylines and back: points rounded to five places. Those of keys above 2,000 lie off the globe; a route may
+    lack some of its samples, whose numbers a polyline doesn't keep."""
+    own = routes(spark, sf_dir)
+    numbers = own.select(F.col("route").cast("string").alias("route"), (F.row_number().over(Window.partitionBy("route").orderBy("sample")) - 1).cast("long").alias("at"), (F.col("sample") % 50).alias("sample"))
+    back = unfold(with_polylines(own, ["route"], groups=11), "route", "polyline", "polyline", on_globe=False).withColumnRenamed("sample", "at")
+    return back.drop("hours").join(numbers, ["route", "at"]).select("route", "sample", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
 
 QUERIES = {f.__name__: f for f in (st1_stream_hours, st2_latest_run, lo8_simplify, sc15_round_trip)}

@@ -56,14 +56,14 @@ def write_gpx(points: DataFrame, path: str) -> None:
     own.select(F.array(F.struct(F.col("route").alias("name"), segment.alias("trkseg"))).alias("trk")).write.format("xml").option("rootTag", "documents").option("rowTag", "gpx").save(path)
 
 
-def polyline_points(text: str) -> list[tuple[float, float]]:
-    """Decode a polyline of precision 5."""
+def polyline_points(text: str, on_globe: bool = True) -> list[tuple[float, float]]:
+    """Decode a polyline of precision 5. Points off the globe are an error unless `on_globe` is off."""
     values, value, shift = [], 0, 0
     for c in text:
         bits = ord(c) - 63
         if not 0 <= bits < 64:
             raise ValueError("not a polyline")
-        if shift > 30:  # more than any place on the globe needs
+        if shift > (30 if on_globe else 50):  # more than any place on the globe, or any exact one, needs
             raise ValueError("a value of the polyline is too long")
         value |= (bits & 31) << shift
         shift += 5
@@ -73,7 +73,7 @@ def polyline_points(text: str) -> list[tuple[float, float]]:
     if shift or len(values) % 2:
         raise ValueError("the polyline ends early")
     places = np.cumsum(np.array(values, float).reshape(-1, 2), axis=0) / 1e5
-    if len(places) and (abs(places[:, 0]).max() > 90 or abs(places[:, 1]).max() > 180):
+    if on_globe and len(places) and (abs(places[:, 0]).max() > 90 or abs(places[:, 1]).max() > 180):
         raise ValueError("a point lies off the globe")
     return [tuple(p) for p in places.tolist()]
 
@@ -98,13 +98,14 @@ def gpx_points(text: str) -> list[tuple[float, float, float | None]]:
     return [(float(e.get("lat")), float(e.get("lon")), h) for e, h in zip(found, hours, strict=True)]
 
 
-def unfold(files: DataFrame, name: str, text: str, form: str) -> DataFrame:
-    """Rows of points from rows that hold one route's text each: `form` is polyline or gpx."""
+def unfold(files: DataFrame, name: str, text: str, form: str, on_globe: bool = True) -> DataFrame:
+    """Rows of points from rows that hold one route's text each: `form` is polyline or gpx. A polyline's points off the globe
+    are an error unless `on_globe` is off."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for route, own in zip(batch["route"], batch["text"], strict=True):
-                points = [(*p, None) for p in polyline_points(own)] if form == "polyline" else gpx_points(own)
+                points = [(*p, None) for p in polyline_points(own, on_globe)] if form == "polyline" else gpx_points(own)
                 yield pd.DataFrame([(route, k, *p) for k, p in enumerate(points)], columns=["route", "sample", "lat", "lon", "hours"]).astype({"hours": float})
 
     return files.select(F.col(name).cast("string").alias("route"), F.col(text).alias("text")).mapInPandas(run, POINTS)
