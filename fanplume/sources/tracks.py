@@ -22,12 +22,13 @@ _POINT = "array<struct<_lat: double, _lon: double, time: string>>"
 GPX = f"trk array<struct<name: string, trkseg: array<struct<trkpt: {_POINT}>>>>, rte array<struct<name: string, rtept: {_POINT}>>"
 
 
-def read_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_gpx(spark: SparkSession, path: str, on_globe: bool = True) -> tuple[DataFrame, DataFrame]:
     """The points of all GPX documents in the files at `path`, by Spark's XML source, and the files that are refused.
 
     A file may hold many documents under one root; each gives its first track, of all segments, or its first route if it has no
     track. Points are (file, route, sample, lat, lon, hours): the route is the track's name, hours since the first
-    point are there only if every point has a time. Points off the globe or without a place go with their whole route.
+    point are there only if every point has a time. Points off the globe or without a place go with their whole route,
+    unless `on_globe` is off: then every point stays as it is written.
     Files with a DOCTYPE are refused: nothing of them is read, and the second frame names them.
     """
     name = F.input_file_name().alias("file")
@@ -40,7 +41,7 @@ def read_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     own = own.select("file", F.coalesce(track["name"], route["name"]).alias("route"), points.alias("p"))
     placed = F.forall("p", lambda p: F.coalesce(F.abs(p["_lat"]) <= 90, F.lit(False)) & F.coalesce(F.abs(p["_lon"]) <= 180, F.lit(False)))
     at = lambda p: F.unix_micros(F.try_to_timestamp(F.trim(p["time"])))
-    own = own.filter(F.size("p") > 0).filter(placed).withColumns({"timed": F.forall("p", lambda p: at(p).isNotNull()), "start": at(F.element_at("p", 1))})
+    own = own.filter(F.size("p") > 0).filter(placed if on_globe else F.lit(True)).withColumns({"timed": F.forall("p", lambda p: at(p).isNotNull()), "start": at(F.element_at("p", 1))})
     rows = own.select("file", "route", "timed", "start", F.posexplode("p").alias("sample", "p"))
     hours = F.when(F.col("timed"), (at(F.col("p")) - F.col("start")) / 3.6e9)
     return rows.select("file", "route", F.col("sample").cast("long").alias("sample"), F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), hours.alias("hours")), refused

@@ -61,3 +61,8 @@ def test_points_off_the_globe_are_refused_unless_asked_for():
     assert polyline_points("_bnmP_evi@", on_globe=False) == [(91.5, 7.0)]
     with pytest.raises(ValueError):
         polyline_points("_" * 1_000_000, on_globe=False)
+
+
+def test_tracks_off_the_globe_come_back_from_gpx(spark, tmp_path):
+    got, want = shifted_suppliers(spark, tmp_path, "sc14_gpx_scan")
+    assert got == want and len(got) == 359

@@ -168,3 +168,13 @@ def test_gpx_documents_are_scanned(spark, tmp_path):
     write_gpx(points.withColumn("time", F.lit(None).cast("timestamp")), again)
     back = read_gpx(spark, again)[0]
     assert sorted((r["route"], r["sample"], r["lat"], r["lon"], r["hours"]) for r in back.collect()) == sorted((k[1], i, p[0], p[1], None) for k, own in got.items() for i, p in enumerate(own))
+
+
+def test_gpx_points_off_the_globe_stay_if_asked_for(spark, tmp_path):
+    from fanplume.sources.tracks import read_gpx, write_gpx
+
+    rows = [("a", 0, 1.0, 2.0), ("a", 1, 91.5, 2.0), ("b", 0, 3.0, None), ("c", 0, 4.0, 5.0)]
+    write_gpx(spark.createDataFrame(rows, "route string, sample long, lat double, lon double"), str(tmp_path / "gpx"))
+    found = lambda **how: sorted(tuple(r) for r in read_gpx(spark, str(tmp_path / "gpx"), **how)[0].select("route", "sample", "lat", "lon").collect())
+    assert found(on_globe=False) == rows
+    assert found() == rows[3:]
